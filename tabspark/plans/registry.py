@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tabspark.plans import q_features
+    from tabspark.plans import q_features, q_profile
 
-    return [q_features]
+    return [q_features, q_profile]
 
 
 def all_queries() -> dict:
