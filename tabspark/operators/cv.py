@@ -7,7 +7,7 @@ by ``row_id``; fold metrics are one ``groupBy(fold)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabspark.functions.exprs import fold_order_key
@@ -37,3 +37,200 @@ def folds_sql(source_sql: str, y: str = "y", k: int = 5, seed: int = 1337, row_i
         f"SELECT *, CAST((row_number() OVER (PARTITION BY {y} ORDER BY {key}, {row_id}) - 1) % {k} AS INTEGER) AS fold "
         f"FROM ({source_sql})"
     )
+
+
+# --------------------------------------------------------------------------- M2-M8, M10
+from dataclasses import dataclass, field  # noqa: E402
+
+from pyspark import StorageLevel  # noqa: E402
+from pyspark.ml.classification import (  # noqa: E402
+    DecisionTreeClassifier,
+    GBTClassifier,
+    LogisticRegression,
+    OneVsRest,
+    RandomForestClassifier,
+)
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from tabspark.operators.joins import join_fitted  # noqa: E402
+
+# Parameters each learner slot accepts (anything else is an error, never silently dropped).
+LEARNER_PARAMS = {
+    "gbt_ovr": {"maxIter", "maxDepth", "stepSize", "subsamplingRate", "featureSubsetStrategy", "minInstancesPerNode",
+                "minInfoGain", "maxBins", "seed", "validationTol"},
+    "random_forest": {"numTrees", "maxDepth", "subsamplingRate", "featureSubsetStrategy", "minInstancesPerNode",
+                      "minInfoGain", "maxBins", "seed", "bootstrap"},
+    "decision_tree": {"maxDepth", "minInstancesPerNode", "minInfoGain", "maxBins", "seed"},
+    "logreg": {"regParam", "elasticNetParam", "maxIter", "tol", "standardization", "fitIntercept"},
+}
+
+
+def make_learner(kind: str, params: dict | None = None):
+    """Pluggable estimator slot (M4-M6, M12-M13); unknown parameters raise."""
+    params = dict(params or {})
+    if kind not in LEARNER_PARAMS:
+        raise ValueError(f"unknown learner {kind!r}; choose from {sorted(LEARNER_PARAMS)}")
+    bad = set(params) - LEARNER_PARAMS[kind]
+    if bad:
+        raise ValueError(f"{kind}: unknown parameters {sorted(bad)}")
+    if kind == "gbt_ovr":
+        return GBTClassifier(**params)
+    if kind == "random_forest":
+        return RandomForestClassifier(**params)
+    if kind == "decision_tree":
+        return DecisionTreeClassifier(**params)
+    return LogisticRegression(family="multinomial", **params)
+
+
+@dataclass
+class CVResult:
+    run: str
+    oof: DataFrame  # run, row_id, fold, class, p
+    test: DataFrame  # run, row_id, class, p  (mean of the fold models)
+    importances: list[tuple[int, str, float]] = field(default_factory=list)  # fold, feature, importance
+    models: dict = field(default_factory=dict)  # fold -> fitted model
+    kind: str = "random_forest"
+    n_classes: int = 0
+
+
+def _probs_of(model, kind: str, df: DataFrame, n_classes: int) -> DataFrame:
+    """Probability array column ``probs`` for any slot; one-vs-rest scores are renormalised."""
+    if kind == "gbt_ovr":
+        out = df
+        for c, sub in enumerate(model.models):
+            sub = sub.copy()
+            sub.setProbabilityCol(f"__pr{c}").setRawPredictionCol(f"__raw{c}").setPredictionCol(f"__pred{c}")
+            out = sub.transform(out).withColumn(f"__p{c}", vector_to_array(f"__pr{c}")[1]).drop(f"__pr{c}", f"__raw{c}", f"__pred{c}")
+        arr = F.array(*[F.col(f"__p{c}") for c in range(n_classes)])
+        total = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
+        return out.withColumn("probs", F.transform(arr, lambda x: x / total)).drop(*[f"__p{c}" for c in range(n_classes)])
+    return model.transform(df).withColumn("probs", vector_to_array("probability")).drop("probability", "rawPrediction", "prediction")
+
+
+def fit_oof(
+    train: DataFrame,
+    test: DataFrame,
+    features: list[str],
+    label: str = "label",
+    kind: str = "random_forest",
+    params: dict | None = None,
+    n_classes: int | None = None,
+    weights: DataFrame | None = None,
+    fold_col: str = "fold",
+    run: str = "run",
+    early_stopping: bool = True,
+) -> CVResult:
+    """M2/M3: K-fold out-of-fold training with any learner slot.
+
+    ``train`` carries ``row_id``, the integer ``label``, ``fold`` and the feature columns;
+    fold f's model is fitted on ``fold != f`` and scores fold f (OOF) and every test row;
+    the test prediction is the mean of the K fold models.  ``weights`` is the
+    ``(fold, y, weight)`` table of E12.  For the one-vs-rest GBT slot the held-out fold
+    is passed as the validation set (early stopping), as the original did.
+    """
+    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    tr = asm.transform(train).select("row_id", F.col(label).cast("double").alias("label"), F.col(fold_col).alias("fold"), "features")
+    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
+    te = asm.transform(test).select("row_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    folds = sorted(r["fold"] for r in tr.select("fold").distinct().collect())
+    if n_classes is None:
+        n_classes = int(tr.agg(F.max("label")).first()[0]) + 1
+    oofs, tests, imps, models = [], [], [], {}
+    for f in folds:
+        fit_df = tr
+        if weights is not None:
+            wf = weights.where(F.col("fold") == f).select(F.col("y").cast("double").alias("label"), "weight")
+            fit_df = join_fitted(fit_df, wf, "label", n_classes, "left").fillna(1.0, subset=["weight"])
+        est = make_learner(kind, params)
+        if weights is not None:
+            est.setWeightCol("weight")
+        if kind == "gbt_ovr":
+            if early_stopping:
+                est.setValidationIndicatorCol("__is_valid")
+                fit_df = fit_df.withColumn("__is_valid", F.col("fold") == f)
+            else:
+                fit_df = fit_df.where(F.col("fold") != f)
+            ovr = OneVsRest(classifier=est)
+            if weights is not None:
+                ovr.setWeightCol("weight")
+            model = ovr.fit(fit_df)
+            for c, sub in enumerate(model.models):
+                for i, v in enumerate(sub.featureImportances.toArray()):
+                    imps.append((f, features[i], float(v) / n_classes))
+        else:
+            model = est.fit(fit_df.where(F.col("fold") != f))
+            if hasattr(model, "featureImportances"):
+                for i, v in enumerate(model.featureImportances.toArray()):
+                    imps.append((f, features[i], float(v)))
+        models[f] = model
+        valid = tr.where(F.col("fold") == f)
+        oofs.append(_probs_of(model, kind, valid, n_classes).select("row_id", "fold", F.posexplode("probs").alias("class", "p")))
+        tests.append(_probs_of(model, kind, te, n_classes).select("row_id", F.posexplode("probs").alias("class", "p")))
+    oof = oofs[0]
+    for o in oofs[1:]:
+        oof = oof.unionByName(o)
+    tst = tests[0]
+    for t in tests[1:]:
+        tst = tst.unionByName(t)
+    tst = tst.groupBy("row_id", "class").agg(F.avg("p").alias("p"))
+    return CVResult(run, oof.withColumn("run", F.lit(run)), tst.withColumn("run", F.lit(run)), imps, models, kind, n_classes)
+
+
+def permutation_importance(result: CVResult, frame: DataFrame, features: list[str], fold: int,
+                           label: str = "label", seed: int = 7) -> DataFrame:
+    """M9 (re-aimed from per-row TreeSHAP): increase in log-loss of fold ``fold``'s model on its
+    held-out rows when one feature column is permuted across those rows.
+
+    The permutation is a join on positions: each row's position in ``row_id`` order is matched
+    with the position of another row in a seeded pseudo-random order (both from the
+    range-partitioned ``count_before``), so no row set passes through one task.
+    """
+    from tabspark.operators.blend import EPS
+
+    model = result.models[fold]
+    valid = frame.where(F.col("fold") == fold).select("row_id", F.col(label).cast("int").alias("y"), *features)
+    pos = count_before(valid, [], ["row_id"]).withColumnRenamed("__before", "__i")
+    shuf = count_before(valid.select("row_id", fold_order_key("row_id", seed).alias("__k"), *features), [], ["__k", "row_id"])
+    shuf = shuf.withColumnRenamed("__before", "__i")
+    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+
+    def loss(df):
+        scored = _probs_of(model, result.kind, asm.transform(df), result.n_classes)
+        p = F.col("probs")[F.col("y")]
+        return scored.agg(F.avg(-F.log(F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))))).first()[0]
+
+    base = loss(valid)
+    rows = []
+    for c in features:
+        permuted = pos.drop(c).join(shuf.select("__i", c), "__i").drop("__i")
+        rows.append((result.run, fold, c, base, loss(permuted) - base))
+    return frame.sparkSession.createDataFrame(
+        rows, "run string, fold int, feature string, base_logloss double, importance double")
+
+
+def importance_table(spark, result: CVResult) -> DataFrame:
+    """M8: ``(run, fold, feature, importance)``."""
+    return spark.createDataFrame([(result.run, f, n, v) for f, n, v in result.importances],
+                                 "run string, fold int, feature string, importance double")
+
+
+def importance_stability(imp: DataFrame, top_k: int = 5) -> DataFrame:
+    """Mean, sample std and coefficient of variation of each feature's importance over
+    folds (folds only), with the share of total mean importance held by the top-k features."""
+    s = imp.groupBy("run", "feature").agg(F.avg("importance").alias("mean"), F.stddev_samp("importance").alias("std"))
+    s = s.withColumn("cv", F.try_divide(F.col("std"), F.col("mean")))
+    w = Window.partitionBy("run").orderBy(F.desc("mean"), "feature")
+    s = s.withColumn("rank", F.row_number().over(w))
+    tot = Window.partitionBy("run")
+    top = F.sum(F.when(F.col("rank") <= top_k, F.col("mean")).otherwise(0.0)).over(tot) / F.sum("mean").over(tot)
+    return s.withColumn(f"top{top_k}_share", top)
+
+
+def sweep(train: DataFrame, test: DataFrame, features: list[str], kind: str, themes: dict[str, dict], **kw) -> dict[str, CVResult]:
+    """Named parameter themes, each validated and run through the same OOF loop."""
+    for name, params in themes.items():
+        bad = set(params) - LEARNER_PARAMS[kind]
+        if bad:
+            raise ValueError(f"theme {name!r}: unknown parameters {sorted(bad)}")
+    return {name: fit_oof(train, test, features, kind=kind, params=params, run=name, **kw) for name, params in themes.items()}
