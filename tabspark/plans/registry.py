@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tabspark.plans import q_blend, q_features, q_model, q_profile
+    from tabspark.plans import q_blend, q_features, q_io, q_model, q_profile
 
-    return [q_features, q_profile, q_blend, q_model]
+    return [q_features, q_profile, q_blend, q_model, q_io]
 
 
 def all_queries() -> dict:
