@@ -256,12 +256,26 @@ class FoldCategoryStats:
 
     @staticmethod
     def fit(df: DataFrame, col: str, y: str, classes: Sequence[str], fold_col: str = "fold") -> "FoldCategoryStats":
+        return FoldCategoryStats.fit_many(df, [col], y, classes, fold_col)[col]
+
+    @staticmethod
+    def fit_many(df: DataFrame, cols: Sequence[str], y: str, classes: Sequence[str],
+                 fold_col: str = "fold") -> dict[str, "FoldCategoryStats"]:
+        """Statistics of several categorical columns from one scan: rows are stacked as
+        ``(column, value)`` pairs and aggregated by ``(column, value, fold)`` (map-side partial
+        aggregation, so a hot category never reaches one task as raw rows)."""
         ind = _class_indicators(y, classes)
         k = len(classes)
-        base = df.select(F.col(col).cast("string").alias(col), F.col(fold_col).alias("fold"), *ind)
-        agg = base.groupBy(col, "fold").agg(F.count("*").alias("n"), *[F.sum(f"__y{i}").alias(f"s{i}") for i in range(k)])
-        agg, size = _materialise(agg)
-        tot = {r["fold"]: r for r in agg.groupBy("fold").agg(
+        stacked = df.select(
+            F.col(fold_col).alias("fold"), *ind,
+            F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("string").alias("__val")) for c in cols])).alias("__s"),
+        ).select("__s.__col", "__s.__val", "fold", *[f"__y{i}" for i in range(k)])
+        agg = stacked.groupBy("__col", "__val", "fold").agg(
+            F.count("*").alias("n"), *[F.sum(f"__y{i}").alias(f"s{i}") for i in range(k)])
+        agg, _ = _materialise(agg)
+        # fold totals are the same for every column: read them from the first one (folds x classes values)
+        first = cols[0]
+        tot = {r["fold"]: r for r in agg.where(F.col("__col") == first).groupBy("fold").agg(
             F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).collect()}
         folds = sorted(tot)
         n_all = sum(r["n"] for r in tot.values())
@@ -272,7 +286,12 @@ class FoldCategoryStats:
             prior_by_fold[f] = [
                 (sum(r[f"s{i}"] for g, r in tot.items() if g != f) / n_f) if n_f else None for i in range(k)
             ]
-        return FoldCategoryStats(col, list(classes), agg, size, folds, prior_by_fold, prior_all)
+        sizes = {r["__col"]: r["cnt"] for r in agg.groupBy("__col").agg(F.count("*").alias("cnt")).collect()}
+        out = {}
+        for c in cols:
+            by_fold = agg.where(F.col("__col") == c).select(F.col("__val").alias(c), "fold", "n", *[f"s{i}" for i in range(k)])
+            out[c] = FoldCategoryStats(c, list(classes), by_fold, int(sizes.get(c, 0)), folds, prior_by_fold, prior_all)
+        return out
 
     def oof_stats(self) -> DataFrame:
         """Per (category, fold f): statistics of the category over every fold except f."""
@@ -376,6 +395,13 @@ class MEstimateEncoder(Estimator):
         names = [f"{self.col}_{self.suffix}_{k}" for k in self.classes]
         return CategoryEncoderModel(st, "mestimate", self.m, 0, 1.0, self.fold_col, names)
 
+    @staticmethod
+    def fit_many(df, cols, y, classes, fold_col="fold", m=5.0, suffix="me") -> dict[str, CategoryEncoderModel]:
+        """Encoders for several columns fitted from one scan."""
+        stats = FoldCategoryStats.fit_many(df, cols, y, classes, fold_col)
+        return {c: CategoryEncoderModel(stats[c], "mestimate", m, 0, 1.0, fold_col, [f"{c}_{suffix}_{k}" for k in classes])
+                for c in cols}
+
 
 # --------------------------------------------------------------------------- E12
 def balanced_class_weights(df: DataFrame, y: str, fold_col: str = "fold") -> DataFrame:

@@ -35,8 +35,9 @@ def prob_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     folded = stratified_folds(cross.transform(train), "y", k=5, seed=1337)
     test = cross.transform(test)
     oofs, tests = [], []
+    models = MEstimateEncoder.fit_many(folded, list(RUNS.values()), "y", CLASSES, "fold", m=M)
     for run, key in RUNS.items():
-        model = MEstimateEncoder(key, "y", CLASSES, "fold", m=M).fit(folded)
+        model = models[key]
         arr = F.array(*[F.col(n) for n in model.names])
         oofs.append(model.transform_oof(folded).select(F.lit(run).alias("run"), "row_id", F.posexplode(arr).alias("class", "p")))
         tests.append(model.transform(test).select(F.lit(run).alias("run"), "row_id", F.posexplode(arr).alias("class", "p")))
