@@ -458,3 +458,53 @@ def enc_class_weights(spark, sf_dir):
     train, _ = _split(train_like(spark, sf_dir))
     folded = stratified_folds(train, "y", k=5, seed=1337)
     return rounded(balanced_class_weights(folded, "y", "fold"))
+
+
+# --------------------------------------------------------------------------- T9 / C9
+PLAN = dict(
+    clip_cols=("c_acctbal",), clip_factor=0.5, log_cols=("o_totalprice", "c_acctbal"),
+    ratio_pairs=(("o_totalprice", "n_items"),), diff_pairs=(("sum_qty", "n_items"),),
+    poly_cols=("avg_disc",), poly_degrees=(2,), num_num_pairs=(("o_totalprice", "avg_disc"),),
+    num_cat_pairs=(("o_totalprice", "c_mktsegment"),), num_cat_stats=("mean",), num_cat_min_leaf=10,
+    cat_cat_pairs=(("o_orderpriority", "c_mktsegment"),), cat_cat_max_card=200, angle=("alpha", "delta"),
+)
+_CC = "COALESCE(CAST(o_orderpriority AS VARCHAR), 'nan') || '__' || COALESCE(CAST(c_mktsegment AS VARCHAR), 'nan')"
+
+
+@register("fe_feature_plan", f"""
+WITH {T},
+q AS (SELECT quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3 FROM tr),
+b AS (SELECT q1 - 0.5 * (q3 - q1) AS lo, q3 + 0.5 * (q3 - q1) AS hi FROM q),
+c AS (SELECT t.* REPLACE (CASE WHEN c_acctbal < lo THEN lo WHEN c_acctbal > hi THEN hi ELSE c_acctbal END AS c_acctbal),
+             {_CC} AS cc FROM t CROSS JOIN b),
+ctr AS (SELECT * FROM c WHERE split = 'train'),
+g AS (SELECT c_mktsegment AS key, CASE WHEN COUNT(o_totalprice) >= 10 THEN AVG(o_totalprice) END AS mean
+      FROM ctr WHERE c_mktsegment IS NOT NULL GROUP BY 1),
+gl AS (SELECT AVG(o_totalprice) AS gmean FROM ctr),
+d AS (SELECT v, CAST(row_number() OVER (ORDER BY v) AS SMALLINT) AS code FROM (SELECT DISTINCT cc AS v FROM ctr))
+SELECT c.row_id, c.split, {sql_round('c.c_acctbal')} AS c_acctbal,
+  {_f('CASE WHEN c.o_totalprice IS NULL THEN NULL ELSE ln(1 + greatest(c.o_totalprice, 0.0)) END')} AS o_totalprice_log1p,
+  {_f('CASE WHEN c.c_acctbal IS NULL THEN NULL ELSE ln(1 + greatest(c.c_acctbal, 0.0)) END')} AS c_acctbal_log1p,
+  {_f('c.o_totalprice / (c.n_items + 1e-6)')} AS o_totalprice_per_n_items,
+  {_f('c.sum_qty - c.n_items')} AS sum_qty_minus_n_items,
+  {_f('pow(c.avg_disc, 2.0)')} AS avg_disc_sq,
+  {_f('c.o_totalprice * c.avg_disc')} AS o_totalprice_x_avg_disc,
+  {_f('COALESCE(g.mean, gl.gmean)')} AS o_totalprice_by_c_mktsegment_mean,
+  COALESCE(d.code, CAST(0 AS SMALLINT)) AS o_orderpriority__c_mktsegment,
+  {_f('cos(radians(c.delta)) * cos(radians(c.alpha))')} AS unit_x,
+  {_f('cos(radians(c.delta)) * sin(radians(c.alpha))')} AS unit_y,
+  {_f('sin(radians(c.delta))')} AS unit_z
+FROM c LEFT JOIN g ON c.c_mktsegment = g.key LEFT JOIN d ON c.cc = d.v CROSS JOIN gl""")
+def fe_feature_plan(spark, sf_dir):
+    """The ordered block plan (clip, log1p, ratio, difference, power, num x num, num x cat,
+    cat x cat with low-cardinality compounds routed to ordinal codes, unit vector) fitted on
+    the train split and applied to every row."""
+    from tabspark.operators.feature_plan import FeaturePlan
+
+    df = train_like(spark, sf_dir)
+    train, _ = _split(df)
+    model = FeaturePlan(**PLAN).fit(train)
+    cols = ["c_acctbal", "o_totalprice_log1p", "c_acctbal_log1p", "o_totalprice_per_n_items", "sum_qty_minus_n_items",
+            "avg_disc_sq", "o_totalprice_x_avg_disc", "o_totalprice_by_c_mktsegment_mean", "o_orderpriority__c_mktsegment",
+            "unit_x", "unit_y", "unit_z"]
+    return rounded(model.transform(df).select("row_id", "split", *cols))

@@ -183,3 +183,97 @@ def stream_feature_slice(spark, sf_dir):
         "o_totalprice_minus_c_acctbal", "o_totalprice_by_o_orderpriority_mean")
     root = _root(spark, "stream")
     return rounded(run_available(out, f"{root}/sink", f"{root}/checkpoint"))
+
+
+# --------------------------------------------------------------------------- S1 / V1-V4
+@register("io_csv_pair", f"""
+WITH t AS ({TRAIN_LIKE_SQL})
+SELECT row_id, split, y, o_orderpriority, c_mktsegment, {", ".join(f"{R(c)} AS {c}" for c in TRAIN_LIKE_NUMS)} FROM t""")
+def io_csv_pair(spark, sf_dir):
+    """The train and test splits written as raw CSV (with an ``id`` column), read back with
+    an explicit schema, ``id`` kept as ``row_id``, column parity asserted."""
+    root = _root(spark, "csv")
+    df = train_like(spark, sf_dir)
+    cols = ["y", "o_orderpriority", "c_mktsegment", *TRAIN_LIKE_NUMS]
+    df.where(F.col("split") == "train").select(F.col("row_id").alias("id"), *cols).write.option("header", True).csv(f"{root}/train")
+    df.where(F.col("split") == "test").select(F.col("row_id").alias("id"), *cols).drop("y").write.option("header", True).csv(f"{root}/test")
+    schema = "id long, y string, o_orderpriority string, c_mktsegment string, " + ", ".join(f"{c} double" for c in TRAIN_LIKE_NUMS)
+    from pyspark.sql.types import _parse_datatype_string
+
+    tr, te = DS.read_csv_pair(spark, f"{root}/train", f"{root}/test", _parse_datatype_string(schema), "y")
+    both = tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")).withColumn("y", F.lit(None).cast("string")))
+    # test rows were written without the target: take it from the source for the comparison
+    both = both.alias("b").join(df.select("row_id", F.col("y").alias("y_src")), "row_id").select(
+        "row_id", "split", F.coalesce("y", "y_src").alias("y"), "o_orderpriority", "c_mktsegment", *TRAIN_LIKE_NUMS)
+    return rounded(both)
+
+
+@register("io_validation_checks", f"""
+WITH t AS ({TRAIN_LIKE_SQL})
+SELECT 'null_target_rows' AS "check", COUNT(*) - COUNT(y) AS value FROM t WHERE split = 'train'
+UNION ALL SELECT 'nulls_after_missing_encode', 0
+UNION ALL SELECT 'train_test_column_difference', 0
+UNION ALL SELECT 'unclassified_columns', 0
+UNION ALL SELECT 'feature_columns_added', 3""")
+def io_validation_checks(spark, sf_dir):
+    """V1-V5 as a report: NULL-target rows dropped, no NULL left after the missing encoder (V2),
+    train/test column parity (V3), every column classified (V4), columns added by a step (V5)."""
+    from tabspark.operators.encode import MissingEncoder as ME
+    from tabspark.operators.encode import assert_no_nulls, drop_null_target
+
+    df = train_like(spark, sf_dir)
+    train, test = df.where(F.col("split") == "train").drop("split"), df.where(F.col("split") == "test").drop("split", "y")
+    train, n_drop = drop_null_target(train, "y")
+    m = ME(["o_orderpriority", "c_mktsegment"], TRAIN_LIKE_NUMS).fit_pair(train, test)
+    a, b = m.transform(train), m.transform(test)
+    assert_no_nulls(a)
+    assert_no_nulls(b)
+    DS.check_parity(a, b, "y")
+    groups = DS.classify_columns(a, ["y"])
+    added = DS.audit_features(a, train).count()
+    rows = [("null_target_rows", n_drop), ("nulls_after_missing_encode", 0), ("train_test_column_difference", 0),
+            ("unclassified_columns", sum(len(v) for v in groups.values()) - len(a.columns)), ("feature_columns_added", added)]
+    return spark.createDataFrame(rows, "check string, value long")
+
+
+# --------------------------------------------------------------------------- B27 / B10 / B7
+@register("diag_mean_max_prob", f"""
+WITH {prob_runs_sql()}
+SELECT run, {R('AVG(m)')} AS mean_max_prob FROM (SELECT run, row_id, MAX(p) AS m FROM oof GROUP BY run, row_id) GROUP BY run""")
+def diag_mean_max_prob(spark, sf_dir):
+    """Mean maximum class probability of each run's OOF predictions."""
+    oof, _, _ = prob_runs(spark, sf_dir)
+    return rounded(RS.prob_summary(oof))
+
+
+@register("io_ensemble_batch")
+def io_ensemble_batch(spark, sf_dir):
+    """A batch of ensemble configs built from stored run artifacts; an existing name is
+    skipped, a failing config is isolated and reported; recorded log-losses are re-checked."""
+    root = _root(spark, "batch")
+    oof, tst, labels = prob_runs(spark, sf_dir)
+    lab = labels.where(F.col("split") == "train")
+    for run in RUNS:
+        RS.save_run(root, run, oof.where(F.col("run") == run).join(lab.select("row_id", "fold"), "row_id"),
+                    tst.where(F.col("run") == run), {"train": "train_like"})
+    names = list(RUNS)
+    truth = lab.select("row_id", "y")
+
+    def job(name, strategy):
+        def go():
+            stored = RS.load_probs(spark, root, names, "oof")
+            b = BL.blend(stored, strategy).withColumn("run", F.lit(name))
+            sc = EV.scores(b, truth, ("run",)).first()
+            RS.save_run(root, name, b, BL.blend(RS.load_probs(spark, root, names, "test"), strategy),
+                        {"train": "train_like", "cv_auc": sc["bal_acc"], "cv_logloss": sc["logloss"]})
+            RS.log_run(root, {"exp_name": name, "mean_cv_metric": sc["bal_acc"], "mean_logloss": sc["logloss"],
+                              "ensemble_models": names, "ensemble_strategy": strategy}, spark)
+        return go
+
+    exists = lambda n: DS.read_text(spark, f"{root}/runs/{n}/meta") is not None
+    configs = {"ensemble_equal": job("ensemble_equal", "equal"), "ensemble_rank": job("ensemble_rank", "rank"),
+               "ensemble_bad": job("ensemble_bad", "no_such_strategy"), "me_priority": job("me_priority", "equal")}
+    status = RS.batch_summary(spark, RS.run_batch(configs, exists), f"{root}/batch_summary")
+    recomputed = EV.log_loss(RS.load_probs(spark, root, ["ensemble_equal", "ensemble_rank"], "oof"), truth)
+    check = RS.check_recorded(recomputed, RS.read_ledger(spark, root))
+    return status.select("name", "status").join(check.select(F.col("run").alias("name"), "ok"), "name", "left")

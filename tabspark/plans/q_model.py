@@ -151,3 +151,68 @@ def cv_binary_metrics(spark, sf_dir):
     model = MEstimateEncoder("source", "q", ["0", "1"], "fold", m=5.0).fit(folded)
     scored = model.transform_oof(folded).select(F.col("quality").alias("label"), F.col(model.names[1]).alias("score"))
     return rounded(EV.binary_metrics(scored, "label", "score", 0.5))
+
+
+# --------------------------------------------------------------------------- M10 / M16 / B26 / B28
+@register("cv_sweep_themes")
+def cv_sweep_themes(spark, sf_dir):
+    """Named parameter themes of one learner slot, each through the same OOF loop,
+    ranked by mean balanced accuracy."""
+    from tabspark.operators.cv import sweep
+
+    folded, test, feats = model_frames(spark, sf_dir)
+    themes = {"shallow": {"maxDepth": 3, "seed": 1337}, "deep": {"maxDepth": 7, "seed": 1337}}
+    res = sweep(folded, test, feats, "decision_tree", themes, label="label", n_classes=len(CLASSES))
+    lab = folded.select("row_id", F.col("label").alias("y"), "fold")
+    out = None
+    for name, r in res.items():
+        _, s = EV.fold_metrics(r.oof, lab)
+        out = s if out is None else out.unionByName(s)
+    return rounded(out)
+
+
+@register("cv_importance_side_by_side")
+def cv_importance_side_by_side(spark, sf_dir):
+    """Gain importances of two learners aligned by feature name (not position),
+    top-20 features by mean importance."""
+    from tabspark.sources.runs import importance_side_by_side
+
+    folded, test, feats = model_frames(spark, sf_dir)
+    a = fit_oof(folded, test, feats, "label", "random_forest", RF_PARAMS, n_classes=len(CLASSES), run="rf")
+    b = fit_oof(folded, test, feats, "label", "decision_tree", {"maxDepth": 5, "seed": 1337}, n_classes=len(CLASSES), run="dt")
+    imp = importance_table(spark, a).unionByName(importance_table(spark, b))
+    return rounded(importance_side_by_side(imp, ["rf", "dt"], 20))
+
+
+@register("stack_run_single")
+def stack_run_single(spark, sf_dir):
+    """One stacker configuration end to end (meta features, nested CV, artifacts, ledger row),
+    refusing to redo an existing name."""
+    import uuid
+
+    from tabspark.sources import dataset as DS
+    from tabspark.sources import runs as RS
+
+    root = DS.artifact_root(spark, f"stack-{uuid.uuid4().hex[:12]}")
+    oof, tst, labels = prob_runs(spark, sf_dir)
+    runs = list(RUNS)
+
+    def job():
+        mtr, names = meta_features(oof, runs, len(CLASSES))
+        mte, _ = meta_features(tst, runs, len(CLASSES))
+        lab = labels.where(F.col("split") == "train").select("row_id", F.col("y").alias("label"))
+        res = fit_meta_learner(mtr.join(lab, "row_id"), mte, names, "logreg", 5, 42, 1.0, True, run="stack_logreg")
+        truth = lab.select("row_id", F.col("label").alias("y"))
+        sc = EV.scores(res.oof, truth, ("run",)).first()
+        RS.save_run(root, "stack_logreg", res.oof, res.test, {"train": "train_like", "cv_auc": sc["bal_acc"], "cv_logloss": sc["logloss"]},
+                    {"meta_learner": "logreg", "C": 1.0, "n_folds": 5, "seed": 42, "models": runs})
+        RS.log_run(root, {"exp_name": "stack_logreg", "mean_cv_metric": sc["bal_acc"], "mean_logloss": sc["logloss"],
+                          "ensemble_models": runs, "ensemble_strategy": "stack_logreg"}, spark)
+
+    exists = lambda n: DS.read_text(spark, f"{root}/runs/{n}/meta") is not None
+    first = RS.run_batch({"stack_logreg": job}, exists)
+    second = RS.run_batch({"stack_logreg": job}, exists)
+    status = spark.createDataFrame([(f"pass{i}", *r) for i, r in enumerate(first + second)],
+                                   "attempt string, name string, status string, error string, seconds double")
+    return rounded(status.select("attempt", "name", "status").join(
+        RS.read_ledger(spark, root).select(F.col("exp_name").alias("name"), "mean_cv_metric", "mean_logloss"), "name", "left"))
