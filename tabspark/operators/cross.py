@@ -44,17 +44,24 @@ class NumNumModel(Model):
 
 def top_variance_columns(df: DataFrame, cols: Sequence[str], n: int) -> list[str]:
     """Top-n columns by sample variance (one aggregate); ties keep schema order."""
-    row = df.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    row = {}
+    for i in range(0, len(cols), 50):
+        row.update(df.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in cols[i:i + 50]]).first().asDict())
     order = sorted(range(len(cols)), key=lambda i: (-(row[cols[i]] if row[cols[i]] is not None else -math.inf), i))
     return [cols[i] for i in order[:n]]
 
 
 def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float]:
-    """Pearson r over pairwise-complete rows for many pairs in one aggregate.
+    """Pearson r over pairwise-complete rows for many pairs (one aggregate per 50 pairs).
 
     Built from ``covar_samp`` and ``stddev_samp`` on the rows where both are present
     (``F.corr`` raises under ANSI on a constant column); a constant column gives NaN.
     """
+    if len(pairs) > 50:
+        out = {}
+        for i in range(0, len(pairs), 50):
+            out.update(pair_correlations(df, pairs[i:i + 50]))
+        return out
     aggs = []
     for i, (a, b) in enumerate(pairs):
         x, y = F.col(a).cast("double"), F.col(b).cast("double")

@@ -41,7 +41,20 @@ def balanced_accuracy(long: DataFrame, labels: DataFrame, by: Sequence[str] = ("
 
 
 def scores(long: DataFrame, labels: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
-    return log_loss(long, labels, by).join(balanced_accuracy(long, labels, by), list(by))
+    """B8 + B9 from one pass: per (group, row) the first-max class and the true-class
+    probability are taken in the same aggregate, then per group / class means."""
+    extra = [c for c in labels.columns if c in by and c not in long.columns]
+    long_by = [c for c in by if c in long.columns]
+    j = long.join(labels.select("row_id", F.col("y").alias("__y"), *extra), "row_id")
+    per_row = j.groupBy(*long_by, *extra, "row_id").agg(
+        F.first("__y").alias("y"),
+        F.min_by("class", F.struct(-F.col("p"), F.col("class"))).alias("pred"),
+        F.max(F.when(F.col("class") == F.col("__y"), F.col("p"))).alias("p_true"))
+    pc = F.least(F.greatest(F.col("p_true"), F.lit(EPS)), F.lit(1 - EPS))
+    per_class = per_row.groupBy(*by, "y").agg(
+        F.sum(-F.log(pc)).alias("__ll"), F.count("p_true").alias("__n"),
+        F.avg((F.col("pred") == F.col("y")).cast("double")).alias("__rec"))
+    return per_class.groupBy(*by).agg((F.sum("__ll") / F.sum("__n")).alias("logloss"), F.avg("__rec").alias("bal_acc"))
 
 
 def fold_metrics(oof: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

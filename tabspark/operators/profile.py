@@ -32,6 +32,19 @@ def _nn(c: str) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
+AGG_CHUNK = 50  # columns per aggregate: keeps generated code under the JVM method-size limits
+
+
+def chunked(cols: Sequence, fn) -> DataFrame:
+    """Union of ``fn(chunk)`` over column chunks (one aggregate job per chunk)."""
+    cols = list(cols)
+    out = None
+    for i in range(0, max(len(cols), 1), AGG_CHUNK):
+        part = fn(cols[i:i + AGG_CHUNK])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _rows_from_one(row_df: DataFrame, structs: list[Column]) -> DataFrame:
     """Turn a one-row aggregate into a long table (one struct per output row)."""
     return row_df.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
@@ -47,7 +60,9 @@ def stack_strings(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ())
 
 # --------------------------------------------------------------------------- G1-G3, G30
 def numeric_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """G1: mean, sample std, min, max, n_null per numeric column (one aggregate)."""
+    """G1: mean, sample std, min, max, n_null per numeric column (one aggregate per 50 columns)."""
+    if len(cols) > AGG_CHUNK:
+        return chunked(cols, lambda c: numeric_stats(df, c))
     aggs = []
     for c in cols:
         x = _nn(c)
@@ -105,6 +120,8 @@ def class_balance(df: DataFrame, y: str) -> DataFrame:
 def missing_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Missing count and % per column, non-zero only (NaN counts as missing)."""
     cols = list(cols or df.columns)
+    if len(cols) > AGG_CHUNK:
+        return chunked(cols, lambda c: missing_summary(df, c))
     aggs = [F.count("*").alias("__n")]
     for c in cols:
         t = df.schema[c].dataType.simpleString()
@@ -118,6 +135,8 @@ def missing_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 def numeric_as_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """n_unique, all-integer check, min, max per numeric column."""
+    if len(cols) > AGG_CHUNK:
+        return chunked(cols, lambda c: numeric_as_categorical(df, c))
     aggs = []
     for c in cols:
         x = _nn(c)
@@ -153,6 +172,8 @@ def dataset_overview(frames: dict[str, DataFrame], y: str | None = None) -> Data
 # --------------------------------------------------------------------------- G7 / G8
 def univariate_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean, median, std, bias-corrected skew and kurtosis, min, max, % zeros (NULL skipped)."""
+    if len(cols) > AGG_CHUNK:
+        return chunked(cols, lambda c: univariate_summary(df, c))
     aggs = []
     for c in cols:
         x = _nn(c)
@@ -196,11 +217,17 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40, group_col: str
     return out
 
 
-def kde(df: DataFrame, cols: Sequence[str], grid_points: int = 300, group_col: str | None = None) -> DataFrame:
+def kde(df: DataFrame, cols: Sequence[str], grid_points: int = 300, group_col: str | None = None,
+        cutoff_bandwidths: float = 12.0) -> DataFrame:
     """Gaussian KDE (Scott bandwidth ``std * n^(-1/5)``, sample std) on an even grid
-    between the (group's) min and max.  Exact: every row adds its kernel to every grid
-    point inside a partial aggregate (work O(rows x grid), no row explosion is shuffled).
-    Groups with zero spread are skipped, as in the original."""
+    between the (group's) min and max.  Groups with zero spread are skipped, as in the original.
+
+    Rows are first merged to distinct values with a multiplicity (partial aggregation);
+    each distinct value then adds its weighted kernel to the grid points within
+    ``cutoff_bandwidths`` bandwidths (a dropped term is below exp(-72) of the kernel peak,
+    far under double precision of any reported density), and the grid-indexed partial
+    sums are aggregated map-side.  Work is O(distinct values x nearby grid points).
+    """
     keep = [group_col] if group_col else []
     st = stack_columns(df, cols, keep).where(F.col("value").isNotNull() & ~F.isnan("value"))
     if group_col:
@@ -208,20 +235,24 @@ def kde(df: DataFrame, cols: Sequence[str], grid_points: int = 300, group_col: s
     keys = ["column", *keep]
     m = st.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"),
                               F.stddev_samp("value").alias("sd"))
-    m = m.where(F.col("sd") > 0).withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(grid_points - 1))
-    grid = m.select(*keys, "h", "n", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("g"),
-                    "lo", step.alias("step")).withColumn("x", F.col("lo") + F.col("g") * F.col("step"))
-    g_arr = m.select(*keys, "h", "n", F.transform(F.sequence(F.lit(0), F.lit(grid_points - 1)),
-                                                   lambda i: F.col("lo") + i * step).alias("xs"))
-    contrib = st.join(F.broadcast(g_arr), keys).select(
-        *keys, F.transform("xs", lambda gx: F.exp(-F.pow(gx - F.col("value"), 2) / (2 * F.col("h") * F.col("h")))).alias("k"))
-    # grid-indexed partial sums: the per-row kernel array is exploded inside the task and
-    # reduced by the map-side partial aggregate (at most groups x grid rows per task leave it)
-    exploded = contrib.select(*keys, F.posexplode("k").alias("g", "kv")).groupBy(*keys, "g").agg(F.sum("kv").alias("ks"))
-    return grid.join(exploded, [*keys, "g"]).select(
-        *keys, F.col("g").alias("point"), "x",
-        (F.col("ks") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+    m = m.where(F.col("sd") > 0).select(
+        *keys, "lo", "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
+        ((F.col("hi") - F.col("lo")) / F.lit(float(grid_points - 1))).alias("step"))
+    distinct = st.groupBy(*keys, "value").agg(F.count("*").cast("double").alias("w"))
+    j = distinct.join(F.broadcast(m), keys)  # one row per group: bounded by the group count
+    reach = F.lit(float(cutoff_bandwidths)) * F.col("h")
+    g_lo = F.greatest(F.lit(0), F.ceil((F.col("value") - reach - F.col("lo")) / F.col("step")).cast("int"))
+    g_hi = F.least(F.lit(grid_points - 1), F.floor((F.col("value") + reach - F.col("lo")) / F.col("step")).cast("int"))
+    near = j.select(*keys, "value", "w", "lo", "step", "h", g_lo.alias("g0"), g_hi.alias("g1")).where(F.col("g0") <= F.col("g1"))
+    near = near.select(*keys, "value", "w", "lo", "step", "h", F.explode(F.sequence("g0", "g1")).alias("g"))
+    x = F.col("lo") + F.col("g") * F.col("step")
+    contrib = F.col("w") * F.exp(-F.pow(x - F.col("value"), 2) / (2 * F.col("h") * F.col("h")))
+    sums = near.groupBy(*keys, "g").agg(F.sum(contrib).alias("ks"))
+    grid = m.select(*keys, "lo", "step", "h", "n", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("g"))
+    out = grid.join(sums, [*keys, "g"], "left")
+    return out.select(
+        *keys, F.col("g").alias("point"), (F.col("lo") + F.col("g") * F.col("step")).alias("x"),
+        (F.coalesce(F.col("ks"), F.lit(0.0)) / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
 # --------------------------------------------------------------------------- G12, G13
@@ -245,9 +276,16 @@ def cardinality_overview(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- G14, G15
-def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson r for every ordered column pair over pairwise-complete rows (one aggregate)."""
-    pairs = list(itertools.combinations(cols, 2))
+def pearson_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Pearson r for every ordered column pair over pairwise-complete rows (one aggregate per
+    50 pairs)."""
+    if pairs is None:
+        all_pairs = list(itertools.combinations(cols, 2))
+        diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "col_a string, col_b string, r double")
+        if not all_pairs:
+            return diag
+        return chunked(all_pairs, lambda ps: pearson_matrix(df, cols, ps)).unionByName(diag)
+    pairs = list(pairs)
     aggs = []
     for i, (a, b) in enumerate(pairs):
         x, y = _nn(a), _nn(b)
@@ -260,8 +298,6 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         r = F.try_divide(F.col(f"c{i}"), F.col(f"sa{i}") * F.col(f"sb{i}"))
         structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
         structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), r.alias("r")))
-    for c in cols:
-        structs.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.lit(1.0).alias("r")))
     return _rows_from_one(one, structs)
 
 
@@ -409,8 +445,7 @@ def class_rate_by_category(df: DataFrame, feature: str, y: str, target_class, to
     g = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("string").alias("category")).agg(
         F.avg(is_c).alias("rate"), F.count("*").alias("count"))
     if top_n is not None:
-        g = g.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("count"), "category"))).where(
-            F.col("__r") <= top_n).drop("__r")
+        g = g.orderBy(F.desc("count"), "category").limit(top_n)  # distributed top-k
     overall = df.agg(F.avg(is_c).alias("overall_rate"))
     rate = overall.first()["overall_rate"]  # one number
     return g.withColumn("overall_rate", F.lit(rate))

@@ -2,7 +2,7 @@
 
 ``F.percentile`` keeps every distinct value of a group in one aggregation buffer, so a
 hot group (a third of a 100 TB table) cannot be finished by one task.  For groups
-above ``direct_max_rows`` rows this module finds the exact order statistics by
+above ``direct_max_rows`` rows (default 500k) this module finds the exact order statistics by
 distributed bucket refinement instead:
 
 1. one aggregate gives ``count/min/max`` per group; every requested probability becomes
@@ -43,7 +43,7 @@ def group_quantiles(
     group_cols: Sequence[str] = (),
     exact: bool = True,
     accuracy: int = 10_000,
-    direct_max_rows: int = 1_000_000,
+    direct_max_rows: int = 500_000,
     buckets: int = 1024,
     finish_rows: int = 100_000,
     max_passes: int = 24,

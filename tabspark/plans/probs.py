@@ -15,6 +15,7 @@ from tabspark.operators.cross import CatCatInteract
 from tabspark.operators.cv import folds_sql, stratified_folds
 from tabspark.operators.encode import MEstimateEncoder
 from tabspark.plans.fixtures import TRAIN_LIKE_SQL, train_like
+from tabspark.session import cut_lineage
 
 # Fixed values of the probability fixture.
 CLASSES = ["F", "O", "P"]  # class code = position
@@ -47,7 +48,8 @@ def prob_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     code = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("y")) - 1
     labels = folded.select("row_id", code.cast("int").alias("y"), "fold", F.lit("train").alias("split")).unionByName(
         test.select("row_id", code.cast("int").alias("y"), F.lit(None).cast("int").alias("fold"), F.lit("test").alias("split")))
-    return oof, tst, labels
+    # the probability sets are run artifacts: materialise them once, like saved prediction files
+    return cut_lineage(oof), cut_lineage(tst), cut_lineage(labels)
 
 
 def prob_runs_sql() -> str:
