@@ -120,6 +120,7 @@ def fit_oof(
     fold_col: str = "fold",
     run: str = "run",
     early_stopping: bool = True,
+    categorical: dict[str, int] | None = None,
 ) -> CVResult:
     """M2/M3: K-fold out-of-fold training with any learner slot.
 
@@ -128,11 +129,18 @@ def fit_oof(
     the test prediction is the mean of the K fold models.  ``weights`` is the
     ``(fold, y, weight)`` table of E12.  For the one-vs-rest GBT slot the held-out fold
     is passed as the validation set (early stopping), as the original did.
+    ``categorical`` maps integer-coded feature columns to their number of codes; those
+    slots are marked as nominal in the vector metadata, so tree learners split them as
+    categories (native categorical handling) instead of as ordered numbers.
     """
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     tr = asm.transform(train).select("row_id", F.col(label).cast("double").alias("label"), F.col(fold_col).alias("fold"), "features")
+    te_src = asm.transform(test)
+    if categorical:
+        tr = _mark_nominal(tr, features, categorical)
+        te_src = _mark_nominal(te_src, features, categorical)
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
-    te = asm.transform(test).select("row_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    te = te_src.select("row_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
     folds = sorted(r["fold"] for r in tr.select("fold").distinct().collect())
     if n_classes is None:
         n_classes = int(tr.agg(F.max("label")).first()[0]) + 1
@@ -209,6 +217,21 @@ def permutation_importance(result: CVResult, frame: DataFrame, features: list[st
         rows, "run string, fold int, feature string, base_logloss double, importance double")
 
 
+def _mark_nominal(df: DataFrame, features: list[str], categorical: dict[str, int]) -> DataFrame:
+    """Attach ML attribute metadata declaring the given slots nominal with ``n`` values."""
+    attrs = []
+    for i, f in enumerate(features):
+        if f in categorical:
+            attrs.append({"idx": i, "name": f, "type": "nominal", "num_vals": int(categorical[f])})
+        else:
+            attrs.append({"idx": i, "name": f, "type": "numeric"})
+    nominal = [{"idx": a["idx"], "name": a["name"], "vals": [str(v) for v in range(a["num_vals"])]}
+               for a in attrs if a["type"] == "nominal"]
+    numeric = [{"idx": a["idx"], "name": a["name"]} for a in attrs if a["type"] == "numeric"]
+    meta = {"ml_attr": {"attrs": {"numeric": numeric, "nominal": nominal}, "num_attrs": len(features)}}
+    return df.withColumn("features", F.col("features").alias("features", metadata=meta))
+
+
 def importance_table(spark, result: CVResult) -> DataFrame:
     """M8: ``(run, fold, feature, importance)``."""
     return spark.createDataFrame([(result.run, f, n, v) for f, n, v in result.importances],

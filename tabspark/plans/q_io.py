@@ -94,7 +94,13 @@ _content_hash.__doc__ = "S16: order-insensitive content fingerprint of every dri
 
 
 # --------------------------------------------------------------------------- S7-S14 / B6 / B23
-def _ledger_sql():
+LEDGER_RANK_SELECT = f"""SELECT CAST(row_number() OVER (ORDER BY mean_cv_metric DESC, exp_name) AS INTEGER) AS rank, exp_name,
+       {R('mean_cv_metric')} AS mean_cv_metric, {R('mean_logloss')} AS mean_logloss FROM allr"""
+LEDGER_TWO_RANKS_SELECT = """SELECT exp_name, CAST(rank() OVER (ORDER BY mean_cv_metric DESC) AS INTEGER) AS rank_metric,
+       CAST(rank() OVER (ORDER BY mean_logloss ASC) AS INTEGER) AS rank_logloss FROM allr"""
+
+
+def _ledger_sql(final: str = LEDGER_RANK_SELECT):
     P = prob_runs_sql()
     EPSL = "2.220446049250313e-16"
     return f"""
@@ -110,16 +116,10 @@ eqp AS (SELECT row_id, arg_min(class, (-p, class)) AS pred FROM eq GROUP BY row_
 eqb AS (SELECT AVG(r) AS b FROM (SELECT l.y, AVG(CASE WHEN pred = l.y THEN 1.0 ELSE 0.0 END) AS r FROM eqp JOIN lab l USING (row_id) WHERE l.split = 'train' GROUP BY l.y)),
 eql AS (SELECT AVG(-ln(LEAST(GREATEST(e.p, {EPSL}), 1 - {EPSL}))) AS ll FROM eq e JOIN lab l ON l.row_id = e.row_id AND l.y = e.class AND l.split = 'train'),
 allr AS (SELECT * FROM singles UNION ALL SELECT 'ensemble_equal', b, ll FROM eqb, eql)
-SELECT CAST(row_number() OVER (ORDER BY mean_cv_metric DESC, exp_name) AS INTEGER) AS rank, exp_name,
-       {R('mean_cv_metric')} AS mean_cv_metric, {R('mean_logloss')} AS mean_logloss FROM allr"""
+{final}"""
 
 
-@register("io_ensemble_ledger", _ledger_sql())
-def io_ensemble_ledger(spark, sf_dir):
-    """The three runs are saved as artifacts (probabilities partitioned by run and
-    split, meta and config JSON) and logged to the append-only ledger with their fold-mean
-    metrics; an equal-blend ensemble is built from the stored artifacts (discover, select,
-    load with consistency checks, labels), saved and logged; the ledger is ranked by metric."""
+def _build_ledger(spark, sf_dir):
     root = _root(spark, "runs")
     oof, tst, labels = prob_runs(spark, sf_dir)
     lab = labels.where(F.col("split") == "train")
@@ -144,10 +144,35 @@ def io_ensemble_ledger(spark, sf_dir):
                 {"train": "train_like", "cv_auc": sc["bal_acc"], "cv_logloss": sc["logloss"]}, {"strategy": "equal", "models": names})
     RS.log_run(root, {"exp_name": "ensemble_equal", "mean_cv_metric": sc["bal_acc"], "std_cv_metric": 0.0,
                       "mean_logloss": sc["logloss"], "ensemble_models": names, "ensemble_strategy": "equal"}, spark)
-    board = RS.leaderboard(RS.read_ledger(spark, root))
+    return root, RS.read_ledger(spark, root)
+
+
+@register("io_ensemble_ledger", _ledger_sql())
+def io_ensemble_ledger(spark, sf_dir):
+    """The three runs are saved as artifacts (probabilities partitioned by run and
+    split, meta and config JSON) and logged to the append-only ledger with their fold-mean
+    metrics; an equal-blend ensemble is built from the stored artifacts (discover, select,
+    load with consistency checks, labels), saved and logged; the ledger is ranked by metric."""
+    _, ledger = _build_ledger(spark, sf_dir)
+    board = RS.leaderboard(ledger)
     return rounded(board.select(F.col("rank").cast("int"), "exp_name", "mean_cv_metric", "mean_logloss"))
 
 
+@register("io_ledger_ranks", _ledger_sql(LEDGER_TWO_RANKS_SELECT))
+def io_ledger_ranks(spark, sf_dir):
+    """The ledger ranked two ways, by metric (desc) and by log-loss (asc)."""
+    _, ledger = _build_ledger(spark, sf_dir)
+    t = RS.two_metric_table(ledger)
+    return t.select("exp_name", F.col("rank_metric").cast("int"), F.col("rank_logloss").cast("int"))
+
+
+@register("io_ledger_params")
+def io_ledger_params(spark, sf_dir):
+    """The JSON parameters stored in the ledger rows as (exp_name, param, value) rows."""
+    _, ledger = _build_ledger(spark, sf_dir)
+    return RS.params_as_rows(ledger.where(F.col("params").isNotNull()))
+
+
 @register("io_submission", f"""
 WITH {prob_runs_sql()},
 eq AS (SELECT row_id, class, p / SUM(p) OVER (PARTITION BY row_id) AS p FROM (SELECT row_id, class, AVG(p) AS p FROM tst GROUP BY row_id, class))

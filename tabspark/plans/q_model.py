@@ -74,9 +74,26 @@ def cv_oof_gbt_ovr(spark, sf_dir):
 
 @register("cv_oof_decision_tree")
 def cv_oof_decision_tree(spark, sf_dir):
-    """M6 slot: a third learner (single decision tree) through the same OOF loop."""
+    """M6 slot: a third learner (decision tree) through the same OOF loop, with the ordinal-coded
+    categoricals declared nominal so they are split as categories (native categorical handling)."""
     folded, test, feats = model_frames(spark, sf_dir)
-    res = fit_oof(folded, test, feats, "label", "decision_tree", {"maxDepth": 5, "seed": 1337}, n_classes=len(CLASSES), run="dt")
+    top = folded.agg(*[F.max(c).alias(c) for c in TRAIN_LIKE_CATS]).first()  # one row: code ranges
+    cards = {c: int(top[c]) + 1 for c in TRAIN_LIKE_CATS}
+    res = fit_oof(folded, test, feats, "label", "decision_tree", {"maxDepth": 5, "seed": 1337}, n_classes=len(CLASSES),
+                  run="dt", categorical=cards)
+    return rounded(_both(res))
+
+
+@register("stack_gbt")
+def stack_gbt(spark, sf_dir):
+    """Boosted stacker (one-vs-rest GBT) over the three runs' OOF probabilities, nested 5-fold CV."""
+    oof, tst, labels = prob_runs(spark, sf_dir)
+    runs = list(RUNS)
+    mtr, names = meta_features(oof, runs, len(CLASSES))
+    mte, _ = meta_features(tst, runs, len(CLASSES))
+    mtr = mtr.join(labels.where(F.col("split") == "train").select("row_id", F.col("y").alias("label")), "row_id")
+    res = fit_meta_learner(mtr, mte, names, "gbt_ovr", 5, 42, balanced=False, run="stack_gbt",
+                           params={"maxIter": 5, "maxDepth": 3, "seed": 42})
     return rounded(_both(res))
 
 
