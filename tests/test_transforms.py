@@ -35,8 +35,8 @@ def test_angle_unit_norm_and_collision(spark):
     df = spark.createDataFrame([(1, 10.0, 20.0), (2, 359.9, -17.9)], "row_id long, alpha double, delta double")
     for r in AngleToUnitVector("alpha", "delta", "u_").transform(df).collect():
         assert abs(r.u_x ** 2 + r.u_y ** 2 + r.u_z ** 2 - 1) < 1e-6
-    with pytest.raises(ValueError):
-        AngleToUnitVector("alpha", "delta").transform(df.withColumnRenamed("delta", "z").withColumnRenamed("z", "z").selectExpr("*", "0.0 as y").withColumnRenamed("z", "delta"))
+    with pytest.raises(ValueError):  # an input band called z must not be overwritten
+        AngleToUnitVector("alpha", "delta").transform(df.withColumn("z", df.delta * 0))
 
 
 def test_clip_iqr_matches_numpy(spark):
