@@ -53,7 +53,7 @@ def blend_rank(long: DataFrame) -> DataFrame:
 
     Ranks come from the range-partitioned ``average_rank`` (no single-partition window).
     """
-    n = long.groupBy("run").agg(F.countDistinct("row_id").alias("__n"))
+    n = long.where(F.col("class") == 0).groupBy("run").agg(F.count("*").alias("__n"))  # one class-0 entry per row
     r = average_rank(long, ["run", "class"], "p", out="__rank").join(F.broadcast(n), "run")  # runs: a handful
     r = r.select("run", "row_id", "class", (F.col("__rank") / F.col("__n")).alias("p"))
     return blend_equal(r)

@@ -436,8 +436,10 @@ def decode_argmax(preds: DataFrame, dictionary: DataFrame, probs: str = "probs",
 
 def embedding_sizes(df: DataFrame, cats: Sequence[str]) -> DataFrame:
     """``(column, n_unique, emb_dim = min(50, (n_unique + 1) div 2))``; NULL counts as a value."""
-    row = df.agg(*[(F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in cats]).first()
+    from tabspark.operators.cross import cardinalities  # one job over stacked (column, value) pairs
+
+    card = cardinalities(df, cats, count_null=True)
     spark = df.sparkSession
     return spark.createDataFrame(
-        [(c, int(row[c]), min(50, (int(row[c]) + 1) // 2)) for c in cats], "column string, n_unique long, emb_dim int"
+        [(c, int(card[c]), min(50, (int(card[c]) + 1) // 2)) for c in cats], "column string, n_unique long, emb_dim int"
     )

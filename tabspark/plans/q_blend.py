@@ -215,9 +215,9 @@ def diag_row_spread(spark, sf_dir):
 pr AS (SELECT run, row_id, arg_min(class, (-p, class)) AS pred FROM oof GROUP BY run, row_id),
 d AS (SELECT pr.row_id, MAX(CASE WHEN pr.pred <> r.pred THEN 1 ELSE 0 END) AS dis
       FROM pr JOIN (SELECT row_id, pred FROM pr WHERE run = '{RUN_NAMES[0]}') r USING (row_id) GROUP BY pr.row_id)
-SELECT 'all' AS scope, SUM(dis) AS n_disagree, COUNT(*) AS n_rows, {R('AVG(dis)')} AS rate FROM d
+SELECT 'all' AS scope, CAST(SUM(dis) AS BIGINT) AS n_disagree, COUNT(*) AS n_rows, {R('AVG(dis)')} AS rate FROM d
 UNION ALL
-SELECT 'class_' || CAST(l.y AS VARCHAR), SUM(dis), COUNT(*), {R('AVG(dis)')} FROM d JOIN lab l USING (row_id) WHERE l.split = 'train' GROUP BY l.y""")
+SELECT 'class_' || CAST(l.y AS VARCHAR), CAST(SUM(dis) AS BIGINT), COUNT(*), {R('AVG(dis)')} FROM d JOIN lab l USING (row_id) WHERE l.split = 'train' GROUP BY l.y""")
 def diag_disagreement(spark, sf_dir):
     """Rows whose argmax differs from the first run in any run, overall and per class."""
     oof, _, labels = prob_runs(spark, sf_dir)

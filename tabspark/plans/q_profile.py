@@ -122,7 +122,7 @@ def prof_numeric_as_categorical(spark, sf_dir):
 
 @register("prof_overview", f"""
 WITH {T}
-SELECT frame, rows, columns, n_float, n_int, n_string, classes, SUM(rows) OVER () AS combined_rows FROM (
+SELECT frame, rows, columns, n_float, n_int, n_string, classes, CAST(SUM(rows) OVER () AS BIGINT) AS combined_rows FROM (
   SELECT 'train' AS frame, COUNT(*) AS rows, 11 AS columns, 7 AS n_float, 1 AS n_int, 2 AS n_string,
          array_to_string(list_sort(list_distinct(list(y))), ',') AS classes FROM tr
   UNION ALL
@@ -387,7 +387,7 @@ WITH {EV}, st AS ({st}),
 q AS (SELECT col, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, AVG(v) AS mu, STDDEV_POP(v) AS sd FROM st GROUP BY col),
 f AS (SELECT st.*, COALESCE(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1), FALSE) AS iqr,
              COALESCE(CASE WHEN sd = 0 THEN NULL ELSE abs((v - mu) / sd) > 3.0 END, FALSE) AS z FROM st JOIN q USING (col)),
-cnt AS (SELECT col, SUM(CAST(iqr AS BIGINT)) AS iqr_outliers, SUM(CAST(z AS BIGINT)) AS z_outliers, SUM(CAST(iqr AND z AS BIGINT)) AS "both" FROM f GROUP BY col),
+cnt AS (SELECT col, CAST(SUM(CAST(iqr AS BIGINT)) AS BIGINT) AS iqr_outliers, CAST(SUM(CAST(z AS BIGINT)) AS BIGINT) AS z_outliers, CAST(SUM(CAST(iqr AND z AS BIGINT)) AS BIGINT) AS "both" FROM f GROUP BY col),
 grp AS (SELECT col, CASE WHEN iqr THEN 'outlier' ELSE 'non_outlier' END AS "group", event_type FROM f),
 comp AS (SELECT g.col, g."group", c.class, {R("SUM(CASE WHEN g.event_type = c.class THEN 1 ELSE 0 END) * 100.0 / COUNT(*)")} AS pct
          FROM grp g, (VALUES {", ".join(f"('{c}')" for c in EV_CLASSES)}) c(class) GROUP BY ALL)
@@ -405,7 +405,7 @@ def prof_outlier_summary(spark, sf_dir):
 WITH {EV}, st AS ({_union([f"SELECT event_type, '{c}' AS col, CAST({c} AS DOUBLE) AS v FROM ev WHERE event_type IS NOT NULL AND {c} IS NOT NULL" for c in EV_COLS])}),
 q AS (SELECT col, event_type, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM st GROUP BY ALL),
 f AS (SELECT st.col, (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS o FROM st JOIN q USING (col, event_type))
-SELECT col AS "column", SUM(CAST(o AS BIGINT)) AS n_outliers, {R('AVG(CAST(o AS DOUBLE))')} AS share FROM f GROUP BY col""")
+SELECT col AS "column", CAST(SUM(CAST(o AS BIGINT)) AS BIGINT) AS n_outliers, {R('AVG(CAST(o AS DOUBLE))')} AS share FROM f GROUP BY col""")
 def prof_within_class_outliers(spark, sf_dir):
     """IQR outliers computed within each event type: count and share per column."""
     return rounded(P.within_class_outliers(skewed(spark, sf_dir), EV_COLS, "event_type"))
