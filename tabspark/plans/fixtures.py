@@ -18,13 +18,14 @@ TRAIN_LIKE_NUMS = ["o_totalprice", "c_acctbal", "sum_qty", "avg_disc", "n_items"
 TEST_SPLIT_FROM = "2000-01-01"  # time-based holdout: orders on/after this date form the test frame
 
 
-def train_like(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, materialise: bool = True) -> DataFrame:
+def train_like(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, materialise: bool = False) -> DataFrame:
     """orders LEFT JOIN customer LEFT JOIN per-order lineitem aggregates, with a ``split`` column.
 
     ``y`` (o_orderstatus) is kept on test rows too so that held-out metrics can be computed;
     operators that fit never read test rows.  ``orders`` may be a streaming DataFrame of the
-    orders table (stream-static joins).  A batch result is written once as a checkpointed
-    table (the prepared dataset every fit then scans), instead of re-running the joins per fit.
+    orders table (stream-static joins).  With ``materialise`` a batch result is written once as
+    a checkpointed table (the prepared dataset several fits then scan) instead of re-running
+    the joins per fit; single-pass queries leave it lazy.
     """
     orders = (orders if orders is not None else read_table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("row_id"),

@@ -29,7 +29,7 @@ M = 5.0
 
 def prob_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(oof, test, labels)``: long ``(run, row_id, class, p)`` sets and ``(row_id, y, fold, split)``."""
-    df = train_like(spark, sf_dir)
+    df = train_like(spark, sf_dir, materialise=True)
     train = df.where(F.col("split") == "train")
     test = df.where(F.col("split") == "test")
     cross = CatCatInteract([("o_orderpriority", "c_mktsegment")], max_combined_cardinality=200).fit(train)
@@ -49,7 +49,7 @@ def prob_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     labels = folded.select("row_id", code.cast("int").alias("y"), "fold", F.lit("train").alias("split")).unionByName(
         test.select("row_id", code.cast("int").alias("y"), F.lit(None).cast("int").alias("fold"), F.lit("test").alias("split")))
     # the probability sets are run artifacts: materialise them once, like saved prediction files
-    return cut_lineage(oof), cut_lineage(tst), cut_lineage(labels)
+    return cut_lineage(oof), tst, labels
 
 
 def prob_runs_sql() -> str:

@@ -193,7 +193,7 @@ def io_submission(spark, sf_dir):
 def stream_feature_slice(spark, sf_dir):
     """The flagship feature slice with models fitted on the batch train split and applied to the
     orders table read as a file stream (stream-static joins, parquet sink, availableNow)."""
-    batch = train_like(spark, sf_dir)
+    batch = train_like(spark, sf_dir, materialise=True)
     train = batch.where(F.col("split") == "train")
     models = [
         TargetDictionary("y").fit(train),

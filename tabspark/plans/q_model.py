@@ -33,7 +33,7 @@ GBT_PARAMS = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1, "seed": 1337}
 
 def model_frames(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
     """train_like -> imputed (E4) + ordinal-coded (E5) features, integer label, stratified folds (M1)."""
-    df = train_like(spark, sf_dir)
+    df = train_like(spark, sf_dir, materialise=True)
     train, test = df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
     miss = MissingEncoder(TRAIN_LIKE_CATS, TRAIN_LIKE_NUMS).fit_pair(train, test)
     train, test = miss.transform(train), miss.transform(test)

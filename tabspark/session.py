@@ -47,7 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="tabspark-ckpt-")
+    if not sc.master.startswith("local"):
+        # on a cluster the folder must be shared by all executors: never a machine-local one
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/...)")
+    path = tempfile.mkdtemp(prefix="tabspark-ckpt-")  # local mode (tests): one machine
     sc.setCheckpointDir(path)
     return path
 
