@@ -141,20 +141,17 @@ def leaderboard(single: DataFrame, blends: DataFrame) -> DataFrame:
 
 def verdict(board: DataFrame, pair_corr: DataFrame) -> DataFrame:
     """Gain of the best blend over the best single (thresholds 0.002 / 0) and the mean
-    pair correlation (0.99 / 0.97) as a one-row summary."""
-    bs = board.where(F.col("note") == "single model").orderBy("logloss").limit(1).select(
-        F.col("strategy").alias("best_single"), F.col("logloss").alias("single_ll"), F.col("bal_acc").alias("single_bacc"))
-    be = board.where(F.col("note") != "single model").orderBy("logloss").limit(1).select(
-        F.col("strategy").alias("best_ensemble"), F.col("logloss").alias("ens_ll"), F.col("bal_acc").alias("ens_bacc"))
-    mc = pair_corr.agg(F.avg("pearson").alias("mean_pair_corr"))
-    one = bs.withColumn("__k", F.lit(1)).join(be.withColumn("__k", F.lit(1)), "__k").join(mc.withColumn("__k", F.lit(1)), "__k")
-    gain = F.col("single_ll") - F.col("ens_ll")
-    return one.select(
-        "best_single", "best_ensemble", gain.alias("logloss_gain"),
-        (F.col("ens_bacc") - F.col("single_bacc")).alias("bal_acc_gain"), "mean_pair_corr",
-        F.when(gain > 0.002, "worthwhile").when(gain > 0, "marginal").otherwise("no gain").alias("ensemble_verdict"),
-        F.when(F.col("mean_pair_corr") > 0.99, "near-identical").when(F.col("mean_pair_corr") > 0.97, "low diversity")
-        .otherwise("healthy").alias("diversity_verdict"))
+    pair correlation (0.99 / 0.97) as a one-row summary (built from three one-row results)."""
+    bs = board.where(F.col("note") == "single model").orderBy("logloss", "strategy").first()
+    be = board.where(F.col("note") != "single model").orderBy("logloss", "strategy").first()
+    mc = pair_corr.agg(F.avg("pearson")).first()[0]
+    gain = bs["logloss"] - be["logloss"]
+    ens = "worthwhile" if gain > 0.002 else "marginal" if gain > 0 else "no gain"
+    div = "near-identical" if mc > 0.99 else "low diversity" if mc > 0.97 else "healthy"
+    return board.sparkSession.createDataFrame(
+        [(bs["strategy"], be["strategy"], gain, be["bal_acc"] - bs["bal_acc"], mc, ens, div)],
+        "best_single string, best_ensemble string, logloss_gain double, bal_acc_gain double, mean_pair_corr double, "
+        "ensemble_verdict string, diversity_verdict string")
 
 
 # --------------------------------------------------------------------------- B19 / B20
@@ -248,6 +245,6 @@ def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score"
     pred = (F.col(score) >= threshold).cast("int")
     f = scored.agg(F.sum((pred * F.col(label)).cast("long")).alias("tp"), F.sum(pred.cast("long")).alias("pp"),
                    F.sum(F.col(label).cast("long")).alias("ap"))
-    f1 = f.select(F.try_divide(2.0 * F.col("tp"), F.col("pp") + F.col("ap")).alias("f1"))
-    return m.withColumn("__k", F.lit(1)).join(f1.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    f1 = f.select(F.try_divide(2.0 * F.col("tp"), F.col("pp") + F.col("ap")).alias("f1")).first()[0]  # one number
+    return m.withColumn("f1", F.lit(f1).cast("double"))
 

@@ -130,8 +130,8 @@ SELECT strategy, {R('logloss')} AS logloss, {R('bal_acc')} AS bal_acc, note,
 FROM board"""
 
 
-def _leaderboard(spark, sf_dir):
-    oof, _, labels = prob_runs(spark, sf_dir)
+def _leaderboard(spark, sf_dir, sets=None):
+    oof, _, labels = sets or prob_runs(spark, sf_dir)
     lab = _labels_train(labels)
     single = EV.scores(oof, lab, ("run",))
     res = BL.optimise_weights(oof, lab, max_iter=500, tol=1e-10)
@@ -299,9 +299,9 @@ def diag_prob_histogram(spark, sf_dir):
 def diag_verdict(spark, sf_dir):
     """One-row ensemble verdict (log-loss gain thresholds 0.002 / 0, mean pair correlation
     0.99 / 0.97) from the leaderboard and the diversity table."""
-    oof, _, _ = prob_runs(spark, sf_dir)
-    board = _leaderboard(spark, sf_dir)
-    return rounded(EV.verdict(board, EV.diversity(oof, RUN_NAMES)))
+    sets = prob_runs(spark, sf_dir)
+    board = _leaderboard(spark, sf_dir, sets)
+    return rounded(EV.verdict(board, EV.diversity(sets[0], RUN_NAMES)))
 
 
 @register("enc_decode_argmax", f"""{W}, {EQUAL_SQL.format(src='tst')}
