@@ -180,10 +180,13 @@ class OrdinalEncoderModel(Model):
 class OrdinalEncoder(Estimator):
     """E5: codes from the sorted train categories starting at 1; 0 = unknown or NULL.
 
+    Categories sort in their natural order (numbers numerically, strings by code point).
     One pass for all columns: stack ``(column, value)``, distinct, then a distributed
     dense index per column (no single-partition window).
     """
 
+    string_order = False
+
     def __init__(self, cols: Sequence[str] | None = None, target: str | None = None, on_missing="error"):
         self.cols, self.target, self.on_missing = cols, target, on_missing
 
@@ -194,13 +197,20 @@ class OrdinalEncoder(Estimator):
 
     def fit(self, df):
         cols = self._columns(df)
+        numeric = {f.name for f in df.schema.fields
+                   if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double")}
+        def key(c):
+            if c in numeric and not self.string_order:
+                return F.col(c).cast("double")
+            return F.lit(None).cast("double")
         stacked = df.select(
-            F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("label")) for c in cols])).alias("s")
-        ).select("s.column", "s.label").where(F.col("label").isNotNull()).distinct()
+            F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("label"), key(c).alias("num"))
+                                for c in cols])).alias("s")
+        ).select("s.column", "s.label", "s.num").where(F.col("label").isNotNull()).distinct()
         bad = stacked.where(F.col("label") == UNKNOWN).limit(1).collect()
         if bad:
             raise ValueError(f"cat_encode: reserved label {UNKNOWN!r} found in column {bad[0]['column']!r}")
-        d = dense_index(stacked, ["column"], ["label"], out="idx").select(
+        d = dense_index(stacked, ["column"], ["num", "label"], out="idx").select(
             "column", "label", (F.col("idx") + 1).alias("code")
         )
         d, n = _materialise(d)
@@ -208,7 +218,10 @@ class OrdinalEncoder(Estimator):
 
 
 class LabelEncoder(OrdinalEncoder):
-    """Sorted labels coded from 0, no unknown slot (unseen -> NULL)."""
+    """Labels of the stringified categories, sorted as strings, coded from 0; no unknown
+    slot (unseen -> NULL)."""
+
+    string_order = True
 
     def fit(self, df):
         m = super().fit(df)

@@ -83,3 +83,11 @@ def test_balanced_weights(spark):
     n = df.count()
     np_ = df.where("y = 'p'").count()
     assert abs(w[(-1, "p")] - n / (2 * np_)) < 1e-12
+
+
+def test_ordinal_numeric_categories_sort_numerically(spark):
+    from tabspark.operators.encode import LabelEncoder
+
+    df = spark.createDataFrame([(10,), (2,), (33,)], "c int")
+    assert [r.c for r in OrdinalEncoder(["c"]).fit(df).transform(df).collect()] == [2, 1, 3]
+    assert [r.c for r in LabelEncoder(["c"]).fit(df).transform(df).collect()] == [0, 1, 2]  # "10" < "2" < "33"
