@@ -15,7 +15,7 @@ from tabspark.operators.base import Estimator, Model, log, present_pairs
 from tabspark.operators.joins import join_fitted
 from tabspark.operators.quantile import group_quantiles
 from tabspark.operators.transform import with_columns
-from tabspark.session import cut_lineage
+from tabspark.session import materialise_small
 
 NUMERIC_TYPES = {"float", "double", "tinyint", "smallint", "int", "bigint"}
 STRING_TYPES = {"string"}
@@ -228,8 +228,7 @@ class NumCatInteract(Estimator):
                 glob["median"] = group_quantiles(base, "v", [0.5]).first()["value"]
             keep = F.col("__n") >= self.min_samples_leaf
             t = t.select("key", *[F.when(keep, F.col(s)).alias(s) for s in self.stats])
-            t = cut_lineage(t)
-            tables[(num, cat)] = (t, t.count())
+            tables[(num, cat)] = materialise_small(t)
             globals_[(num, cat)] = glob
         return NumCatModel(pairs, self.stats, tables, globals_)
 

@@ -18,7 +18,7 @@ from tabspark.operators.base import Estimator, Model, present
 from tabspark.operators.joins import join_fitted
 from tabspark.operators.ranking import dense_index
 from tabspark.operators.transform import with_columns
-from tabspark.session import cut_lineage
+from tabspark.session import materialise_small
 
 # Reserved label of the unknown / null slot (code 0) and the string a
 # null categorical becomes.
@@ -27,9 +27,8 @@ MISSING = "missing"
 
 
 def _materialise(df: DataFrame) -> tuple[DataFrame, int]:
-    """Checkpoint a fitted table and return it with its exact row count."""
-    df = cut_lineage(df)
-    return df, df.count()
+    """Cache a fitted table and return it with its exact row count."""
+    return materialise_small(df)
 
 
 def as_nullable_double(c: str) -> Column:

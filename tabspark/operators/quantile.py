@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabspark.operators.joins import join_fitted
-from tabspark.session import cut_lineage
+from tabspark.session import cut_lineage, materialise_small
 
 _TKEY = ["__q", "__which"]
 
@@ -72,7 +72,7 @@ def group_quantiles(
     stats = base.groupBy(*group_cols).agg(
         F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
     )
-    stats = cut_lineage(stats)
+    stats, _ = materialise_small(stats)
     max_n = stats.agg(F.max("__n")).first()[0]
     if max_n is None:
         return stats.select(*group_cols, F.lit(None).cast("double").alias("q"), F.lit(None).cast("double").alias("value")).limit(0)

@@ -233,3 +233,13 @@ def stack_run_single(spark, sf_dir):
                                    "attempt string, name string, status string, error string, seconds double")
     return rounded(status.select("attempt", "name", "status").join(
         RS.read_ledger(spark, root).select(F.col("exp_name").alias("name"), "mean_cv_metric", "mean_logloss"), "name", "left"))
+
+
+@register("cv_top_importance")
+def cv_top_importance(spark, sf_dir):
+    """The 20 most important features of one run (mean gain importance over its folds)."""
+    from tabspark.sources.runs import top_importance
+
+    folded, test, feats = model_frames(spark, sf_dir)
+    res = fit_oof(folded, test, feats, "label", "decision_tree", {"maxDepth": 5, "seed": 1337}, n_classes=len(CLASSES), run="dt")
+    return rounded(top_importance(importance_table(spark, res), "dt", 20))

@@ -68,5 +68,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialise_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """A fitted statistics table (one aggregate over the training data): cached with its exact
+    row count.  Its lineage is a single deterministic aggregate, so a lost block is simply
+    recomputed; long or non-deterministic lineages use ``cut_lineage`` instead."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, df.count()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
