@@ -51,9 +51,17 @@ def io_dataset_sidecar(spark, sf_dir):
     """Save the train split as a dataset with its JSON sidecar (one statistics pass,
     content hash, column classification), load the sidecar back, return its numeric statistics."""
     root = _root(spark, "dataset")
-    DS.save_dataset(_train(spark, sf_dir), f"{root}/train_base_v1", "train_base", ["y"], __file__, None, ["basic"], "base")
+    df = train_like(spark, sf_dir)
+    DS.save_dataset(df.where(F.col("split") == "train").drop("split"), f"{root}/train_base_v1", "train_base", ["y"],
+                    __file__, None, ["basic"], "base")
+    DS.save_dataset(df.where(F.col("split") == "test").drop("split", "y"), f"{root}/test_base_v1", "test_base", [],
+                    __file__, None, ["basic"], "base")
+    # The processed pair, feature lists taken from the sidecar
+    tr, te, cats, nums = DS.read_parquet_pair(spark, f"{root}/train_base_v1", f"{root}/test_base_v1", "y")
+    DS.check_parity(tr, te, "y")
     meta = DS.load_meta(spark, f"{root}/train_base_v1")
-    return rounded(spark.createDataFrame(DS.sidecar_stats(meta), "column string, mean double, std double, min double, max double, n_null long"))
+    stats = [r for r in DS.sidecar_stats(meta) if r[0] in nums]
+    return rounded(spark.createDataFrame(stats, "column string, mean double, std double, min double, max double, n_null long"))
 
 
 @register("io_lineage", f"""
