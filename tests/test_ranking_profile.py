@@ -59,3 +59,39 @@ def test_kde_matches_formula(spark):
     for r in out:
         d = np.exp(-((r.x - x) ** 2) / (2 * h * h)).sum() / (len(x) * h * math.sqrt(2 * math.pi))
         assert abs(r.density - d) < 1e-12
+
+
+def test_quantile_distance_and_ks_match_numpy(spark):
+    from tabspark.operators.evaluate import ks_statistic, quantile_distance
+
+    rng = np.random.default_rng(9)
+    a, b = np.round(rng.normal(0, 1, 300), 2), np.round(rng.normal(0.2, 1.1, 170), 2)
+    da = spark.createDataFrame([(float(v),) for v in a], "p double")
+    db = spark.createDataFrame([(float(v),) for v in b], "p double")
+    qd = quantile_distance(da, db).first()["quantile_distance"]
+    exp_qd = np.abs(np.sort(a) - np.interp(np.linspace(0, 1, len(a)), np.linspace(0, 1, len(b)), np.sort(b))).max()
+    assert abs(qd - exp_qd) < 1e-12
+    grid = np.union1d(a, b)
+    fa = np.searchsorted(np.sort(a), grid, side="right") / len(a)
+    fb = np.searchsorted(np.sort(b), grid, side="right") / len(b)
+    assert abs(ks_statistic(da, db).first()["ks"] - np.abs(fa - fb).max()) < 1e-12
+
+
+def test_binary_metrics_match_definitions(spark):
+    from tabspark.operators.evaluate import binary_metrics
+
+    y = np.array([1, 0, 1, 1, 0, 0, 1, 0, 1, 0])
+    s = np.array([0.9, 0.8, 0.8, 0.6, 0.55, 0.5, 0.4, 0.3, 0.3, 0.1])
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "label int, score double")
+    r = binary_metrics(df).first()
+    pos, neg = s[y == 1], s[y == 0]
+    auc = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
+    ap, tp = 0.0, 0
+    for thr in np.unique(s)[::-1]:
+        sel = s >= thr
+        tp_t, prec = (y[sel] == 1).sum(), (y[sel] == 1).mean()
+        ap += (tp_t - tp) / y.sum() * prec
+        tp = tp_t
+    pred = (s >= 0.5).astype(int)
+    f1 = 2 * (pred & y).sum() / (pred.sum() + y.sum())
+    assert abs(r.roc_auc - auc) < 1e-12 and abs(r.average_precision - ap) < 1e-12 and abs(r.f1 - f1) < 1e-12
