@@ -54,6 +54,7 @@ from pyspark.ml.feature import VectorAssembler  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from tabspark.operators.joins import join_fitted  # noqa: E402
+from tabspark.session import cut_lineage  # noqa: E402
 
 # Parameters each learner slot accepts (anything else is an error, never silently dropped).
 LEARNER_PARAMS = {
@@ -182,7 +183,13 @@ def fit_oof(
     for t in tests[1:]:
         tst = tst.unionByName(t)
     tst = tst.groupBy("row_id", "class").agg(F.avg("p").alias("p"))
-    return CVResult(run, oof.withColumn("run", F.lit(run)), tst.withColumn("run", F.lit(run)), imps, models, kind, n_classes)
+    # the OOF and test probability sets are the run's artifacts: write them once, then
+    # release the cached feature vectors
+    oof = cut_lineage(oof.withColumn("run", F.lit(run)))
+    tst = cut_lineage(tst.withColumn("run", F.lit(run)))
+    tr.unpersist()
+    te.unpersist()
+    return CVResult(run, oof, tst, imps, models, kind, n_classes)
 
 
 def permutation_importance(result: CVResult, frame: DataFrame, features: list[str], fold: int,

@@ -152,11 +152,14 @@ def _refine(base, stats, probs, group_cols, buckets, finish_rows, max_passes) ->
         F.max(F.when(F.col("__which") == 1, F.col("__v"))).alias("__v1"),
         F.max("__frac").alias("__frac"),
     )
-    return out.select(
+    out = out.select(
         *group_cols,
         F.col("__q").alias("q"),
         (F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__frac")).alias("value"),
     )
+    out, _ = materialise_small(out)  # groups x probabilities rows
+    base.unpersist()
+    return out
 
 
 def quantile_row(df: DataFrame, value: str, probs: Sequence[float], exact: bool = True, **kw) -> list[float]:
