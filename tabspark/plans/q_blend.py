@@ -112,7 +112,12 @@ FROM (SELECT s.*, (SELECT AVG(rec) FROM (SELECT y, AVG(CASE WHEN pred = y THEN 1
       FROM (SELECT x.p AS p_true FROM {src} x JOIN lab l ON l.row_id = x.row_id AND l.y = x.class AND l.split = 'train') s)"""
 
 
-def _board_sql():
+BOARD_SELECT = f"""SELECT strategy, {R('logloss')} AS logloss, {R('bal_acc')} AS bal_acc, note,
+       {R("CASE WHEN note <> 'single model' THEN logloss - (SELECT MIN(logloss) FROM board WHERE note = 'single model') END")} AS delta_vs_best_single
+FROM board"""
+
+
+def _board_sql(final: str = BOARD_SELECT):
     singles = []
     for r in RUN_NAMES:
         singles.append(f"SELECT *, 'single model' AS note FROM ({_scores_sql(f'(SELECT row_id, class, p FROM oof WHERE run = {chr(39)}{r}{chr(39)})', repr(r))})")
@@ -125,9 +130,7 @@ def _board_sql():
 ob AS (SELECT row_id, class, p / SUM(p) OVER (PARTITION BY row_id) AS p FROM
        (SELECT row_id, class, SUM(weight * p) AS p FROM oof JOIN wt USING (run) GROUP BY row_id, class)),
 board AS ({" UNION ALL ".join(singles + blends)})
-SELECT strategy, {R('logloss')} AS logloss, {R('bal_acc')} AS bal_acc, note,
-       {R("CASE WHEN note <> 'single model' THEN logloss - (SELECT MIN(logloss) FROM board WHERE note = 'single model') END")} AS delta_vs_best_single
-FROM board"""
+{final}"""
 
 
 def _leaderboard(spark, sf_dir, sets=None):
@@ -295,7 +298,21 @@ def diag_prob_histogram(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- B22 / E13
-@register("diag_verdict", None)
+def _verdict_sql():
+    final = f""", mp AS {_maxp_sql('oof')},
+pe AS ({_corr_sql(_wide('mp', 'maxp'), 'pearson')}),
+bs AS (SELECT * FROM board WHERE note = 'single model' ORDER BY logloss, strategy LIMIT 1),
+be AS (SELECT * FROM board WHERE note <> 'single model' ORDER BY logloss, strategy LIMIT 1),
+mc AS (SELECT AVG(pearson) AS m FROM pe)
+SELECT bs.strategy AS best_single, be.strategy AS best_ensemble, {R('bs.logloss - be.logloss')} AS logloss_gain,
+       {R('be.bal_acc - bs.bal_acc')} AS bal_acc_gain, {R('mc.m')} AS mean_pair_corr,
+       CASE WHEN bs.logloss - be.logloss > 0.002 THEN 'worthwhile' WHEN bs.logloss - be.logloss > 0 THEN 'marginal' ELSE 'no gain' END AS ensemble_verdict,
+       CASE WHEN mc.m > 0.99 THEN 'near-identical' WHEN mc.m > 0.97 THEN 'low diversity' ELSE 'healthy' END AS diversity_verdict
+FROM bs, be, mc"""
+    return _board_sql(final)
+
+
+@register("diag_verdict", _verdict_sql())
 def diag_verdict(spark, sf_dir):
     """One-row ensemble verdict (log-loss gain thresholds 0.002 / 0, mean pair correlation
     0.99 / 0.97) from the leaderboard and the diversity table."""
