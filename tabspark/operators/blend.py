@@ -16,7 +16,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabspark.operators.joins import join_fitted
 from tabspark.operators.ranking import average_rank
+from tabspark.session import materialise_small
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon (log-loss clipping)
 
@@ -53,8 +55,8 @@ def blend_rank(long: DataFrame) -> DataFrame:
 
     Ranks come from the range-partitioned ``average_rank`` (no single-partition window).
     """
-    n = long.where(F.col("class") == 0).groupBy("run").agg(F.count("*").alias("__n"))  # one class-0 entry per row
-    r = average_rank(long, ["run", "class"], "p", out="__rank").join(F.broadcast(n), "run")  # runs: a handful
+    n, n_runs = materialise_small(long.where(F.col("class") == 0).groupBy("run").agg(F.count("*").alias("__n")))
+    r = join_fitted(average_rank(long, ["run", "class"], "p", out="__rank"), n, "run", n_runs)
     r = r.select("run", "row_id", "class", (F.col("__rank") / F.col("__n")).alias("p"))
     return blend_equal(r)
 

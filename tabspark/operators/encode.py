@@ -443,7 +443,7 @@ def decode_argmax(preds: DataFrame, dictionary: DataFrame, probs: str = "probs",
     if not as_label:
         return out
     d = dictionary.select(F.col("code").alias("pred_code"), F.col("label").alias("pred_label"))
-    return out.join(F.broadcast(d), "pred_code", "left")  # class dictionary: a handful of rows
+    return join_fitted(out, d, "pred_code", dictionary.count(), "left")
 
 
 def embedding_sizes(df: DataFrame, cats: Sequence[str]) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.operators.blend import EPS
+from tabspark.operators.joins import join_fitted
+from tabspark.session import materialise_small
 from tabspark.operators.quantile import group_quantiles
 from tabspark.operators.ranking import average_rank, count_before
 
@@ -162,7 +164,8 @@ def calibration_curve(long: DataFrame, labels: DataFrame, positive_class: int =
     inner = [i / n_bins for i in range(1, n_bins)]
     edges = group_quantiles(p, "p", inner, ["run"]).groupBy("run").agg(
         F.array_sort(F.collect_list("value")).alias("edges"))  # n_bins - 1 values per run
-    j = p.join(F.broadcast(edges), "run").join(labels.select("row_id", "y"), "row_id")
+    edges, n_e = materialise_small(edges)
+    j = join_fitted(p, edges, "run", n_e).join(labels.select("row_id", "y"), "row_id")
     b = F.size(F.filter("edges", lambda e: e < F.col("p")))
     return j.groupBy("run", b.alias("bin")).agg(
         F.avg((F.col("y") == positive_class).cast("double")).alias("frac_pos"), F.avg("p").alias("mean_pred"),
@@ -182,9 +185,9 @@ def quantile_distance(a: DataFrame, b: DataFrame, value: str = "p", group_cols:
         *g, F.col(value).alias("va"), F.col("__before").alias("i"))
     pb = count_before(b.select(*g, value, F.monotonically_increasing_id().alias("__u")), g, [value, "__u"]).select(
         *g, F.col(value).alias("vb"), F.col("__before").alias("j"))
-    sizes = pa.groupBy(*g).agg(F.count("*").alias("na")).join(pb.groupBy(*g).agg(F.count("*").alias("nb")), g)
+    sizes, n_s = materialise_small(pa.groupBy(*g).agg(F.count("*").alias("na")).join(pb.groupBy(*g).agg(F.count("*").alias("nb")), g))
     h = F.when(F.col("na") > 1, F.col("i") / (F.col("na") - 1)).otherwise(F.lit(0.0)) * (F.col("nb") - 1)
-    pos = pa.join(F.broadcast(sizes), g).withColumn("h", h).withColumn("j0", F.floor("h").cast("long"))
+    pos = join_fitted(pa, sizes, g, n_s).withColumn("h", h).withColumn("j0", F.floor("h").cast("long"))
     pos = pos.withColumn("j1", F.least(F.col("j0") + 1, F.col("nb") - 1)).withColumn("frac", F.col("h") - F.col("j0"))
     lo = pb.select(*g, F.col("j").alias("j0"), F.col("vb").alias("b0"))
     hi = pb.select(*g, F.col("j").alias("j1"), F.col("vb").alias("b1"))
@@ -202,20 +205,20 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str = "p", group_cols: Seque
     va = a.groupBy(*g, value).agg(F.count("*").alias("ca"))
     vb = b.groupBy(*g, value).agg(F.count("*").alias("cb"))
     u = va.join(vb, [*g, value], "full").fillna(0, subset=["ca", "cb"])
-    sizes = a.groupBy(*g).agg(F.count("*").alias("na")).join(b.groupBy(*g).agg(F.count("*").alias("nb")), g)
+    sizes, n_s = materialise_small(a.groupBy(*g).agg(F.count("*").alias("na")).join(b.groupBy(*g).agg(F.count("*").alias("nb")), g))
     ca = count_before(u, g, [value], weight="ca").withColumnRenamed("__before", "ba")
     cb = count_before(ca, g, [value], weight="cb").withColumnRenamed("__before", "bb")
-    j = cb.join(F.broadcast(sizes), g)
+    j = join_fitted(cb, sizes, g, n_s)
     d = F.abs((F.col("ba") + F.col("ca")) / F.col("na") - (F.col("bb") + F.col("cb")) / F.col("nb"))
     return j.groupBy(*g).agg(F.max(d).alias("ks"))
 
 
 def per_class_hist(long: DataFrame, bins: int = 50) -> DataFrame:
     """Density histogram of each class probability per run (G9 on long probabilities)."""
-    rng = long.groupBy("run", "class").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n"))
+    rng, n_r = materialise_small(long.groupBy("run", "class").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n")))
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("p") - F.col("lo")) * F.lit(float(bins)) / (F.col("hi") - F.col("lo"))).cast("int"), F.lit(bins - 1)))
-    c = long.join(F.broadcast(rng), ["run", "class"]).groupBy("run", "class", idx.alias("bin")).agg(F.count("*").alias("count"))
+    c = join_fitted(long, rng, ["run", "class"], n_r).groupBy("run", "class", idx.alias("bin")).agg(F.count("*").alias("count"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     grid = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return grid.join(c, ["run", "class", "bin"], "left").select(

@@ -22,8 +22,10 @@ from tabspark.functions.exprs import (
     fold_order_key,
     left_closed_bin,
 )
+from tabspark.operators.joins import join_fitted
 from tabspark.operators.quantile import group_quantiles
 from tabspark.operators.transform import stack_columns
+from tabspark.session import materialise_small
 
 
 def _nn(c: str) -> Column:
@@ -205,7 +207,8 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40, group_col: str
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("value") - F.col("lo")) * F.lit(float(bins)) / (F.col("hi") - F.col("lo"))).cast("int"), F.lit(bins - 1)))
-    counts = st.join(F.broadcast(rng), keys).select(*keys, idx.alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("count"))
+    rng, n_rng = materialise_small(rng)  # one row per column and group
+    counts = join_fitted(st, rng, keys, n_rng).select(*keys, idx.alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("count"))
     grid = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     out = grid.join(counts, [*keys, "bin"], "left").select(
         *keys, "bin",
@@ -239,7 +242,8 @@ def kde(df: DataFrame, cols: Sequence[str], grid_points: int = 300, group_col: s
         *keys, "lo", "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
         ((F.col("hi") - F.col("lo")) / F.lit(float(grid_points - 1))).alias("step"))
     distinct = st.groupBy(*keys, "value").agg(F.count("*").cast("double").alias("w"))
-    j = distinct.join(F.broadcast(m), keys)  # one row per group: bounded by the group count
+    m, n_m = materialise_small(m)  # one row per column and group
+    j = join_fitted(distinct, m, keys, n_m)
     reach = F.lit(float(cutoff_bandwidths)) * F.col("h")
     g_lo = F.greatest(F.lit(0), F.ceil((F.col("value") - reach - F.col("lo")) / F.col("step")).cast("int"))
     g_hi = F.least(F.lit(grid_points - 1), F.floor((F.col("value") + reach - F.col("lo")) / F.col("step")).cast("int"))
@@ -510,9 +514,10 @@ def outlier_flags(df: DataFrame, cols: Sequence[str], k: float = 1.5, z: float =
     z-score flag (population std, NULL -> False, zero spread -> False).  Long form."""
     keep = ["row_id"] + ([within] if within else [])
     st = stack_columns(df, cols, keep)
-    fences = quartile_fences(df, cols, k, within)
-    mom = st.groupBy("column").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"))
-    j = st.join(F.broadcast(fences), ["column", *([within] if within else [])], "left").join(F.broadcast(mom), "column")
+    fences, n_f = materialise_small(quartile_fences(df, cols, k, within))
+    mom, n_m = materialise_small(st.groupBy("column").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd")))
+    j = join_fitted(st, fences, ["column", *([within] if within else [])], n_f, "left")
+    j = join_fitted(j, mom, ["column"], n_m)
     iqr = F.coalesce((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")), F.lit(False))
     zf = F.coalesce(F.abs(F.try_divide(F.col("value") - F.col("mu"), F.col("sd"))) > z, F.lit(False))
     return j.select(*keep, "column", "value", iqr.alias("iqr_outlier"), zf.alias("z_outlier"))

@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabspark.session import cut_lineage
+from tabspark.operators.joins import join_fitted
+from tabspark.session import cut_lineage, materialise_small
 
 
 def count_before(
@@ -38,14 +39,13 @@ def count_before(
     d = cut_lineage(d.withColumn("__pid", F.spark_partition_id()))
     totals = d.groupBy("__pid", *group_cols).agg(F.sum("__w").alias("__pw"))
     prefix = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = totals.select("__pid", *group_cols, (F.sum("__pw").over(prefix) - F.col("__pw")).alias("__off"))
+    offsets, n_off = materialise_small(
+        totals.select("__pid", *group_cols, (F.sum("__pw").over(prefix) - F.col("__pw")).alias("__off")))
     local = Window.partitionBy("__pid", *group_cols).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    # offsets has at most (partitions x groups) rows: a bounded broadcast
-    out = d.withColumn("__loc", F.sum("__w").over(local) - F.col("__w")).join(
-        F.broadcast(offsets), ["__pid", *group_cols]
-    )
+    # offsets has at most (partitions x groups) rows; broadcast under the checked bound
+    out = join_fitted(d.withColumn("__loc", F.sum("__w").over(local) - F.col("__w")), offsets, ["__pid", *group_cols], n_off)
     return out.withColumn("__before", F.col("__off") + F.col("__loc")).drop("__pid", "__off", "__loc", "__w")
 
 
