@@ -357,7 +357,9 @@ class CategoryEncoderModel(Model):
                        *[F.col(f"s{i}") for i in range(k)])
         left = df.withColumn(f"__k_{c}", F.col(c).cast("string"))
         jk = [f"__k_{c}" if x == c else x for x in keys]
-        j = join_fitted(left, st, jk, self.stats.size, "left")
+        # per-(category, fold) table has at most categories x folds rows
+        bound = self.stats.size * max(len(self.stats.folds), 1) if len(keys) > 1 else self.stats.size
+        j = join_fitted(left, st, jk, bound, "left")
         new = {}
         for i in range(k):
             prior = prior_of(i)
