@@ -80,7 +80,7 @@ class BlendWeights:
     logloss: float
 
 
-def optimise_weights(oof: DataFrame, labels: DataFrame, max_iter: int = 500, tol: float = 1e-10,
+def optimise_weights(oof: DataFrame, labels: DataFrame, max_iter: int = 500, tol: float = 1e-7,
                      local_max_rows: int = 1_000_000) -> BlendWeights:
     """Convex mixture weights minimising OOF log-loss, by EM.
 
@@ -88,9 +88,10 @@ def optimise_weights(oof: DataFrame, labels: DataFrame, max_iter: int = 500, tol
     EM step ``w_m <- mean_i(w_m p_m,y_i / sum_j w_j p_j,y_i)`` never increases it and
     reaches the same optimum as the original simplex search.  Rows must already sum to 1
     (apply ``renorm``).  Each iteration is one aggregate over the cached true-class
-    probabilities ``(row_id, t array)``; the weights are literals, so lineage stays flat.
-    Stops when no weight moves more than ``tol`` or after ``max_iter`` iterations.
-    Identical true-class vectors are merged first; when the merged table has at most
+    probabilities, giving both the update and the log-loss of the current weights; the
+    weights are literals, so lineage stays flat.  Stops when the log-loss changes by less
+    than ``tol`` between iterations, or after ``max_iter`` iterations.  Identical
+    true-class vectors are merged first; when the merged table has at most
     ``local_max_rows`` rows the same iterations run on it in one process.
     """
     runs = sorted(r["run"] for r in oof.select("run").distinct().collect())
@@ -108,37 +109,44 @@ def optimise_weights(oof: DataFrame, labels: DataFrame, max_iter: int = 500, tol
         cm = np.array([r["c"] for r in rows], dtype=float)
         t.unpersist()
         return _em_local(runs, tm, cm, max_iter, tol)
-    w = [1.0 / m] * m
+
+    def mix_of(w):
+        return sum((F.lit(w[k]) * F.col("t")[k] for k in range(m)), F.lit(0.0))
+
+    def loss_of(mix):
+        return -F.col("c") * F.log(F.least(F.greatest(mix, F.lit(EPS)), F.lit(1 - EPS)))
+
+    w, prev = [1.0 / m] * m, None
     it, converged = 0, False
     for it in range(1, max_iter + 1):
-        mix = sum((F.lit(w[k]) * F.col("t")[k] for k in range(m)), F.lit(0.0))
-        row = t.agg(*[F.sum(F.col("c") * F.lit(w[k]) * F.col("t")[k] / mix).alias(f"w{k}") for k in range(m)]).first()
+        mix = mix_of(w)
+        row = t.agg(*[F.sum(F.col("c") * F.lit(w[k]) * F.col("t")[k] / mix).alias(f"w{k}") for k in range(m)],
+                    F.sum(loss_of(mix)).alias("ll"), F.sum("c").alias("n")).first()
+        cur = row["ll"] / row["n"]
         new = [row[f"w{k}"] for k in range(m)]
         s = sum(new)
-        new = [x / s for x in new]
-        delta = max(abs(a - b) for a, b in zip(new, w))
-        w = new
+        w = [x / s for x in new]
+        delta = abs(cur - prev) if prev is not None else float("inf")
+        prev = cur
         if delta < tol:
             converged = True
             break
-    mix = sum((F.lit(w[k]) * F.col("t")[k] for k in range(m)), F.lit(0.0))
-    ll_row = t.agg(F.sum(-F.col("c") * F.log(F.least(F.greatest(mix, F.lit(EPS)), F.lit(1 - EPS)))).alias("s"),
-                   F.sum("c").alias("n")).first()
-    ll = ll_row["s"] / ll_row["n"]
+    ll_row = t.agg(F.sum(loss_of(mix_of(w))).alias("s"), F.sum("c").alias("n")).first()
     t.unpersist()
-    return BlendWeights(runs, w, it, converged, ll)
+    return BlendWeights(runs, w, it, converged, ll_row["s"] / ll_row["n"])
 
 
 def _em_local(runs, tm, cm, max_iter, tol) -> BlendWeights:
     m = len(runs)
-    w = np.full(m, 1.0 / m)
+    w, prev = np.full(m, 1.0 / m), None
     it, converged = 0, False
     for it in range(1, max_iter + 1):
         mix = tm @ w
+        cur = float((cm * -np.log(np.clip(mix, EPS, 1 - EPS))).sum() / cm.sum())
         new = (cm[:, None] * tm * w[None, :] / mix[:, None]).sum(axis=0)
-        new = new / new.sum()
-        delta = float(np.max(np.abs(new - w)))
-        w = new
+        w = new / new.sum()
+        delta = abs(cur - prev) if prev is not None else float("inf")
+        prev = cur
         if delta < tol:
             converged = True
             break

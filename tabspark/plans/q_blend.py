@@ -67,16 +67,16 @@ tv AS (SELECT {", ".join(f"COALESCE(MAX(CASE WHEN run = '{r}' THEN p END), 0.0)
        FROM tt GROUP BY row_id),
 tc AS (SELECT {", ".join(f"t{i}" for i in range(len(RUN_NAMES)))}, CAST(COUNT(*) AS DOUBLE) AS c FROM tv GROUP BY ALL),
 em AS (
-  WITH RECURSIVE e(it, {", ".join(f"w{i}" for i in range(len(RUN_NAMES)))}, delta) AS (
-    SELECT 0, {", ".join(f"CAST(1.0 AS DOUBLE) / {len(RUN_NAMES)}" for _ in RUN_NAMES)}, CAST(1.0 AS DOUBLE)
+  WITH RECURSIVE e(it, {", ".join(f"w{i}" for i in range(len(RUN_NAMES)))}, llp, delta) AS (
+    SELECT 0, {", ".join(f"CAST(1.0 AS DOUBLE) / {len(RUN_NAMES)}" for _ in RUN_NAMES)}, CAST(NULL AS DOUBLE), CAST(1.0 AS DOUBLE)
     UNION ALL
-    SELECT it + 1, {", ".join(f"n{i} / s" for i in range(len(RUN_NAMES)))},
-           GREATEST({", ".join(f"abs(n{i} / s - w{i})" for i in range(len(RUN_NAMES)))})
-    FROM (SELECT e.it, {", ".join(f"e.w{i}" for i in range(len(RUN_NAMES)))},
+    SELECT it + 1, {", ".join(f"n{i} / s" for i in range(len(RUN_NAMES)))}, llc, COALESCE(abs(llc - llp), 1.0)
+    FROM (SELECT e.it, e.llp, {", ".join(f"e.w{i}" for i in range(len(RUN_NAMES)))},
                  {", ".join(f"SUM(c * e.w{i} * t{i} / ({' + '.join(f'e.w{j} * t{j}' for j in range(len(RUN_NAMES)))})) AS n{i}" for i in range(len(RUN_NAMES)))},
-                 {' + '.join(f"SUM(c * e.w{i} * t{i} / ({' + '.join(f'e.w{j} * t{j}' for j in range(len(RUN_NAMES)))}))" for i in range(len(RUN_NAMES)))} AS s
-          FROM e, tc WHERE e.delta >= 1e-10 AND e.it < 500
-          GROUP BY e.it, {", ".join(f"e.w{i}" for i in range(len(RUN_NAMES)))})
+                 {' + '.join(f"SUM(c * e.w{i} * t{i} / ({' + '.join(f'e.w{j} * t{j}' for j in range(len(RUN_NAMES)))}))" for i in range(len(RUN_NAMES)))} AS s,
+                 SUM(c * -ln(LEAST(GREATEST({' + '.join(f'e.w{j} * t{j}' for j in range(len(RUN_NAMES)))}, {EPS}), 1 - {EPS}))) / SUM(c) AS llc
+          FROM e, tc WHERE e.delta >= 1e-7 AND e.it < 500
+          GROUP BY e.it, e.llp, {", ".join(f"e.w{i}" for i in range(len(RUN_NAMES)))})
   )
   SELECT * FROM e ORDER BY it DESC LIMIT 1),
 wt AS ({" UNION ALL ".join(f"SELECT '{r}' AS run, w{i} AS weight FROM em" for i, r in enumerate(sorted(RUN_NAMES)))})"""
@@ -85,9 +85,9 @@ wt AS ({" UNION ALL ".join(f"SELECT '{r}' AS run, w{i} AS weight FROM em" for i,
 @register("blend_weights", f"""{W}, {EM_SQL}
 SELECT run, {R('weight')} AS weight FROM wt""")
 def blend_weights(spark, sf_dir):
-    """Mixture weights minimising OOF log-loss (EM to |dw| < 1e-10 or 500 iterations)."""
+    """Mixture weights minimising OOF log-loss (EM until the log-loss moves < 1e-7, at most 500 iterations)."""
     oof, _, labels = prob_runs(spark, sf_dir)
-    res = BL.optimise_weights(oof, _labels_train(labels), max_iter=500, tol=1e-10)
+    res = BL.optimise_weights(oof, _labels_train(labels), max_iter=500, tol=1e-7)
     return rounded(spark.createDataFrame(list(zip(res.runs, res.weights)), "run string, weight double"))
 
 
@@ -97,7 +97,7 @@ SELECT row_id, class, {R('p / SUM(p) OVER (PARTITION BY row_id)')} AS p FROM bw"
 def blend_optimised_test(spark, sf_dir):
     """B3 + B4 + B5: fit weights on OOF, apply the optimised blend to the test probabilities."""
     oof, tst, labels = prob_runs(spark, sf_dir)
-    res = BL.optimise_weights(oof, _labels_train(labels), max_iter=500, tol=1e-10)
+    res = BL.optimise_weights(oof, _labels_train(labels), max_iter=500, tol=1e-7)
     return rounded(BL.blend(tst, "optimised", dict(zip(res.runs, res.weights))))
 
 
@@ -137,7 +137,7 @@ def _leaderboard(spark, sf_dir, sets=None):
     oof, _, labels = sets or prob_runs(spark, sf_dir)
     lab = _labels_train(labels)
     single = EV.scores(oof, lab, ("run",))
-    res = BL.optimise_weights(oof, lab, max_iter=500, tol=1e-10)
+    res = BL.optimise_weights(oof, lab, max_iter=500, tol=1e-7)
     blends = None
     for name, b in (("equal", BL.blend_equal(oof)), ("rank", BL.blend_rank(oof)),
                     ("optimised", BL.blend_weighted(oof, dict(zip(res.runs, res.weights))))):

@@ -32,7 +32,10 @@ def test_optimised_not_worse_than_singles_and_paths_agree(spark):
     assert np.allclose(local.weights, dist.weights, atol=1e-7)
     singles = {r.run: r.logloss for r in EV.log_loss(long, lab).collect()}
     eq = EV.log_loss(BL.blend_equal(long).withColumn("run", __import__("pyspark.sql.functions", fromlist=["x"]).lit("eq")), lab).first().logloss
-    assert local.logloss <= min(singles.values()) + 1e-9 and local.logloss <= eq + 1e-9
+    # EM stops when the log-loss moves < tol per step; near a vertex optimum the remaining gap
+    # is a few times tol, so compare with a margin well above tol and far below any real gap
+    margin = 1e-6
+    assert local.logloss <= min(singles.values()) + margin and local.logloss <= eq + margin
 
 
 def test_plans_have_no_python_udf_or_cartesian(spark):
