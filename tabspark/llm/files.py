@@ -29,11 +29,11 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{base}/{kind}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, kind: str) -> DataFrame:
+def saved(df: DataFrame, kind: str, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends at the files."""
     spark = df.sparkSession
     path = shared_folder(spark, kind)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

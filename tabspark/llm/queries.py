@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabspark.llm import packing, tokenfile
+from tabspark.llm import chat, exact_dedup, packing, tokenfile, warc
 from tabspark.session import read_table
 
 QUERIES: dict = {}
@@ -35,3 +35,45 @@ def op1_token_files(spark, sf_dir):
 def op5_best_fit_packing(spark, sf_dir):
     """Every document packed into sequences of 2048 tokens."""
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@register("op2_exact_dedup", r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
+                  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS sha FROM documents),
+g AS (SELECT sha, count(*) AS group_size, arg_min(doc_id, (-chars, doc_id)) AS keep_id FROM d GROUP BY sha)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha AS text_sha256 FROM d JOIN g USING (sha)""")
+def op2_exact_dedup(spark, sf_dir):
+    """Each document's group of equal texts and whether it stays."""
+    return exact_dedup.verdicts(read_table(spark, sf_dir, "documents"))
+
+
+@register("op3_warc_archives")
+def op3_warc_archives(spark, sf_dir):
+    """Every page written to dictionary-compressed archives; the rows are what reading the archives gives."""
+    archives = warc.write(read_table(spark, sf_dir, "pages"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+CHAT_ESCAPED = "replace(coalesce({0}, ''), '%', '%25')"
+for _mark in chat.CONTROL:
+    CHAT_ESCAPED = f"replace({CHAT_ESCAPED}, '{_mark}', '{chat.CODES[_mark[0]]}{_mark[1:]}')"
+
+
+@register("op4_chat_format", f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+             sum(length('<|im_start|>' || replace({CHAT_ESCAPED.format("role")}, chr(10), '%0A') || chr(10)
+                 || {CHAT_ESCAPED.format("text")} || '<|im_end|>' || chr(10))) OVER w AS upto
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' OR k = n THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""")
+def op4_chat_format(spark, sf_dir):
+    """Every conversation, and one that says control strings, formatted, written and read back."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = rows.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.write(rows.unionByName(extra)))
