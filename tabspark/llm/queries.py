@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabspark.llm import chat, exact_dedup, packing, tokenfile, warc
+from tabspark.llm import chat, exact_dedup, near_dedup, packing, tokenfile, warc
 from tabspark.session import read_table
 
 QUERIES: dict = {}
@@ -77,3 +77,23 @@ def op4_chat_format(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     extra = rows.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.write(rows.unionByName(extra)))
+
+
+@register("op8_minhash_near_dedup", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+few AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
+f AS (SELECT doc_id, n, g FROM e JOIN few USING (g)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.id WHERE r.c < p.b),
+c AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN c ON c.id = doc_id""")
+def op8_minhash_near_dedup(spark, sf_dir):
+    """Components of documents whose sets of 4-word shingles have a similarity of 0.8 or more."""
+    docs = read_table(spark, sf_dir, "documents")
+    return near_dedup.cluster(docs, width=4).select("doc_id", "n_shingles", "component_id", "kept")
