@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabspark.llm import chat, exact_dedup, near_dedup, packing, tokenfile, warc
+from tabspark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, tokenfile, warc
 from tabspark.session import read_table
 
 QUERIES: dict = {}
@@ -97,3 +97,23 @@ def op8_minhash_near_dedup(spark, sf_dir):
     """Components of documents whose sets of 4-word shingles have a similarity of 0.8 or more."""
     docs = read_table(spark, sf_dir, "documents")
     return near_dedup.cluster(docs, width=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op10_decontaminate", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, least(10, len(ws)) AS n, unnest([array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') FOR i IN range(1, len(ws) - least(10, len(ws)) + 2)]) AS w
+        FROM b WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+occ AS (SELECT doc_id, n, unnest([{'i': i, 'w': array_to_string(ws[i:i + n - 1], ' ')} FOR i IN range(1, len(ws) - n + 2)], recursive := true) FROM d, sizes WHERE len(ws) >= n),
+hit AS (SELECT doc_id, i, occ.n, item FROM occ JOIN win ON occ.w = win.w AND occ.n = win.n),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op10_decontaminate(spark, sf_dir):
+    """Words of each document inside an occurrence of a benchmark window of 10 words."""
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
