@@ -6,11 +6,11 @@ bins and keeps the least hash of each; an empty bin takes the value of the first
 order of its own (optimal densification).  ``rows`` bins make a band key, and documents with a common band key share a
 bucket; at a similarity of 0.8 two documents share none with a probability of (1 - 0.8**6)**40 = 5e-6.
 
-In a bucket only star edges, from one centre to the others, become candidates, so there are no more
-of them than bucket members.  Links are confirmed on the full sets.  A link between two members that are not centres could be
-lost so; therefore each bucket whose members are not all in one component gets a new centre that has not been one, round
-after round, until every bucket is one component or has had each of its members as a centre
-(members of the same component need no further edges).  No bucket is capped.
+In a bucket only star edges, from a centre to the others, become candidates, so a round makes no more
+of them than there are bucket members for each centre.  Links are confirmed on the full sets.  A link between two members that were
+not centres would be lost so; therefore a bucket stays open while those of its members that have not been centres are of several
+components, and gets new centres among them, round after round (members of one component need no edge).  So every
+two members of a bucket end up compared or in one component, and no bucket is capped.
 
 Defined cases: a NULL or empty text, or one without words, has the empty set and is linked with nothing; repeated rows and rows
 with equal id are one node of the graph; a NULL id is a component of its own (NULL); an empty table gives an empty result; other columns are not read.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabspark.llm import bloom
@@ -31,6 +31,7 @@ from tabspark.llm.files import prepare, saved
 from tabspark.llm.words import NOT_SPACE, U64, blocks, combine, hash_words, mix
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 40, 6, 80
+CENTRES = 16  # new centres in a bucket and round; further rounds do the rest
 
 
 def shingle_sets(column, width: int) -> Iterator[np.ndarray]:
@@ -133,7 +134,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "of_a", "of_b").mapInArrow(overlap, "a long, b long")
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, centres_per_round: int = CENTRES) -> DataFrame:
     """Per document: ``key``, n_shingles, class_id (smallest id of those with the same set), component_id, kept."""
     prepare(docs.sparkSession)
     sketched = saved(sketches(docs, key, text, width, bands, rows), "sketches")
@@ -150,43 +151,39 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     shared = marked.groupBy("bucket").count().where("count > 1").select("bucket")
     members = saved(marked.join(shared, "bucket"), "bucket-members")
 
-    # a rank by hash, the same in every bucket, so that near copies have the same centre in most of their buckets
+    # the first centre is the member with the least hash, the same in every bucket: near copies share it in most of theirs
     rank = F.struct(F.xxhash64(F.lit(1), "id"), F.col("id"), F.col("n"))
-    stars = members.groupBy("bucket").agg(F.min(rank).alias("centre"))
+    centres = members.groupBy("bucket").agg(F.min(rank).alias("centre")).select("bucket", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n"))
+    centres = saved(centres.withColumn("centre_component", F.col("centre")), "centres")
     sets = _sets_of(docs, members.select("id"), key, text, width)
-    tested_pairs, links, labels = None, None, None
-    centres = saved(stars.select("bucket", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n")), "centres")
-    served = centres
-    open_ = members.withColumn("component", F.col("id"))
-    while True:
-        edges = open_.join(centres, "bucket").where(f"id != centre AND least(n, centre_n) * 100 >= greatest(n, centre_n) * {percent}")
-        if "centre_component" in centres.columns:
-            edges = edges.where("component != centre_component")
+    left = members.withColumn("component", F.col("id"))  # members that have not been a centre
+    labels = saved(members.select("id", F.col("id").alias("component")).distinct(), "labels")
+    tested_pairs = None
+    while not centres.isEmpty():
+        edges = left.join(centres, "bucket").where(f"component != centre_component AND least(n, centre_n) * 100 >= greatest(n, centre_n) * {percent}")
         pairs = edges.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         if tested_pairs is not None:
             pairs = pairs.join(tested_pairs, ["a", "b"], "left_anti")
         pairs = saved(pairs, "candidate-pairs")
         found = saved(confirmed(pairs, sets, percent), "confirmed")
+        if not found.isEmpty():
+            labels = _merged(labels, found)
         tested_pairs = pairs if tested_pairs is None else saved(tested_pairs.unionAll(pairs), "tested-pairs")
-        links = found if links is None else saved(links.unionAll(found), "all-links")
-        if labels is None or not found.isEmpty():
-            labels = components(links)
-        # buckets that are not one component yet, and a member there that has not been a centre
-        now = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+        served = left.join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti").drop("component")
+        now = served.join(labels, "id")
+        # a bucket is open while those that have not been centres are of several components
         mixed = now.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-        open_ = saved(now.join(mixed, "bucket"), "open-buckets")
-        left = open_.join(served.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
-        # the member of the least component by a hash that differs from bucket to bucket: many centres are tried at once
-        pick = F.struct(F.xxhash64("bucket", "component"), F.xxhash64("bucket", "id"), F.col("id"), F.col("n"), F.col("component"))
-        stars = left.groupBy("bucket").agg(F.min(pick).alias("centre"))
-        centres = saved(stars.select("bucket", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n"), F.col("centre.component").alias("centre_component")), "centres")
-        if centres.isEmpty():
-            break
-        served = saved(served.unionAll(centres.select(*served.columns)), "served")
-
-    of_class = classes.join(labels, classes["class_id"] == labels["id"], "left").select("set_a", "set_b", "class_id", F.coalesce("component", "class_id").alias("component"))
-    several = of_class.join(classes.select("set_a", "set_b", "copies"), ["set_a", "set_b"]).where("copies > 1 OR component != class_id").drop("copies")
-    several = saved(several, "resolved-classes")
+        left = saved(now.join(mixed, "bucket"), "open-members")
+        # next: one member of each component but the largest, at most ``centres_per_round`` in a bucket
+        pick = F.min(F.struct(F.xxhash64("bucket", "id"), F.col("id"), F.col("n")))
+        each = left.groupBy("bucket", "component").agg(F.count("*").alias("size"), pick.alias("centre"))
+        order = Window.partitionBy("bucket").orderBy("size", "component")
+        each = each.select("*", F.row_number().over(order).alias("rank"), F.lead("component").over(order).isNull().alias("largest"))
+        centres = each.where(F.col("rank") <= centres_per_round).where("NOT largest").select("bucket", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n"), F.col("component").alias("centre_component"))
+        centres = saved(centres, "centres")
+
+    of_class = classes.join(labels, classes["class_id"] == labels["id"], "left").select("set_a", "set_b", "class_id", "copies", F.coalesce("component", "class_id").alias("component"))
+    several = saved(of_class.where("copies > 1 OR component != class_id").drop("copies"), "resolved-classes")
     narrow = sketched.drop("keys")
     maybe, rest = bloom.split(narrow, several, ["set_a", "set_b"])
     out = maybe.join(several, ["set_a", "set_b"], "left").select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
@@ -194,6 +191,15 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return out.select(F.col("id").alias(key), "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` after the components that the confirmed links join are made one."""
+    a, b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b"))
+    joins = found.join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    merged = components(joins).withColumnRenamed("id", "of").withColumnRenamed("component", "becomes")
+    out = labels.join(merged, labels["component"] == merged["of"], "left")
+    return saved(out.select("id", F.coalesce("becomes", labels["component"]).alias("component")), "labels")
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """Full sets of the documents that share a bucket with another, made anew from their texts."""
     wanted = saved(ids.distinct(), "bucket-ids")
