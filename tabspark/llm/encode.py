@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from tabspark.llm.words import LOWER, SPACES, U64, Block, hash_spans
+from tabspark.llm.hashtable import Slots
+from tabspark.llm.words import LOWER, SPACES, Block, hash_spans
 
 ASCII_LETTER = np.zeros(256, dtype=bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
@@ -51,8 +52,7 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(self.slots, dtype=U64)
-        self.entry = np.zeros(self.slots, dtype=np.int32)
+        self.table = Slots(self.slots)
         self.ids = np.zeros(1 << 16, dtype=self.dtype)
         self.n_ids = 0
         self.begin = np.zeros(1 << 16, dtype=np.int64)
@@ -82,35 +82,6 @@ class PieceEncoder:
             starts, ends = starts[keep], ends[keep]
         return starts, ends
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Entry of each hash, or -1."""
-        mask = U64(self.slots - 1)
-        at = (h & mask).astype(np.int64)
-        found = self.keys[at]
-        out = np.where(found == h, self.entry[at], -1).astype(np.int64)
-        open_ = np.flatnonzero((found != h) & (found != 0))
-        at = at[open_]
-        while len(open_):
-            at = (at + 1) & (self.slots - 1)
-            found = self.keys[at]
-            hit = found == h[open_]
-            out[open_[hit]] = self.entry[at[hit]]
-            go = ~hit & (found != 0)
-            open_, at = open_[go], at[go]
-        return out
-
-    def insert(self, h: np.ndarray, entries: np.ndarray) -> None:
-        """New distinct hashes."""
-        at = (h & U64(self.slots - 1)).astype(np.int64)
-        while len(h):
-            free = np.flatnonzero(self.keys[at] == 0)
-            _, first = np.unique(at[free], return_index=True)
-            put = free[first]
-            self.keys[at[put]], self.entry[at[put]] = h[put], entries[put]
-            rest = np.ones(len(h), dtype=bool)
-            rest[put] = False
-            h, entries, at = h[rest], entries[rest], (at[rest] + 1) & (self.slots - 1)
-
     def learn(self, h: np.ndarray, texts: list[str]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
@@ -122,7 +93,7 @@ class PieceEncoder:
         self.ids[self.n_ids : self.n_ids + total] = np.fromiter((i for x in got for i in x), dtype=self.dtype, count=total)
         self.begin[self.n : self.n + len(got)] = self.n_ids + np.cumsum(lengths) - lengths
         self.length[self.n : self.n + len(got)] = lengths
-        self.insert(h, np.arange(self.n, self.n + len(got), dtype=np.int32))
+        self.table.insert(h, np.arange(self.n, self.n + len(got), dtype=np.int32))
         self.n, self.n_ids = self.n + len(got), self.n_ids + total
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +102,10 @@ class PieceEncoder:
             return np.zeros(0, self.dtype), np.zeros(block.rows + 1, np.int64)
         data = block.data if self.spaces else LOWER[block.data]
         starts, ends = self.pieces(Block(block.lo, block.hi, data, block.offsets))
-        h = hash_spans(data, starts, ends)
-        h[h == 0] = U64(1)  # 0 marks a free slot
+        h = Slots.nonzero(hash_spans(data, starts, ends))
         if self.n_ids > self.pool:
             self.clear()
-        at = self.find(h)
+        at = self.table.find(h)
         if len(miss := np.flatnonzero(at < 0)):
             new, first = np.unique(h[miss], return_index=True)
             if self.n + len(new) > self.slots // 2:
@@ -146,7 +116,7 @@ class PieceEncoder:
             raw = data.tobytes()
             where = miss[first]
             self.learn(new, [raw[s:e].decode("utf-8") for s, e in zip(starts[where].tolist(), ends[where].tolist())])
-            at = self.find(h)
+            at = self.table.find(h)
         lengths = self.length[at]
         before = np.concatenate(([0], np.cumsum(lengths)))
         flat = np.arange(before[-1]) + np.repeat(self.begin[at] - before[:-1], lengths)

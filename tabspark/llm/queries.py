@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabspark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, tokenfile, warc
+from tabspark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, tokenfile, toxicity, warc
 from tabspark.session import read_table
 
 QUERIES: dict = {}
@@ -117,3 +117,17 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""")
 def op10_decontaminate(spark, sf_dir):
     """Words of each document inside an occurrence of a benchmark window of 10 words."""
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def fold(n: int):
+    """crc32 of the doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@register("op7_kneser_ney_toxicity")
+def op7_kneser_ney_toxicity(spark, sf_dir):
+    """Every document's toxicity, learnt from the labels outside fold 0 of 5."""
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", "toxic")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels))
+    return rows.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
