@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabspark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, tokenfile, toxicity, warc
+from tabspark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, quality, tokenfile, toxicity, warc
 from tabspark.session import read_table
 
 QUERIES: dict = {}
@@ -131,3 +131,12 @@ def op7_kneser_ney_toxicity(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", "toxic")
     rows = toxicity.score(docs, toxicity.fit(docs, labels))
     return rows.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@register("op9_bradley_terry_quality")
+def op9_bradley_terry_quality(spark, sf_dir):
+    """Every document's quality, learnt from preference pairs of the labels outside fold 1 of 3."""
+    table = quality.feature_table(read_table(spark, sf_dir, "documents"))
+    labels = read_table(spark, sf_dir, "labels").where(fold(3) != 1).select("doc_id", "quality")
+    rows = quality.score(table, quality.fit(table, labels))
+    return rows.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
