@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabspark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, quality, tokenfile, toxicity, warc
+from tabspark.llm import chat, decontaminate, exact_dedup, lattice, near_dedup, packing, quality, tokenfile, toxicity, warc
 from tabspark.session import read_table
 
 QUERIES: dict = {}
@@ -140,3 +140,12 @@ def op9_bradley_terry_quality(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").where(fold(3) != 1).select("doc_id", "quality")
     rows = quality.score(table, quality.fit(table, labels))
     return rows.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@register("op6_lattice_likelihood")
+def op6_lattice_likelihood(spark, sf_dir):
+    """Every document's probability under the subword lattice, learnt from the documents outside fold 2 of 7."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = lattice.fit(docs.where(fold(7) != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    rows = lattice.score(docs, model)
+    return rows.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
