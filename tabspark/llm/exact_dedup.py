@@ -37,9 +37,8 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     marked = bloom.tested(rows, bloom.repeated(rows, h, rows.count()), h, "maybe")
     maybe = marked.where("maybe").select("id", "chars", "sha")
     best = maybe.groupBy("sha").agg(F.min(F.struct((-F.col("chars")).alias("c"), "id")).alias("best"), F.count("*").alias("group_size"))
-    found = maybe.join(best, "sha").select(
-        "id", F.col("best.id").alias("keep_id"), "group_size", F.col("id").eqNullSafe(F.col("best.id")).alias("kept"), "sha"
-    )
+    best = saved(best.select("sha", F.col("best.id").alias("keep_id"), "group_size"), "groups")  # written, so that the join can split a large group
+    found = maybe.join(best, "sha").select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")
     alone = marked.where("NOT maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return alone.unionByName(found).select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
