@@ -150,6 +150,7 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     digests = saved(rows.select("id", "sha"), "page-digests")
     marked = bloom.tested(rows, bloom.repeated(digests, h, digests.count()), h, "maybe")
     last = digests.groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last")
+    last = saved(last, "repeated-payloads")  # written, so that the join can split a payload that fills many pages
     maybe = marked.where("maybe").join(last, "sha", "left")
     refers = F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
     linked = maybe.select("id", "url", "html", refers.alias("refers_to"))
