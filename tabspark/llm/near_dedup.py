@@ -148,7 +148,7 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     h = F.xxhash64("bucket")
     marked = bloom.tested(keyed, bloom.repeated(keyed, h, keyed.count()), h, "maybe").where("maybe").drop("maybe").distinct()
     marked = saved(marked, "bucket-candidates")
-    shared = marked.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = saved(marked.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
     members = saved(marked.join(shared, "bucket"), "bucket-members")
 
     # the first centre is the member with the least hash, the same in every bucket: near copies share it in most of theirs
@@ -173,6 +173,7 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         now = served.join(labels, "id")
         # a bucket is open while those that have not been centres are of several components
         mixed = now.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
+        mixed = saved(mixed, "open-buckets")
         left = saved(now.join(mixed, "bucket"), "open-members")
         # next: one member of each component but the largest, at most ``centres_per_round`` in a bucket
         pick = F.min(F.struct(F.xxhash64("bucket", "id"), F.col("id"), F.col("n")))
