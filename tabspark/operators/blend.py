@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,8 +79,7 @@ class BlendWeights:
     logloss: float
 
 
-def optimise_weights(oof: DataFrame, labels: DataFrame, max_iter: int = 500, tol: float = 1e-7,
-                     local_max_rows: int = 1_000_000) -> BlendWeights:
+def optimise_weights(oof: DataFrame, labels: DataFrame, tol: float = 1e-7, max_iter: int | None = None) -> BlendWeights:
     """Convex mixture weights minimising OOF log-loss, by EM.
 
     The objective ``-mean log(sum_m w_m p_m,y)`` is convex in ``w`` on the simplex; the
@@ -89,70 +87,37 @@ def optimise_weights(oof: DataFrame, labels: DataFrame, max_iter: int = 500, tol
     reaches the same optimum as the original simplex search.  Rows must already sum to 1
     (apply ``renorm``).  Each iteration is one aggregate over the cached true-class
     probabilities, giving both the update and the log-loss of the current weights; the
-    weights are literals, so lineage stays flat.  Stops when the log-loss changes by less
-    than ``tol`` between iterations, or after ``max_iter`` iterations.  Identical
-    true-class vectors are merged first; when the merged table has at most
-    ``local_max_rows`` rows the same iterations run on it in one process.
+    weights are literals, so lineage stays flat and the driver holds one number a run.
+    Stops when the log-loss changes by less than ``tol`` between iterations;
+    ``converged`` is False only when ``max_iter``, if given, stopped it before.
+    Identical true-class vectors are merged first (exact).
     """
     runs = sorted(r["run"] for r in oof.select("run").distinct().collect())
     m = len(runs)
     truth = oof.join(labels.select("row_id", F.col("y").alias("class")), ["row_id", "class"])
     pivot = truth.groupBy("row_id").pivot("run", runs).agg(F.first("p"))
     t = pivot.select(F.array(*[F.coalesce(F.col(f"`{r}`"), F.lit(0.0)) for r in runs]).alias("t"))
-    # identical true-class vectors are merged with a multiplicity (exact; often a large saving)
     t = t.groupBy("t").agg(F.count("*").cast("double").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
-    n_distinct = t.count()
-    if n_distinct <= local_max_rows:
-        # the merged table has a checked size bound: iterate on it in one process
-        rows = t.collect()
-        tm = np.array([r["t"] for r in rows], dtype=float)
-        cm = np.array([r["c"] for r in rows], dtype=float)
-        t.unpersist()
-        return _em_local(runs, tm, cm, max_iter, tol)
-
-    def mix_of(w):
-        return sum((F.lit(w[k]) * F.col("t")[k] for k in range(m)), F.lit(0.0))
-
-    def loss_of(mix):
-        return -F.col("c") * F.log(F.least(F.greatest(mix, F.lit(EPS)), F.lit(1 - EPS)))
 
     w, prev = [1.0 / m] * m, None
     it, converged = 0, False
-    for it in range(1, max_iter + 1):
-        mix = mix_of(w)
+    while not converged and (max_iter is None or it < max_iter):
+        it += 1
+        mix = sum((F.lit(w[k]) * F.col("t")[k] for k in range(m)), F.lit(0.0))
+        loss = -F.col("c") * F.log(F.least(F.greatest(mix, F.lit(EPS)), F.lit(1 - EPS)))
         row = t.agg(*[F.sum(F.col("c") * F.lit(w[k]) * F.col("t")[k] / mix).alias(f"w{k}") for k in range(m)],
-                    F.sum(loss_of(mix)).alias("ll"), F.sum("c").alias("n")).first()
+                    F.sum(loss).alias("ll"), F.sum("c").alias("n")).first()
         cur = row["ll"] / row["n"]
         new = [row[f"w{k}"] for k in range(m)]
         s = sum(new)
         w = [x / s for x in new]
-        delta = abs(cur - prev) if prev is not None else float("inf")
+        converged = prev is not None and abs(cur - prev) < tol
         prev = cur
-        if delta < tol:
-            converged = True
-            break
-    ll_row = t.agg(F.sum(loss_of(mix_of(w))).alias("s"), F.sum("c").alias("n")).first()
+    mix = sum((F.lit(w[k]) * F.col("t")[k] for k in range(m)), F.lit(0.0))
+    loss = -F.col("c") * F.log(F.least(F.greatest(mix, F.lit(EPS)), F.lit(1 - EPS)))
+    last = t.agg(F.sum(loss).alias("s"), F.sum("c").alias("n")).first()
     t.unpersist()
-    return BlendWeights(runs, w, it, converged, ll_row["s"] / ll_row["n"])
-
-
-def _em_local(runs, tm, cm, max_iter, tol) -> BlendWeights:
-    m = len(runs)
-    w, prev = np.full(m, 1.0 / m), None
-    it, converged = 0, False
-    for it in range(1, max_iter + 1):
-        mix = tm @ w
-        cur = float((cm * -np.log(np.clip(mix, EPS, 1 - EPS))).sum() / cm.sum())
-        new = (cm[:, None] * tm * w[None, :] / mix[:, None]).sum(axis=0)
-        w = new / new.sum()
-        delta = abs(cur - prev) if prev is not None else float("inf")
-        prev = cur
-        if delta < tol:
-            converged = True
-            break
-    mix = np.clip(tm @ w, EPS, 1 - EPS)
-    ll = float((cm * -np.log(mix)).sum() / cm.sum())
-    return BlendWeights(list(runs), [float(x) for x in w], it, converged, ll)
+    return BlendWeights(runs, w, it, converged, last["s"] / last["n"])
 
 
 def blend(long: DataFrame, strategy: str, weights: dict[str, float] | None = None) -> DataFrame:

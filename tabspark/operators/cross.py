@@ -208,7 +208,7 @@ class NumCatInteract(Estimator):
     def __init__(self, pairs, stats: Sequence[str] = ("mean", "std"), min_samples_leaf: int = 10):
         bad = set(stats) - set(VALID_STATS)
         if bad:
-            raise ValueError(f"num_cat_interact: unsupported stats {bad}; choose from {VALID_STATS}")
+            raise ValueError(f"no such group statistic: {bad} (known: {', '.join(VALID_STATS)})")
         self.pairs, self.stats, self.min_samples_leaf = list(pairs), list(stats), min_samples_leaf
 
     def fit(self, df):

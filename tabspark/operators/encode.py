@@ -165,7 +165,7 @@ class OrdinalEncoderModel(Model):
             code = F.col(f"__c_{c}")
             if self.unknown_code is not None:
                 code = F.coalesce(code, F.lit(self.unknown_code))
-            out = with_columns(out, {}, replace={c: code.cast("short")}).drop(f"__l_{c}", f"__c_{c}")
+            out = with_columns(out, {}, replace={c: code.cast("int")}).drop(f"__l_{c}", f"__c_{c}")
         return out
 
     def labels(self) -> DataFrame:
@@ -353,8 +353,8 @@ class CategoryEncoderModel(Model):
     def _apply(self, df: DataFrame, st: DataFrame, keys: list[str], prior_of) -> DataFrame:
         c = self.stats.col
         k = len(self.stats.classes)
-        st = st.select(*[F.col(x).alias(f"__k_{x}") if x == c else F.col(x) for x in keys], "n",
-                       *[F.col(f"s{i}") for i in range(k)])
+        st = st.select(*[F.col(x).alias(f"__k_{x}") if x == c else F.col(x) for x in keys], F.col("n").alias("__n"),
+                       *[F.col(f"s{i}").alias(f"__s{i}") for i in range(k)])
         left = df.withColumn(f"__k_{c}", F.col(c).cast("string"))
         jk = [f"__k_{c}" if x == c else x for x in keys]
         # per-(category, fold) table has at most categories x folds rows
@@ -363,9 +363,9 @@ class CategoryEncoderModel(Model):
         new = {}
         for i in range(k):
             prior = prior_of(i)
-            val = F.when(F.col("n").isNull() | (F.col("n") == 0), prior).otherwise(self._value(F.col("n"), F.col(f"s{i}"), prior))
+            val = F.when(F.col("__n").isNull() | (F.col("__n") == 0), prior).otherwise(self._value(F.col("__n"), F.col(f"__s{i}"), prior))
             new[self.names[i]] = val.cast("double")
-        return with_columns(j, new).drop(f"__k_{c}", "n", *[f"s{i}" for i in range(k)])
+        return with_columns(j, new).drop(f"__k_{c}", "__n", *[f"__s{i}" for i in range(k)])
 
     def transform_oof(self, df: DataFrame) -> DataFrame:
         """Train rows: each row encoded from the other folds only (leakage-free)."""

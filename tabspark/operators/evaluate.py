@@ -230,7 +230,9 @@ def per_class_hist(long: DataFrame, bins: int = 50) -> DataFrame:
 def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
     """ROC-AUC (ties averaged), average precision (step-wise, as scikit-learn) and F1 at
     ``threshold`` on the probability.  Exact from cumulative TP/FP over distinct scores; the
-    running sums come from the range-partitioned ``count_before``."""
+    running sums come from the range-partitioned ``count_before``.  Rows without a label or a score
+    cannot be ranked and are left out of all three."""
+    scored = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     g = scored.groupBy(F.col(score).alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("tp"), F.sum((1 - F.col(label).cast("long"))).alias("fp"))
     tot = g.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N")).first()

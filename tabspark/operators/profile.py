@@ -220,16 +220,13 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40, group_col: str
     return out
 
 
-def kde(df: DataFrame, cols: Sequence[str], grid_points: int = 300, group_col: str | None = None,
-        cutoff_bandwidths: float = 12.0) -> DataFrame:
+def kde(df: DataFrame, cols: Sequence[str], grid_points: int = 300, group_col: str | None = None) -> DataFrame:
     """Gaussian KDE (Scott bandwidth ``std * n^(-1/5)``, sample std) on an even grid
     between the (group's) min and max.  Groups with zero spread are skipped, as in the original.
 
-    Rows are first merged to distinct values with a multiplicity (partial aggregation);
-    each distinct value then adds its weighted kernel to the grid points within
-    ``cutoff_bandwidths`` bandwidths (a dropped term is below exp(-72) of the kernel peak,
-    far under double precision of any reported density), and the grid-indexed partial
-    sums are aggregated map-side.  Work is O(distinct values x nearby grid points).
+    Every row adds its kernel to every grid point; the grid points are sums of one grouped
+    aggregate (50 points a scan), so rows are neither multiplied nor shuffled: map-side aggregation
+    leaves one row per column, group and task.
     """
     keep = [group_col] if group_col else []
     st = stack_columns(df, cols, keep).where(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -241,17 +238,17 @@ def kde(df: DataFrame, cols: Sequence[str], grid_points: int = 300, group_col: s
     m = m.where(F.col("sd") > 0).select(
         *keys, "lo", "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
         ((F.col("hi") - F.col("lo")) / F.lit(float(grid_points - 1))).alias("step"))
-    distinct = st.groupBy(*keys, "value").agg(F.count("*").cast("double").alias("w"))
     m, n_m = materialise_small(m)  # one row per column and group
-    j = join_fitted(distinct, m, keys, n_m)
-    reach = F.lit(float(cutoff_bandwidths)) * F.col("h")
-    g_lo = F.greatest(F.lit(0), F.ceil((F.col("value") - reach - F.col("lo")) / F.col("step")).cast("int"))
-    g_hi = F.least(F.lit(grid_points - 1), F.floor((F.col("value") + reach - F.col("lo")) / F.col("step")).cast("int"))
-    near = j.select(*keys, "value", "w", "lo", "step", "h", g_lo.alias("g0"), g_hi.alias("g1")).where(F.col("g0") <= F.col("g1"))
-    near = near.select(*keys, "value", "w", "lo", "step", "h", F.explode(F.sequence("g0", "g1")).alias("g"))
-    x = F.col("lo") + F.col("g") * F.col("step")
-    contrib = F.col("w") * F.exp(-F.pow(x - F.col("value"), 2) / (2 * F.col("h") * F.col("h")))
-    sums = near.groupBy(*keys, "g").agg(F.sum(contrib).alias("ks"))
+    j = join_fitted(st, m, keys, n_m)
+
+    def part(points):
+        def z(g):
+            return (F.col("lo") + F.lit(float(g)) * F.col("step") - F.col("value")) / F.col("h")
+        sums = j.groupBy(*keys).agg(*[F.sum(F.exp(-z(g) * z(g) / 2)).alias(f"k{g}") for g in points])
+        return sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(f"k{g}").alias("ks")) for g in points])).alias("s")
+                           ).select(*keys, "s.g", "s.ks")
+
+    sums = chunked(list(range(grid_points)), part)
     grid = m.select(*keys, "lo", "step", "h", "n", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("g"))
     out = grid.join(sums, [*keys, "g"], "left")
     return out.select(
@@ -285,7 +282,10 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str
     50 pairs)."""
     if pairs is None:
         all_pairs = list(itertools.combinations(cols, 2))
-        diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "col_a string, col_b string, r double")
+        # a column is fully correlated with itself unless it is constant (NULL, as for any pair with it)
+        diag = chunked(list(cols), lambda cs: _rows_from_one(
+            df.agg(*[F.stddev_samp(_nn(c)).alias(f"s{i}") for i, c in enumerate(cs)]),
+            [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.when(F.col(f"s{i}") > 0, F.lit(1.0)).alias("r")) for i, c in enumerate(cs)]))
         if not all_pairs:
             return diag
         return chunked(all_pairs, lambda ps: pearson_matrix(df, cols, ps)).unionByName(diag)
@@ -305,43 +305,24 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str
     return _rows_from_one(one, structs)
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularised incomplete beta (modified Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10_000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
 def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
+    """Regularised incomplete beta I_x(a, b): the power series
+    ``x^a (1-x)^b / (a B(a, b)) * sum_n prod_{k<n} (a + b + k) / (a + 1 + k) * x^n`` on the side
+    of the mean where its terms fall, the complement on the other."""
     if x <= 0:
         return 0.0
     if x >= 1:
         return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1 - x) / b
+    if x * (a + b + 2) > a + 1:
+        return 1.0 - betainc(b, a, 1.0 - x)
+    log_front = a * math.log(x) + b * math.log1p(-x) - math.log(a) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    total = term = 1.0
+    k = 0
+    while term > total * 1e-17:
+        term *= x * (a + b + k) / (a + 1 + k)
+        total += term
+        k += 1
+    return math.exp(log_front + math.log(total))
 
 
 def f_survival(f: float, d1: float, d2: float) -> float:
@@ -383,6 +364,11 @@ def anova_table(df: DataFrame, cols: Sequence[str], y: str, with_p: bool = True)
 
 
 # --------------------------------------------------------------------------- G16, G17, G20
+def _dbl(c: str):
+    """A count as a double: products of counts pass the range of a bigint."""
+    return F.col(c).cast("double")
+
+
 def _pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Contingency counts for many column pairs in one job: ``(a, b, va, vb, n)``; NULL rows dropped."""
     st = df.select(F.explode(F.array(*[
@@ -403,7 +389,7 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     tot = c.groupBy("a", "b").agg(F.sum("n").alias("tot_n"))
     j = c.join(ra, ["a", "b", "va"]).join(rb, ["a", "b", "vb"]).join(tot, ["a", "b"])
     chi = j.groupBy("a", "b").agg(
-        F.sum(F.col("n") * F.col("n") * F.col("tot_n") / (F.col("na") * F.col("nb"))).alias("s"), F.first("tot_n").alias("tot_n"))
+        F.sum(_dbl("n") * _dbl("n") / _dbl("na") * _dbl("tot_n") / _dbl("nb")).alias("s"), F.first("tot_n").alias("tot_n"))
     dims = c.groupBy("a", "b").agg(F.countDistinct("va").alias("r"), F.countDistinct("vb").alias("k"))
     out = chi.join(dims, ["a", "b"])
     denom = F.least(F.col("r"), F.col("k")) - 1
@@ -436,7 +422,7 @@ def mutual_information(df: DataFrame, y: str, cats: Sequence[str], nums: Sequenc
     rb = c.groupBy("a", "vb").agg(F.sum("n").alias("nb"))
     tot = c.groupBy("a").agg(F.sum("n").alias("tot_n"))
     j = c.join(ra, ["a", "va"]).join(rb, ["a", "vb"]).join(tot, "a")
-    term = (F.col("n") / F.col("tot_n")) * F.log(F.col("n") * F.col("tot_n") / (F.col("na") * F.col("nb")))
+    term = (F.col("n") / F.col("tot_n")) * F.log(_dbl("n") / _dbl("na") * _dbl("tot_n") / _dbl("nb"))
     kinds = F.when(F.col("a").isin(list(cats)), F.lit("discrete")).otherwise(F.lit("binned"))
     return j.groupBy("a").agg(F.sum(term).alias("mi")).select(F.col("a").alias("feature"), kinds.alias("kind"), "mi")
 

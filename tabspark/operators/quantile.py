@@ -1,17 +1,17 @@
 """Exact (and approximate) grouped quantiles that stay bounded per task.
 
 ``F.percentile`` keeps every distinct value of a group in one aggregation buffer, so a
-hot group (a third of a 100 TB table) cannot be finished by one task.  For groups
-above ``direct_max_rows`` rows (default 500k) this module finds the exact order statistics by
-distributed bucket refinement instead:
-
-1. one aggregate gives ``count/min/max`` per group; every requested probability becomes
-   two target ranks (``floor(h)`` and ``floor(h)+1`` with ``h = (n-1) q``: linear
-   interpolation, as pandas/numpy/``quantile_cont``);
-2. each pass counts the rows of every unresolved target bracket in ``buckets``
-   equal-width buckets (map-side partial aggregation, output = targets x buckets), and
-   narrows the bracket to the exact ``[min, max]`` of the bucket holding the rank;
-3. once a bracket holds few rows (or one distinct value) the remaining values are
+hot group (a third of a 100 TB table) cannot be finished by one task.  This module finds the
+exact order statistics by distributed bucket refinement, the same way at every size:
+
+1. one aggregate gives the count and the finite range per group (and how many values are
+   infinite); every requested probability becomes two target ranks (``floor(h)`` and
+   ``floor(h)+1`` with ``h = (n-1) q``: linear interpolation, as pandas/numpy/``quantile_cont``);
+2. each pass counts the rows of every unresolved bracket in ``buckets`` equal-width buckets
+   (map-side partial aggregation, output = brackets x buckets; targets with the same bracket
+   share it) and narrows it to the exact ``[min, max]`` of the bucket that holds the rank.  The ends of a
+   bracket fall into different buckets, so every pass makes progress and no limit of passes is needed;
+3. once a bracket holds at most ``finish_rows`` rows (or one distinct value) its values are
    grouped to ``(value, count)`` and the rank is read off a cumulative sum.
 
 Per-task memory is bounded by ``buckets`` and ``finish_rows``, never by group size.
@@ -28,9 +28,6 @@ from pyspark.sql import functions as F
 from tabspark.operators.joins import join_fitted
 from tabspark.session import cut_lineage, materialise_small
 
-_TKEY = ["__q", "__which"]
-
-
 def _clean_values(df: DataFrame, value: str, group_cols: Sequence[str]) -> DataFrame:
     v = F.col(value).cast("double")
     return df.select(*group_cols, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
@@ -43,123 +40,100 @@ def group_quantiles(
     group_cols: Sequence[str] = (),
     exact: bool = True,
     accuracy: int = 10_000,
-    direct_max_rows: int = 500_000,
     buckets: int = 1024,
     finish_rows: int = 100_000,
-    max_passes: int = 24,
 ) -> DataFrame:
-    """Quantiles of ``value`` per group: columns ``*group_cols, q, value`` (NULL/NaN skipped).
+    """Quantiles of ``value`` per group: columns ``*group_cols, q, value`` (NULL/NaN skipped; infinite
+    values sort first and last; a NULL group is a group).
 
     ``exact=False`` uses the mergeable ``percentile_approx`` sketch (one pass, rank error 1/accuracy).
     """
     group_cols = list(group_cols)
-    if not group_cols:
-        # one constant key keeps every join below an equi-join (no nested-loop join)
-        out = group_quantiles(
-            df.withColumn("__g", F.lit(0)), value, probs, ["__g"], exact, accuracy,
-            direct_max_rows, buckets, finish_rows, max_passes,
-        )
-        return out.drop("__g")
     probs = [float(p) for p in probs]
     base = _clean_values(df, value, group_cols)
-    q_arr = F.array(*[F.lit(p) for p in probs])
     if not exact:
+        q_arr = F.array(*[F.lit(p) for p in probs])
         out = base.groupBy(*group_cols).agg(F.percentile_approx("__v", q_arr, accuracy).alias("__vals"))
         return out.select(*group_cols, F.posexplode("__vals").alias("__i", "value")).select(
             *group_cols, q_arr[F.col("__i")].alias("q"), "value"
         )
+    # one key column whatever the groups are: joins on it are equi-joins, with NULL groups kept
+    key = F.to_json(F.struct(*group_cols)) if group_cols else F.lit("")
+    values = base.select(key.alias("__g"), "__v").persist(StorageLevel.MEMORY_AND_DISK)
+    groups = base.groupBy(*group_cols).agg(F.count("*").alias("__n")).where("__n > 0").select(key.alias("__g"), *group_cols)
+    groups, n_groups = materialise_small(groups)
+    found = _refine(values, probs, buckets, finish_rows)
+    out = join_fitted(found, groups, "__g", n_groups).select(*group_cols, "q", "value")
+    out, _ = materialise_small(out)  # groups x probabilities rows
+    groups.unpersist()
+    values.unpersist()
+    return out
 
-    stats = base.groupBy(*group_cols).agg(
-        F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
+
+def _refine(values: DataFrame, probs: Sequence[float], buckets: int, finish_rows: int) -> DataFrame:
+    v = F.col("__v")
+    inf = float("inf")
+    finite = (v > -inf) & (v < inf)
+    stats = values.groupBy("__g").agg(
+        F.count("*").alias("__n"), F.count_if(v == -inf).alias("__low"), F.count_if(v == inf).alias("__high"),
+        F.min(F.when(finite, v)).alias("__lo"), F.max(F.when(finite, v)).alias("__hi"),
     )
-    stats, _ = materialise_small(stats)
-    max_n = stats.agg(F.max("__n")).first()[0]
-    if max_n is None:
-        return stats.select(*group_cols, F.lit(None).cast("double").alias("q"), F.lit(None).cast("double").alias("value")).limit(0)
-    if max_n <= direct_max_rows:
-        out = base.groupBy(*group_cols).agg(F.percentile("__v", q_arr).alias("__vals"))
-        return out.select(*group_cols, F.posexplode("__vals").alias("__i", "value")).select(
-            *group_cols, q_arr[F.col("__i")].alias("q"), "value"
-        )
-    return _refine(base, stats, probs, group_cols, buckets, finish_rows, max_passes)
+    h = (F.col("__n") - 1).cast("double") * F.col("__q")
+    rank, inner = F.col("__rank"), F.col("__n") - F.col("__low") - F.col("__high")
+    below_all, above_all = rank < F.col("__low"), rank >= F.col("__n") - F.col("__high")
 
+    def zone(low, high, middle):
+        return F.when(below_all, low).when(above_all, high).otherwise(middle)
 
-def _refine(base, stats, probs, group_cols, buckets, finish_rows, max_passes) -> DataFrame:
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    tid = group_cols + _TKEY
-    h = (F.col("__n") - 1).cast("double") * F.col("__q")
     targets = (
         stats.withColumn("__q", F.explode(F.array(*[F.lit(p) for p in probs])))
         .withColumn("__which", F.explode(F.array(F.lit(0), F.lit(1))))
         .withColumn("__frac", h - F.floor(h))
         .withColumn("__rank", F.least(F.floor(h).cast("bigint") + F.col("__which"), F.col("__n") - 1))
-        .withColumn("__below", F.lit(0).cast("bigint"))
-        .withColumn("__cnt", F.col("__n"))
-        .select(*tid, "__frac", "__rank", "__lo", "__hi", "__below", "__cnt")
-    )
-    targets = cut_lineage(targets)
-    done_cond = (F.col("__cnt") <= finish_rows) | (F.col("__lo") == F.col("__hi"))
-    w_tid = Window.partitionBy(*tid).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for _ in range(max_passes):
-        active = targets.where(~done_cond)
-        if active.isEmpty():
-            break
-        n_active = active.count()
-        width = (F.col("__hi") - F.col("__lo")) / F.lit(float(buckets))
-        bucket = F.least(F.floor((F.col("__v") - F.col("__lo")) / width).cast("int"), F.lit(buckets - 1))
-        counts = (
-            join_fitted(base, active.select(*tid, "__lo", "__hi"), group_cols, n_active)
-            .where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-            .select(*tid, bucket.alias("__b"), "__v")
-            .groupBy(*tid, "__b")
-            .agg(F.count("*").alias("__c"), F.min("__v").alias("__blo"), F.max("__v").alias("__bhi"))
-            .withColumn("__cum", F.sum("__c").over(w_tid))
-        )
-        picked = (
-            counts.join(active.select(*tid, "__frac", "__rank", "__below"), tid)
-            .where(
-                (F.col("__below") + F.col("__cum") - F.col("__c") <= F.col("__rank"))
-                & (F.col("__rank") < F.col("__below") + F.col("__cum"))
-            )
-            .select(
-                *tid,
-                "__frac",
-                "__rank",
-                F.col("__blo").alias("__lo"),
-                F.col("__bhi").alias("__hi"),
-                (F.col("__below") + F.col("__cum") - F.col("__c")).alias("__below"),
-                F.col("__c").alias("__cnt"),
-            )
+        .select(
+            "__g", "__q", "__which", "__frac", "__rank",
+            zone(F.lit(-inf), F.lit(inf), F.col("__lo")).alias("__lo"), zone(F.lit(-inf), F.lit(inf), F.col("__hi")).alias("__hi"),
+            zone(F.lit(0).cast("long"), F.col("__n") - F.col("__high"), F.col("__low")).alias("__below"),
+            zone(F.col("__low"), F.col("__high"), inner).alias("__cnt"),
         )
-        targets = cut_lineage(targets.where(done_cond).unionByName(picked))
-    n_t = targets.count()
-    w_val = Window.partitionBy(*tid).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    finals = (
-        join_fitted(base, targets.select(*tid, "__lo", "__hi"), group_cols, n_t)
-        .where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-        .groupBy(*tid, "__v")
-        .agg(F.count("*").alias("__c"))
-        .withColumn("__cum", F.sum("__c").over(w_val))
-        .join(targets.select(*tid, "__frac", "__rank", "__below"), tid)
-        .where(
-            (F.col("__below") + F.col("__cum") - F.col("__c") <= F.col("__rank"))
-            & (F.col("__rank") < F.col("__below") + F.col("__cum"))
-        )
-        .select(*tid, "__frac", "__v")
     )
-    out = finals.groupBy(*group_cols, "__q").agg(
-        F.max(F.when(F.col("__which") == 0, F.col("__v"))).alias("__v0"),
-        F.max(F.when(F.col("__which") == 1, F.col("__v"))).alias("__v1"),
+    targets, _ = materialise_small(targets)
+    bracket = ["__g", "__lo", "__hi"]
+    done = (F.col("__cnt") <= finish_rows) | (F.col("__lo") == F.col("__hi"))
+
+    def rows_of(t: DataFrame) -> DataFrame:
+        """The values inside the distinct brackets of the targets ``t``."""
+        own, n = materialise_small(t.select(*bracket).distinct())
+        inside = join_fitted(values, own, "__g", n)
+        return inside.where((v >= F.col("__lo")) & (v <= F.col("__hi")))
+
+    def at_rank(counted: DataFrame, t: DataFrame, order: str) -> DataFrame:
+        """For each target the counted row that holds its rank; ``__upto``: rows of the bracket up to there."""
+        w = Window.partitionBy(*bracket).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = counted.withColumn("__upto", F.sum("__c").over(w))
+        before = F.col("__below") + F.col("__upto") - F.col("__c")
+        return upto.join(t, bracket).where((before <= rank) & (rank < F.col("__below") + F.col("__upto")))
+
+    while not targets.where(~done).isEmpty():
+        active = targets.where(~done)
+        # halves, so that the width of the whole range of doubles is a number
+        width = (F.col("__hi") / 2 - F.col("__lo") / 2) / F.lit(float(buckets))
+        even = F.least(F.floor((v / 2 - F.col("__lo") / 2) / width).cast("int"), F.lit(buckets - 1))
+        place = F.when(width > 0, even).otherwise(F.when(v > F.col("__lo"), F.lit(1)).otherwise(F.lit(0)))
+        counted = rows_of(active).select(*bracket, place.alias("__b"), "__v").groupBy(*bracket, "__b").agg(
+            F.count("*").alias("__c"), F.min("__v").alias("__blo"), F.max("__v").alias("__bhi"))
+        narrowed = at_rank(counted, active, "__b").select(
+            "__g", "__q", "__which", "__frac", "__rank", F.col("__blo").alias("__lo"), F.col("__bhi").alias("__hi"),
+            (F.col("__below") + F.col("__upto") - F.col("__c")).alias("__below"), F.col("__c").alias("__cnt"))
+        targets = cut_lineage(targets.where(done).unionByName(narrowed))
+    counted = rows_of(targets).groupBy(*bracket, "__v").agg(F.count("*").alias("__c"))
+    out = at_rank(counted, targets, "__v").groupBy("__g", "__q").agg(
+        F.max(F.when(F.col("__which") == 0, v)).alias("__v0"),
+        F.max(F.when(F.col("__which") == 1, v)).alias("__v1"),
         F.max("__frac").alias("__frac"),
     )
-    out = out.select(
-        *group_cols,
-        F.col("__q").alias("q"),
-        (F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__frac")).alias("value"),
-    )
-    out, _ = materialise_small(out)  # groups x probabilities rows
-    base.unpersist()
-    return out
+    between = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__frac")
+    return out.select("__g", F.col("__q").alias("q"), F.when(F.col("__frac") == 0, F.col("__v0")).when(F.col("__v0") == F.col("__v1"), F.col("__v0")).otherwise(between).alias("value"))
 
 
 def quantile_row(df: DataFrame, value: str, probs: Sequence[float], exact: bool = True, **kw) -> list[float]:

@@ -15,8 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabspark.operators.joins import join_fitted
-from tabspark.session import cut_lineage, materialise_small
+from tabspark.session import BROADCAST_MAX_ROWS, cut_lineage, materialise_small
 
 
 def count_before(
@@ -45,8 +44,18 @@ def count_before(
         Window.unboundedPreceding, Window.currentRow
     )
     # offsets has at most (partitions x groups) rows; broadcast under the checked bound
-    out = join_fitted(d.withColumn("__loc", F.sum("__w").over(local) - F.col("__w")), offsets, ["__pid", *group_cols], n_off)
-    return out.withColumn("__before", F.col("__off") + F.col("__loc")).drop("__pid", "__off", "__loc", "__w")
+    # a NULL group is a group like any other: it is joined by whether it is NULL and its value
+    keys = ["__pid", "__nulls"]
+    nulls = F.concat(F.lit(""), *[F.when(F.col(g).isNull(), F.lit("1")).otherwise(F.lit("0")) for g in group_cols])
+    filled = offsets.select("__pid", nulls.alias("__nulls"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group_cols)], "__off")
+    left = d.withColumn("__loc", F.sum("__w").over(local) - F.col("__w")).withColumn("__nulls", nulls)
+    if n_off <= BROADCAST_MAX_ROWS:
+        filled = F.broadcast(filled)
+    cond = (left["__pid"] == filled["__pid"]) & (left["__nulls"] == filled["__nulls"])
+    for i, g in enumerate(group_cols):
+        cond = cond & left[g].eqNullSafe(filled[f"__g{i}"])
+    out = left.join(filled, cond).drop(*[filled[k] for k in keys], *[f"__g{i}" for i in range(len(group_cols))])
+    return out.withColumn("__before", F.col("__off") + F.col("__loc")).drop("__pid", "__nulls", "__off", "__loc", "__w")
 
 
 def average_rank(df: DataFrame, group_cols: Sequence[str], value: str, out: str = "rank") -> DataFrame:

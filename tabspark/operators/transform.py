@@ -192,9 +192,10 @@ class FoldStandardizerModel(Model):
 class FoldStandardizer(Estimator):
     """Per-fold standardisation with training-fold mean and sample std.
 
-    One grouped aggregate over the fold column gives ``(n, sum, sum of squares)`` per fold
-    (K small rows); the training statistics of fold f are the totals minus fold f, so the
-    data is scanned once, not K times.
+    One grouped aggregate over the fold column gives ``(n, mean, population variance)`` per fold
+    (K small rows); the training statistics of fold f merge those of the other folds (parallel
+    variance: within plus between folds), so the data is scanned once, not K times, and a
+    large mean does not swallow the spread.
     """
 
     def __init__(self, cols, fold_col: str = "fold"):
@@ -204,18 +205,17 @@ class FoldStandardizer(Estimator):
         aggs = []
         for c in self.cols:
             x = F.col(c).cast("double")
-            aggs += [F.count(x).alias(f"n_{c}"), F.sum(x).alias(f"s_{c}"), F.sum(x * x).alias(f"ss_{c}")]
+            aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"m_{c}"), F.var_pop(x).alias(f"v_{c}")]
         rows = {r[self.fold_col]: r for r in df.groupBy(self.fold_col).agg(*aggs).collect()}
         stats = {}
         for f in rows:
             stats[f] = {}
             for c in self.cols:
-                n = sum(r[f"n_{c}"] for g, r in rows.items() if g != f)
-                sm = sum(r[f"s_{c}"] or 0.0 for g, r in rows.items() if g != f)
-                ss = sum(r[f"ss_{c}"] or 0.0 for g, r in rows.items() if g != f)
-                mean = sm / n if n else None
-                var = (ss - sm * sm / n) / (n - 1) if n > 1 else None
-                stats[f][c] = (mean, math.sqrt(max(var, 0.0)) if var is not None else None)
+                others = [(r[f"n_{c}"], r[f"m_{c}"], r[f"v_{c}"]) for g, r in rows.items() if g != f and r[f"n_{c}"]]
+                n = sum(k for k, _, _ in others)
+                mean = sum(k * m for k, m, _ in others) / n if n else None
+                spread = sum(k * (v + (m - mean) ** 2) for k, m, v in others)
+                stats[f][c] = (mean, math.sqrt(spread / (n - 1)) if n > 1 else None)
         return FoldStandardizerModel(self.cols, self.fold_col, stats)
 
 

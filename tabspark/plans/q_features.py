@@ -335,8 +335,8 @@ ORD_COLS = ["o_orderpriority", "c_mktsegment", "y"]
 
 @register("enc_ordinal", f"""
 WITH {T},
-{", ".join(f"d_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) AS SMALLINT) AS code FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM tr WHERE {c} IS NOT NULL))" for c in ORD_COLS)}
-SELECT row_id, split, {", ".join(f"COALESCE(d_{c}.code, CAST(0 AS SMALLINT)) AS {c}" for c in ORD_COLS)}
+{", ".join(f"d_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) AS INTEGER) AS code FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM tr WHERE {c} IS NOT NULL))" for c in ORD_COLS)}
+SELECT row_id, split, {", ".join(f"COALESCE(d_{c}.code, CAST(0 AS INTEGER)) AS {c}" for c in ORD_COLS)}
 FROM t {" ".join(f"LEFT JOIN d_{c} ON CAST(t.{c} AS VARCHAR) = d_{c}.v" for c in ORD_COLS)}""")
 def enc_ordinal(spark, sf_dir):
     """Sorted train categories coded from 1 (0 = unknown/NULL) as smallint, applied to all rows."""
@@ -353,8 +353,8 @@ FACT_COLS = ["c_mktsegment", "o_orderpriority"]
 WITH {T},
 u AS (SELECT 0 AS part, row_id, {", ".join(FACT_COLS)} FROM t WHERE split = 'train'
       UNION ALL SELECT 1 AS part, row_id, {", ".join(FACT_COLS)} FROM t WHERE split = 'test'),
-{", ".join(f"d_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY first_key) - 1 AS SMALLINT) AS code FROM (SELECT CAST({c} AS VARCHAR) AS v, MIN(part * 100000000000 + row_id) AS first_key FROM u WHERE {c} IS NOT NULL GROUP BY 1))" for c in FACT_COLS)}
-SELECT row_id, split, {", ".join(f"COALESCE(d_{c}.code, CAST(-1 AS SMALLINT)) AS {c}" for c in FACT_COLS)}
+{", ".join(f"d_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY first_key) - 1 AS INTEGER) AS code FROM (SELECT CAST({c} AS VARCHAR) AS v, MIN(part * 100000000000 + row_id) AS first_key FROM u WHERE {c} IS NOT NULL GROUP BY 1))" for c in FACT_COLS)}
+SELECT row_id, split, {", ".join(f"COALESCE(d_{c}.code, CAST(-1 AS INTEGER)) AS {c}" for c in FACT_COLS)}
 FROM t {" ".join(f"LEFT JOIN d_{c} ON CAST(t.{c} AS VARCHAR) = d_{c}.v" for c in FACT_COLS)}""")
 def enc_factorize(spark, sf_dir):
     """Joint first-appearance codes over train then test (by row_id); NULL -> -1."""
@@ -367,7 +367,7 @@ def enc_factorize(spark, sf_dir):
 
 @register("enc_label", f"""
 WITH p AS ({PART_LIKE_SQL}),
-d AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS SMALLINT) AS code FROM (SELECT DISTINCT p_type AS v FROM p WHERE p_type IS NOT NULL))
+d AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT p_type AS v FROM p WHERE p_type IS NOT NULL))
 SELECT row_id, d.code AS p_type FROM p LEFT JOIN d ON p.p_type = d.v""")
 def enc_label(spark, sf_dir):
     """Label encoding (sorted, from 0) of part types."""
@@ -481,7 +481,7 @@ ctr AS (SELECT * FROM c WHERE split = 'train'),
 g AS (SELECT c_mktsegment AS key, CASE WHEN COUNT(o_totalprice) >= 10 THEN AVG(o_totalprice) END AS mean
       FROM ctr WHERE c_mktsegment IS NOT NULL GROUP BY 1),
 gl AS (SELECT AVG(o_totalprice) AS gmean FROM ctr),
-d AS (SELECT v, CAST(row_number() OVER (ORDER BY v) AS SMALLINT) AS code FROM (SELECT DISTINCT cc AS v FROM ctr))
+d AS (SELECT v, CAST(row_number() OVER (ORDER BY v) AS INTEGER) AS code FROM (SELECT DISTINCT cc AS v FROM ctr))
 SELECT c.row_id, c.split, {sql_round('c.c_acctbal')} AS c_acctbal,
   {_f('CASE WHEN c.o_totalprice IS NULL THEN NULL ELSE ln(1 + greatest(c.o_totalprice, 0.0)) END')} AS o_totalprice_log1p,
   {_f('CASE WHEN c.c_acctbal IS NULL THEN NULL ELSE ln(1 + greatest(c.c_acctbal, 0.0)) END')} AS c_acctbal_log1p,
@@ -490,7 +490,7 @@ SELECT c.row_id, c.split, {sql_round('c.c_acctbal')} AS c_acctbal,
   {_f('pow(c.avg_disc, 2.0)')} AS avg_disc_sq,
   {_f('c.o_totalprice * c.avg_disc')} AS o_totalprice_x_avg_disc,
   {_f('COALESCE(g.mean, gl.gmean)')} AS o_totalprice_by_c_mktsegment_mean,
-  COALESCE(d.code, CAST(0 AS SMALLINT)) AS o_orderpriority__c_mktsegment,
+  COALESCE(d.code, CAST(0 AS INTEGER)) AS o_orderpriority__c_mktsegment,
   {_f('cos(radians(c.delta)) * cos(radians(c.alpha))')} AS unit_x,
   {_f('cos(radians(c.delta)) * sin(radians(c.alpha))')} AS unit_y,
   {_f('sin(radians(c.delta))')} AS unit_z

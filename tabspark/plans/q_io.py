@@ -149,7 +149,7 @@ def _build_ledger(spark, sf_dir):
                 BL.blend_equal(RS.load_probs(spark, root, names, "test")),
                 {"train": "train_like", "cv_auc": sc["bal_acc"], "cv_logloss": sc["logloss"]}, {"strategy": "equal", "models": names})
     RS.log_run(root, {"exp_name": "ensemble_equal", "mean_cv_metric": sc["bal_acc"], "std_cv_metric": 0.0,
-                      "mean_logloss": sc["logloss"], "ensemble_models": names, "ensemble_strategy": "equal"}, spark)
+                      "n_folds": "—", "mean_logloss": sc["logloss"], "ensemble_models": names, "ensemble_strategy": "equal"}, spark)
     return root, RS.read_ledger(spark, root)
 
 
@@ -172,7 +172,8 @@ def io_ledger_ranks(spark, sf_dir):
     return t.select("exp_name", F.col("rank_metric").cast("int"), F.col("rank_logloss").cast("int"))
 
 
-@register("io_ledger_params")
+@register("io_ledger_params", "SELECT exp_name, param, value FROM (VALUES " + ", ".join(
+    f"('{run}', 'key', '{key}'), ('{run}', 'm', '5.0')" for run, key in RUNS.items()) + ") AS t(exp_name, param, value)")
 def io_ledger_params(spark, sf_dir):
     """The JSON parameters stored in the ledger rows as (exp_name, param, value) rows."""
     _, ledger = _build_ledger(spark, sf_dir)

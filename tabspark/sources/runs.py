@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from tabspark.functions.exprs import argmax_index
 from tabspark.operators.blend import collect_probs, explode_probs
-from tabspark.sources.dataset import read_text, write_text
+from tabspark.sources.dataset import path_exists, write_text
+
+# ledger columns that hold numbers; every other column is text
+LEDGER_NUMBERS = {"mean_cv_metric", "std_cv_metric", "mean_logloss", "std_logloss", "cv_auc", "cv_logloss", "seconds"}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    return read_text(spark, path) is not None
+    return path_exists(spark, path)
 
 
 # --------------------------------------------------------------------------- S8 / S10 / B6
@@ -101,16 +104,24 @@ def load_labels(spark: SparkSession, root: str, runs: Sequence[str], target: str
 
 # --------------------------------------------------------------------------- S7 / S17
 def log_run(root: str, record: dict, spark: SparkSession) -> None:
-    """Append one ledger row (append-only; new keys become new columns on read)."""
+    """Append one ledger row (append-only; new keys become new columns on read).
+
+    A column has one type whatever a record holds: ``LEDGER_NUMBERS`` are doubles, all others
+    strings (lists and dicts as JSON), so a placeholder in one row leaves the others readable."""
     rec = {"run_id": uuid.uuid4().hex, "date": datetime.datetime.now().strftime("%Y-%m-%d %H:%M"), **record}
-    fields = []
-    for k, v in rec.items():
-        t = "double" if isinstance(v, float) else "bigint" if isinstance(v, int) and not isinstance(v, bool) else "string"
-        fields.append(f"`{k}` {t}")
-    vals = tuple(json.dumps(v) if isinstance(v, (dict, list)) else v for v in rec.values())
+    fields = [f"`{k}` {'double' if k in LEDGER_NUMBERS else 'string'}" for k in rec]
+    vals = tuple(_ledger_number(v) if k in LEDGER_NUMBERS else _ledger_text(v) for k, v in rec.items())
     spark.createDataFrame([vals], ", ".join(fields)).write.mode("append").parquet(f"{root}/ledger")
 
 
+def _ledger_number(v):
+    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+
+
+def _ledger_text(v):
+    return v if v is None or isinstance(v, str) else json.dumps(v)
+
+
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(f"{root}/ledger")
 

@@ -15,10 +15,11 @@ from tabspark.operators.base import Model
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """A parquet table of ``folder`` as a file stream (schema taken from the batch read)."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder))
+    """A parquet table of ``folder``, one file or a directory of part files, as a file stream
+    (schema taken from the batch read)."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
 
 
 def apply_models(df: DataFrame, models: Sequence[Model]) -> DataFrame:
@@ -27,12 +28,12 @@ def apply_models(df: DataFrame, models: Sequence[Model]) -> DataFrame:
     return df
 
 
-def run_available(stream: DataFrame, sink_path: str, checkpoint_path: str, timeout_s: float = 600.0) -> DataFrame:
+def run_available(stream: DataFrame, sink_path: str, checkpoint_path: str, timeout_s: float | None = None) -> DataFrame:
     """Process everything available now into a parquet sink (exactly-once via the checkpoint), then
-    return the sink as a batch DataFrame."""
+    return the sink as a batch DataFrame.  A stream runs as long as it takes unless ``timeout_s`` is given."""
     q = (stream.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint_path)
          .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    q.awaitTermination() if timeout_s is None else q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
         raise TimeoutError("streaming query did not finish")

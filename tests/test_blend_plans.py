@@ -25,11 +25,10 @@ def test_equal_blend_rows_sum_to_one(spark):
     assert all(abs(r[1] - 1) < 1e-12 for r in sums)
 
 
-def test_optimised_not_worse_than_singles_and_paths_agree(spark):
+def test_optimised_not_worse_than_singles_and_says_whether_it_converged(spark):
     long, lab = _probs(spark)
-    local = BL.optimise_weights(long, lab, max_iter=300, tol=1e-9)
-    dist = BL.optimise_weights(long, lab, max_iter=300, tol=1e-9, local_max_rows=0)
-    assert np.allclose(local.weights, dist.weights, atol=1e-7)
+    local = BL.optimise_weights(long, lab, tol=1e-7)
+    assert local.converged and not BL.optimise_weights(long, lab, tol=1e-7, max_iter=2).converged
     singles = {r.run: r.logloss for r in EV.log_loss(long, lab).collect()}
     eq = EV.log_loss(BL.blend_equal(long).withColumn("run", __import__("pyspark.sql.functions", fromlist=["x"]).lit("eq")), lab).first().logloss
     # EM stops when the log-loss moves < tol per step; near a vertex optimum the remaining gap

@@ -17,7 +17,7 @@ def test_direct_and_refined_paths_are_exact(spark):
     pdf, df = _frame(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     expect = {(g, q): s.dropna().quantile(q) for g, s in pdf.groupby("g")["v"] for q in probs}
-    for kw in ({}, {"direct_max_rows": 0, "buckets": 8, "finish_rows": 5}):
+    for kw in ({}, {"buckets": 8, "finish_rows": 5}):
         got = {(r.g, r.q): r.value for r in group_quantiles(df, "v", probs, ["g"], **kw).collect()}
         for k, v in expect.items():
             assert abs(got[k] - v) < 1e-9, (kw, k, got[k], v)
@@ -25,7 +25,7 @@ def test_direct_and_refined_paths_are_exact(spark):
 
 def test_global_quantiles_and_constant_group(spark):
     df = spark.createDataFrame([(1.0,)] * 50 + [(2.0,)], "v double")
-    got = {r.q: r.value for r in group_quantiles(df, "v", [0.5, 1.0], direct_max_rows=0, buckets=4, finish_rows=1).collect()}
+    got = {r.q: r.value for r in group_quantiles(df, "v", [0.5, 1.0], buckets=4, finish_rows=1).collect()}
     assert got == {0.5: 1.0, 1.0: 2.0}
 
 

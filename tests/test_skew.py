@@ -37,8 +37,7 @@ def test_group_quantile_of_hot_group_uses_bounded_path(spark):
     from tabspark.operators.quantile import group_quantiles
 
     df = _hot(spark)
-    got = {(r.g, r.q): r.value for r in group_quantiles(df, "v", [0.5, 0.9], ["g"], direct_max_rows=100,
-                                                         buckets=16, finish_rows=50).collect()}
+    got = {(r.g, r.q): r.value for r in group_quantiles(df, "v", [0.5, 0.9], ["g"], buckets=16, finish_rows=50).collect()}
     pdf = df.toPandas()
     for (g, q), v in got.items():
         assert abs(v - np.quantile(pdf.loc[pdf.g == g, "v"], q)) < 1e-9
