@@ -6,11 +6,11 @@ bins and keeps the least hash of each; an empty bin takes the value of the first
 order of its own (optimal densification).  ``rows`` bins make a band key, and documents with a common band key share a
 bucket; at a similarity of 0.8 two documents share none with a probability of (1 - 0.8**6)**40 = 5e-6.
 
-In a bucket only star edges, from a centre to the others, become candidates, so a round makes no more
-of them than there are bucket members for each centre.  Links are confirmed on the full sets.  A link between two members that were
-not centres would be lost so; therefore a bucket stays open while those of its members that have not been centres are of several
-components, and gets new centres among them, round after round (members of one component need no edge).  So every
-two members of a bucket end up compared or in one component, and no bucket is capped.
+In a bucket only star edges, from one centre to the others, become candidate pairs, so there are no more of them
+than bucket members.  Links are confirmed on the full sets.  A link between two members that are not centres would be
+lost so, where neither is linked to the centre.  Therefore the buckets whose members are still of several components are put together by centre, and in such a
+group everything outside its largest component is compared with the whole group, block by block, inside tasks (``across``).  So every two members of a
+bucket end up compared or in one component; no bucket is capped, and no rows are made for pairs.
 
 Defined cases: a NULL or empty text, or one without words, has the empty set and is linked with nothing; repeated rows and rows
 with equal id are one node of the graph; a NULL id is a component of its own (NULL); an empty table gives an empty result; other columns are not read.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm import bloom
@@ -31,7 +31,7 @@ from tabspark.llm.files import prepare, saved
 from tabspark.llm.words import NOT_SPACE, U64, blocks, combine, hash_words, mix
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 40, 6, 80
-CENTRES = 16  # new centres in a bucket and round; further rounds do the rest
+BLOCK = 500  # members that a task holds of either side when two components of a group are compared
 
 
 def shingle_sets(column, width: int) -> Iterator[np.ndarray]:
@@ -134,80 +134,94 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "of_a", "of_b").mapInArrow(overlap, "a long, b long")
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, centres_per_round: int = CENTRES) -> DataFrame:
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Per document: ``key``, n_shingles, class_id (smallest id of those with the same set), component_id, kept."""
     prepare(docs.sparkSession)
     sketched = saved(sketches(docs, key, text, width, bands, rows), "sketches")
-    same = sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("class_id"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
+    same = sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     classes = saved(same, "set-classes")
-
-    # members of buckets that hold at least two classes; the Bloom filter leaves the keys of one class unshuffled
-    ones = sketched.join(classes.where("copies > 1").select("set_a", "set_b", "class_id"), ["set_a", "set_b"], "left").where("n_shingles > 0 AND (class_id IS NULL OR class_id <=> id)")
-    keyed = ones.select(F.col("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket")).where("id IS NOT NULL")
-    keyed = saved(keyed, "band-keys")
-    h = F.xxhash64("bucket")
-    marked = bloom.tested(keyed, bloom.repeated(keyed, h, keyed.count()), h, "maybe").where("maybe").drop("maybe").distinct()
-    marked = saved(marked, "bucket-candidates")
-    shared = saved(marked.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
-    members = saved(marked.join(shared, "bucket"), "bucket-members")
-
-    # the first centre is the member with the least hash, the same in every bucket: near copies share it in most of theirs
-    rank = F.struct(F.xxhash64(F.lit(1), "id"), F.col("id"), F.col("n"))
-    centres = members.groupBy("bucket").agg(F.min(rank).alias("centre")).select("bucket", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n"))
-    centres = saved(centres.withColumn("centre_component", F.col("centre")), "centres")
-    sets = _sets_of(docs, members.select("id"), key, text, width)
-    left = members.withColumn("component", F.col("id"))  # members that have not been a centre
-    labels = saved(members.select("id", F.col("id").alias("component")).distinct(), "labels")
-    tested_pairs = None
-    while not centres.isEmpty():
-        edges = left.join(centres, "bucket").where(f"component != centre_component AND least(n, centre_n) * 100 >= greatest(n, centre_n) * {percent}")
-        pairs = edges.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        if tested_pairs is not None:
-            pairs = pairs.join(tested_pairs, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "candidate-pairs")
-        found = saved(confirmed(pairs, sets, percent), "confirmed")
-        if not found.isEmpty():
-            labels = _merged(labels, found)
-        tested_pairs = pairs if tested_pairs is None else saved(tested_pairs.unionAll(pairs), "tested-pairs")
-        served = left.join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti").drop("component")
-        now = served.join(labels, "id")
-        # a bucket is open while those that have not been centres are of several components
-        mixed = now.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-        mixed = saved(mixed, "open-buckets")
-        left = saved(now.join(mixed, "bucket"), "open-members")
-        # next: one member of each component but the largest, at most ``centres_per_round`` in a bucket
-        pick = F.min(F.struct(F.xxhash64("bucket", "id"), F.col("id"), F.col("n")))
-        each = left.groupBy("bucket", "component").agg(F.count("*").alias("size"), pick.alias("centre"))
-        order = Window.partitionBy("bucket").orderBy("size", "component")
-        each = each.select("*", F.row_number().over(order).alias("rank"), F.lead("component").over(order).isNull().alias("largest"))
-        centres = each.where(F.col("rank") <= centres_per_round).where("NOT largest").select("bucket", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n"), F.col("component").alias("centre_component"))
-        centres = saved(centres, "centres")
-
-    of_class = classes.join(labels, classes["class_id"] == labels["id"], "left").select("set_a", "set_b", "class_id", "copies", F.coalesce("component", "class_id").alias("component"))
-    several = saved(of_class.where("copies > 1 OR component != class_id").drop("copies"), "resolved-classes")
-    narrow = sketched.drop("keys")
-    maybe, rest = bloom.split(narrow, several, ["set_a", "set_b"])
+    copied = saved(classes.where("copies > 1").select("set_a", "set_b", "class_id"), "copied-sets")
+    maybe, alone = bloom.split(sketched.where("n_shingles > 0 AND id IS NOT NULL"), copied, ["set_a", "set_b"])
+    first = maybe.join(copied, ["set_a", "set_b"], "left").where("class_id IS NULL OR class_id = id")
+    ones = first.select("id", "n_shingles", "keys").unionByName(alone.select("id", "n_shingles", "keys"))
+
+    # members of buckets that hold at least two classes; a Bloom filter leaves the other band keys unshuffled
+    keyed = ones.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
+    shared = saved(keyed.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
+    members = saved(bloom.split(keyed, shared, "bucket")[0].join(shared, "bucket"), "bucket-members")
+    wanted = saved(members.select("id").distinct(), "bucket-ids")
+    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    # full sets are made anew from the texts; a row that the filter lets through without need is not joined later
+    sets = saved(full_sets(bloom.split(source, wanted, "id")[0], "id", "text", width), "full-sets")
+
+    # the centre is the member with the least hash, the same in every bucket: near copies share it in most of theirs
+    centres = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id"), F.col("id"), F.col("n"))).alias("c"))
+    centres = saved(centres.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")), "centres")
+    starred = saved(members.join(centres, "bucket").where("id != centre"), "stars")
+    edges = starred.where(f"least(n, centre_n) * 100 >= greatest(n, centre_n) * {percent}")
+    pairs = saved(edges.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "candidate-pairs")
+    labels = components(saved(confirmed(pairs, sets, percent), "confirmed"))
+
+    # buckets whose members, apart from the centre, are of several components
+    now = starred.join(labels, "id", "left").select("bucket", "centre", "id", F.coalesce("component", "id").alias("component"))
+    mixed = now.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
+    mixed = saved(mixed, "open-buckets")
+    group = saved(now.join(mixed, "bucket").select("centre", "id", "component").distinct(), "open-groups")
+    more = saved(across(group, sets, percent, block), "links-across").select("of_a", "of_b").distinct()
+    merged = components(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("id").alias("of"), F.col("component").alias("becomes"))
+
+    of_class = classes.join(labels, classes["class_id"] == labels["id"], "left").select("set_a", "set_b", "class_id", "copies", F.coalesce("component", "class_id").alias("of"))
+    of_class = of_class.join(merged, "of", "left").withColumn("component", F.coalesce("becomes", "of"))
+    several = saved(of_class.where("copies > 1 OR component != class_id").select("set_a", "set_b", "class_id", "component"), "resolved-classes")
+    maybe, rest = bloom.split(sketched.drop("keys"), several, ["set_a", "set_b"])
     out = maybe.join(several, ["set_a", "set_b"], "left").select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     out = out.unionByName(rest.select("id", "n_shingles", F.col("id").alias("class_id"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(key), "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """``labels`` after the components that the confirmed links join are made one."""
-    a, b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b"))
-    joins = found.join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    merged = components(joins).withColumnRenamed("id", "of").withColumnRenamed("component", "becomes")
-    out = labels.join(merged, labels["component"] == merged["of"], "left")
-    return saved(out.select("id", F.coalesce("becomes", labels["component"]).alias("component")), "labels")
-
-
-def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Full sets of the documents that share a bucket with another, made anew from their texts."""
-    wanted = saved(ids.distinct(), "bucket-ids")
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    maybe, _ = bloom.split(source, wanted, "id")
-    sets = full_sets(maybe, "id", "text", width).join(wanted, "id", "left_semi")
-    return saved(sets.dropDuplicates(["id"]), "full-sets")
+def across(group: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between components within groups (centre, id, component): (of_a, of_b), a link for each member and component it reaches.
+
+    Every member outside a group's largest component meets every member of the group.  Both sides are dealt to blocks
+    of about ``block`` members, and a task compares one block with another by counting, for each member of the one, how many
+    shingles each member of the other has in common; pairs are never rows, and a task holds two blocks whatever the group's size."""
+    per = group.groupBy("centre", "component").agg(F.count("*").alias("n"))
+    info = per.groupBy("centre").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main"))
+    info = saved(info.select("centre", "size", F.col("main.component").alias("main"), (F.col("size") - F.col("main.n")).alias("outside")), "group-sizes")
+    known = group.join(info, "centre")
+    known = known.withColumns({"blocks": F.ceil(F.col("outside") / block), "chunks": F.ceil(F.col("size") / block)})
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outside = known.where("component != main").select("centre", "id", "component", F.lit(True).alias("outside"), deal(1, "blocks").alias("r"), every("chunks").alias("c"))
+    inside = known.select("centre", "id", "component", F.lit(False).alias("outside"), deal(2, "chunks").alias("c"), every("blocks").alias("r"))
+    rows = outside.unionByName(inside).join(sets, "id")
+
+    def meet(table: pa.Table) -> pa.Table:
+        out = table["outside"].to_numpy()
+        component = table["component"].to_numpy()
+        lists = table["shingles"].combine_chunks()
+        offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        of = lambda k: flat[offs[k] : offs[k + 1]]
+        these, those = np.flatnonzero(out), np.flatnonzero(~out)
+        links = []
+        if len(these) and len(those):
+            sizes = np.array([len(of(k)) for k in these])
+            owner = np.repeat(np.arange(len(these)), sizes)
+            shingles = np.concatenate([of(k) for k in these])
+            order = np.argsort(shingles, kind="stable")
+            shingles, owner = shingles[order], owner[order]
+            for k in those:
+                own = of(k)
+                lo, hi = np.searchsorted(shingles, own), np.searchsorted(shingles, own, side="right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+                common = np.bincount(owner[at], minlength=len(these))
+                hit = (100 * common >= percent * (sizes + len(own) - common)) & (component[these] != component[k])
+                links += [(int(c), int(component[k])) for c in np.unique(component[these[hit]])]
+        a, b = zip(*set(links)) if links else ((), ())
+        return pa.table({"of_a": pa.array(a, pa.int64()), "of_b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("centre", "r", "c").applyInArrow(meet, "of_a long, of_b long")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

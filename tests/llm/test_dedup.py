@@ -76,8 +76,8 @@ def plain_near(docs, width, percent):
     return {k: (len(sets[k]), find(k)) for k in sets}
 
 
-@pytest.mark.parametrize("centres", [1, 16])
-def test_near_dedup_against_plain(rows, centres):
+@pytest.mark.parametrize("block", [2, 500])
+def test_near_dedup_against_plain(rows, block):
     docs, k = [], 0
     for seed in range(12):
         base = text_of(seed, 30 + 25 * seed).split()
@@ -89,7 +89,7 @@ def test_near_dedup_against_plain(rows, centres):
             k += 1
     docs += [(k, None), (k + 1, ""), (k + 2, " \n "), (k + 3, "one two"), (k + 4, "ONE\ttwo"), (k + 5, "one two three"), (k + 6, "one"), (k + 7, "long " * 20000)]
     table = rows("doc_id long, text string, n int, bucket string", *((a, b, 1, "z") for a, b in docs))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.cluster(table, width=4, centres_per_round=centres).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.cluster(table, width=4, block=block).collect()}
     assert got == plain_near(docs, 4, 80)
     kept = near_dedup.drop_near_copies(table, width=4)
     assert kept.columns == table.columns
