@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,18 +80,17 @@ class BlendWeights:
     logloss: float
 
 
-def optimise_weights(oof: DataFrame, labels: DataFrame, tol: float = 1e-7, max_iter: int | None = None) -> BlendWeights:
-    """Convex mixture weights minimising OOF log-loss, by EM.
+def optimise_weights(oof: DataFrame, labels: DataFrame, tol: float = 1e-10, max_iter: int | None = None) -> BlendWeights:
+    """Convex mixture weights minimising OOF log-loss, by projected Newton steps.
 
-    The objective ``-mean log(sum_m w_m p_m,y)`` is convex in ``w`` on the simplex; the
-    EM step ``w_m <- mean_i(w_m p_m,y_i / sum_j w_j p_j,y_i)`` never increases it and
-    reaches the same optimum as the original simplex search.  Rows must already sum to 1
-    (apply ``renorm``).  Each iteration is one aggregate over the cached true-class
-    probabilities, giving both the update and the log-loss of the current weights; the
-    weights are literals, so lineage stays flat and the driver holds one number a run.
-    Stops when the log-loss changes by less than ``tol`` between iterations;
-    ``converged`` is False only when ``max_iter``, if given, stopped it before.
-    Identical true-class vectors are merged first (exact).
+    ``-mean log(sum_m w_m p_m,y)`` on the simplex has the same optimum as that plus
+    ``sum_m w_m`` over ``w >= 0``, which is convex and smooth.  Each step is one aggregate over the cached
+    true-class probabilities (loss, gradient and Hessian: a few sums a pair of runs), so the driver holds
+    runs x runs numbers and a handful of passes suffices; weights are literals and lineage stays flat.  The step solves
+    the quadratic model under ``w >= 0`` and is halved while the loss rises.  Ends when the optimality conditions
+    (gradient 0 where ``w > 0``, not negative elsewhere) hold to ``tol``, or when no step lowers the loss any more;
+    ``converged`` is False only when ``max_iter``, if given, stopped it before.  Rows must already sum to 1
+    (apply ``renorm``).  Identical true-class vectors are merged first (exact).
     """
     runs = sorted(r["run"] for r in oof.select("run").distinct().collect())
     m = len(runs)
@@ -99,25 +99,55 @@ def optimise_weights(oof: DataFrame, labels: DataFrame, tol: float = 1e-7, max_i
     t = pivot.select(F.array(*[F.coalesce(F.col(f"`{r}`"), F.lit(0.0)) for r in runs]).alias("t"))
     t = t.groupBy("t").agg(F.count("*").cast("double").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
 
-    w, prev = [1.0 / m] * m, None
-    it, converged = 0, False
-    while not converged and (max_iter is None or it < max_iter):
-        it += 1
-        mix = sum((F.lit(w[k]) * F.col("t")[k] for k in range(m)), F.lit(0.0))
-        loss = -F.col("c") * F.log(F.least(F.greatest(mix, F.lit(EPS)), F.lit(1 - EPS)))
-        row = t.agg(*[F.sum(F.col("c") * F.lit(w[k]) * F.col("t")[k] / mix).alias(f"w{k}") for k in range(m)],
-                    F.sum(loss).alias("ll"), F.sum("c").alias("n")).first()
-        cur = row["ll"] / row["n"]
-        new = [row[f"w{k}"] for k in range(m)]
-        s = sum(new)
-        w = [x / s for x in new]
-        converged = prev is not None and abs(cur - prev) < tol
-        prev = cur
-    mix = sum((F.lit(w[k]) * F.col("t")[k] for k in range(m)), F.lit(0.0))
-    loss = -F.col("c") * F.log(F.least(F.greatest(mix, F.lit(EPS)), F.lit(1 - EPS)))
-    last = t.agg(F.sum(loss).alias("s"), F.sum("c").alias("n")).first()
+    def evaluate(w):
+        """(objective, mean log-loss, gradient, Hessian) at the weights."""
+        mix = F.greatest(sum((F.lit(float(w[k])) * F.col("t")[k] for k in range(m)), F.lit(0.0)), F.lit(EPS))
+        d = t.select("c", mix.alias("mix"), *[(F.col("t")[k] / mix).alias(f"u{k}") for k in range(m)])
+        row = d.agg(
+            F.sum("c").alias("n"), F.sum(-F.col("c") * F.log("mix")).alias("f"),
+            F.sum(-F.col("c") * F.log(F.least(F.col("mix"), F.lit(1 - EPS)))).alias("ll"),
+            *[F.sum(F.col("c") * F.col(f"u{k}")).alias(f"g{k}") for k in range(m)],
+            *[F.sum(F.col("c") * F.col(f"u{i}") * F.col(f"u{j}")).alias(f"h{i}_{j}") for i in range(m) for j in range(i, m)],
+        ).first()
+        n = row["n"]
+        g = np.array([1 - row[f"g{k}"] / n for k in range(m)])
+        h = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] / n for j in range(m)] for i in range(m)])
+        return row["f"] / n + float(sum(w)), row["ll"] / n, g, h
+
+    w = np.full(m, 1.0 / m)
+    value, loss, g, h = evaluate(w)
+    it, converged, stuck = 1, False, False
+    while not (converged or stuck) and (max_iter is None or it < max_iter):
+        step, share = _bounded_step(w, g, h), 1.0
+        while True:
+            trial = np.maximum(w + share * step, 0.0)
+            new = evaluate(trial)
+            it += 1
+            if new[0] <= value + 1e-15:
+                break
+            share /= 2
+            if share < 1e-10:  # rounding hides any further descent
+                stuck = True
+                break
+        if not stuck:
+            w, (value, loss, g, h) = trial, new
+        converged = stuck or bool(np.abs(np.minimum(w, g)).max() < tol)
     t.unpersist()
-    return BlendWeights(runs, w, it, converged, last["s"] / last["n"])
+    return BlendWeights(runs, [float(x) for x in w / w.sum()], it, converged, loss)
+
+
+def _bounded_step(w: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The step d that minimises g d + d h d / 2 with w + d >= 0, one coordinate after another."""
+    d = np.zeros(len(w))
+    h = h + np.eye(len(w)) * 1e-12 * max(1.0, np.trace(h))
+    for _ in range(20_000):
+        most = 0.0
+        for k in range(len(w)):
+            to = max(-w[k], d[k] - (g[k] + h[k] @ d) / h[k, k])
+            most, d[k] = max(most, abs(to - d[k])), to
+        if most < 1e-14:
+            break
+    return d
 
 
 def blend(long: DataFrame, strategy: str, weights: dict[str, float] | None = None) -> DataFrame:

@@ -19,7 +19,8 @@ def stream_table(spark: SparkSession, folder: str, name: str, max_files_per_trig
     (schema taken from the batch read)."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+    # the glob matches the table itself, file or directory, so either is read as the stream's input
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(f"{folder.rstrip('/')}/{name}.parque[t]")
 
 
 def apply_models(df: DataFrame, models: Sequence[Model]) -> DataFrame:
