@@ -13,7 +13,9 @@ number of words, fitted on training rows that the counts were not taken from, ma
 
 Counting is a Spark job over the training rows; the counts are grouped before the shuffle.  The labelled rows to learn
 from are bounded: at most about ``max_rows`` of each class, chosen by a hash of their id (a Bernoulli sample;
-all if there are fewer).  Scoring covers every row and whole texts.
+all if there are fewer).  Where that keeps the classes at different rates, the rows of the curve weigh 1 / rate of their class, and so do the
+counts that the shared model pools, so the scores have the level of all labelled rows, whatever ``max_rows`` is.  Scoring
+covers every row and whole texts.
 
 Defined cases: NULL and empty texts and texts without words have the evidence 0 and get the score of the prior; without labelled rows of both
 classes every score is 0.5 or the only label; a row labelled more than once counts as toxic if any label says so; NULL labels and NULL ids are
@@ -72,35 +74,41 @@ class Level:
     totals: list[np.ndarray]
     discounts: list[tuple[float, float, float]]
     weights: list[np.ndarray]
+    scale: np.ndarray | None  # of the last counts: what an observation of each run stands for, if not one
 
     @classmethod
-    def of(cls, runs: np.ndarray, counts: list[np.ndarray]) -> Level:
+    def of(cls, runs: np.ndarray, counts: list[np.ndarray], scale: np.ndarray | None = None) -> Level:
         order = np.argsort(runs)
         runs, counts = runs[order], [c[order].astype(np.float64) for c in counts]
+        scale = None if scale is None else scale[order]
         contexts, first = np.unique(runs >> U64(8), return_index=True)
         group = np.append(first, len(runs))
         totals, discounts, weights = [], [], []
-        for c in counts:
+        for k, c in enumerate(counts):
             ones, twos, threes, fours = (max(1, int((c == k).sum())) for k in (1, 2, 3, 4))
             y = ones / (ones + 2 * twos)
             # modified Kneser-Ney discounts of counts 1, 2 and more, kept inside their ranges
-            d = tuple(float(np.clip(x, 0.1, k - 0.05)) for k, x in ((1, 1 - 2 * y * twos / ones), (2, 2 - 3 * y * threes / twos), (3, 3 - 4 * y * fours / threes)))
-            total = row_sums(c, group)
-            gone = d[0] * row_sums((c == 1) * 1.0, group) + d[1] * row_sums((c == 2) * 1.0, group) + d[2] * row_sums((c >= 3) * 1.0, group)
+            d = tuple(float(np.clip(x, 0.1, upto - 0.05)) for upto, x in ((1, 1 - 2 * y * twos / ones), (2, 2 - 3 * y * threes / twos), (3, 3 - 4 * y * fours / threes)))
+            # what is discounted depends on the observations, what it stands for on the scale
+            each = 1.0 if scale is None or k < len(counts) - 1 else scale
+            total = row_sums(c * each, group)
+            gone = d[0] * row_sums((c == 1) * each, group) + d[1] * row_sums((c == 2) * each, group) + d[2] * row_sums((c >= 3) * each, group)
             totals.append(total)
             discounts.append(d)
             weights.append(np.where(total > 0, gone / np.maximum(total, 1), 1.0))
-        return cls(runs, counts, contexts, totals, discounts, weights)
+        return cls(runs, counts, contexts, totals, discounts, weights, scale)
 
     def probability(self, k: int, codes: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """P(last byte | the others) by model ``k``, interpolated with ``lower``."""
-        c = self.counts[k][self._find(self.runs, codes)] * (self._found(self.runs, codes))
+        here = self._find(self.runs, codes)
+        c = self.counts[k][here] * (self._found(self.runs, codes))
         at, known = self._find(self.contexts, codes >> U64(8)), self._found(self.contexts, codes >> U64(8))
         d = self.discounts[k]
         taken = np.where(c == 0, 0.0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
         total = self.totals[k][at]
         known = known & (total > 0)
-        return np.where(known, np.maximum(c - taken, 0) / np.maximum(total, 1) + self.weights[k][at] * lower, lower)
+        each = self.scale[here] if self.scale is not None and k == len(self.counts) - 1 else 1.0
+        return np.where(known, np.maximum(c - taken, 0) * each / np.maximum(total, 1) + self.weights[k][at] * lower, lower)
 
     def apart(self, k: int, codes: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """P(last byte | the others) by class ``k``, backed off to the ``shared`` model of the same order."""
@@ -168,22 +176,23 @@ def _evidence(source: DataFrame, models) -> DataFrame:
     return source.mapInArrow(score, f"{kinds}, evidence double, words long")
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int) -> DataFrame:
-    """(id, text, y, share): a bounded sample of the training rows; share, a hash of the id, is uniform on [0, 1)."""
+def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int) -> tuple[DataFrame, tuple[float, float]]:
+    """(id, text, y, share): a bounded sample of the training rows; share, a hash of the id, is uniform on [0, 1).
+    With it, how many rows one of the sample stands for, if it is ordinary and if it is toxic."""
     ys = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     n = {r["y"]: r["count"] for r in ys.groupBy("y").count().collect()}
     uniform = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.when(F.col("y") == 1, min(1.0, max_rows / max(1, n.get(1, 0)))).otherwise(min(1.0, max_rows / max(1, sum(v for k, v in n.items() if k != 1))))
-    chosen = saved(ys.where(uniform(1) < rate).withColumn("share", uniform(2)), "label-sample")
+    toxic, ordinary = (min(1.0, max_rows / max(1, m)) for m in (n.get(1, 0), sum(v for k, v in n.items() if k != 1)))
+    chosen = saved(ys.where(uniform(1) < F.when(F.col("y") == 1, toxic).otherwise(ordinary)).withColumn("share", uniform(2)), "label-sample")
     # at most about 2 * max_rows rows of 20 bytes
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id"), (1 / ordinary, 1 / toxic)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, order: int = ORDER) -> Toxicity:
     """``labels`` holds the rows that may be learnt from."""
     spark = docs.sparkSession
     prepare(spark)
-    sample = _labelled(docs, labels, key, text, label, max_rows)
+    sample, stands_for = _labelled(docs, labels, key, text, label, max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,25 +218,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     levels = [Level.of(t["run"].to_numpy().view(U64), [t["kinds"].to_numpy()]) for t in arrays]
     last = top.toArrow()
     toxic, ordinary = last["toxic"].to_numpy(), last["ordinary"].to_numpy()
-    levels.append(Level.of(last["run"].to_numpy().view(U64), [toxic, ordinary, toxic + ordinary]))
+    pooled, of_ordinary, of_toxic = toxic + ordinary, *(w / min(stands_for) for w in stands_for)
+    scale = None if of_ordinary == of_toxic else (toxic * of_toxic + ordinary * of_ordinary) / pooled
+    levels.append(Level.of(last["run"].to_numpy().view(U64), [toxic, ordinary, pooled], scale))
     models = ClassModels(levels)
 
     shared = spark.sparkContext.broadcast(models)
     seen = _evidence(sample.where(F.col("share") < CALIBRATION).select("id", "text", "y"), shared).select("y", "evidence", "words").toArrow()
     mean, words = seen["evidence"].to_numpy(), seen["words"].to_numpy()
     x = np.column_stack([mean, np.sign(mean) * np.log1p(np.abs(mean) * words), np.log1p(words), np.ones(seen.num_rows)])
-    return Toxicity(models, logistic_curve(x, seen["y"].to_numpy().astype(float)))
+    y = (seen["y"].to_numpy() == 1).astype(float)
+    return Toxicity(models, logistic_curve(x, y, np.where(y == 1, stands_for[1], stands_for[0])))
 
 
-def logistic_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> tuple[float, ...]:
-    """Newton steps for a logistic regression with a little ridge; x: a handful of columns."""
+def logistic_curve(x: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> tuple[float, ...]:
+    """Newton steps for a logistic regression with a little ridge; x: a handful of columns; each row counts ``times``."""
     w = np.zeros(x.shape[1])
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9) if len(x) else np.ones(x.shape[1])
     z = x / scale
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = z.T @ (z * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, z.T @ (y - p) - ridge * w)
+        hessian = z.T @ (z * (times * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, z.T @ (times * (y - p)) - ridge * w)
         w += np.clip(step, -5, 5)
     return tuple((w / scale).tolist())
 

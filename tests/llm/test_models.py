@@ -149,6 +149,27 @@ def test_toxicity_finds_held_out_rows(rows):
     assert len({r.score for r in got if r.doc_id == 901}) == 1
 
 
+def test_toxicity_level_does_not_depend_on_the_sample(rows):
+    # a label that the text tells nothing of, on one row in eleven: the scores are its rate
+    docs = [(k, text_of(k % 500, 12)) for k in range(6600)]
+    table = rows("doc_id long, text string", *docs)
+    labels = rows("doc_id long, toxic int", *((k, int(k % 11 == 0)) for k, _ in docs))
+    for max_rows in (6600, 500):
+        got = [r.score for r in toxicity.score(table, toxicity.fit(table, labels, max_rows=max_rows)).select("score").collect()]
+        assert 0.06 < np.mean(got) < 0.14
+
+
+def test_scaled_counts_are_a_distribution():
+    kinds, toxic, ordinary = np.arange(97, 105, dtype=np.uint64), np.array([3, 0, 1, 2, 0, 1, 4, 9]), np.array([0, 2, 1, 5, 1, 0, 3, 9])
+    plain = toxicity.Level.of(kinds, [toxic, ordinary, toxic + ordinary])
+    codes, flat = np.arange(256, dtype=np.uint64), np.full(256, 1 / 256)
+    scaled = toxicity.Level.of(kinds, [toxic, ordinary, toxic + ordinary], (toxic + 8.0 * ordinary) / (toxic + ordinary))
+    p, q = plain.probability(2, codes, flat), scaled.probability(2, codes, flat)
+    assert q.sum() == pytest.approx(1) and q[97] < p[97] and q[98] > p[98]
+    even = toxicity.Level.of(kinds, [toxic, ordinary, toxic + ordinary], np.full(8, 8.0))
+    assert even.probability(2, codes, flat) == pytest.approx(p)
+
+
 def test_toxicity_without_both_classes_or_rows(rows):
     table = rows("doc_id long, text string", (1, "a b"), (2, None))
     for labels, want in (([], 0.5), ([(1, 0)], 0.0), ([(1, 1)], 1.0)):
