@@ -14,7 +14,7 @@ Test windows are taken in blocks of ``BLOCK_WINDOWS``, each of a bounded size, s
 
 Defined cases: NULL and empty texts, and texts without words, have n_words 0 and no hits; items without words have no window; an item
 shorter than ``window`` is one window; repeated items and items that share windows count by their distinct item_id; a NULL item_id is ignored in the
-list of items but its windows hit; repeated documents are matched each; an empty table gives no rows, an empty benchmark no
+list of items but its windows hit; documents are matched row by row, repeated ones and those without an id too; an empty table gives no rows, an empty benchmark no
 hits; other columns are not read.
 """
 
@@ -36,17 +36,21 @@ BLOCK_WINDOWS = 200_000  # windows matched at a time: 8 bytes a word, 16 MB
 CHUNK = 1 << 20  # places looked at together
 GAP = 64  # free positions between documents; no phrase of more words is searched for
 
-SEGMENT = "ids binary, starts binary, n_words binary, terms binary, counts binary, positions binary"
+SEGMENT = "first long, ids binary, known binary, starts binary, n_words binary, terms binary, counts binary, positions binary"
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a segment; arrays are little-endian (ids and terms 8 bytes, the others 4)."""
+    """One row a segment: the number of its first document, unique over all segments, and arrays, little-endian (ids and
+    terms 8 bytes, known, whether there is an id, 1, the others 4)."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids = batch["id"].to_numpy(zero_copy_only=False)
+            ids, known = batch["id"].fill_null(0).to_numpy(), batch["id"].is_valid().to_numpy(zero_copy_only=False)
             for block in blocks(batch["text"], 2 * BLOCK_BYTES):
                 h, _, _, first = hash_words(block, ALNUM)
                 n_words = np.diff(first)
@@ -54,10 +58,11 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 places = np.arange(len(h)) + GAP * np.repeat(np.arange(block.rows), n_words)
                 order = np.argsort(h, kind="stable")
                 terms, counts = np.unique(h[order], return_counts=True)
-                own = [ids[block.lo : block.hi].astype("<i8"), starts.astype("<u4"), n_words.astype("<u4"), terms.astype("<u8"), counts.astype("<u4"), places[order].astype("<u4")]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in own], ["ids", "starts", "n_words", "terms", "counts", "positions"])
+                own = [ids[block.lo : block.hi].astype("<i8"), known[block.lo : block.hi].astype("u1"), starts.astype("<u4"), n_words.astype("<u4"), terms.astype("<u8"), counts.astype("<u4"), places[order].astype("<u4")]
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in own)], ["first", "ids", "known", "starts", "n_words", "terms", "counts", "positions"])
+                row += block.rows
 
-    return saved(source.where("id IS NOT NULL").mapInArrow(index, SEGMENT), "positional-index", compression="zstd")
+    return saved(source.mapInArrow(index, SEGMENT), "positional-index", compression="zstd")
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -84,8 +89,9 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", win
 class Segment:
     """A segment's postings."""
 
-    def __init__(self, row: dict[str, bytes]):
-        kinds = {"ids": "<i8", "starts": "<u4", "n_words": "<u4", "terms": "<u8", "counts": "<u4", "positions": "<u4"}
+    def __init__(self, row: dict):
+        self.first = row["first"]
+        kinds = {"ids": "<i8", "known": "u1", "starts": "<u4", "n_words": "<u4", "terms": "<u8", "counts": "<u4", "positions": "<u4"}
         for name, kind in kinds.items():
             setattr(self, name, np.frombuffer(row[name], kind))
         self.starts = self.starts.astype(np.int64)
@@ -179,7 +185,7 @@ def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, within: i
     if window > GAP:
         raise ValueError(f"windows of more than {GAP} words are not supported")
     spark = index.sparkSession
-    schema = "id long, n_words long, hits array<struct<at: int, words: int, item: string>>"
+    schema = "row long, id long, n_words long, hits array<struct<at: int, words: int, item: string>>"
     hit_type = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.int32()), ("item", pa.string())]))
     parts = []
     for block in _window_blocks(windows, window, block_windows):
@@ -202,16 +208,17 @@ def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, within: i
                     for lo in range(0, len(own.ids), 1000):
                         hi = min(lo + 1000, len(own.ids))
                         hits = pa.ListArray.from_arrays(pa.array(ends[lo : hi + 1] - ends[lo]), flat.slice(ends[lo], ends[hi] - ends[lo]))
-                        yield pa.RecordBatch.from_arrays([pa.array(own.ids[lo:hi]), pa.array(own.n_words[lo:hi].astype(np.int64)), hits.cast(hit_type)], ["id", "n_words", "hits"])
+                        ids = pa.array(own.ids[lo:hi], mask=own.known[lo:hi] == 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(own.first + np.arange(lo, hi)), ids, pa.array(own.n_words[lo:hi].astype(np.int64)), hits.cast(hit_type)], ["row", "id", "n_words", "hits"])
 
         parts.append(index.mapInArrow(match, schema))
     if len(parts) == 1:
-        return parts[0]
-    # each block has read the same rows: a document's hits of all blocks, those of repeated documents together
+        return parts[0].drop("row")
+    # each block has read the same rows: the hits of all blocks, by the number of the row
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
-    return out.groupBy("id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    return out.groupBy("row", "id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits")).drop("row")
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW) -> DataFrame:

@@ -75,6 +75,16 @@ def test_empty_tables_and_repeated_rows(rows):
     assert [(r.n_hit, r.n_items, r.contaminated) for r in none] == [(0, 0, False)] * 2
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 1])
+def test_rows_that_share_an_id_stay_apart_in_blocks(rows, block):
+    items = rows("item_id long, text string", (1, text_of(2, 12)), (2, text_of(3, 12)))
+    filler = text_of(70, 12)
+    docs = rows("doc_id long, text string", (1, text_of(2, 12)), (1, text_of(2, 12)), (1, text_of(3, 12)), (1, filler), (None, text_of(3, 12)), (None, filler))
+    found = decontaminate.search(decontaminate.build_index(docs), decontaminate.item_windows(items), block_windows=block).collect()
+    got = sorted((r.id or 0, len(r.hits), sorted({h["item"] for h in r.hits})) for r in found)
+    assert got == [(0, 0, []), (0, 3, ["2"]), (1, 0, []), (1, 3, ["1"]), (1, 3, ["1"]), (1, 3, ["2"])]
+
+
 def test_proximity(rows):
     docs = [(1, "red a b green c d blue"), (2, "red " + "x " * 30 + "green blue"), (3, "red green"), (4, "blue z red z green"), (5, "red"), (6, "green blue")]
     index = decontaminate.build_index(rows("doc_id long, text string", *docs))
