@@ -1,6 +1,6 @@
 """Document likelihood over a subword lattice (operator 6).
 
-A public unigram piece vocabulary spans a lattice over each word (its bytes after a space that marks its beginning): every way to cut
+A public piece vocabulary (BPE: no unigram one with scores is at hand) spans a lattice over each word (its bytes after a space that marks its beginning): every way to cut
 the word into pieces is a path, and a byte that no piece of its own covers is one.  The vocabulary's
 scores, its ranks, give the pieces' first weights; rounds of expectation maximisation over the distinct words of all training
 texts refine them (each word weighs what its count is discounted by, the same for all: that mass is what the lattice has to spread).  A word's subword probability is the sum over all paths,
