@@ -35,6 +35,16 @@ def test_optimised_not_worse_than_singles_and_says_whether_it_converged(spark):
     assert local.logloss <= min(singles.values()) + margin and local.logloss <= eq + margin
 
 
+def test_weights_meet_the_optimality_conditions(spark):
+    rng = np.random.default_rng(5)
+    p = np.clip(rng.random((400, 3)) ** [0.5, 0.8, 2.5], 0.02, 0.98)  # of the true class, by run
+    long = spark.createDataFrame([(i, f"r{m}", c, float(p[i, m] if c else 1 - p[i, m])) for i in range(400) for m in range(3) for c in (0, 1)], "row_id long, run string, class int, p double")
+    res = BL.optimise_weights(long, spark.createDataFrame([(i, 1) for i in range(400)], "row_id long, y int"))
+    w = np.array([dict(zip(res.runs, res.weights))[f"r{m}"] for m in range(3)])
+    gain = (p / (p @ w)[:, None]).mean(axis=0)  # 1 where the weight is positive, at most 1 elsewhere
+    assert abs(w.sum() - 1) < 1e-9 and gain.max() < 1 + 1e-7 and abs(gain[w > 1e-6] - 1).max() < 1e-7
+
+
 def test_plans_have_no_python_udf_or_cartesian(spark):
     import __spark_entry__ as E
 
