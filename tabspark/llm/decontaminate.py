@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm import bloom
-from tabspark.llm.files import prepare, saved
+from tabspark.llm.files import ROW, numbered, prepare, saved
 from tabspark.llm.words import ALNUM, BLOCK_BYTES, U64, blocks, hash_words
 
 WINDOW = 10
@@ -245,6 +245,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a hit, with all their columns."""
-    found = saved(contamination(docs, items, key, text, **options).where("contaminated").select(key), "contaminated")
-    return bloom.anti_join(docs, found, key)
+    """The rows of ``docs`` without a hit, with all their columns; each row is judged by itself, whatever its id."""
+    prepare(docs.sparkSession)
+    rows = numbered(docs)
+    found = saved(contamination(rows, items, ROW, text, **options).where("contaminated").select(ROW), "contaminated")
+    return bloom.anti_join(rows, found, ROW).drop(ROW)

@@ -8,7 +8,7 @@ a third of the rows is one row a task) name the row that stays: most code points
 smallest id.  The join back is skew-split by adaptive execution.
 
 Defined cases: a NULL text is empty, and all empty texts are one group; a NULL id counts as smallest;
-rows repeated with the same id share a verdict, and ``drop_copies`` keeps one of them; an empty table gives an empty
+rows repeated with the same id share a verdict, and ``drop_copies`` keeps one row of each group, whatever the ids; an empty table gives an empty
 result; other columns are not read, and ``drop_copies`` hands them on.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm import bloom
-from tabspark.llm.files import prepare, saved
+from tabspark.llm.files import ROW, numbered, prepare, saved
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -28,28 +28,29 @@ def text_digest(text: str) -> Column:
     return F.sha2(normal.cast("binary"), 256)
 
 
-def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``key``, keep_id, group_size, kept, text_sha256."""
+def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: ``key``, keep_id, group_size, kept, text_sha256 and the columns ``also``."""
     prepare(docs.sparkSession)
     chars = F.char_length(F.coalesce(F.col(text), F.lit("")))
-    rows = saved(docs.select(F.col(key).alias("id"), chars.alias("chars"), text_digest(text).alias("sha")), "digests")
+    rows = saved(docs.select(F.col(key).alias("id"), chars.alias("chars"), text_digest(text).alias("sha"), *also), "digests")
     h = F.xxhash64("sha")
     marked = bloom.tested(rows, bloom.repeated(rows, h, rows.count()), h, "maybe")
-    maybe = marked.where("maybe").select("id", "chars", "sha")
+    maybe = marked.where("maybe").select("id", "chars", "sha", *also)
     best = maybe.groupBy("sha").agg(F.min(F.struct((-F.col("chars")).alias("c"), "id")).alias("best"), F.count("*").alias("group_size"))
     best = saved(best.select("sha", F.col("best.id").alias("keep_id"), "group_size"), "groups")  # written, so that the join can split a large group
-    found = maybe.join(best, "sha").select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")
-    alone = marked.where("NOT maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    return alone.unionByName(found).select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+    found = maybe.join(best, "sha").select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha", *also)
+    alone = marked.where("NOT maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", *also)
+    return alone.unionByName(found).select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), *also)
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    found = saved(verdicts(docs, key, text).where("group_size > 1"), "copies")
-    out = bloom.anti_join(docs, found.where("NOT kept").select(key), key)
-    twice = saved(found.where("kept").groupBy(key, "text_sha256").count().where("count > 1").select(key).distinct(), "repeated-rows")
-    if twice.isEmpty():
-        return out
-    maybe, rest = bloom.split(out, twice, key)
-    once = maybe.withColumn("_sha", text_digest(text)).dropDuplicates([key, "_sha"]).drop("_sha")
-    return once.unionByName(rest)
+    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    prepare(docs.sparkSession)
+    rows = numbered(docs)
+    sized = rows.withColumn("_chars", F.char_length(F.coalesce(F.col(text), F.lit(""))))
+    found = verdicts(sized, key, text, (ROW, "_chars")).where("group_size > 1")
+    found = saved(found.select(ROW, "_chars", "kept", "text_sha256"), "copies")
+    # ``kept`` holds for every row of a group that has the id of the one that stays
+    best = found.where("kept").groupBy("text_sha256").agg(F.min(F.struct(-F.col("_chars"), ROW)).alias("best"))
+    one = best.select(F.col(f"best.{ROW}").alias(ROW))
+    return bloom.anti_join(rows, saved(found.select(ROW).join(one, ROW, "left_anti"), "dropped-copies"), ROW).drop(ROW)

@@ -10,9 +10,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabspark.session import ensure_checkpoint_dir
 
+ROW = "_row_number"
 ARROW_ROWS = 2000  # rows in one Arrow batch handed to a Python task
 
 
@@ -37,6 +39,11 @@ def saved(df: DataFrame, kind: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written with a unique number for each row in ``ROW``, so that rows with equal ids or none can be told apart."""
+    return saved(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a folder or file as Spark names it."""
     from pyarrow import fs

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tabspark.llm import bloom
 from tabspark.llm.components import components
-from tabspark.llm.files import prepare, saved
+from tabspark.llm.files import ROW, numbered, prepare, saved
 from tabspark.llm.words import NOT_SPACE, U64, blocks, combine, hash_words, mix
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 40, 6, 80
@@ -225,6 +225,13 @@ def across(group: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    found = cluster(docs, key, text, **options)
-    return bloom.anti_join(docs, saved(found.where("NOT kept").select(key), "near-copies"), key)
+    """The rows of ``docs`` that stay, of each component the one with the smallest id, with all their columns.  The nodes
+    are rows here, whatever their ids; a NULL id counts as smallest, and of equal ids one row stays."""
+    prepare(docs.sparkSession)
+    rows = numbered(docs)
+    later = saved(cluster(rows, ROW, text, **options).where("NOT kept").select(ROW, "component_id"), "near-copies")
+    members = saved(later.unionAll(later.select(F.col("component_id").alias(ROW), "component_id").distinct()), "component-members")
+    ids = bloom.split(rows.select(ROW, F.col(key).cast("long").alias("id")), members, ROW)[0]
+    named = saved(ids.join(members, ROW), "named-members")
+    first = named.groupBy("component_id").agg(F.min(F.struct("id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return bloom.anti_join(rows, saved(named.select(ROW).join(first, ROW, "left_anti"), "dropped-near-copies"), ROW).drop(ROW)

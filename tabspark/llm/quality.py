@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.llm.files import prepare, saved
+from tabspark.llm.files import ROW, numbered, prepare, saved
 from tabspark.llm.hashtable import row_sums
 from tabspark.llm.words import LOWER, NOT_SPACE, U64, blocks, combine, hash_spans, mix, word_spans
 
@@ -117,19 +117,20 @@ def features(block) -> np.ndarray:
     ])
 
 
-def feature_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, x): the features of every row, written."""
+def feature_table(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, x) and the columns ``also``: the features of every row, written."""
     prepare(docs.sparkSession)
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *also)
+    kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in ["id", *also])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [features(b).astype(np.float32) for b in blocks(batch["text"])]
             x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), np.float32)
             ends = np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ["id", *also]), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))], ["id", *also, "x"])
 
-    return saved(source.mapInArrow(extract, f"id {source.schema['id'].dataType.simpleString()}, x array<float>"), "quality-features")
+    return saved(source.mapInArrow(extract, f"{kinds}, x array<float>"), "quality-features")
 
 
 @dataclass
@@ -186,9 +187,11 @@ def score(table: DataFrame, model: Quality, key: str = "doc_id") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that the fitted model accepts, with all their columns."""
+    """The rows of ``docs`` that the fitted model accepts, with all their columns; each row is judged by itself, whatever its id."""
     from tabspark.llm import bloom
 
-    table = feature_table(docs, key, text)
-    found = score(table, fit(table, labels, key, label), key)
-    return bloom.anti_join(docs, saved(found.where("predicted = 0").select(key), "rejected"), key)
+    prepare(docs.sparkSession)
+    rows = numbered(docs)
+    table = feature_table(rows, key, text, (ROW,))
+    found = table.where(~(fit(table, labels, key, label).score() >= 0.5)).select(ROW)
+    return bloom.anti_join(rows, saved(found, "rejected"), ROW).drop(ROW)

@@ -45,6 +45,27 @@ def test_stages_against_plain_versions(spark, rows, tmp_path):
     assert sorted((r.doc_id, r.piece, tuple(r.ids)) for r in done) == sorted((r.doc_id, r.piece, tuple(r.ids)) for r in now.collect())
 
 
+def test_rows_without_an_id_or_with_a_shared_one_are_judged_one_by_one(rows):
+    from tabspark.llm import decontaminate, exact_dedup, near_dedup, quality
+
+    def kept(stage, *docs):
+        out = stage(rows("doc_id long, text string, n long", *((k, t, n) for n, (k, t) in enumerate(docs))))
+        assert out.columns == ["doc_id", "text", "n"]
+        return sorted(r.n for r in out.collect())
+
+    long, other, third = text_of(1, 60), text_of(2, 60), text_of(3, 60)
+    items = rows("item_id long, text string", (1, " ".join(long.split()[5:25])))
+    assert kept(lambda d: decontaminate.drop_contaminated(d, items), (7, long), (7, other), (None, long), (None, third), (8, other)) == [1, 3, 4]
+    # the longest original, then the smallest id, NULL first; 7 stays with its other text
+    assert kept(exact_dedup.drop_copies, (7, long), (3, long), (7, other), (None, third), (None, " " + third), (9, third), (9, third), (None, None), (5, "")) == [1, 2, 4, 7]
+    assert kept(near_dedup.drop_near_copies, (7, long + " more"), (3, long), (7, other), (None, third + " end"), (9, third), (9, third + " end"), (9, ""), (9, "")) == [1, 2, 3, 6, 7]
+    learn = [(1000 + k, noisy(k)) for k in range(120)]
+    labels = rows("doc_id long, quality int", *((k, y) for k, (_, y) in learn))
+    good, bad = noisy(1)[0], noisy(6)[0]
+    docs = [(k, t) for k, (t, _) in learn] + [(7, good), (7, bad), (None, bad), (None, good)]
+    assert [n - 120 for n in kept(lambda d: quality.keep_good(d, labels), *docs) if n >= 120] == [0, 3]
+
+
 def test_names_of_the_ten_queries():
     import __spark_entry__
 
