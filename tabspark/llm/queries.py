@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabspark.llm import chat, decontaminate, exact_dedup, lattice, near_dedup, packing, quality, tokenfile, toxicity, warc
+from tabspark.llm import chat, decontaminate, exact_dedup, lattice, mining, near_dedup, packing, quality, tokenfile, toxicity, warc, whiten
 from tabspark.session import read_table
 
 QUERIES: dict = {}
@@ -149,3 +149,25 @@ def op6_lattice_likelihood(spark, sf_dir):
     model = lattice.fit(docs.where(fold(7) != 2), public_tokenizers.path("piece_bpe_32k.model"))
     rows = lattice.score(docs, model)
     return rows.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op11_hard_negatives", """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5""")
+def op11_hard_negatives(spark, sf_dir):
+    """Negatives of every anchor that score from 80 to 100 percent of each of its positives; every seventh label is moved first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.mine(read_table(spark, sf_dir, "embeddings"), label=moved)
+
+
+@register("op13_spectrum_whitening")
+def op13_spectrum_whitening(spark, sf_dir):
+    """Every vector on the leading eight components of the covariance, each scaled to unit variance."""
+    return whiten.whiten(read_table(spark, sf_dir, "embeddings"))
