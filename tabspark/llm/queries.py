@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabspark.llm import chat, decontaminate, exact_dedup, lattice, mining, near_dedup, packing, quality, tokenfile, toxicity, warc, whiten
+from tabspark.llm import chat, decontaminate, exact_dedup, lattice, mining, near_dedup, packing, quality, suffixes, tokenfile, toxicity, warc, whiten
 from tabspark.session import read_table
 
 QUERIES: dict = {}
@@ -171,3 +171,21 @@ def op11_hard_negatives(spark, sf_dir):
 def op13_spectrum_whitening(spark, sf_dir):
     """Every vector on the leading eight components of the covariance, each scaled to unit variance."""
     return whiten.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_suffix_array_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM r),
+k AS (SELECT doc_id, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+s AS (SELECT doc_id, span, min(i) AS lo, max(i) + 200 AS hi FROM k GROUP BY doc_id, span),
+t AS (SELECT doc_id, hi AS from_byte, lead(lo, 1, CAST(1000000000 AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY lo) AS to_byte FROM s
+      UNION ALL SELECT doc_id, 0, coalesce(min(lo), 1000000000) FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+o AS (SELECT doc_id, string_agg(substr(h, 2 * from_byte + 1, 2 * (to_byte - from_byte)), '' ORDER BY from_byte) AS kept FROM t JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN o USING (doc_id) LEFT JOIN n USING (doc_id)""")
+def op12_suffix_array_dedup(spark, sf_dir):
+    """Every document without the bytes of its 200-byte strings that also start elsewhere."""
+    return suffixes.remove(read_table(spark, sf_dir, "documents"))
