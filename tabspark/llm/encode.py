@@ -4,8 +4,8 @@ Byte-pair tokenizers first cut a text into pre-tokens and encode each alone.  Te
 at places where both vocabularies always cut (before a run of ASCII white space; between an ASCII
 letter and ASCII punctuation other than the apostrophe), every distinct piece is encoded once by
 the library, and the ids are put together again.  Rows with other Unicode white space, where the
-first rule would not hold, are one piece.  The result equals encoding the whole text
-(``tests/llm/test_tokens.py``).
+first rule would not hold, are one piece.  A known piece is found by its hash and compared byte by byte, so pieces
+with one hash keep their own ids.  The result equals encoding the whole text (``tests/llm/test_tokens.py``).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 
 from tabspark.llm.hashtable import Slots
-from tabspark.llm.words import LOWER, SPACES, Block, hash_spans
+from tabspark.llm.words import LONG, LOWER, MASKS, SPACES, U64, Block, eights, hash_spans, mix
 
 ASCII_LETTER = np.zeros(256, dtype=bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
@@ -37,8 +37,8 @@ def encoder(path: str, spaces: bool) -> PieceEncoder:
 class PieceEncoder:
     """spaces: whether white space has ids (byte-level) or is dropped (word-level, lower case).
 
-    The table of known pieces is bounded: it starts anew when half of its ``slots`` are taken or
-    ``pool`` ids are held.
+    The table of known pieces is bounded: it starts anew when half of its ``slots`` are taken, or
+    ``pool`` ids or four times as many bytes are held.
     """
 
     def __init__(self, path: str, spaces: bool, slots: int = 1 << 22, pool: int = 1 << 24):
@@ -57,6 +57,10 @@ class PieceEncoder:
         self.n_ids = 0
         self.begin = np.zeros(1 << 16, dtype=np.int64)
         self.length = np.zeros(1 << 16, dtype=np.int64)
+        self.bytes = np.zeros(1 << 18, dtype=np.uint8)  # of the pieces; 8 more than are in use
+        self.n_bytes = 0
+        self.byte_begin = np.zeros(1 << 16, dtype=np.int64)
+        self.byte_size = np.zeros(1 << 16, dtype=np.int64)
         self.n = 0
 
     def pieces(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -82,20 +86,44 @@ class PieceEncoder:
             starts, ends = starts[keep], ends[keep]
         return starts, ends
 
-    def learn(self, h: np.ndarray, texts: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
+        flat, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        while self.n_bytes + len(flat) + 8 > len(self.bytes):
+            self.bytes = np.append(self.bytes, np.zeros_like(self.bytes))
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         total = int(lengths.sum())
         while self.n_ids + total > len(self.ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
         while self.n + len(got) > len(self.begin):
-            self.begin, self.length = (np.append(x, np.zeros_like(x)) for x in (self.begin, self.length))
+            self.begin, self.length, self.byte_begin, self.byte_size = (np.append(x, np.zeros_like(x)) for x in (self.begin, self.length, self.byte_begin, self.byte_size))
+        self.bytes[self.n_bytes : self.n_bytes + len(flat)] = flat
+        self.byte_begin[self.n : self.n + len(got)] = self.n_bytes + np.cumsum(sizes) - sizes
+        self.byte_size[self.n : self.n + len(got)] = sizes
+        self.n_bytes += len(flat)
         self.ids[self.n_ids : self.n_ids + total] = np.fromiter((i for x in got for i in x), dtype=self.dtype, count=total)
         self.begin[self.n : self.n + len(got)] = self.n_ids + np.cumsum(lengths) - lengths
         self.length[self.n : self.n + len(got)] = lengths
         self.table.insert(h, np.arange(self.n, self.n + len(got), dtype=np.int32))
         self.n, self.n_ids = self.n + len(got), self.n_ids + total
 
+    def same(self, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the spans are byte for byte the pieces number ``at``."""
+        size = ends - starts
+        out = self.byte_size[at] == size
+        some = np.flatnonzero(out & (size <= LONG))
+        known, words = np.lib.stride_tricks.as_strided(self.bytes[:8].view(U64), (len(self.bytes) - 7,), (1,)), eights(data)
+        one, two, left = starts[some], self.byte_begin[at[some]], size[some]
+        while len(some):
+            equal = (words[one] ^ known[two]) & MASKS[np.minimum(left, 8)] == 0
+            out[some[~equal]] = False
+            more = equal & (left > 8)
+            some, one, two, left = some[more], one[more] + 8, two[more] + 8, left[more] - 8
+        for k in np.flatnonzero(out & (size > LONG)).tolist():
+            begin = self.byte_begin[at[k]]
+            out[k] = np.array_equal(data[starts[k] : ends[k]], self.bytes[begin : begin + size[k]])
+        return out
+
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the block's rows one after another, first id of each row as offsets into them)."""
         if len(block.data) == 0:
@@ -103,20 +131,25 @@ class PieceEncoder:
         data = block.data if self.spaces else LOWER[block.data]
         starts, ends = self.pieces(Block(block.lo, block.hi, data, block.offsets))
         h = Slots.nonzero(hash_spans(data, starts, ends))
-        if self.n_ids > self.pool:
+        if self.n_ids > self.pool or self.n_bytes > 4 * self.pool:
             self.clear()
-        at = self.table.find(h)
-        if len(miss := np.flatnonzero(at < 0)):
-            new, first = np.unique(h[miss], return_index=True)
-            if self.n + len(new) > self.slots // 2:
-                new, first = np.unique(h, return_index=True)
-                miss = np.arange(len(h))
-                self.slots = max(self.slots, 1 << int(4 * len(new)).bit_length())  # one text with very many words
-                self.clear()
-            raw = data.tobytes()
-            where = miss[first]
-            self.learn(new, [raw[s:e].decode("utf-8") for s, e in zip(starts[where].tolist(), ends[where].tolist())])
+        while True:
             at = self.table.find(h)
+            if len(miss := np.flatnonzero(at < 0)):
+                new, first = np.unique(h[miss], return_index=True)
+                if self.n + len(new) > self.slots // 2:
+                    new, first = np.unique(h, return_index=True)
+                    miss = np.arange(len(h))
+                    self.slots = max(self.slots, 1 << int(4 * len(new)).bit_length())  # one text with very many words
+                    self.clear()
+                raw = data.tobytes()
+                where = miss[first]
+                self.learn(new, [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())])
+                at = self.table.find(h)
+            other = ~self.same(at, data, starts, ends)
+            if not other.any():
+                break
+            h[other] = Slots.nonzero(mix(h[other] + U64(1)))  # another piece has this hash: on to the next one
         lengths = self.length[at]
         before = np.concatenate(([0], np.cumsum(lengths)))
         flat = np.arange(before[-1]) + np.repeat(self.begin[at] - before[:-1], lengths)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tabspark.llm.files import prepare, saved
 from tabspark.llm.hashtable import Slots, WordValues, row_sums
-from tabspark.llm.words import BASE, INVERSE, LOWER, NOT_SPACE, U64, blocks, hash_spans, hash_words, mix, powers
+from tabspark.llm.words import LOWER, NOT_SPACE, U64, blocks, hash_words, mix
 
 ROUNDS = 2
 FREQUENT = 4_000_000  # bound of the words that are broadcast, 16 bytes each
@@ -40,6 +40,22 @@ BATCH = 8192
 CLASSES = np.array([6, 8, 10, 12, 16, 20, 24, 32, 48, 64])
 
 
+BASE = 0x9E3779B97F4A7C15  # of the hashes of pieces, which are far shorter than the words that such hashes confuse; odd, so it has an inverse
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    out = np.full(n, base, dtype=U64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def span_hash(prefix: np.ndarray, last: np.ndarray, back: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of spans from sums of (byte + 1) * BASE**place: up to their first byte, up to their end, and INVERSE**(first place)."""
+    return Slots.nonzero(mix((last - prefix) * back + size.astype(U64) * U64(0xA24BAED4963EE407)))
+
+
 class Lattice:
     """The pieces of a vocabulary file, with the log weight of each."""
 
@@ -63,7 +79,9 @@ class Lattice:
         self.longest = max(map(len, pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
-        h = Slots.nonzero(hash_spans(data, np.concatenate(([0], ends[:-1])), ends))
+        starts = np.concatenate(([0], ends[:-1]))
+        prefix = np.concatenate(([U64(0)], np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, len(data)))))
+        h = span_hash(prefix[starts], prefix[ends], powers(INVERSE, len(data))[starts], ends - starts)
         self.table = Slots(1 << (4 * self.n).bit_length())
         self.table.insert(h, np.arange(self.n, dtype=np.int32))
         self.weights = np.log(weight / weight.sum())
@@ -90,9 +108,8 @@ class Lattice:
         out = []
         for j in range(1, n + 1):
             lo = max(0, j - self.longest)
-            size = (j - np.arange(lo, j)).astype(U64) * U64(0xA24BAED4963EE407)
-            h = mix((prefix[:, j : j + 1] - prefix[:, lo:j]) * back[lo:j] + size)
-            out.append(self.table.find(Slots.nonzero(h.ravel())).reshape(rows, j - lo).astype(np.int32))
+            h = span_hash(prefix[:, lo:j], prefix[:, j : j + 1], back[lo:j], j - np.arange(lo, j))
+            out.append(self.table.find(h.ravel()).reshape(rows, j - lo).astype(np.int32))
         return out
 
     def _forward(self, arcs: list[np.ndarray], weights: np.ndarray) -> np.ndarray:

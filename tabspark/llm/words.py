@@ -2,8 +2,8 @@
 
 A column is viewed as one byte buffer with row offsets and cut into blocks of about
 ``BLOCK_BYTES`` (a longer text makes a block of its own), so memory is bounded by the block,
-not by the batch.  NULL counts as the empty text.  Hashes are 64 bits: a polynomial over the
-bytes of a span (prefix sums modulo 2**64), then an avalanche step.
+not by the batch.  NULL counts as the empty text.  Hashes are 64 bits: an avalanche step for every 8 bytes
+of a short span, XXH3 for a long one.  (No polynomial modulo 2**64: Thue-Morse words collide under any base.)
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 U64 = np.uint64
-BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-INVERSE = pow(BASE, -1, 1 << 64)
+SEED = 0x9E3779B97F4A7C15
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -29,19 +28,8 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the next block when of usual size."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=U64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 4 * BLOCK_BYTES:
-            _powers[base] = have
-    return have[:n]
+LONG = 64  # spans of more bytes are hashed one by one
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -106,13 +94,31 @@ def rows_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, starts, side="right") - 1
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position as one number; beyond the end they are 0."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.lib.stride_tricks.as_strided(padded[:8].view(U64), (len(data) + 1,), (1,))
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span's bytes."""
-    n = len(data)
-    prefix = np.zeros(n + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, n), out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * powers(INVERSE, n + 1)[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+    size = ends - starts
+    h = mix(size.astype(U64) + U64(SEED))
+    words = eights(data)
+    some = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, now = starts[some], size[some], h[some]
+    while len(some):
+        now = mix(now ^ (words[at] & MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        done = some[~more]
+        h[done] = now[~more]
+        some, at, left, now = some[more], at[more] + 8, left[more] - 8, now[more]
+    if len(some := np.flatnonzero(size > LONG)):
+        import xxhash
+
+        raw = memoryview(np.ascontiguousarray(data))
+        h[some] = [xxhash.xxh3_64_intdigest(raw[s:e], SEED) for s, e in zip(starts[some].tolist(), ends[some].tolist())]
+    return h
 
 
 def hash_words(block: Block, is_word: np.ndarray, lower: bool = True):

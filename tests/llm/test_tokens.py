@@ -127,3 +127,45 @@ def test_packing_against_whole_texts(rows):
     assert sum(r.n_tokens for r in whole_rows) == sum(r.length for r in got)
     assert all(len(r.ids) == r.n_tokens <= 512 for r in whole_rows)
     assert packing.pack(rows("doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def thue_morse(n=2048):
+    """Two words over a and b that polynomial hashes modulo 2**64 confuse, whatever the base."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse():
+    from tabspark.llm.words import hash_spans
+
+    one, two = (np.frombuffer(w.encode(), np.uint8) for w in thue_morse())
+    for n in (1024, 2048):
+        assert hash_spans(one, np.array([0]), np.array([n])) != hash_spans(two, np.array([0]), np.array([n]))
+    for name, spaces in KINDS:
+        own, texts = PieceEncoder(public_tokenizers.path(name), spaces), [*thue_morse(), "x " + thue_morse()[1]]
+        assert [r.tolist() for b in blocks(pa.array(texts)) for r in own.rows(b)] == whole(name, texts)
+
+
+@pytest.mark.parametrize(("name", "spaces"), KINDS)
+def test_pieces_with_equal_hashes_keep_their_own_ids(name, spaces, monkeypatch):
+    import tabspark.llm.encode as encode
+
+    monkeypatch.setattr(encode, "hash_spans", lambda data, starts, ends: (ends - starts).astype(U64) % U64(3))
+    texts = ["one two six ten", "two one", "a b c d " + "x" * 100 + " " + "y" * 100, "y" * 100, "", "x" * 99 + "z"]
+    own = PieceEncoder(public_tokenizers.path(name), spaces)
+    assert [r.tolist() for b in blocks(pa.array(texts), 30) for r in own.rows(b)] == whole(name, texts)
+
+
+def test_spans_hash_alike_only_if_alike():
+    from tabspark.llm.words import hash_spans
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 3, 5000).astype(np.uint8)
+    starts = rng.integers(0, 4800, 4000)
+    ends = starts + rng.integers(0, 200, 4000)
+    of = {}
+    for h, s, e in zip(hash_spans(data, starts, ends).tolist(), starts, ends):
+        assert of.setdefault(h, data[s:e].tobytes()) == data[s:e].tobytes()
+    assert len(of) == len({data[s:e].tobytes() for s, e in zip(starts, ends)})
