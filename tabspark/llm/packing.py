@@ -6,12 +6,13 @@ the lowest set bit at or above the piece's length.  When a bin must be opened be
 the fullest open bin closes.  A document longer than ``size`` is cut into pieces of ``size``; full
 pieces are sequences of their own.
 
-Each task packs the documents of its own partition as it encodes them: no shuffle, no
-driver, memory bounded by a block of texts and the open bins.  Within a block the pieces arrive in
-descending length, which fills bins better than the order of the rows.
+Each task packs the documents of its own partition as it encodes them, memory bounded by a block of texts and the open bins.
+Within a block the pieces arrive in descending length, which fills bins better than the order of the rows.  The pieces of bins still
+open at the end of a task are dealt to tasks of about ``REPACK`` pieces and packed again, so the number of sequences does not depend
+on how many partitions the table happens to have; no other piece is shuffled.
 
 Defined cases: a NULL text is empty (the end id alone, one piece of length 1); repeated rows are
-packed each; an empty table gives no rows; other columns are not read.
+packed each; an empty table gives no rows; other columns are not read.  Output columns that have the name of the key get an underscore.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm.encode import encoder
-from tabspark.llm.files import prepare
+from tabspark.llm.files import fresh, prepare, quoted, saved
 from tabspark.llm.words import blocks
 
 OPEN_BINS = 1024
+REPACK = 20_000  # pieces of a task of the second pass
 
 
 class Bins:
@@ -39,6 +41,7 @@ class Bins:
         self.free = 0  # bit f is set if an open bin has f free places
         self.by_free: list[list[int]] = [[] for _ in range(size + 1)]
         self.open = self.made = 0
+        self.closed: list[int] = []  # bins that no piece will enter any more, for the owner to take
 
     def _take(self, bit: int) -> int:
         own = self.by_free[bit]
@@ -56,51 +59,94 @@ class Bins:
             number = self._take(space)
         else:
             if length < self.size and self.open >= self.limit:
-                self._take((self.free & -self.free).bit_length() - 1)
+                self.closed.append(self._take((self.free & -self.free).bit_length() - 1))
             space, number = self.size, self.made
             self.made += 1
         if left := space - length:
             self.by_free[left].append(number)
             self.free |= 1 << left
             self.open += 1
+        else:
+            self.closed.append(number)
         return number, self.size - space
 
 
+class Packer:
+    """Bins with the pieces in them: (key, piece, start, length, crc, ids)."""
+
+    def __init__(self, first: int, size: int, open_bins: int, schema: pa.Schema):
+        self.bins, self.first, self.schema = Bins(size, open_bins), first, schema
+        self.held: dict[int, list[tuple]] = {}
+        self.out: list[tuple] = []
+
+    def add(self, pieces: list[tuple]) -> None:
+        for piece in sorted(pieces, key=lambda p: -p[3]):
+            number, offset = self.bins.place(piece[3])
+            self.held.setdefault(number, []).append((*piece[:5], self.first + number, offset, *piece[5:], True))
+            for done in self.bins.closed:
+                self.out += self.held.pop(done)
+            self.bins.closed.clear()
+
+    def take(self, last: bool = False, closed: bool = True) -> Iterator[pa.RecordBatch]:
+        """What is in closed bins; at the end what is in the open ones too, marked as such."""
+        if last:
+            self.out += [(*p[:-1], closed) for own in self.held.values() for p in own]
+        for k in range(0, len(self.out), 4096):
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*self.out[k : k + 4096]), self.schema)]
+            yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
+        self.out = []
+
+
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, size: int = 2048, open_bins: int = OPEN_BINS, spaces: bool = False, with_ids: bool = True) -> DataFrame:
     """One row a piece: key, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(*(c.alias(n) for c, n in zip(quoted([key, text]), ("key", "text"))))
     key_type = rows.schema["key"].dataType.simpleString()
-    names = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    kinds = {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "sequence_id": "long", "offset": "long"} | ({"ids": "array<int>"} if with_ids else {})
+    schema = f"key {key_type}, " + ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", closed boolean"
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packer(batch: pa.RecordBatch, second: bool) -> Packer:
         from pyspark import TaskContext
 
-        own, bins = encoder(tokenizer, spaces), Bins(size, open_bins)
-        first = TaskContext.get().partitionId() << 33
+        arrow = {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
+        fields = [("key", batch.schema.field("key").type), *((n, arrow[t]) for n, t in kinds.items()), ("closed", pa.bool_())]
+        return Packer(second << 62 | TaskContext.get().partitionId() << 33, size, open_bins, pa.schema(fields))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, bins = encoder(tokenizer, spaces), None
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
+            bins = bins or packer(batch, False)
+            keys = batch["key"].to_pylist()
             for block in blocks(batch["text"]):
-                pieces, payload = [], []
+                pieces = []
                 for k, ids in enumerate(own.rows(block), block.lo):
                     ids = np.append(ids.astype("<u4"), end)
                     for piece, start in enumerate(range(0, len(ids), size)):
                         part = ids[start : start + size].tobytes()
-                        pieces.append((k, piece, start, len(part) // 4, zlib.crc32(part)))
-                        payload.append(part)
-                order = sorted(range(len(pieces)), key=lambda i: -pieces[i][3])
-                spots = [bins.place(pieces[i][3]) for i in order]
-                table = np.array([pieces[i] for i in order], dtype=np.int64).reshape(-1, 5)
-                columns = [*table.T[1:], np.array([first + b for b, _ in spots], np.int64), np.array([o for _, o in spots], np.int64)]
-                arrays = [batch["key"].take(pa.array(table[:, 0])), *(pa.array(np.ascontiguousarray(c)).cast(pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns))]
-                if with_ids:
-                    flat = np.frombuffer(b"".join(payload[i] for i in order), "<i4")
-                    ends = np.concatenate(([0], np.cumsum(table[:, 3]))).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays(arrays, [key, *names] + ["ids"] * with_ids)
-
-    schema = f"`{key}` {key_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(packed, schema)
+                        pieces.append((keys[k], piece, start, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] * with_ids)))
+                bins.add(pieces)
+                yield from bins.take()
+        if bins:
+            yield from bins.take(last=True, closed=False)
+
+    def repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = None
+        for batch in batches:
+            bins = bins or packer(batch, True)
+            columns = [batch[n].to_pylist() for n in ("key", "piece", "start", "length", "ids_crc32")]
+            ids = [[x.values.to_numpy() for x in batch["ids"]]] if with_ids else []
+            bins.add(list(zip(*columns, *ids)))
+            yield from bins.take()
+        if bins:
+            yield from bins.take(last=True)
+
+    first = saved(rows.mapInArrow(packed, schema), "packed", outlives=True)
+    open_ = first.where("NOT closed")
+    tasks = max(1, -(-open_.count() // REPACK))
+    again = open_.repartition(tasks).sortWithinPartitions(F.desc("length")).mapInArrow(repacked, schema)
+    out = first.where("closed").unionAll(again)
+    return out.select(F.col("key").alias(key), *(F.col(n).alias(fresh([key], n)) for n in kinds))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
