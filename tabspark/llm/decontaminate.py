@@ -10,7 +10,8 @@ lacks are dropped at once; the others start from the postings of their rarest wo
 place in the window, and are intersected with the other words' lists, next rarest first.  What is left are
 exact phrase matches.  ``proximity`` instead keeps those places of the rarest word that have each other word within a distance.
 
-Test windows are taken in blocks of ``BLOCK_WINDOWS``, each of a bounded size, so a benchmark of any size does.
+Test windows are taken in blocks of ``BLOCK_WINDOWS``, each of a bounded size and released before the next, so a benchmark of any
+size does.  Windows that several items share are matched once and name the set of their items, so hits are as many as occurrences.
 
 Defined cases: NULL and empty texts, and texts without words, have n_words 0 and no hits; items without words have no window; an item
 shorter than ``window`` is one window; repeated items and items that share windows count by their distinct item_id; a NULL item_id is ignored in the
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm import bloom
-from tabspark.llm.files import ROW, numbered, prepare, saved
+from tabspark.llm.files import numbered, prepare, quoted, saved, scratch
 from tabspark.llm.words import ALNUM, BLOCK_BYTES, U64, blocks, hash_words
 
 WINDOW = 10
@@ -166,33 +167,47 @@ class Segment:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def window_sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct windows: number, length, words, set; items of each set).  Windows with the same items, as those of a passage
+    that items share, are of one set, so a hit names its set and not each of its items."""
+    windows = saved(windows, "item-windows")
+    own = windows.groupBy("length", "words").agg(
+        F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), F.coalesce("item", F.lit("")), F.col("item").isNull())).alias(f"x{k}") for k in (1, 2))
+    )
+    own = saved(own.withColumn("number", F.monotonically_increasing_id()), "windows")
+    first = own.groupBy("n", "x1", "x2").agg(F.min("number").alias("set"))
+    own = saved(own.join(first, ["n", "x1", "x2"]).select("number", "length", "words", "set"), "window-sets")
+    leaders = own.where(F.col("number") == F.col("set")).select("length", "words", "set")
+    return own, saved(windows.join(leaders, ["length", "words"]).select("set", "item"), "set-items")
+
+
 def _window_blocks(windows: DataFrame, window: int, block_windows: int):
-    """The windows as (words, lengths, items) in blocks of a bounded size, one after another."""
+    """The windows as (words, lengths, sets) in blocks of a bounded size, one after another."""
     n = windows.count()
     count = max(1, -(-n // block_windows))
     for k in range(count):
-        own = windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(count)) == k).toArrow() if count > 1 else windows.toArrow()
+        own = windows.where(F.pmod(F.xxhash64("number"), F.lit(count)) == k).toArrow() if count > 1 else windows.toArrow()
         words = np.zeros((own.num_rows, window), dtype=U64)
         lengths = own["length"].to_numpy().astype(np.int64)
         flat = own["words"].combine_chunks().flatten().to_numpy().view(U64) if own.num_rows else np.zeros(0, U64)
         words[np.arange(window) < lengths[:, None]] = flat
-        yield words, lengths, np.array(own["item"].to_pylist(), dtype=object)
+        yield words, lengths, own["set"].to_numpy().astype(np.int64)
 
 
-def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, within: int | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Per document: id, n_words, hits: array of (first word, words, item).  Exact phrases; with ``within``, proximity
-    matches (first word: the place of the window's rarest word there, words: 1)."""
+def matches(index: DataFrame, windows: DataFrame, window: int = WINDOW, within: int | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Per document, written: row, id, n_words, hits: array of (first word, words, set) for each place of a distinct window.
+    A block's windows are released when its hits are written, so one block is held at a time."""
     if window > GAP:
         raise ValueError(f"windows of more than {GAP} words are not supported")
     spark = index.sparkSession
-    schema = "row long, id long, n_words long, hits array<struct<at: int, words: int, item: string>>"
-    hit_type = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.int32()), ("item", pa.string())]))
+    schema = "row long, id long, n_words long, hits array<struct<at: int, words: int, set: long>>"
+    hit_type = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.int32()), ("set", pa.int64())]))
     parts = []
     for block in _window_blocks(windows, window, block_windows):
-        shared = spark.sparkContext.broadcast(block)  # at most block_windows * window * 8 bytes and the item names
+        shared = spark.sparkContext.broadcast(block)  # at most block_windows * (window + 2) * 8 bytes
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, lengths, items = shared.value
+            words, lengths, sets = shared.value
             for batch in batches:
                 for row in range(batch.num_rows):
                     own = Segment({c: batch[c][row].as_py() for c in batch.schema.names})
@@ -202,7 +217,7 @@ def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, within: i
                     which, at, doc = which[order], at[order], doc[order]
                     ends = np.searchsorted(doc, np.arange(len(own.ids) + 1)).astype(np.int32)
                     flat = pa.StructArray.from_arrays(
-                        [pa.array((at - own.starts[doc]).astype(np.int32)), pa.array((lengths[which] if within is None else np.ones(len(which))).astype(np.int32)), pa.array(items[which].tolist(), pa.string())],
+                        [pa.array((at - own.starts[doc]).astype(np.int32)), pa.array((lengths[which] if within is None else np.ones(len(which))).astype(np.int32)), pa.array(sets[which])],
                         fields=list(hit_type.value_type),
                     )
                     for lo in range(0, len(own.ids), 1000):
@@ -211,20 +226,38 @@ def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, within: i
                         ids = pa.array(own.ids[lo:hi], mask=own.known[lo:hi] == 0)
                         yield pa.RecordBatch.from_arrays([pa.array(own.first + np.arange(lo, hi)), ids, pa.array(own.n_words[lo:hi].astype(np.int64)), hits.cast(hit_type)], ["row", "id", "n_words", "hits"])
 
-        parts.append(index.mapInArrow(match, schema))
+        found = index.mapInArrow(match, schema)
+        parts.append(saved(found if not parts else found.where("size(hits) > 0"), "hits"))  # the first block has every row
+        shared.unpersist()
     if len(parts) == 1:
-        return parts[0].drop("row")
-    # each block has read the same rows: the hits of all blocks, by the number of the row
+        return parts[0]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
-    return out.groupBy("row", "id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits")).drop("row")
+    return saved(out.groupBy("row", "id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits")), "hits")
+
+
+def search(index: DataFrame, windows: DataFrame, window: int = WINDOW, within: int | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Per document: id, n_words, hits: array of (first word, words, item), one for each item of a window that matches.  Exact phrases; with
+    ``within``, proximity matches (first word: the place of the window's rarest word there, words: 1)."""
+    own, items = window_sets(windows)
+    found = matches(index, own, window, within, block_windows)
+    each = found.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.words", "hit.set").join(items, "set")
+    hits = each.groupBy("row").agg(F.collect_list(F.struct("at", "words", "item")).alias("named"))
+    none = F.from_json(F.lit("[]"), "array<struct<at: int, words: int, item: string>>")
+    return found.join(hits, "row", "left").select("id", "n_words", F.coalesce("named", none).alias("hits"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW) -> DataFrame:
     """Per document: ``key``, n_words, n_hit (words inside a match), n_items, items_sha256, contaminated."""
     prepare(docs.sparkSession)
-    found = search(build_index(docs, key, text), item_windows(items, item_key, text, window), window)
+    with scratch(docs.sparkSession):
+        return saved(_contamination(docs, items, key, text, item_key, window), "contamination", outlives=True)
+
+
+def _contamination(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, window: int) -> DataFrame:
+    own, named = window_sets(item_windows(items, item_key, text, window))
+    found = matches(build_index(docs, key, text), own, window)
     # words covered by the hits, in order of their first word: what each adds beyond the last covered word
     sorted_ = F.array_sort(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), (h["at"] + h["words"]).alias("upto"))))
     start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
@@ -236,17 +269,27 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         ),
         lambda s: s["n"],
     )
-    names = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item"]), lambda x: x.isNotNull())))
-    out = found.select("id", "n_words", covered.alias("n_hit"), names.alias("names"))
-    return out.select(
-        F.col("id").alias(key), "n_words", "n_hit", F.size("names").cast("long").alias("n_items"),
-        F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    sets = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["set"])))
+    out = saved(found.select("id", "n_words", covered.alias("n_hit"), sets.alias("sets")), "covered")
+    # documents that hit the same sets have the same items, which are put together once
+    lists = out.select("sets").where("size(sets) > 0").distinct()
+    items_of = lists.select("sets", F.explode("sets").alias("set")).join(named.where("item IS NOT NULL"), "set").select("sets", "item").distinct()
+    names = items_of.groupBy("sets").agg(F.array_sort(F.collect_list("item")).alias("names"))
+    told = names.select("sets", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"))
+    hit = out.where("size(sets) > 0").join(saved(told, "set-lists"), "sets", "left")
+    every = hit.unionByName(out.where("size(sets) = 0"), allowMissingColumns=True)
+    return every.select(
+        F.col("id").alias(key), "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns; each row is judged by itself, whatever its id."""
     prepare(docs.sparkSession)
-    rows = numbered(docs)
-    found = saved(contamination(rows, items, ROW, text, **options).where("contaminated").select(ROW), "contaminated")
-    return bloom.anti_join(rows, found, ROW).drop(ROW)
+    with scratch(docs.sparkSession):
+        rows, number = numbered(docs)
+        narrow = rows.select(*(c.alias(n) for c, n in zip(quoted([number, text]), ("number", "text"))))
+        found = contamination(narrow, items, "number", "text", **options).where("contaminated")
+        found = saved(found.select(F.col("number").alias(number)), "contaminated", outlives=True)
+    return bloom.anti_join(rows, found, number).select(*quoted(docs.columns))

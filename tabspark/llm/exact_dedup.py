@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm import bloom
-from tabspark.llm.files import ROW, numbered, prepare, saved
+from tabspark.llm.files import numbered, prepare, quoted, saved, scratch
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -46,11 +46,14 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tup
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
     prepare(docs.sparkSession)
-    rows = numbered(docs)
-    sized = rows.withColumn("_chars", F.char_length(F.coalesce(F.col(text), F.lit(""))))
-    found = verdicts(sized, key, text, (ROW, "_chars")).where("group_size > 1")
-    found = saved(found.select(ROW, "_chars", "kept", "text_sha256"), "copies")
-    # ``kept`` holds for every row of a group that has the id of the one that stays
-    best = found.where("kept").groupBy("text_sha256").agg(F.min(F.struct(-F.col("_chars"), ROW)).alias("best"))
-    one = best.select(F.col(f"best.{ROW}").alias(ROW))
-    return bloom.anti_join(rows, saved(found.select(ROW).join(one, ROW, "left_anti"), "dropped-copies"), ROW).drop(ROW)
+    with scratch(docs.sparkSession):
+        rows, number = numbered(docs)
+        narrow = rows.select(*(c.alias(n) for c, n in zip(quoted([key, text, number]), ("id", "text", "number"))))
+        sized = narrow.withColumn("length", F.char_length(F.coalesce(F.col("text"), F.lit(""))))
+        found = verdicts(sized, "id", "text", ("number", "length")).where("group_size > 1")
+        found = saved(found.select("number", "length", "kept", "text_sha256"), "copies")
+        # ``kept`` holds for every row of a group that has the id of the one that stays
+        best = found.where("kept").groupBy("text_sha256").agg(F.min(F.struct(-F.col("length"), "number")).alias("best"))
+        one = best.select(F.col("best.number").alias("number"))
+        dropped = saved(found.select("number").join(one, "number", "left_anti").withColumnRenamed("number", number), "dropped-copies", outlives=True)
+    return bloom.anti_join(rows, dropped, number).select(*quoted(docs.columns))

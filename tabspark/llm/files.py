@@ -8,15 +8,19 @@ Spark committed are read afterwards, so files of failed attempts are never looke
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.session import ensure_checkpoint_dir
 
-ROW = "_row_number"
 ARROW_ROWS = 2000  # rows in one Arrow batch handed to a Python task
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
 
 def prepare(spark: SparkSession) -> None:
     """Checkpoint folder known, and Arrow batches of at most ``ARROW_ROWS`` rows (whole texts are wide)."""
@@ -25,23 +29,90 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
+def delete(spark: SparkSession, uri: str) -> None:
+    """A folder of this library, deleted through the file system that Spark uses for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written to new folders inside is deleted at the end, whether or not all went well, but for tables saved with
+    ``outlives``, which belong to the scope outside.  Lazy results of the inside must be saved so before they leave."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for uri in own:
+            delete(spark, uri)
+
+
+def shared_folder(spark: SparkSession, kind: str, outlives: bool = False) -> str:
     """A new folder name below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{kind}-{uuid.uuid4().hex}"
+    uri = f"{base}/{kind}-{uuid.uuid4().hex}"
+    scopes = _scopes.get()[: -1 if outlives else None]
+    if scopes:
+        scopes[-1].append(uri)
+    return uri
 
 
-def saved(df: DataFrame, kind: str, **options: str) -> DataFrame:
+def saved(df: DataFrame, kind: str, outlives: bool = False, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends at the files."""
     spark = df.sparkSession
-    path = shared_folder(spark, kind)
+    path = shared_folder(spark, kind, outlives)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` written with a unique number for each row in ``ROW``, so that rows with equal ids or none can be told apart."""
-    return saved(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters are in them."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def fresh(taken: Iterable[str], stem: str) -> str:
+    """``stem``, or it and as many underscores as make it a name that is not taken (in any case)."""
+    lower = {n.lower() for n in taken}
+    while stem.lower() in lower:
+        stem += "_"
+    return stem
+
+
+def file_rows(df: DataFrame) -> Column | None:
+    """A number for each row, from its file and its place in it, the same whenever the files are read; None if ``df`` is
+    anything but a plain read of Parquet files.  The files' part is a hash under a seed that tells all of them apart."""
+    try:
+        if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+            return None
+        place = df.metadataColumn("_metadata")
+        of_file = df.select(place["file_path"].alias("path"), place["row_index"].alias("at")).groupBy("path").agg(F.max("at").alias("last"))
+        seeds = range(8)
+        found = of_file.agg(F.count("*").alias("n"), F.max("last").alias("last")).first()
+    except Exception:  # no such column in this source: the caller writes the rows
+        return None
+    if not found["n"]:
+        return F.lit(0).cast("long")
+    bits = 2 * int(found["n"]).bit_length() + 2
+    if bits >= 62 or found["last"] >> 63 - bits:
+        return None
+    hashed = lambda seed, path: F.xxhash64(F.lit(seed), path).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    kinds = of_file.agg(*(F.count_distinct(hashed(seed, F.col("path"))).alias(f"s{seed}") for seed in seeds)).first()
+    good = [seed for seed in seeds if kinds[f"s{seed}"] == found["n"]]
+    if not good:
+        return None
+    return F.shiftleft(hashed(good[0], place["file_path"]), 63 - bits).bitwiseOR(place["row_index"])
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """(``df`` with a unique number for each row, its column), so that rows with equal ids or none can be told apart.  A plain read of
+    Parquet files is left where it is; anything else is written first, since its rows may come in another order next time."""
+    name = fresh(df.columns, "row_number")
+    number = file_rows(df)
+    if number is not None:
+        return df.withColumn(name, number), name
+    return saved(df.withColumn(name, F.monotonically_increasing_id()), "numbered", outlives=True), name
 
 
 def filesystem(uri: str):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tabspark.llm import bloom
 from tabspark.llm.components import components
-from tabspark.llm.files import ROW, numbered, prepare, saved
+from tabspark.llm.files import numbered, prepare, quoted, saved, scratch
 from tabspark.llm.words import NOT_SPACE, U64, blocks, combine, hash_words, mix
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 40, 6, 80
@@ -137,6 +137,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Per document: ``key``, n_shingles, class_id (smallest id of those with the same set), component_id, kept."""
     prepare(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return saved(_clustered(docs, key, text, width, percent, bands, rows, block), "clusters", outlives=True)
+
+
+def _clustered(docs: DataFrame, key: str, text: str, width: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
     sketched = saved(sketches(docs, key, text, width, bands, rows), "sketches")
     same = sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     classes = saved(same, "set-classes")
@@ -228,10 +233,14 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     """The rows of ``docs`` that stay, of each component the one with the smallest id, with all their columns.  The nodes
     are rows here, whatever their ids; a NULL id counts as smallest, and of equal ids one row stays."""
     prepare(docs.sparkSession)
-    rows = numbered(docs)
-    later = saved(cluster(rows, ROW, text, **options).where("NOT kept").select(ROW, "component_id"), "near-copies")
-    members = saved(later.unionAll(later.select(F.col("component_id").alias(ROW), "component_id").distinct()), "component-members")
-    ids = bloom.split(rows.select(ROW, F.col(key).cast("long").alias("id")), members, ROW)[0]
-    named = saved(ids.join(members, ROW), "named-members")
-    first = named.groupBy("component_id").agg(F.min(F.struct("id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return bloom.anti_join(rows, saved(named.select(ROW).join(first, ROW, "left_anti"), "dropped-near-copies"), ROW).drop(ROW)
+    with scratch(docs.sparkSession):
+        rows, number = numbered(docs)
+        narrow = rows.select(*(c.alias(n) for c, n in zip(quoted([key, text, number]), ("id", "text", "number"))))
+        later = saved(cluster(narrow, "number", "text", **options).where("NOT kept").select("number", "component_id"), "near-copies")
+        members = saved(later.unionAll(later.select(F.col("component_id").alias("number"), "component_id").distinct()), "component-members")
+        ids = bloom.split(narrow.select("number", F.col("id").cast("long").alias("id")), members, "number")[0]
+        named = saved(ids.join(members, "number"), "named-members")
+        first = named.groupBy("component_id").agg(F.min(F.struct("id", "number")).alias("first")).select(F.col("first.number").alias("number"))
+        dropped = named.select("number").join(first, "number", "left_anti").withColumnRenamed("number", number)
+        dropped = saved(dropped, "dropped-near-copies", outlives=True)
+    return bloom.anti_join(rows, dropped, number).select(*quoted(docs.columns))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.llm.files import ROW, numbered, prepare, saved
+from tabspark.llm.files import numbered, prepare, quoted, saved, scratch
 from tabspark.llm.hashtable import row_sums
 from tabspark.llm.words import LOWER, NOT_SPACE, U64, blocks, combine, hash_spans, mix, word_spans
 
@@ -191,7 +191,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     from tabspark.llm import bloom
 
     prepare(docs.sparkSession)
-    rows = numbered(docs)
-    table = feature_table(rows, key, text, (ROW,))
-    found = table.where(~(fit(table, labels, key, label).score() >= 0.5)).select(ROW)
-    return bloom.anti_join(rows, saved(found, "rejected"), ROW).drop(ROW)
+    with scratch(docs.sparkSession):
+        rows, number = numbered(docs)
+        narrow = rows.select(*(c.alias(n) for c, n in zip(quoted([key, text, number]), ("id", "text", "number"))))
+        table = feature_table(narrow, "id", "text", ("number",))
+        found = table.where(~(fit(table, labels, key, label).score() >= 0.5))
+        found = saved(found.select(F.col("number").alias(number)), "rejected", outlives=True)
+    return bloom.anti_join(rows, found, number).select(*quoted(docs.columns))

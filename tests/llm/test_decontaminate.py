@@ -90,3 +90,15 @@ def test_proximity(rows):
     index = decontaminate.build_index(rows("doc_id long, text string", *docs))
     found = decontaminate.search(index, decontaminate.item_windows(rows("item_id long, text string", (7, "Red green blue"))), within=6)
     assert {r.id for r in found.collect() if r.hits} == {1, 4}
+
+
+def test_windows_that_many_items_share_are_hit_once(rows, spark):
+    passage = text_of(7, 30)
+    items = [(k, passage + " " + text_of(1000 + k, 3)) for k in range(300)] + [(900, text_of(7, 12))]
+    docs = [(k, text_of(20 + k, 5) + " " + passage) for k in range(5)] + [(9, text_of(50, 30))]
+    table, tests = rows("doc_id long, text string", *docs), rows("item_id long, text string", *items)
+    own, sets = decontaminate.window_sets(decontaminate.item_windows(tests))
+    found = decontaminate.matches(decontaminate.build_index(table), own).collect()
+    assert sum(len(r.hits) for r in found) == 5 * 21  # places, whatever the number of items
+    assert sets.count() < 300 + 301 + 300 * 4
+    assert {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(table, tests).collect()} == plain(docs, items)
