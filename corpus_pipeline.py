@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from tabspark.llm.files import prepare, saved
+from tabspark.llm.files import delete, prepare, scratch, shared_folder
 from tabspark.session import read_table
 
 
@@ -53,8 +53,14 @@ ORACLE_SQL = None  # the classifier and the packing have no SQL form; tests/llm/
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has written for itself goes when its output is written, and its input when the next one's is."""
     prepare(spark)
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        path = shared_folder(spark, "stage-" + name.replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
