@@ -1,21 +1,105 @@
-"""Positions in a total order without a single-partition window.
-
-``rank()`` over an unpartitioned (or coarsely partitioned) window moves the whole
-group into one task (``Exchange SinglePartition``).  Here the rows are range
-partitioned on the order key, the partition assignment is frozen with a reliable
-checkpoint (range bounds come from sampling, so a recomputation could move rows),
-per-partition totals are prefix-summed (a table of partitions x groups rows) and the
-position inside a partition comes from a window local to that partition.
+"""Positions in a total order with one exchange of rows, and no single-partition window.
+
+``rank()`` over an unpartitioned (or coarsely partitioned) window moves the whole group into one task, and a range
+partitioning has to be frozen before its totals can be used.  Here each row gets an order-preserving *code*:
+
+1. one aggregate finds approximate quantiles of the first order column; they are literals, so every later use agrees,
+   and how well they divide the rows matters for balance only;
+2. the code is the bucket between two of them.  A value that spans several quantiles (ties that hold a share of the
+   rows) has a bucket to itself, divided by quantiles of the second order column;
+3. the histogram of codes is a small partial aggregate, and its prefix sums tell how much lies before each code;
+4. each prefix sum joins its code's rows as one more row in front, so a window over ``(group, code)`` counts on from
+   there: the rows are exchanged once, by group and code, without a checkpoint or a join.
+
+The input is read three times (quantiles, histogram, rows), so it must give the same rows each time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabspark.session import materialise_small
+
+MAX_BUCKETS = 2048
+PREFIX_BYTES = 6  # of a string that its number holds
+
+
+def order_number(df: DataFrame, column: str) -> Column:
+    """A double that never falls as the column rises (equal doubles may stand for different values); NULL stays NULL."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        lead = F.rpad(F.hex(F.substring(c.cast("binary"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
+        return F.conv(lead, 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return c.cast("double") + F.lit(0.0)  # -0.0 and 0.0 are one value
+
+
+def _quantiles(df: DataFrame, number: str, buckets: int, where: Column | None = None) -> list[float]:
+    finite = F.col(number).isNotNull() & (F.abs(number) < float("inf"))  # NaN is above infinity
+    asked = F.percentile_approx(F.when(finite if where is None else finite & where, F.col(number)), [k / buckets for k in range(1, buckets)], 10 * buckets)
+    return list(df.agg(asked.alias("q")).first()["q"] or [])
+
+
+def _bucketed(df: DataFrame, number: str, out: str, bounds: Sequence[float]) -> DataFrame:
+    """Integer buckets in order: NULL 0, then 1 and on, NaN last."""
+    bounds = sorted(set(bounds))
+    if bounds:
+        splits = [-float("inf"), *bounds, float("inf")]
+        df = Bucketizer(splits=splits, inputCol=number, outputCol=out, handleInvalid="keep").transform(df)
+        own = F.col(out).cast("int") + 1
+    else:
+        own = F.lit(1)
+    return df.withColumn(out, F.when(F.col(number).isNull(), 0).when(F.isnan(number), len(bounds) + 2).otherwise(own))
+
 
-from tabspark.session import BROADCAST_MAX_ROWS, cut_lineage, materialise_small
+def with_codes(df: DataFrame, order_cols: Sequence[str], buckets: int) -> DataFrame:
+    """``df`` with ``__code``, a bucket in the order of ``order_cols``, and ``__tied``: all rows of the code have the same first column."""
+    first, second = order_cols[0], order_cols[1] if len(order_cols) > 1 else None
+    d = df.withColumn("__n1", order_number(df, first))
+    bounds = _quantiles(d, "__n1", buckets)
+    tied_values = sorted({b for b, c in zip(bounds, bounds[1:]) if b == c})
+    d = _bucketed(d, "__n1", "__b1", bounds)
+    special = F.col("__n1").isNull() | F.isnan("__n1")
+    # a string's number is only a prefix of it
+    whole = not isinstance(df.schema[first].dataType, (T.StringType, T.BinaryType, T.LongType, T.DecimalType, T.TimestampType, T.TimestampNTZType))
+    tied = special | F.col("__n1").isin(tied_values) if tied_values else special
+    within, width = F.lit(0), 2
+    if second and tied_values and whole:
+        d = d.withColumn("__n2", order_number(df, second))
+        finer = sorted(set(_quantiles(d, "__n2", buckets, F.col("__n1").isin(tied_values))))
+        d = _bucketed(d, "__n2", "__b2", finer)
+        within, width = F.col("__b2"), len(finer) + 4
+    place = F.when(tied, within).otherwise(F.lit(width - 1))  # the tied value is the least of its bucket
+    code = F.col("__b1").cast("long") * width + place
+    return d.withColumns({"__code": code, "__tied": F.coalesce(tied & F.lit(whole) | F.col("__n1").isNull(), F.lit(False))}).drop("__n1", "__n2", "__b1", "__b2")
+
+
+def _buckets(df: DataFrame, num_partitions: int | None) -> int:
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, min(MAX_BUCKETS, 4 * n))
+
+
+def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], weights: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """Add ``__before_<weight>`` for each weight column: its total over the rows of the same group with a strictly smaller
+    order key.  Rows must be unique on ``group_cols + order_cols`` (pre-aggregate duplicates into the weights)."""
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    sums = {w: f"__before_{w}" for w in weights}
+    d = with_codes(df, order_cols, _buckets(df, num_partitions)).withColumns({s: F.col(w).cast("long") for w, s in sums.items()})
+    upto = Window.partitionBy(*group_cols).orderBy("__code").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = d.groupBy(*group_cols, "__code").agg(*(F.sum(s).alias(s) for s in sums.values()))
+    fronts = histogram.select(*group_cols, "__code", *(F.coalesce(F.sum(s).over(upto), F.lit(0)).alias(s) for s in sums.values()), F.lit(True).alias("__front"))
+    rows = d.withColumn("__front", F.lit(False)).unionByName(fronts, allowMissingColumns=True)
+    local = Window.partitionBy(*group_cols, "__code").orderBy(F.desc("__front"), *order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumns({s: F.sum(s).over(local) - F.col(s) for s in sums.values()})
+    return out.where("NOT __front").drop("__code", "__tied", "__front")
 
 
 def count_before(
@@ -25,52 +109,44 @@ def count_before(
     weight: str | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``__before``: total weight of rows in the same group with a strictly smaller order key.
+    """Add ``__before``: total weight (or number) of rows in the same group with a strictly smaller order key.
 
-    Rows must be unique on ``group_cols + order_cols`` (pre-aggregate duplicates into
-    ``weight``); equal keys always land in the same range partition.
-    """
-    group_cols, order_cols = list(group_cols), list(order_cols)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    d = df.withColumn("__w", w).repartitionByRange(n, *group_cols, *order_cols)
-    d = cut_lineage(d.withColumn("__pid", F.spark_partition_id()))
-    totals = d.groupBy("__pid", *group_cols).agg(F.sum("__w").alias("__pw"))
-    prefix = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets, n_off = materialise_small(
-        totals.select("__pid", *group_cols, (F.sum("__pw").over(prefix) - F.col("__pw")).alias("__off")))
-    local = Window.partitionBy("__pid", *group_cols).orderBy(*order_cols).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    # offsets has at most (partitions x groups) rows; broadcast under the checked bound
-    # a NULL group is a group like any other: it is joined by whether it is NULL and its value
-    keys = ["__pid", "__nulls"]
-    nulls = F.concat(F.lit(""), *[F.when(F.col(g).isNull(), F.lit("1")).otherwise(F.lit("0")) for g in group_cols])
-    filled = offsets.select("__pid", nulls.alias("__nulls"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group_cols)], "__off")
-    left = d.withColumn("__loc", F.sum("__w").over(local) - F.col("__w")).withColumn("__nulls", nulls)
-    if n_off <= BROADCAST_MAX_ROWS:
-        filled = F.broadcast(filled)
-    cond = (left["__pid"] == filled["__pid"]) & (left["__nulls"] == filled["__nulls"])
-    for i, g in enumerate(group_cols):
-        cond = cond & left[g].eqNullSafe(filled[f"__g{i}"])
-    out = left.join(filled, cond).drop(*[filled[k] for k in keys], *[f"__g{i}" for i in range(len(group_cols))])
-    return out.withColumn("__before", F.col("__off") + F.col("__loc")).drop("__pid", "__nulls", "__off", "__loc", "__w")
-
-
-def average_rank(df: DataFrame, group_cols: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """Average rank (1-based, ties share the mean position) of ``value`` within each group.
-
-    Equivalent to ``scipy.stats.rankdata(method='average')``: rows are grouped to distinct
-    values with counts (partial aggregation), ranked there, and joined back on the value.
-    """
+    Rows must be unique on ``group_cols + order_cols`` (pre-aggregate duplicates into ``weight``)."""
+    d = df.withColumn("__w", F.col(weight).cast("long") if weight else F.lit(1).cast("long"))
+    return running_totals(d, group_cols, order_cols, ["__w"], num_partitions).withColumnRenamed("__before___w", "__before").drop("__w")
+
+
+def average_rank(df: DataFrame, group_cols: Sequence[str], value: str, out: str = "rank", num_partitions: int | None = None) -> DataFrame:
+    """Average rank (1-based, ties share the mean position) of ``value`` within each group, as
+    ``scipy.stats.rankdata(method='average')``.  NULL values have no rank and do not count.
+
+    Rows whose value has a code to itself (ties that hold a share of the rows) read their rank off the histogram and stay where
+    they are; the others are exchanged once, by group and code, and ranked there."""
     group_cols = list(group_cols)
-    distinct = df.groupBy(*group_cols, value).agg(F.count("*").alias("__cnt"))
-    ranked = count_before(distinct, group_cols, [value], weight="__cnt")
-    ranked = ranked.select(
-        *group_cols, value, (F.col("__before") + (F.col("__cnt") + 1) / 2.0).alias(out)
-    )
-    return df.join(ranked, [*group_cols, value], "left")
+    coded = with_codes(df.where(F.col(value).isNotNull()), [value], _buckets(df, num_partitions))
+    upto = Window.partitionBy(*group_cols).orderBy("__code").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = coded.groupBy(*group_cols, "__code", "__tied").agg(F.count("*").alias("__n"))
+    histogram = histogram.select(*group_cols, "__code", "__tied", "__n", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__offset"))
+
+    fronts = histogram.where("NOT __tied").select(*group_cols, "__code", "__offset", F.lit(True).alias("__front"))
+    rows = coded.where("NOT __tied").withColumns({"__offset": F.lit(None).cast("long"), "__front": F.lit(False)})
+    rows = rows.unionByName(fronts, allowMissingColumns=True)
+    order = Window.partitionBy(*group_cols, "__code").orderBy(F.desc("__front"), value)
+    smaller = F.first("__offset").over(order) + F.rank().over(order) - 2  # the front row is one of them
+    peers = F.count("*").over(order) - 1 + F.first("__offset").over(order)  # rows up to the last equal one
+    ranked = rows.withColumn(out, (smaller + peers + 1) / 2.0).where("NOT __front").drop("__front", "__offset", "__code", "__tied")
+
+    held, n = materialise_small(histogram.where("__tied").select(*group_cols, "__code", (F.col("__offset") + (F.col("__n") + 1) / 2.0).alias(out)))
+    tied = coded.where("__tied")
+    keys = {g: f"__key{k}" for k, g in enumerate(group_cols)}
+    both = F.lit(True)
+    for g, k in keys.items():
+        held = held.withColumnRenamed(g, k)
+        both = both & tied[g].eqNullSafe(held[k])
+    held = held.withColumnRenamed("__code", "__held")
+    tied = tied.join(F.broadcast(held) if n <= MAX_BUCKETS * 64 else held, both & (F.col("__code") == F.col("__held")))
+    none = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return ranked.unionByName(tied.drop("__held", "__code", "__tied", *keys.values())).unionByName(none)
 
 
 def dense_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], out: str = "index") -> DataFrame:

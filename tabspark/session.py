@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -55,24 +58,80 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+# --------------------------------------------------------------------------- lifetimes
+_scopes: ContextVar[tuple[list[Callable[[], object]], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """A lifetime for what operators keep outside the plan: caches, checkpoints and written tables made inside
+    end with the block, whether or not all went well.
+
+    Results that read them must be collected or written before the block ends::
+
+        with temporary():
+            rows = stratified_folds(df, "y").toPandas()
+
+    Blocks nest; outside of any block, such data lives as long as the application."""
+    own: list[Callable[[], object]] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        errors = []
+        for end in reversed(own):
+            try:
+                end()
+            except Exception as e:  # the others end all the same
+                errors.append(e)
+        if errors:
+            raise errors[0]
+
+
+def at_end(end: Callable[[], object], outlives: bool = False) -> None:
+    """Have ``end`` called when the innermost block ends, or with ``outlives`` the one around it."""
+    scopes = _scopes.get()[: -1 if outlives else None]
+    if scopes:
+        scopes[-1].append(end)
+
+
+def delete_path(spark: SparkSession, uri: str) -> None:
+    """A file or folder of this library, deleted through the file system that Spark uses for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """``df`` persisted until the innermost block ends."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    at_end(df.unpersist)
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint.
 
     The input is persisted first so the checkpoint write reuses the computed blocks
-    instead of recomputing the plan a second time.
+    instead of recomputing the plan a second time.  The files go when the innermost block ends.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    files = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if files.isDefined():
+        at_end(lambda: delete_path(spark, files.get()))
     return out
 
 
 def materialise_small(df: DataFrame) -> tuple[DataFrame, int]:
     """A fitted statistics table (one aggregate over the training data): cached with its exact
     row count.  Its lineage is a single deterministic aggregate, so a lost block is simply
-    recomputed; long or non-deterministic lineages use ``cut_lineage`` instead."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    recomputed; long or non-deterministic lineages use ``cut_lineage`` instead.  The cache goes when the innermost
+    block ends."""
+    df = cached(df)
     return df, df.count()
 
 
