@@ -9,14 +9,14 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabspark.operators.blend import EPS
 from tabspark.operators.joins import join_fitted
-from tabspark.session import materialise_small
+from tabspark.session import BROADCAST_MAX_ROWS, materialise_small
 from tabspark.operators.quantile import group_quantiles
-from tabspark.operators.ranking import average_rank, count_before
+from tabspark.operators.ranking import average_rank, bucket_count, running_totals, with_codes
 
 
 # --------------------------------------------------------------------------- B8 / B9 / M7
@@ -172,45 +172,108 @@ def calibration_curve(long: DataFrame, labels: DataFrame, positive_class: int =
         F.count("*").alias("n"))
 
 
-def quantile_distance(a: DataFrame, b: DataFrame, value: str = "p", group_cols: Sequence[str] = ()) -> DataFrame:
-    """Max |a_(i) - Q_b(i / (n_a - 1))| over the sorted sample ``a``, with ``Q_b`` the
-    linear-interpolation quantile of ``b`` (the original labels it KS; it is a matched
-    quantile distance).  Exact: order positions from the range-partitioned
-    ``count_before``, joined on integer position, no sorting in one task."""
-    if not group_cols:
-        out = quantile_distance(a.withColumn("__g", F.lit(0)), b.withColumn("__g", F.lit(0)), value, ["__g"])
-        return out.drop("__g")
+def two_sample(a: DataFrame, b: DataFrame, value: str = "p", group_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+    """Per group, how far the samples ``a`` and ``b`` are apart: ``quantile_distance``, the largest
+    |a_(i) - Q_b(i / (n_a - 1))| over the sorted sample ``a`` with ``Q_b`` the linear-interpolation quantile of ``b`` (the
+    original labels it KS), and ``ks``, the two-sample Kolmogorov-Smirnov statistic sup |F_a - F_b|.
+
+    One merged pass over the distinct values, each with its weight in either sample.  The distinct values are coded in order,
+    and the histogram of codes (a small table) says which ranks of ``b`` each code's values of ``a`` will ask for and which codes hold those
+    ranks.  So every code's task gets its own values and the values of ``b`` that it will look up, in one exchange: as the ranks
+    asked for rise with the value, no code is sent to many tasks.  Inside a task two windows give the cumulative weights and read off
+    the quantiles.  ``Q_b`` rises with the rank, so equal values of ``a`` are furthest from it at their first or their last rank.
+    NULL and NaN values take no part; groups without a value in both samples are left out."""
     g = list(group_cols)
-    pa = count_before(a.select(*g, value, F.monotonically_increasing_id().alias("__u")), g, [value, "__u"]).select(
-        *g, F.col(value).alias("va"), F.col("__before").alias("i"))
-    pb = count_before(b.select(*g, value, F.monotonically_increasing_id().alias("__u")), g, [value, "__u"]).select(
-        *g, F.col(value).alias("vb"), F.col("__before").alias("j"))
-    sizes, n_s = materialise_small(pa.groupBy(*g).agg(F.count("*").alias("na")).join(pb.groupBy(*g).agg(F.count("*").alias("nb")), g))
-    h = F.when(F.col("na") > 1, F.col("i") / (F.col("na") - 1)).otherwise(F.lit(0.0)) * (F.col("nb") - 1)
-    pos = join_fitted(pa, sizes, g, n_s).withColumn("h", h).withColumn("j0", F.floor("h").cast("long"))
-    pos = pos.withColumn("j1", F.least(F.col("j0") + 1, F.col("nb") - 1)).withColumn("frac", F.col("h") - F.col("j0"))
-    lo = pb.select(*g, F.col("j").alias("j0"), F.col("vb").alias("b0"))
-    hi = pb.select(*g, F.col("j").alias("j1"), F.col("vb").alias("b1"))
-    m = pos.join(lo, [*g, "j0"]).join(hi, [*g, "j1"])
-    qb = F.col("b0") + (F.col("b1") - F.col("b0")) * F.col("frac")
-    return m.groupBy(*g).agg(F.max(F.abs(F.col("va") - qb)).alias("quantile_distance"))
+    if not g:
+        one = lambda d: d.select(F.lit(0).alias("__g"), value)
+        return two_sample(one(a), one(b), value, ["__g"], num_partitions).drop("__g")
+    v = F.col(value).cast("double")
+    both = a.select(*g, v.alias("__v"), F.lit(1).alias("__ca"), F.lit(0).alias("__cb")).unionAll(b.select(*g, v.alias("__v"), F.lit(0), F.lit(1)))
+    both = both.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    distinct = both.groupBy(*g, "__v").agg(F.sum("__ca").alias("__ca"), F.sum("__cb").alias("__cb"))
+    coded = with_codes(distinct, ["__v"], bucket_count(both, num_partitions), both).drop("__tied")
+
+    codes, n_codes = materialise_small(_code_ranks(coded, g))
+    lookups, n_lookups = materialise_small(_code_lookups(codes, g))  # at most twice as many as codes, and one a group
+
+    null, front = F.lit(None).cast("long"), F.lit(None).cast("double")
+    names = [*g, "__c", "__kind", "__v", "__xa", "__xb", "__xl", "__na", "__nb"]
+    own = coded.select(*g, F.col("__code").alias("__c"), F.lit(1).alias("__kind"), "__v", "__ca", "__cb", null, null, null)
+    asked = _null_safe(coded.where("__cb > 0"), lookups.select(*g, F.col("__src").alias("__code"), "__c"), [*g, "__code"], n_lookups)
+    asked = asked.select(*g, "__c", F.lit(2).alias("__kind"), "__v", null, null, "__cb", null, null)
+    fronts = codes.select(*g, "__code", F.lit(0), front, "__a0", "__b0", null, "__na", "__nb")
+    ahead = lookups.groupBy(*g, "__c").agg(F.min("__first").alias("__first")).select(*g, "__c", F.lit(0), front, null, null, "__first", null, null)
+    rows = own.toDF(*names)
+    for more in (asked, fronts, ahead):
+        rows = rows.unionAll(more.toDF(*names))
+
+    upto = Window.partitionBy(*g, "__c").orderBy(F.col("__kind") > 0, "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({
+        "__fa": F.sum("__xa").over(upto), "__fb": F.sum("__xb").over(upto), "__fl": F.sum("__xl").over(upto),
+        "__na": F.first("__na", ignorenulls=True).over(upto), "__nb": F.first("__nb", ignorenulls=True).over(upto),
+    }).where("__kind > 0")
+    point = lambda rank, order, end=None, h=None, side=None, ks=None: F.struct(
+        rank.cast("long").alias("rank"), F.lit(order).alias("order"), F.lit(end).cast("int").alias("end"), (F.lit(None) if h is None else h - F.floor(h)).cast("double").alias("frac"),
+        F.lit(side).cast("int").alias("side"), (F.lit(None) if ks is None else ks).cast("double").alias("ks"))
+    steps = [point(F.lit(-1), 2, ks=F.abs(F.col("__fa") / F.col("__na") - F.col("__fb") / F.col("__nb")))]
+    for end, i in enumerate((F.col("__fa") - F.col("__xa"), F.col("__fa") - 1)):
+        h = _matched_rank(i)
+        steps += [point(F.floor(h), 1, end, h, 0), point(F.least(F.floor(h) + 1, F.col("__nb") - 1), 1, end, h, 1)]
+    points = F.when(F.col("__kind") == 2, F.array(point(F.col("__fl") - F.col("__xl"), 0))).when(F.col("__xa") > 0, F.array(*steps)).otherwise(F.array(steps[0]))
+    points = rows.select(*g, "__c", "__v", F.explode(points).alias("s")).select(*g, "__c", "__v", "s.*")
+    at = Window.partitionBy(*g, "__c").orderBy("rank", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = points.withColumn("__q", F.last(F.when(F.col("order") == 0, F.col("__v")), ignorenulls=True).over(at)).where("order > 0")
+    side = lambda k: F.max(F.when(F.col("side") == k, F.col("__q")))
+    each = points.groupBy(*g, "__c", "__v", "end").agg(side(0).alias("__q0"), side(1).alias("__q1"), F.max("frac").alias("frac"), F.max("ks").alias("ks"))
+    apart = F.abs(F.col("__v") - (F.col("__q0") + (F.col("__q1") - F.col("__q0")) * F.col("frac")))
+    out = each.groupBy(*g).agg(F.max(apart).alias("quantile_distance"), F.max("ks").alias("ks"))
+    return out.where("quantile_distance IS NOT NULL")  # a group that is in both samples
+
+
+def _matched_rank(i):
+    """The (fractional) rank of sample b at the level of rank ``i`` of sample a."""
+    return F.when(F.col("__na") > 1, i / (F.col("__na") - 1)).otherwise(F.lit(0.0)) * (F.col("__nb") - 1)
+
+
+def _code_ranks(coded: DataFrame, g: list[str]) -> DataFrame:
+    """Per group and code: rows of either sample in it and before it, and in the whole group."""
+    before = Window.partitionBy(*g).orderBy("__code").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*g)
+    h = coded.groupBy(*g, "__code").agg(F.sum("__ca").alias("__ca"), F.sum("__cb").alias("__cb"))
+    return h.withColumns({
+        "__a0": F.coalesce(F.sum("__ca").over(before), F.lit(0)), "__b0": F.coalesce(F.sum("__cb").over(before), F.lit(0)),
+        "__na": F.sum("__ca").over(whole), "__nb": F.sum("__cb").over(whole),
+    }).where("__na > 0 AND __nb > 0")
+
+
+def _code_lookups(codes: DataFrame, g: list[str]) -> DataFrame:
+    """(group, code __c, code __src that holds ranks of b which values of a in __c ask for, its first rank)."""
+    last = F.least(F.floor(_matched_rank(F.col("__a0") + F.col("__ca") - 1)) + 1, F.col("__nb") - 1)
+    asks = codes.where("__ca > 0").select(*(F.col(c).alias(f"__ask_{k}") for k, c in enumerate(g)), F.col("__code").alias("__c"), F.floor(_matched_rank(F.col("__a0"))).alias("__from"), last.alias("__to"))
+    has = codes.where("__cb > 0").select(*g, F.col("__code").alias("__src"), F.col("__b0").alias("__first"), (F.col("__b0") + F.col("__cb") - 1).alias("__last"))
+    same = F.lit(True)
+    for k, c in enumerate(g):
+        same = same & F.col(f"__ask_{k}").eqNullSafe(F.col(c))
+    return asks.join(has, same & (F.col("__first") <= F.col("__to")) & (F.col("__last") >= F.col("__from"))).select(*g, "__c", "__src", "__first")
+
+
+def _null_safe(df: DataFrame, small: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """Join with a small table of known size on keys that may be NULL."""
+    small = small.withColumnsRenamed({c: f"__on_{k}" for k, c in enumerate(on)})
+    same = F.lit(True)
+    for k, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"__on_{k}"))
+    return df.join(F.broadcast(small) if rows <= BROADCAST_MAX_ROWS else small, same)
+
+
+def quantile_distance(a: DataFrame, b: DataFrame, value: str = "p", group_cols: Sequence[str] = ()) -> DataFrame:
+    """The matched-quantile distance of ``two_sample``."""
+    return two_sample(a, b, value, group_cols).drop("ks")
 
 
 def ks_statistic(a: DataFrame, b: DataFrame, value: str = "p", group_cols: Sequence[str] = ()) -> DataFrame:
-    """True two-sample Kolmogorov-Smirnov statistic sup |F_a - F_b| over all observed values."""
-    if not group_cols:
-        out = ks_statistic(a.withColumn("__g", F.lit(0)), b.withColumn("__g", F.lit(0)), value, ["__g"])
-        return out.drop("__g")
-    g = list(group_cols)
-    va = a.groupBy(*g, value).agg(F.count("*").alias("ca"))
-    vb = b.groupBy(*g, value).agg(F.count("*").alias("cb"))
-    u = va.join(vb, [*g, value], "full").fillna(0, subset=["ca", "cb"])
-    sizes, n_s = materialise_small(a.groupBy(*g).agg(F.count("*").alias("na")).join(b.groupBy(*g).agg(F.count("*").alias("nb")), g))
-    ca = count_before(u, g, [value], weight="ca").withColumnRenamed("__before", "ba")
-    cb = count_before(ca, g, [value], weight="cb").withColumnRenamed("__before", "bb")
-    j = join_fitted(cb, sizes, g, n_s)
-    d = F.abs((F.col("ba") + F.col("ca")) / F.col("na") - (F.col("bb") + F.col("cb")) / F.col("nb"))
-    return j.groupBy(*g).agg(F.max(d).alias("ks"))
+    """True two-sample Kolmogorov-Smirnov statistic sup |F_a - F_b| over all observed values, of ``two_sample``."""
+    return two_sample(a, b, value, group_cols).drop("quantile_distance")
 
 
 def per_class_hist(long: DataFrame, bins: int = 50) -> DataFrame:
@@ -230,7 +293,7 @@ def per_class_hist(long: DataFrame, bins: int = 50) -> DataFrame:
 def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
     """ROC-AUC (ties averaged), average precision (step-wise, as scikit-learn) and F1 at
     ``threshold`` on the probability.  Exact from cumulative TP/FP over distinct scores; the
-    running sums come from the range-partitioned ``count_before``.  Rows without a label or a score
+    running sums come from ``running_totals``.  Rows without a label or a score
     cannot be ranked and are left out of all three."""
     scored = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     g = scored.groupBy(F.col(score).alias("s")).agg(
@@ -239,8 +302,7 @@ def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score"
     P, N = tot["P"] or 0, tot["N"] or 0
     # descending score order: cumulative counts of scores strictly greater
     d = g.withColumn("neg_s", -F.col("s"))
-    ctp = count_before(d, [], ["neg_s"], weight="tp").withColumnRenamed("__before", "tp_above")
-    both = count_before(ctp, [], ["neg_s"], weight="fp").withColumnRenamed("__before", "fp_above")
+    both = running_totals(d, [], ["neg_s"], ["tp", "fp"]).withColumnsRenamed({"__before_tp": "tp_above", "__before_fp": "fp_above"})
     # AUC: each positive at score s beats the negatives below s and ties half
     auc_num = F.sum(F.col("tp") * ((F.lit(N) - F.col("fp_above") - F.col("fp")) + F.col("fp") / 2.0))
     tp_cum = F.col("tp_above") + F.col("tp")

@@ -29,9 +29,19 @@ MAX_BUCKETS = 2048
 PREFIX_BYTES = 6  # of a string that its number holds
 
 
-def order_number(df: DataFrame, column: str) -> Column:
+def order_keys(df: DataFrame, order_cols: Sequence[str]) -> list[tuple[Column, T.DataType]]:
+    """The columns, and the fields of structs among them, in the order in which they decide."""
+    out = []
+    for name in order_cols:
+        parts = [(F.col(name), df.schema[name].dataType)]
+        while any(isinstance(kind, T.StructType) for _, kind in parts):
+            parts = [p for c, kind in parts for p in ([(c[f.name], f.dataType) for f in kind] if isinstance(kind, T.StructType) else [(c, kind)])]
+        out += parts
+    return out
+
+
+def order_number(c: Column, kind: T.DataType) -> Column:
     """A double that never falls as the column rises (equal doubles may stand for different values); NULL stays NULL."""
-    kind, c = df.schema[column].dataType, F.col(column)
     if isinstance(kind, (T.StringType, T.BinaryType)):
         lead = F.rpad(F.hex(F.substring(c.cast("binary"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
         return F.conv(lead, 16, 10).cast("double")
@@ -60,20 +70,22 @@ def _bucketed(df: DataFrame, number: str, out: str, bounds: Sequence[float]) ->
     return df.withColumn(out, F.when(F.col(number).isNull(), 0).when(F.isnan(number), len(bounds) + 2).otherwise(own))
 
 
-def with_codes(df: DataFrame, order_cols: Sequence[str], buckets: int) -> DataFrame:
-    """``df`` with ``__code``, a bucket in the order of ``order_cols``, and ``__tied``: all rows of the code have the same first column."""
-    first, second = order_cols[0], order_cols[1] if len(order_cols) > 1 else None
-    d = df.withColumn("__n1", order_number(df, first))
-    bounds = _quantiles(d, "__n1", buckets)
+def with_codes(df: DataFrame, order_cols: Sequence[str], buckets: int, measured: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``__code``, a bucket in the order of ``order_cols``, and ``__tied``: all rows of the code have the same first
+    column.  ``measured``: a table with that column whose quantiles divide it, in place of ``df`` itself."""
+    (first, kind), *more = order_keys(df, order_cols)
+    d = df.withColumn("__n1", order_number(first, kind))
+    source = d if measured is None else measured.withColumn("__n1", order_number(*order_keys(measured, order_cols)[0]))
+    bounds = _quantiles(source, "__n1", buckets)
     tied_values = sorted({b for b, c in zip(bounds, bounds[1:]) if b == c})
     d = _bucketed(d, "__n1", "__b1", bounds)
     special = F.col("__n1").isNull() | F.isnan("__n1")
     # a string's number is only a prefix of it
-    whole = not isinstance(df.schema[first].dataType, (T.StringType, T.BinaryType, T.LongType, T.DecimalType, T.TimestampType, T.TimestampNTZType))
+    whole = not isinstance(kind, (T.StringType, T.BinaryType, T.LongType, T.DecimalType, T.TimestampType, T.TimestampNTZType))
     tied = special | F.col("__n1").isin(tied_values) if tied_values else special
     within, width = F.lit(0), 2
-    if second and tied_values and whole:
-        d = d.withColumn("__n2", order_number(df, second))
+    if more and tied_values and whole:
+        d = d.withColumn("__n2", order_number(*more[0]))
         finer = sorted(set(_quantiles(d, "__n2", buckets, F.col("__n1").isin(tied_values))))
         d = _bucketed(d, "__n2", "__b2", finer)
         within, width = F.col("__b2"), len(finer) + 4
@@ -82,7 +94,7 @@ def with_codes(df: DataFrame, order_cols: Sequence[str], buckets: int) -> DataFr
     return d.withColumns({"__code": code, "__tied": F.coalesce(tied & F.lit(whole) | F.col("__n1").isNull(), F.lit(False))}).drop("__n1", "__n2", "__b1", "__b2")
 
 
-def _buckets(df: DataFrame, num_partitions: int | None) -> int:
+def bucket_count(df: DataFrame, num_partitions: int | None = None) -> int:
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(8, min(MAX_BUCKETS, 4 * n))
 
@@ -92,7 +104,7 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     order key.  Rows must be unique on ``group_cols + order_cols`` (pre-aggregate duplicates into the weights)."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     sums = {w: f"__before_{w}" for w in weights}
-    d = with_codes(df, order_cols, _buckets(df, num_partitions)).withColumns({s: F.col(w).cast("long") for w, s in sums.items()})
+    d = with_codes(df, order_cols, bucket_count(df, num_partitions)).withColumns({s: F.col(w).cast("long") for w, s in sums.items()})
     upto = Window.partitionBy(*group_cols).orderBy("__code").rowsBetween(Window.unboundedPreceding, -1)
     histogram = d.groupBy(*group_cols, "__code").agg(*(F.sum(s).alias(s) for s in sums.values()))
     fronts = histogram.select(*group_cols, "__code", *(F.coalesce(F.sum(s).over(upto), F.lit(0)).alias(s) for s in sums.values()), F.lit(True).alias("__front"))
@@ -123,7 +135,7 @@ def average_rank(df: DataFrame, group_cols: Sequence[str], value: str, out: str
     Rows whose value has a code to itself (ties that hold a share of the rows) read their rank off the histogram and stay where
     they are; the others are exchanged once, by group and code, and ranked there."""
     group_cols = list(group_cols)
-    coded = with_codes(df.where(F.col(value).isNotNull()), [value], _buckets(df, num_partitions))
+    coded = with_codes(df.where(F.col(value).isNotNull()), [value], bucket_count(df, num_partitions))
     upto = Window.partitionBy(*group_cols).orderBy("__code").rowsBetween(Window.unboundedPreceding, -1)
     histogram = coded.groupBy(*group_cols, "__code", "__tied").agg(F.count("*").alias("__n"))
     histogram = histogram.select(*group_cols, "__code", "__tied", "__n", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__offset"))

@@ -279,9 +279,7 @@ def diag_oof_test_distance(spark, sf_dir):
     """Per run and class, the matched-quantile distance and the true two-sample KS statistic
     between OOF and test probabilities."""
     oof, tst, _ = prob_runs(spark, sf_dir)
-    qd = EV.quantile_distance(oof, tst, "p", ["run", "class"])
-    ks = EV.ks_statistic(oof, tst, "p", ["run", "class"])
-    return rounded(qd.join(ks, ["run", "class"]))
+    return rounded(EV.two_sample(oof, tst, "p", ["run", "class"]))
 
 
 @register("diag_prob_histogram", f"""{W},
