@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.llm.files import new_file, prepare, read_bytes, saved, shared_folder
+from tabspark.llm.files import new_file, prepare, quoted, read_bytes, saved, scratch, shared_folder
 from tabspark.llm.words import U64, blocks, mix
 
 WIDTH = 200
@@ -259,13 +259,13 @@ class Steps:
         return self.spread(cells).join(self.spread(own), "run", "left")
 
     def asked(self, cells: DataFrame, cuts: np.ndarray, total: int, proven: bool) -> DataFrame:
-        """(run, part, flags): for each distinct core of a run, in order of its hash, whether it occurs at least twice and, of cells
-        that were sorted, one of its cells is not proven."""
+        """(run, part, flags): for each distinct core of a run, in order of its hash, whether it occurs at least twice, and in a cell
+        that is not known, or proven, to occur elsewhere."""
         width, buckets = self.width, max(4 * self.tasks, -(-total // BUCKET_KEYS))
 
         def send(row, text):
             own = np.frombuffer(row["cells"], CELL)
-            mark = 1 - (np.frombuffer(row["proven"], np.uint8) | own["known"]) if proven else np.ones(len(own), np.uint8)
+            mark = 1 - (own["known"] | np.frombuffer(row["proven"], np.uint8) if proven else own["known"])
             keys, of, n = np.unique(cores(text, own, cuts, width), return_inverse=True, return_counts=True)
             marks = np.zeros(len(keys), np.uint8)
             np.maximum.at(marks, of, mark)
@@ -375,7 +375,7 @@ class Steps:
 
 def packed(docs: DataFrame, key: str, text: str, run_bytes: int) -> DataFrame:
     """(run, uri, keys, sizes): the texts in files of about ``run_bytes``, each with its rows' keys and sizes in bytes."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(*(c.alias(n) for c, n in zip(quoted([key, text]), ("key", "text"))))
     folder = shared_folder(docs.sparkSession, "texts")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,10 +438,14 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """Per row: ``key``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the bytes that stay."""
     if not 2 * GRAM <= width < 1 << 15:
         raise ValueError(f"width is {width}: it must be at least {2 * GRAM} and below {1 << 15}")
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return saved(_removed(docs, key, text, width, run_bytes, with_text), "deduplicated", outlives=True)
+
+
+def _removed(docs: DataFrame, key: str, text: str, width: int, run_bytes: int, with_text: bool) -> DataFrame:
     runs = packed(docs, key, text, run_bytes)
-    steps = Steps(spark, width, runs)
+    steps = Steps(docs.sparkSession, width, runs)
     both = steps.spread(runs).join(steps.spread(repeated(steps)), "run", "left")
     numbers = ["n_bytes", "n_removed", "n_spans"]
 
@@ -468,5 +472,5 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
                 columns = [row["keys"].flatten(), *(pa.array(x.astype(np.int64)) for x in (np.diff(full.offsets), removed, spans)), digests]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_text, [key, *numbers, "kept_sha256"] + ["kept"] * with_text)
 
-    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
+    kind = docs.schema[key].dataType.simpleString()
     return both.select("uri", "keys", "sizes", "found").mapInArrow(cut, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
