@@ -10,17 +10,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabspark.session import ensure_checkpoint_dir
+from tabspark.session import at_end, delete_path, ensure_checkpoint_dir, temporary
 
 ARROW_ROWS = 2000  # rows in one Arrow batch handed to a Python task
 
-_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
-
 
 def prepare(spark: SparkSession) -> None:
     """Checkpoint folder known, and Arrow batches of at most ``ARROW_ROWS`` rows (whole texts are wide)."""
@@ -29,33 +26,19 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def delete(spark: SparkSession, uri: str) -> None:
-    """A folder of this library, deleted through the file system that Spark uses for it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is written to new folders inside is deleted at the end, whether or not all went well, but for tables saved with
-    ``outlives``, which belong to the scope outside.  Lazy results of the inside must be saved so before they leave."""
-    own: list[str] = []
-    token = _scopes.set((*_scopes.get(), own))
-    try:
+    ``outlives``, which belong to the block outside.  Lazy results of the inside must be saved so before they leave."""
+    with temporary():
         yield
-    finally:
-        _scopes.reset(token)
-        for uri in own:
-            delete(spark, uri)
 
 
 def shared_folder(spark: SparkSession, kind: str, outlives: bool = False) -> str:
     """A new folder name below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     uri = f"{base}/{kind}-{uuid.uuid4().hex}"
-    scopes = _scopes.get()[: -1 if outlives else None]
-    if scopes:
-        scopes[-1].append(uri)
+    at_end(lambda: delete_path(spark, uri), outlives)
     return uri
 
 
