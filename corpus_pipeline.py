@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from tabspark.llm.files import delete, prepare, scratch, shared_folder
-from tabspark.session import read_table
+from tabspark.llm.files import prepare, scratch, shared_folder
+from tabspark.session import delete_path, read_table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         if before:
-            delete(spark, before)
+            delete_path(spark, before)
         docs, before = spark.read.parquet(path), path
     return docs
