@@ -42,7 +42,6 @@ def folds_sql(source_sql: str, y: str = "y", k: int = 5, seed: int = 1337, row_i
 # --------------------------------------------------------------------------- M2-M8, M10
 from dataclasses import dataclass, field  # noqa: E402
 
-from pyspark import StorageLevel  # noqa: E402
 from pyspark.ml.classification import (  # noqa: E402
     DecisionTreeClassifier,
     GBTClassifier,
@@ -54,7 +53,7 @@ from pyspark.ml.feature import VectorAssembler  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from tabspark.operators.joins import join_fitted  # noqa: E402
-from tabspark.session import cut_lineage  # noqa: E402
+from tabspark.session import cached, cut_lineage  # noqa: E402
 
 # Parameters each learner slot accepts (anything else is an error, never silently dropped).
 LEARNER_PARAMS = {
@@ -95,7 +94,7 @@ class CVResult:
     n_classes: int = 0
 
 
-def _probs_of(model, kind: str, df: DataFrame, n_classes: int) -> DataFrame:
+def predict_probs(model, kind: str, df: DataFrame, n_classes: int) -> DataFrame:
     """Probability array column ``probs`` for any slot; one-vs-rest scores are renormalised."""
     if kind == "gbt_ovr":
         out = df
@@ -133,20 +132,27 @@ def fit_oof(
     ``categorical`` maps integer-coded feature columns to their number of codes; those
     slots are marked as nominal in the vector metadata, so tree learners split them as
     categories (native categorical handling) instead of as ordered numbers.
+    A feature name with ``{fold}`` in it stands for a column of each fold's own model (the ordered target statistics of
+    M6, which must not see the fold that the model is judged on).
     """
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    tr = asm.transform(train).select("row_id", F.col(label).cast("double").alias("label"), F.col(fold_col).alias("fold"), "features")
-    te_src = asm.transform(test)
-    if categorical:
-        tr = _mark_nominal(tr, features, categorical)
-        te_src = _mark_nominal(te_src, features, categorical)
-    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
-    te = te_src.select("row_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    folds = sorted(r["fold"] for r in tr.select("fold").distinct().collect())
+    folds = sorted(r[fold_col] for r in train.select(fold_col).distinct().collect())
+    own_columns = any("{fold}" in c for c in features)
+    vector = {f: f"__x{f}" if own_columns else "features" for f in folds}
+    tr_src, te_src = train, test
+    for f, name in {v: (f, v) for f, v in vector.items()}.values():
+        asm = VectorAssembler(inputCols=[c.replace("{fold}", str(f)) for c in features], outputCol=name, handleInvalid="keep")
+        tr_src, te_src = asm.transform(tr_src), asm.transform(te_src)
+        if categorical:
+            tr_src, te_src = (_mark_nominal(d, features, categorical, name) for d in (tr_src, te_src))
+    vectors = sorted(set(vector.values()))
+    all_tr = cached(tr_src.select("row_id", F.col(label).cast("double").alias("label"), F.col(fold_col).alias("fold"), *vectors))
+    all_te = cached(te_src.select("row_id", *vectors))
+    tr = all_tr
     if n_classes is None:
         n_classes = int(tr.agg(F.max("label")).first()[0]) + 1
     oofs, tests, imps, models = [], [], [], {}
     for f in folds:
+        tr, te = (d.withColumnRenamed(vector[f], "features").drop(*[v for v in vectors if v != vector[f]]) for d in (all_tr, all_te))
         fit_df = tr
         if weights is not None:
             wf = weights.where(F.col("fold") == f).select(F.col("y").cast("double").alias("label"), "weight")
@@ -174,8 +180,8 @@ def fit_oof(
                     imps.append((f, features[i], float(v)))
         models[f] = model
         valid = tr.where(F.col("fold") == f)
-        oofs.append(_probs_of(model, kind, valid, n_classes).select("row_id", "fold", F.posexplode("probs").alias("class", "p")))
-        tests.append(_probs_of(model, kind, te, n_classes).select("row_id", F.posexplode("probs").alias("class", "p")))
+        oofs.append(predict_probs(model, kind, valid, n_classes).select("row_id", "fold", F.posexplode("probs").alias("class", "p")))
+        tests.append(predict_probs(model, kind, te, n_classes).select("row_id", F.posexplode("probs").alias("class", "p")))
     oof = oofs[0]
     for o in oofs[1:]:
         oof = oof.unionByName(o)
@@ -187,8 +193,8 @@ def fit_oof(
     # release the cached feature vectors
     oof = cut_lineage(oof.withColumn("run", F.lit(run)))
     tst = cut_lineage(tst.withColumn("run", F.lit(run)))
-    tr.unpersist()
-    te.unpersist()
+    all_tr.unpersist()
+    all_te.unpersist()
     return CVResult(run, oof, tst, imps, models, kind, n_classes)
 
 
@@ -211,7 +217,7 @@ def permutation_importance(result: CVResult, frame: DataFrame, features: list[st
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
 
     def loss(df):
-        scored = _probs_of(model, result.kind, asm.transform(df), result.n_classes)
+        scored = predict_probs(model, result.kind, asm.transform(df), result.n_classes)
         p = F.col("probs")[F.col("y")]
         return scored.agg(F.avg(-F.log(F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))))).first()[0]
 
@@ -224,7 +230,7 @@ def permutation_importance(result: CVResult, frame: DataFrame, features: list[st
         rows, "run string, fold int, feature string, base_logloss double, importance double")
 
 
-def _mark_nominal(df: DataFrame, features: list[str], categorical: dict[str, int]) -> DataFrame:
+def _mark_nominal(df: DataFrame, features: list[str], categorical: dict[str, int], vector: str = "features") -> DataFrame:
     """Attach ML attribute metadata declaring the given slots nominal with ``n`` values."""
     attrs = []
     for i, f in enumerate(features):
@@ -236,7 +242,7 @@ def _mark_nominal(df: DataFrame, features: list[str], categorical: dict[str, int
                for a in attrs if a["type"] == "nominal"]
     numeric = [{"idx": a["idx"], "name": a["name"]} for a in attrs if a["type"] == "numeric"]
     meta = {"ml_attr": {"attrs": {"numeric": numeric, "nominal": nominal}, "num_attrs": len(features)}}
-    return df.withColumn("features", F.col("features").alias("features", metadata=meta))
+    return df.withColumn(vector, F.col(vector).alias(vector, metadata=meta))
 
 
 def importance_table(spark, result: CVResult) -> DataFrame:

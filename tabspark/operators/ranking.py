@@ -74,24 +74,24 @@ def with_codes(df: DataFrame, order_cols: Sequence[str], buckets: int, measured:
     """``df`` with ``__code``, a bucket in the order of ``order_cols``, and ``__tied``: all rows of the code have the same first
     column.  ``measured``: a table with that column whose quantiles divide it, in place of ``df`` itself."""
     (first, kind), *more = order_keys(df, order_cols)
-    d = df.withColumn("__n1", order_number(first, kind))
-    source = d if measured is None else measured.withColumn("__n1", order_number(*order_keys(measured, order_cols)[0]))
-    bounds = _quantiles(source, "__n1", buckets)
+    d = df.withColumn("__key_number", order_number(first, kind))
+    source = d if measured is None else measured.withColumn("__key_number", order_number(*order_keys(measured, order_cols)[0]))
+    bounds = _quantiles(source, "__key_number", buckets)
     tied_values = sorted({b for b, c in zip(bounds, bounds[1:]) if b == c})
-    d = _bucketed(d, "__n1", "__b1", bounds)
-    special = F.col("__n1").isNull() | F.isnan("__n1")
+    d = _bucketed(d, "__key_number", "__key_bucket", bounds)
+    special = F.col("__key_number").isNull() | F.isnan("__key_number")
     # a string's number is only a prefix of it
     whole = not isinstance(kind, (T.StringType, T.BinaryType, T.LongType, T.DecimalType, T.TimestampType, T.TimestampNTZType))
-    tied = special | F.col("__n1").isin(tied_values) if tied_values else special
+    tied = special | F.col("__key_number").isin(tied_values) if tied_values else special
     within, width = F.lit(0), 2
     if more and tied_values and whole:
-        d = d.withColumn("__n2", order_number(*more[0]))
-        finer = sorted(set(_quantiles(d, "__n2", buckets, F.col("__n1").isin(tied_values))))
-        d = _bucketed(d, "__n2", "__b2", finer)
-        within, width = F.col("__b2"), len(finer) + 4
+        d = d.withColumn("__next_number", order_number(*more[0]))
+        finer = sorted(set(_quantiles(d, "__next_number", buckets, F.col("__key_number").isin(tied_values))))
+        d = _bucketed(d, "__next_number", "__next_bucket", finer)
+        within, width = F.col("__next_bucket"), len(finer) + 4
     place = F.when(tied, within).otherwise(F.lit(width - 1))  # the tied value is the least of its bucket
-    code = F.col("__b1").cast("long") * width + place
-    return d.withColumns({"__code": code, "__tied": F.coalesce(tied & F.lit(whole) | F.col("__n1").isNull(), F.lit(False))}).drop("__n1", "__n2", "__b1", "__b2")
+    code = F.col("__key_bucket").cast("long") * width + place
+    return d.withColumns({"__code": code, "__tied": F.coalesce(tied & F.lit(whole) | F.col("__key_number").isNull(), F.lit(False))}).drop("__key_number", "__next_number", "__key_bucket", "__next_bucket")
 
 
 def bucket_count(df: DataFrame, num_partitions: int | None = None) -> int:

@@ -301,7 +301,10 @@ def diag_mean_max_prob(spark, sf_dir):
     return rounded(RS.prob_summary(oof))
 
 
-@register("io_ensemble_batch")
+@register("io_ensemble_batch", f"""
+WITH t AS ({TRAIN_LIKE_SQL}), n AS (SELECT COUNT(*) * {len(CLASSES)} AS n FROM t WHERE split = 'train')
+SELECT name, status, ok, CASE WHEN ok OR status = 'skipped' THEN n ELSE 0 END AS oof_rows
+FROM n, (VALUES ('ensemble_equal', 'ok', TRUE), ('ensemble_rank', 'ok', TRUE), ('ensemble_bad', 'failed', FALSE), ('me_priority', 'skipped', FALSE)) s(name, status, ok)""")
 def io_ensemble_batch(spark, sf_dir):
     """A batch of ensemble configs built from stored run artifacts; an existing name is
     skipped, a failing config is isolated and reported; recorded log-losses are re-checked."""
@@ -331,4 +334,6 @@ def io_ensemble_batch(spark, sf_dir):
     status = RS.batch_summary(spark, RS.run_batch(configs, exists), f"{root}/batch_summary")
     recomputed = EV.log_loss(RS.load_probs(spark, root, ["ensemble_equal", "ensemble_rank"], "oof"), truth)
     check = RS.check_recorded(recomputed, RS.read_ledger(spark, root))
-    return status.select("name", "status").join(check.select(F.col("run").alias("name"), "ok"), "name", "left")
+    rows = RS.load_probs(spark, root, ["ensemble_equal", "ensemble_rank", "me_priority"], "oof").groupBy(F.col("run").alias("name")).agg(F.count("*").alias("oof_rows"))
+    out = status.select("name", "status").join(check.select(F.col("run").alias("name"), "ok"), "name", "left").join(rows, "name", "left")
+    return out.fillna({"ok": False, "oof_rows": 0})
