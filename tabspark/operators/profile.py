@@ -25,7 +25,8 @@ from tabspark.functions.exprs import (
 from tabspark.operators.joins import join_fitted
 from tabspark.operators.quantile import group_quantiles
 from tabspark.operators.transform import stack_columns
-from tabspark.session import materialise_small
+from tabspark.operators.ranking import running_totals
+from tabspark.session import cached, materialise_small
 
 
 def _nn(c: str) -> Column:
@@ -220,13 +221,25 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40, group_col: str
     return out
 
 
+KDE_TERMS = 15  # powers of at most 1/4 of a bandwidth: what is left out is below 1e-14 of a kernel's height
+
+
+def _hermite(n: int) -> list[list[int]]:
+    """Coefficients by power of the polynomials He_0 .. He_{n-1}: He_{k+1}(t) = t He_k(t) - k He_{k-1}(t)."""
+    out = [[1], [0, 1]]
+    for k in range(1, n - 1):
+        up, down = [0, *out[k]], out[k - 1] + [0, 0]
+        out.append([a - k * b for a, b in zip(up, down)])
+    return out[:n]
+
+
 def kde(df: DataFrame, cols: Sequence[str], grid_points: int = 300, group_col: str | None = None) -> DataFrame:
     """Gaussian KDE (Scott bandwidth ``std * n^(-1/5)``, sample std) on an even grid
     between the (group's) min and max.  Groups with zero spread are skipped, as in the original.
 
-    Every row adds its kernel to every grid point; the grid points are sums of one grouped
-    aggregate (50 points a scan), so rows are neither multiplied nor shuffled: map-side aggregation
-    leaves one row per column, group and task.
+    Rows are summed up by cells of half a bandwidth, each by the powers of its distance d to the cell's middle: the kernel of a
+    row seen from t bandwidths away is exp(-t^2 / 2) times the sum of He_k(t) d^k / k!, so a cell's sums give its rows' kernels at every
+    grid point, to rounding.  One scan, no exponential a row; map-side aggregation leaves a row a cell and task.
     """
     keep = [group_col] if group_col else []
     st = stack_columns(df, cols, keep).where(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -239,21 +252,28 @@ def kde(df: DataFrame, cols: Sequence[str], grid_points: int = 300, group_col: s
         *keys, "lo", "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
         ((F.col("hi") - F.col("lo")) / F.lit(float(grid_points - 1))).alias("step"))
     m, n_m = materialise_small(m)  # one row per column and group
-    j = join_fitted(st, m, keys, n_m)
-
-    def part(points):
-        def z(g):
-            return (F.col("lo") + F.lit(float(g)) * F.col("step") - F.col("value")) / F.col("h")
-        sums = j.groupBy(*keys).agg(*[F.sum(F.exp(-z(g) * z(g) / 2)).alias(f"k{g}") for g in points])
-        return sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(f"k{g}").alias("ks")) for g in points])).alias("s")
-                           ).select(*keys, "s.g", "s.ks")
-
-    sums = chunked(list(range(grid_points)), part)
-    grid = m.select(*keys, "lo", "step", "h", "n", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("g"))
-    out = grid.join(sums, [*keys, "g"], "left")
+    j = join_fitted(st, m, keys, n_m).withColumn("cell", F.floor((F.col("value") - F.col("lo")) / F.col("h") * 2))
+    j = j.withColumn("d", (F.col("value") - F.col("lo")) / F.col("h") - (F.col("cell") + 0.5) / 2)
+    power, powers = F.lit(1.0), []
+    for _ in range(KDE_TERMS):
+        powers.append(power)
+        power = power * F.col("d")
+    sums = j.groupBy(*keys, "cell").agg(*[F.sum(p).alias(f"s{k}") for k, p in enumerate(powers)])
+    # the sum of He_k(t) s_k / k! as one polynomial in t
+    table, by_power = _hermite(KDE_TERMS), []
+    for power in range(KDE_TERMS):
+        by_power.append(sum((F.col(f"s{k}") * F.lit(table[k][power] / math.factorial(k)) for k in range(KDE_TERMS) if power < len(table[k]) and table[k][power]), F.lit(0.0)))
+    cells = join_fitted(sums, m, keys, n_m).select(*keys, "lo", "step", "h", "n", "cell", *[c.alias(f"c{p}") for p, c in enumerate(by_power)])
+    at = cells.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))))
+    at = at.withColumn("t", F.col("g") * F.col("step") / F.col("h") - (F.col("cell") + 0.5) / 2)
+    poly = F.col(f"c{KDE_TERMS - 1}")
+    for power in range(KDE_TERMS - 2, -1, -1):
+        poly = poly * F.col("t") + F.col(f"c{power}")
+    kernel = F.exp(-F.col("t") * F.col("t") / 2)
+    out = at.groupBy(*keys, "lo", "step", "h", "n", "g").agg(F.sum(F.when(kernel > 0, kernel * poly).otherwise(0.0)).alias("ks"))
     return out.select(
         *keys, F.col("g").alias("point"), (F.col("lo") + F.col("g") * F.col("step")).alias("x"),
-        (F.coalesce(F.col("ks"), F.lit(0.0)) / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+        (F.greatest("ks", F.lit(0.0)) / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
 # --------------------------------------------------------------------------- G12, G13
@@ -398,12 +418,18 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return out.select(F.col("a").alias("col_a"), F.col("b").alias("col_b"), v.alias("cramers_v"))
 
 
+def cramers_ranking(df: DataFrame, cats: Sequence[str], y: str) -> DataFrame:
+    """The columns ranked by Cramer's V with the target: ``(feature, cramers_v, rank)``."""
+    v = cramers_v(df, [(c, y) for c in cats]).select(F.col("col_a").alias("feature"), "cramers_v")
+    return v.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cramers_v"), "feature")))  # a row a column
+
+
 def mutual_information(df: DataFrame, y: str, cats: Sequence[str], nums: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """Plug-in mutual information (nats) with the target.
 
     Categorical features: exact plug-in estimate from the contingency table.  Numeric
-    features are re-aimed to the same plug-in estimate on ``bins`` equal-width bins (the
-    original's k-NN estimator is a different estimator with the same ranking purpose).
+    features take the same plug-in estimate on ``bins`` equal-width bins (``knn_mutual_information`` is the
+    nearest-neighbour estimate).
     Rows with a NULL in any used column are dropped, as in the original.
     """
     used = [y, *cats, *nums]
@@ -427,6 +453,77 @@ def mutual_information(df: DataFrame, y: str, cats: Sequence[str], nums: Sequenc
     return j.groupBy("a").agg(F.sum(term).alias("mi")).select(F.col("a").alias("feature"), kinds.alias("kind"), "mi")
 
 
+EULER_GAMMA = 0.5772156649015329  # fixed value
+
+
+def digamma(n: Column) -> Column:
+    """The digamma function of a positive integer: harmonic numbers below 20, the asymptotic series from there (to rounding)."""
+    small, total = [], 0.0
+    for k in range(1, 20):
+        small.append(total - EULER_GAMMA)
+        total += 1.0 / k
+    x = n.cast("double")
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(n < 20, F.get(F.array(*[F.lit(v) for v in small]), (n - 1).cast("int"))).otherwise(series)
+
+
+def knn_mutual_information(df: DataFrame, y: str, nums: Sequence[str], k: int = 3) -> DataFrame:
+    """Nearest-neighbour mutual information (nats) of numeric features with a discrete target: columns feature, n_rows, mi.
+
+    For a row, d is the distance to its ``k``-th nearest neighbour of the same class (fewer in a class of at most k rows) and m the
+    number of rows of any class nearer than d, itself included; mi = psi(N) + mean psi(k) - mean psi(N_class) - mean psi(m), at
+    least 0.  Rows of classes with a single row, and rows with a NULL (or NaN) value or class, are left out, feature by feature.
+
+    In one dimension the k nearest are among the k rows on either side in the order of the class.  Rows are dealt to codes
+    (``with_codes``), and every code also gets the k rows before and behind it, so a window inside the code sees them.  The number
+    nearer than d is a difference of positions: both ends of the interval are put among the rows of all classes and counted up to."""
+    st = stack_columns(df.where(F.col(y).isNotNull()), nums, [y, "row_id"]).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    st = st.select("column", F.col(y).cast("string").alias("y"), "row_id", "value")
+    sizes, n_sizes = materialise_small(st.groupBy("column", "y").agg(F.count("*").alias("n_class")).where("n_class > 1")
+                                       .withColumn("n_all", F.sum("n_class").over(Window.partitionBy("column"))))  # a row a feature and class
+    rows = join_fitted(st, sizes, ["column", "y"], n_sizes)
+    placed = running_totals(rows.withColumn("one", F.lit(1)), ["column", "y"], ["value", "row_id"], ["one"], keep_code=True)
+    placed = cached(placed.withColumnRenamed("__before_one", "at"))
+
+    # the k rows before and behind each code, by their places in the class
+    bounds = placed.groupBy("column", "y", "__code").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    near = F.concat(*[F.array(F.col("first") - i, F.col("last") + i) for i in range(1, k + 1)])
+    asked, n_asked = materialise_small(bounds.select("column", "y", F.col("__code").alias("__to"), F.explode(near).alias("at")))  # 2 k rows a code
+    halo = join_fitted(placed, asked, ["column", "y", "at"], n_asked).select("column", "y", F.col("__to").alias("__code"), "value", "at", F.lit(None).cast("long").alias("row_id"), "n_class", "n_all")
+    both = placed.select("column", "y", "__code", "value", "at", F.col("row_id").cast("long").alias("row_id"), "n_class", "n_all").unionByName(halo)
+    order = Window.partitionBy("column", "y", "__code").orderBy("at")
+    own_k = F.least(F.lit(k).cast("long"), F.col("n_class") - 1)
+    sides = both.withColumns({f"l{i}": F.lag("value", i).over(order) for i in range(1, k + 1)} | {f"r{i}": F.lead("value", i).over(order) for i in range(1, k + 1)})
+    sides = sides.where("row_id IS NOT NULL").withColumn("k", own_k)
+    # i neighbours on the left and k - i on the right: the least reach of all choices; where it ends is a neighbour's own value
+    choices = []
+    for n in range(1, k + 1):
+        for i in range(n + 1):
+            left = F.col("value") - F.col(f"l{i}") if i else F.lit(0.0)
+            right = F.col(f"r{n - i}") - F.col("value") if n - i else F.lit(0.0)
+            there = F.lit(True) if not i else F.col(f"l{i}").isNotNull()
+            there = there if not n - i else there & F.col(f"r{n - i}").isNotNull()
+            end = F.struct(F.greatest(left, right).alias("d"), F.when(left >= right, F.col(f"l{i}") if i else F.col("value")).alias("low"), F.when(right >= left, F.col(f"r{n - i}") if n - i else F.col("value")).alias("high"))
+            choices.append(F.when(there & (F.col("k") == n), end))
+    best = F.array_min(F.array_compact(F.array(*choices)))
+    reach = sides.withColumn("b", best).select(
+        "column", "row_id", "y", "value", "k", "n_class", "n_all", F.coalesce("b.low", F.col("value") - F.col("b.d")).alias("low"), F.coalesce("b.high", F.col("value") + F.col("b.d")).alias("high"), (F.col("b.d") == 0).alias("zero"))
+
+    # rows of any class strictly between the two ends: rows before the upper end less rows up to the lower one
+    # (a row at distance 0 from its k-th neighbour has no one nearer but itself)
+    null = F.lit(None).cast("long")
+    points = rows.select("column", F.col("value").alias("v"), F.lit(1).alias("kind"), F.col("row_id").cast("long").alias("id"), "y", F.lit(1).alias("w"))
+    ends = reach.where("NOT zero").select("column", F.explode(F.array(F.struct(F.col("low").alias("v"), F.lit(2).alias("kind")), F.struct(F.col("high").alias("v"), F.lit(0).alias("kind")))).alias("s"), F.col("row_id").alias("id"), "y")
+    ends = ends.select("column", "s.v", "s.kind", "id", "y", F.lit(0).alias("w"))
+    counted = running_totals(points.unionByName(ends), ["column"], ["v", "kind", "id"], ["w"]).where("w = 0")
+    inside = counted.groupBy("column", "id").agg(F.sum(F.when(F.col("kind") == 0, F.col("__before_w")).otherwise(-F.col("__before_w"))).alias("m"))
+    whole = reach.select("column", F.col("row_id").alias("id"), "k", "n_class", "n_all", "zero").join(inside, ["column", "id"], "left")
+    m = F.when(F.col("zero"), F.lit(1).cast("long")).otherwise(F.greatest(F.col("m"), F.lit(1).cast("long")))
+    mean = whole.groupBy("column").agg(F.count("*").alias("n_rows"), F.avg(digamma(F.col("k"))).alias("k"), F.avg(digamma(F.col("n_class"))).alias("c"), F.avg(digamma(m)).alias("m"))
+    mi = digamma(F.col("n_rows")) + F.col("k") - F.col("c") - F.col("m")
+    return mean.select(F.col("column").alias("feature"), "n_rows", F.greatest(mi, F.lit(0.0)).alias("mi"))
+
+
 # --------------------------------------------------------------------------- G18, G21-G23
 def class_rate_by_category(df: DataFrame, feature: str, y: str, target_class, top_n: int | None = None) -> DataFrame:
     """P(y == class | category) and row count per category (NULL category dropped),

@@ -99,8 +99,8 @@ def bucket_count(df: DataFrame, num_partitions: int | None = None) -> int:
     return max(8, min(MAX_BUCKETS, 4 * n))
 
 
-def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], weights: Sequence[str], num_partitions: int | None = None) -> DataFrame:
-    """Add ``__before_<weight>`` for each weight column: its total over the rows of the same group with a strictly smaller
+def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], weights: Sequence[str], num_partitions: int | None = None, keep_code: bool = False) -> DataFrame:
+    """Add ``__before_<weight>`` (and with ``keep_code`` the bucket, ``__code``) for each weight column: its total over the rows of the same group with a strictly smaller
     order key.  Rows must be unique on ``group_cols + order_cols`` (pre-aggregate duplicates into the weights)."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     sums = {w: f"__before_{w}" for w in weights}
@@ -111,7 +111,7 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     rows = d.withColumn("__front", F.lit(False)).unionByName(fronts, allowMissingColumns=True)
     local = Window.partitionBy(*group_cols, "__code").orderBy(F.desc("__front"), *order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumns({s: F.sum(s).over(local) - F.col(s) for s in sums.values()})
-    return out.where("NOT __front").drop("__code", "__tied", "__front")
+    return out.where("NOT __front").drop("__tied", "__front", *([] if keep_code else ["__code"]))
 
 
 def count_before(

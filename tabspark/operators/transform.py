@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tabspark.functions.exprs import as_float, renorm_array, safe_log1p, safe_ratio
 from tabspark.operators.base import Estimator, Model, Stateless, log, present, present_pairs
@@ -115,7 +116,9 @@ class ClipIQRModel(Model):
         for c, (lo, hi) in self.bounds.items():
             if c in df.columns:
                 x = F.col(c)
-                # strict fences; NULL stays NULL; the column keeps its type
+                # strict fences; NULL stays NULL; the column keeps its type, so whole numbers are clipped to the whole numbers inside
+                if isinstance(df.schema[c].dataType, IntegralType):
+                    lo, hi = math.ceil(lo), max(math.ceil(lo), math.floor(hi))
                 clipped = F.when(x < F.lit(lo), F.lit(lo)).when(x > F.lit(hi), F.lit(hi)).otherwise(x.cast("double"))
                 rep[c] = clipped.cast(df.schema[c].dataType)
         return with_columns(df, {}, replace=rep)

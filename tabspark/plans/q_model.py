@@ -145,6 +145,7 @@ def cv_oof_ordered_gbt(spark, sf_dir):
     """M6: the boosted slot over ordered target statistics of the categories (with the held-out fold's labels left out of each
     fold's statistics) and the numbers as they are."""
     folded, test, feats = model_frames(spark, sf_dir)
+    folded = cut_lineage(folded)  # read by every column's statistics
     model = OrderedTargetEncoder(TRAIN_LIKE_CATS, "label", list(range(len(CLASSES)))).fit(folded)
     nums = [c for c in feats if c not in TRAIN_LIKE_CATS]
     res = fit_oof(model.transform_train(folded), model.transform(test), nums + model.features(), "label", "gbt_ovr", GBT_PARAMS, n_classes=len(CLASSES), run="ordered_gbt")
@@ -327,7 +328,7 @@ def cv_binary_metrics(spark, sf_dir):
 _THEMES = {
     "decision_tree": {"tree_shallow": {"maxDepth": 3, "seed": 1337}, "tree_deep": {"maxDepth": 6, "seed": 1337}},
     "random_forest": {"forest_small": {"numTrees": 5, "maxDepth": 4, "seed": 1337}, "forest_large": {"numTrees": 15, "maxDepth": 5, "seed": 1337}},
-    "gbt_ovr": {"boost_slow": {"maxIter": 3, "maxDepth": 3, "stepSize": 0.1, "seed": 1337}, "boost_fast": {"maxIter": 3, "maxDepth": 2, "stepSize": 0.3, "seed": 1337}},
+    "gbt_ovr": {"boosted": {"maxIter": 3, "maxDepth": 2, "stepSize": 0.3, "seed": 1337}},
     "logreg": {"linear": {"regParam": 0.01, "maxIter": 20}},
 }
 

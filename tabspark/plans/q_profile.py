@@ -245,11 +245,12 @@ gm AS (SELECT col, SUM(n) AS ntot, COUNT(*) AS k, SUM(n * m) / SUM(n) AS gm, MIN
 ss AS (SELECT g.col, SUM(g.n * pow(m - gm, 2)) AS ssb, SUM(COALESCE(var, 0) * (g.n - 1)) AS ssw, ANY_VALUE(ntot) AS ntot, ANY_VALUE(k) AS k
        FROM g JOIN gm USING (col) WHERE min_n >= 2 GROUP BY g.col)
 SELECT col AS feature, {R('(ssb / (k - 1)) / (ssw / (ntot - k))')} AS f_stat, {R('ssb / (ssb + ssw)')} AS eta_sq,
+       {R('CASE WHEN k = 3 THEN pow(1 + 2 * ((ssb / (k - 1)) / (ssw / (ntot - k))) / (ntot - k), -(ntot - k) / 2.0) END')} AS p_value,
        CAST(k - 1 AS BIGINT) AS df_between, CAST(ntot - k AS BIGINT) AS df_within FROM ss""")
 def prof_anova(spark, sf_dir):
-    """One-way ANOVA F and eta^2 of every numeric column against the class (the p-value,
-    computed on the driver from the F distribution, is covered by unit tests)."""
-    return rounded(P.anova_table(_train(spark, sf_dir), TRAIN_LIKE_NUMS, "y", with_p=False))
+    """One-way ANOVA F, eta^2 and p-value of every numeric column against the class (of the F distribution with 2 degrees of
+    freedom above, that of three classes, the survival function has a closed form)."""
+    return rounded(P.anova_table(_train(spark, sf_dir), TRAIN_LIKE_NUMS, "y"))
 
 
 # --------------------------------------------------------------------------- G16 / G17 / G20
@@ -280,6 +281,44 @@ def prof_cramers_v(spark, sf_dir):
     return rounded(P.cramers_v(binary(spark, sf_dir), BIN_PAIRS))
 
 
+RANKED_CATS = ["lang", "source", "toxic"]
+
+
+def _cramer_ranking_sql():
+    v = _cramer_sql()
+    pairs = " OR ".join(f"(col_a = '{a}' AND col_b = '{b}')" for a, b in BIN_PAIRS if "quality" in (a, b))
+    return f"""SELECT feature, cramers_v, CAST(row_number() OVER (ORDER BY cramers_v DESC, feature) AS INTEGER) AS rank
+FROM (SELECT CASE WHEN col_a = 'quality' THEN col_b ELSE col_a END AS feature, cramers_v FROM ({v}) WHERE {pairs})"""
+
+
+@register("prof_cramers_ranking", _cramer_ranking_sql())
+def prof_cramers_ranking(spark, sf_dir):
+    """Document columns ranked by Cramer's V with the quality label."""
+    return rounded(P.cramers_ranking(binary(spark, sf_dir), RANKED_CATS, "quality"))
+
+
+KNN_NUMS = ["p_size", "cents"]
+
+
+@register("prof_knn_mutual_info", f"""
+WITH pt AS (SELECT p_partkey AS row_id, substr(p_brand, 1, 7) AS y, CAST(p_size AS DOUBLE) AS p_size, ROUND(p_retailprice * 100) AS cents FROM part),
+s AS ({_union([f"SELECT '{c}' AS feature, row_id, y, {c} AS v FROM pt WHERE y IS NOT NULL AND {c} IS NOT NULL" for c in KNN_NUMS])}),
+z AS (SELECT feature, y, COUNT(*) AS n_class FROM s GROUP BY feature, y HAVING COUNT(*) > 1),
+r AS (SELECT s.*, n_class, COUNT(*) OVER (PARTITION BY feature) AS n_all FROM s JOIN z USING (feature, y)),
+d AS (SELECT a.feature, a.row_id, a.v, ANY_VALUE(a.n_class) AS n_class, ANY_VALUE(a.n_all) AS n_all, LEAST(3, ANY_VALUE(a.n_class) - 1) AS k, list_sort(list(abs(a.v - b.v))) AS ds
+      FROM r a JOIN r b ON a.feature = b.feature AND a.y = b.y AND a.row_id <> b.row_id GROUP BY a.feature, a.row_id, a.v),
+m AS (SELECT d.feature, d.row_id, ANY_VALUE(d.n_class) AS n_class, ANY_VALUE(d.n_all) AS n_all, ANY_VALUE(d.k) AS k, GREATEST(1, COUNT(*) FILTER (abs(b.v - d.v) < d.ds[d.k])) AS m
+      FROM d JOIN r b ON b.feature = d.feature GROUP BY d.feature, d.row_id),
+h AS (SELECT n, SUM(CASE WHEN n > 1 THEN 1.0 / (n - 1) ELSE 0.0 END) OVER (ORDER BY n) - 0.5772156649015329 AS psi FROM (SELECT unnest(range(1, (SELECT MAX(n_all) + 1 FROM r))) AS n))
+SELECT feature, ANY_VALUE(m.n_all) AS n_rows, {R("GREATEST(0.0, ANY_VALUE(pn.psi) + AVG(pk.psi) - AVG(pc.psi) - AVG(pm.psi))")} AS mi
+FROM m JOIN h pn ON pn.n = m.n_all JOIN h pk ON pk.n = m.k JOIN h pc ON pc.n = m.n_class JOIN h pm ON pm.n = m.m GROUP BY feature""")
+def prof_knn_mutual_info(spark, sf_dir):
+    """Nearest-neighbour mutual information of part size and price with the brand's first figure."""
+    part = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("row_id"), F.substring("p_brand", 1, 7).alias("y"), F.col("p_size").cast("double").alias("p_size"), F.round(F.col("p_retailprice") * 100).alias("cents"))
+    return rounded(P.knn_mutual_information(part, "y", KNN_NUMS, 3))
+
+
 MI_NUMS = ["o_totalprice", "c_acctbal"]
 
 

@@ -54,12 +54,12 @@ def save_run(root: str, run: str, oof: DataFrame, test: DataFrame, meta: dict, c
 # --------------------------------------------------------------------------- S11 / S12 / S13 / S14
 def discover_runs(spark: SparkSession, root: str) -> DataFrame:
     """Every run folder with metadata; the metric falls back from ``cv_auc`` to
-    ``mean_cv_metric``; sorted by metric (desc)."""
-    schema = "fname string, train string, test string, created string, cv_auc double, mean_cv_metric double, cv_logloss double"
+    ``mean_cv_metric`` and the log-loss from ``cv_logloss`` to ``mean_logloss``; sorted by metric (desc)."""
+    schema = "fname string, train string, test string, created string, cv_auc double, mean_cv_metric double, cv_logloss double, mean_logloss double"
     raw = spark.read.text(f"{root}/runs/*/meta")
     m = raw.select(F.from_json("value", schema).alias("m")).select("m.*")
     return m.select(F.col("fname").alias("run"), "train", "created",
-                    F.coalesce("cv_auc", "mean_cv_metric").alias("metric"), F.col("cv_logloss").alias("logloss")
+                    F.coalesce("cv_auc", "mean_cv_metric").alias("metric"), F.coalesce("cv_logloss", "mean_logloss").alias("logloss")
                     ).orderBy(F.desc("metric"), "run")
 
 
