@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from llm_text import text_of
 
@@ -87,7 +88,11 @@ def test_loser_tree_merges_and_knows_prefixes(runs):
     rng = random.Random(runs)
     words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 12))).encode() * rng.randint(1, 9) for _ in range(300)]
     parts = [sorted(set(words[k::runs])) for k in range(runs)] + [[]]
-    coded = [suffixes.decoded(*suffixes.front_coded(p)) for p in parts]
+    coded = []
+    for p in parts:
+        text, ends = suffixes.Text("", b""), np.cumsum([len(w) for w in p], dtype=np.int64)
+        text.raw = b"".join(p)
+        coded.append(suffixes.decoded(*suffixes.front_coded(text, np.concatenate(([0], ends))[: len(p)], ends)))
     assert [c[1] for c in coded] == parts
     got, last = [], b""
     for run, place, known in suffixes.merged(coded):
