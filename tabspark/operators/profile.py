@@ -592,10 +592,10 @@ def class_sample(df: DataFrame, y: str, cols: Sequence[str], max_rows: int = 500
     return df.select(row_id, y, *cols).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max_rows).drop("__r")
 
 
-def outlier_flags(df: DataFrame, cols: Sequence[str], k: float = 1.5, z: float = 3.0, within: str | None = None) -> DataFrame:
+def outlier_flags(df: DataFrame, cols: Sequence[str], k: float = 1.5, z: float = 3.0, within: str | None = None, also: Sequence[str] = ()) -> DataFrame:
     """Per row and column, IQR flag (strict fences, global or within class) and
-    z-score flag (population std, NULL -> False, zero spread -> False).  Long form."""
-    keep = ["row_id"] + ([within] if within else [])
+    z-score flag (population std, NULL -> False, zero spread -> False).  Long form, with the columns ``also``."""
+    keep = ["row_id", *([within] if within else []), *also]
     st = stack_columns(df, cols, keep)
     fences, n_f = materialise_small(quartile_fences(df, cols, k, within))
     mom, n_m = materialise_small(st.groupBy("column").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd")))
@@ -608,8 +608,8 @@ def outlier_flags(df: DataFrame, cols: Sequence[str], k: float = 1.5, z: float =
 
 def outlier_summary(df: DataFrame, cols: Sequence[str], y: str, classes: Sequence[str], k: float = 1.5, z: float = 3.0) -> DataFrame:
     """Per column the IQR, z and overlap counts, and the class composition (%)
-    of outlier vs non-outlier rows, zero-filled over the class list."""
-    fl = outlier_flags(df.select("row_id", y, *cols), cols, k, z, None).join(df.select("row_id", y), "row_id")
+    of outlier vs non-outlier rows, zero-filled over both groups and the class list."""
+    fl = outlier_flags(df.select("row_id", y, *cols), cols, k, z, None, [y])
     counts = fl.groupBy("column").agg(
         F.sum(F.col("iqr_outlier").cast("long")).alias("iqr_outliers"),
         F.sum(F.col("z_outlier").cast("long")).alias("z_outliers"),
@@ -620,7 +620,9 @@ def outlier_summary(df: DataFrame, cols: Sequence[str], y: str, classes: Sequenc
     comp = comp.select("column", "group", F.explode(F.array(*[
         F.struct(F.lit(c).alias("class"), (F.col(f"c_{i}") * 100.0 / F.col("__n")).alias("pct")) for i, c in enumerate(classes)])).alias("s")
     ).select("column", "group", "s.class", "s.pct")
-    return counts.join(comp, "column", "left")
+    names = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
+    grid = counts.withColumn("group", names(["outlier", "non_outlier"])).withColumn("class", names(classes))  # a few rows a column
+    return grid.join(comp, ["column", "group", "class"], "left").withColumn("pct", F.coalesce("pct", F.lit(0.0)))
 
 
 def within_class_outliers(df: DataFrame, cols: Sequence[str], y: str, k: float = 1.5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabspark.operators.cross import CatCatInteract, NumCatInteract, NumNumInteract
 from tabspark.operators.cv import folds_sql, stratified_folds
 from tabspark.operators.encode import (
+    cast_target,
     FoldTargetEncoder,
     LabelEncoder,
     MEstimateEncoder,
@@ -29,6 +30,8 @@ from tabspark.operators.transform import (
 )
 from tabspark.plans.common import rounded, sql_round
 from tabspark.plans.fixtures import (
+    BINARY_SQL,
+    binary,
     PART_LIKE_SQL,
     TRAIN_LIKE_CATS,
     TRAIN_LIKE_NUMS,
@@ -508,3 +511,35 @@ def fe_feature_plan(spark, sf_dir):
             "avg_disc_sq", "o_totalprice_x_avg_disc", "o_totalprice_by_c_mktsegment_mean", "o_orderpriority__c_mktsegment",
             "unit_x", "unit_y", "unit_z"]
     return rounded(model.transform(df).select("row_id", "split", *cols))
+
+
+# --------------------------------------------------------------------------- V7 / E2
+@register("fe_missing_columns", f"""
+WITH t AS ({TRAIN_LIKE_SQL})
+SELECT 'skip' AS policy, 'log1p' AS step, COUNT(*) AS n_rows, ROUND(SUM(CAST(CAST(ln(1 + GREATEST(o_totalprice, 0)) AS FLOAT) AS DOUBLE)), 0) AS total, 1 AS n_new, FALSE AS refused FROM t
+UNION ALL SELECT 'skip', 'difference', COUNT(*), ROUND(SUM(o_totalprice), 0), 0, FALSE FROM t
+UNION ALL SELECT 'error', 'log1p', COUNT(*), ROUND(SUM(o_totalprice), 0), 0, TRUE FROM t
+UNION ALL SELECT 'error', 'difference', COUNT(*), ROUND(SUM(o_totalprice), 0), 0, TRUE FROM t""")
+def fe_missing_columns(spark, sf_dir):
+    """V7: steps that name a column the table lacks: skipped (the other columns are still done) or refused, the table as it was."""
+    df = train_like(spark, sf_dir)
+    out = None
+    for policy in ("skip", "error"):
+        for name, step in (("log1p", Log1p(["o_totalprice", "not_there"], on_missing=policy)), ("difference", Subtract([("o_totalprice", "not_there")], on_missing=policy))):
+            try:
+                done, refused = step.transform(df), False
+            except KeyError:
+                done, refused = df, True
+            new = [c for c in done.columns if c not in df.columns]
+            value = F.col(new[0] if new else "o_totalprice").cast("double")
+            row = done.agg(F.count("*").alias("n_rows"), F.sum(value).alias("total")).select(
+                F.lit(policy).alias("policy"), F.lit(name).alias("step"), "n_rows", F.round("total", 0).alias("total"), F.lit(len(new)).alias("n_new"), F.lit(refused).alias("refused"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("enc_target_cast", f"""
+WITH bn AS ({BINARY_SQL}) SELECT row_id, CAST(quality AS VARCHAR) AS quality, toxic FROM bn""")
+def enc_target_cast(spark, sf_dir):
+    """The target cast to another type, the rest as it was."""
+    return cast_target(binary(spark, sf_dir).select("row_id", "quality", "toxic"), "quality", "string")

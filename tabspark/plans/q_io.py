@@ -131,14 +131,15 @@ def _build_ledger(spark, sf_dir):
     lab = labels.where(F.col("split") == "train")
     _, summary = EV.fold_metrics(oof, lab)
     stats = {r["run"]: r for r in summary.collect()}  # one row per run
+    n_rows = lab.count()
     for run in RUNS:
         o = oof.where(F.col("run") == run).join(lab.select("row_id", "fold"), "row_id")
         RS.save_run(root, run, o, tst.where(F.col("run") == run),
                     {"train": "train_like", "cv_auc": stats[run]["mean_bal_acc"], "cv_logloss": stats[run]["mean_logloss"]},
-                    {"encoder": "m_estimate", "key": RUNS[run], "m": 5.0, "n_folds": 5, "seed": 1337})
+                    {"encoder": "m_estimate", "key": RUNS[run], "m": 5.0, "n_folds": 5, "seed": 1337, "train_rows": n_rows})
         RS.log_run(root, {"exp_name": run, "train_file": "train_like", "n_folds": 5,
                           "mean_cv_metric": stats[run]["mean_bal_acc"], "std_cv_metric": stats[run]["std_bal_acc"],
-                          "mean_logloss": stats[run]["mean_logloss"], "params": {"key": RUNS[run], "m": 5.0}}, spark)
+                          "mean_logloss": stats[run]["mean_logloss"], "params": {"key": RUNS[run], "m": 5.0, "train_rows": n_rows}}, spark)
     names = RS.select_runs(RS.discover_runs(spark, root))
     stored = RS.load_probs(spark, root, names, "oof")
     truth = RS.load_labels(spark, root, names, "y", CLASSES,
@@ -172,14 +173,27 @@ def io_ledger_ranks(spark, sf_dir):
     return t.select("exp_name", F.col("rank_metric").cast("int"), F.col("rank_logloss").cast("int"))
 
 
-@register("io_ledger_params", "SELECT exp_name, param, value FROM (VALUES " + ", ".join(
-    f"('{run}', 'key', '{key}'), ('{run}', 'm', '5.0')" for run, key in RUNS.items()) + ") AS t(exp_name, param, value)")
+_CONFIG_VALUES = ", ".join(f"('{run}', '{key}')" for run, key in RUNS.items())
+
+
+@register("io_ledger_params", f"""
+WITH t AS ({TRAIN_LIKE_SQL}), n AS (SELECT CAST(COUNT(*) AS VARCHAR) AS n FROM t WHERE split = 'train'), r(run, key) AS (VALUES {_CONFIG_VALUES})
+SELECT run AS exp_name, unnest(['key', 'm', 'train_rows']) AS param, unnest([key, '5.0', n]) AS value FROM r, n""")
 def io_ledger_params(spark, sf_dir):
     """The JSON parameters stored in the ledger rows as (exp_name, param, value) rows."""
     _, ledger = _build_ledger(spark, sf_dir)
     return RS.params_as_rows(ledger.where(F.col("params").isNotNull()))
 
 
+@register("io_run_configs", f"""
+WITH t AS ({TRAIN_LIKE_SQL}), n AS (SELECT CAST(COUNT(*) AS VARCHAR) AS n FROM t WHERE split = 'train'), r(run, key) AS (VALUES {_CONFIG_VALUES})
+SELECT run, unnest(['encoder', 'key', 'm', 'n_folds', 'seed', 'train_rows']) AS param, unnest(['m_estimate', key, '5.0', '5', '1337', n]) AS value FROM r, n""")
+def io_run_configs(spark, sf_dir):
+    """The configuration that each run's folder holds, read back as rows."""
+    root, _ = _build_ledger(spark, sf_dir)
+    return RS.load_configs(spark, root).where(F.col("run").isin(list(RUNS)))
+
+
 @register("io_submission", f"""
 WITH {prob_runs_sql()},
 eq AS (SELECT row_id, class, p / SUM(p) OVER (PARTITION BY row_id) AS p FROM (SELECT row_id, class, AVG(p) AS p FROM tst GROUP BY row_id, class))

@@ -430,7 +430,9 @@ cnt AS (SELECT col, CAST(SUM(CAST(iqr AS BIGINT)) AS BIGINT) AS iqr_outliers, CA
 grp AS (SELECT col, CASE WHEN iqr THEN 'outlier' ELSE 'non_outlier' END AS "group", event_type FROM f),
 comp AS (SELECT g.col, g."group", c.class, {R("SUM(CASE WHEN g.event_type = c.class THEN 1 ELSE 0 END) * 100.0 / COUNT(*)")} AS pct
          FROM grp g, (VALUES {", ".join(f"('{c}')" for c in EV_CLASSES)}) c(class) GROUP BY ALL)
-SELECT cnt.col AS "column", iqr_outliers, z_outliers, "both", "group", class, pct FROM cnt LEFT JOIN comp USING (col)"""
+SELECT cnt.col AS "column", iqr_outliers, z_outliers, "both", gg."group", cc.class, COALESCE(pct, 0.0) AS pct
+FROM cnt CROSS JOIN (VALUES ('outlier'), ('non_outlier')) gg("group") CROSS JOIN (VALUES {", ".join(f"('{c}')" for c in EV_CLASSES)}) cc(class)
+     LEFT JOIN comp ON comp.col = cnt.col AND comp."group" = gg."group" AND comp.class = cc.class"""
 
 
 @register("prof_outlier_summary", _outlier_sql())

@@ -51,6 +51,12 @@ def save_run(root: str, run: str, oof: DataFrame, test: DataFrame, meta: dict, c
         write_text(spark, f"{root}/runs/{run}/config", json.dumps(config))
 
 
+def load_configs(spark: SparkSession, root: str) -> DataFrame:
+    """``(run, param, value)`` of every run folder's configuration JSON."""
+    raw = spark.read.text(f"{root}/runs/*/config").withColumn("run", F.regexp_extract(F.input_file_name(), r"/runs/([^/]+)/config", 1))
+    return raw.select("run", F.explode(F.from_json("value", "map<string,string>")).alias("param", "value"))
+
+
 # --------------------------------------------------------------------------- S11 / S12 / S13 / S14
 def discover_runs(spark: SparkSession, root: str) -> DataFrame:
     """Every run folder with metadata; the metric falls back from ``cv_auc`` to
