@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.operators import evaluate as EV
-from tabspark.operators.attribution import mean_attribution, shapley_values, shapley_wide
+from tabspark.operators.attribution import shapley_values, shapley_wide
 from tabspark.operators.cv import LEARNER_PARAMS, CVResult, fit_oof, folds_sql, importance_stability, importance_table, permutation_importance, stratified_folds
 from tabspark.operators.encode import MEstimateEncoder, MissingEncoder, OrdinalEncoder, balanced_class_weights
 from tabspark.operators.ordered import OrderedTargetEncoder
@@ -243,14 +243,6 @@ def cv_shapley(spark, sf_dir):
     return checks.join(per, ["run", "fold", "class"])
 
 
-@register("cv_mean_attribution")
-def cv_mean_attribution(spark, sf_dir):
-    """M9: mean absolute contribution of every feature per class, over sampled rows of all folds."""
-    folded, test, _ = model_frames(spark, sf_dir)
-    res = fit_oof(folded, test, _SHAPLEY_FEATURES, "label", "decision_tree", {"maxDepth": 4, "seed": 1337}, n_classes=len(CLASSES), run="dt")
-    return rounded(mean_attribution(shapley_values(res, folded, _SHAPLEY_FEATURES, _SHAPLEY_SAMPLE, background=10, draws=8)))
-
-
 @register("stack_logreg", audit_sql("stack_logreg", seed=42))
 def stack_logreg(spark, sf_dir):
     """Multinomial logistic-regression stacker (C = 1, balanced weights) over the
