@@ -40,8 +40,10 @@ def folds_sql(source_sql: str, y: str = "y", k: int = 5, seed: int = 1337, row_i
 
 
 # --------------------------------------------------------------------------- M2-M8, M10
+from concurrent.futures import ThreadPoolExecutor  # noqa: E402
 from dataclasses import dataclass, field  # noqa: E402
 
+from pyspark import inheritable_thread_target  # noqa: E402
 from pyspark.ml.classification import (  # noqa: E402
     DecisionTreeClassifier,
     GBTClassifier,
@@ -121,12 +123,13 @@ def fit_oof(
     run: str = "run",
     early_stopping: bool = True,
     categorical: dict[str, int] | None = None,
+    parallel: int = 4,
 ) -> CVResult:
     """M2/M3: K-fold out-of-fold training with any learner slot.
 
     ``train`` carries ``row_id``, the integer ``label``, ``fold`` and the feature columns;
     fold f's model is fitted on ``fold != f`` and scores fold f (OOF) and every test row;
-    the test prediction is the mean of the K fold models.  ``weights`` is the
+    the test prediction is the mean of the K fold models.  ``parallel`` folds are fitted at a time.  ``weights`` is the
     ``(fold, y, weight)`` table of E12.  For the one-vs-rest GBT slot the held-out fold
     is passed as the validation set (early stopping), as the original did.
     ``categorical`` maps integer-coded feature columns to their number of codes; those
@@ -147,48 +150,52 @@ def fit_oof(
     vectors = sorted(set(vector.values()))
     all_tr = cached(tr_src.select("row_id", F.col(label).cast("double").alias("label"), F.col(fold_col).alias("fold"), *vectors))
     all_te = cached(te_src.select("row_id", *vectors))
-    tr = all_tr
     if n_classes is None:
-        n_classes = int(tr.agg(F.max("label")).first()[0]) + 1
-    oofs, tests, imps, models = [], [], [], {}
-    for f in folds:
-        tr, te = (d.withColumnRenamed(vector[f], "features").drop(*[v for v in vectors if v != vector[f]]) for d in (all_tr, all_te))
-        fit_df = tr
+        n_classes = int(all_tr.agg(F.max("label")).first()[0]) + 1
+    def of_fold(df: DataFrame, f: int) -> DataFrame:
+        return df.withColumn("features", F.col(vector[f])) if own_columns else df
+
+    def fit_fold(f: int):
+        fit_df = of_fold(all_tr, f)
         if weights is not None:
             wf = weights.where(F.col("fold") == f).select(F.col("y").cast("double").alias("label"), "weight")
             fit_df = join_fitted(fit_df, wf, "label", n_classes, "left").fillna(1.0, subset=["weight"])
         est = make_learner(kind, params)
         if weights is not None:
             est.setWeightCol("weight")
-        if kind == "gbt_ovr":
-            if early_stopping:
-                est.setValidationIndicatorCol("__is_valid")
-                fit_df = fit_df.withColumn("__is_valid", F.col("fold") == f)
-            else:
-                fit_df = fit_df.where(F.col("fold") != f)
-            ovr = OneVsRest(classifier=est)
-            if weights is not None:
-                ovr.setWeightCol("weight")
-            model = ovr.fit(fit_df)
-            for c, sub in enumerate(model.models):
-                for i, v in enumerate(sub.featureImportances.toArray()):
-                    imps.append((f, features[i], float(v) / n_classes))
+        if kind != "gbt_ovr":
+            return est.fit(fit_df.where(F.col("fold") != f))
+        if early_stopping:
+            est.setValidationIndicatorCol("__is_valid")
+            fit_df = fit_df.withColumn("__is_valid", F.col("fold") == f)
         else:
-            model = est.fit(fit_df.where(F.col("fold") != f))
-            if hasattr(model, "featureImportances"):
-                for i, v in enumerate(model.featureImportances.toArray()):
-                    imps.append((f, features[i], float(v)))
-        models[f] = model
-        valid = tr.where(F.col("fold") == f)
-        oofs.append(predict_probs(model, kind, valid, n_classes).select("row_id", "fold", F.posexplode("probs").alias("class", "p")))
-        tests.append(predict_probs(model, kind, te, n_classes).select("row_id", F.posexplode("probs").alias("class", "p")))
-    oof = oofs[0]
-    for o in oofs[1:]:
-        oof = oof.unionByName(o)
-    tst = tests[0]
-    for t in tests[1:]:
-        tst = tst.unionByName(t)
-    tst = tst.groupBy("row_id", "class").agg(F.avg("p").alias("p"))
+            fit_df = fit_df.where(F.col("fold") != f)
+        ovr = OneVsRest(classifier=est)
+        if weights is not None:
+            ovr.setWeightCol("weight")
+        return ovr.fit(fit_df)
+
+    # the folds' fits are jobs of their own: a few run at a time, each with the caller's job properties
+    carried = inheritable_thread_target(train.sparkSession)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(folds)))) as pool:
+        running = {f: pool.submit(carried(lambda f=f: fit_fold(f))) for f in folds}
+        models = {f: r.result() for f, r in running.items()}
+    imps = []
+    for f, model in models.items():
+        parts = model.models if kind == "gbt_ovr" else [model] if hasattr(model, "featureImportances") else []
+        imps += [(f, features[i], float(v) / len(parts)) for part in parts for i, v in enumerate(part.featureImportances.toArray())]
+    oof, scored = None, all_te
+    for f, model in models.items():
+        held = predict_probs(model, kind, of_fold(all_tr.where(F.col("fold") == f), f), n_classes).select("row_id", "fold", F.posexplode("probs").alias("class", "p"))
+        oof = held if oof is None else oof.unionByName(held)
+        # the models are chained on the test rows, so their mean is a projection
+        scored = predict_probs(model, kind, of_fold(scored, f), n_classes).withColumnRenamed("probs", f"__mean{f}")
+    each = [F.col(f"__mean{f}") for f in folds]
+    def mean_of(c):
+        found = F.array_compact(F.array(*[F.get(p, c) for p in each]))
+        return F.aggregate(found, F.lit(0.0), lambda total, x: total + x) / F.size(found)
+    most = F.greatest(*[F.size(p) for p in each], F.lit(0))
+    tst = scored.select("row_id", F.posexplode(F.transform(F.sequence(F.lit(0), most - 1), mean_of)).alias("class", "p"))
     # the OOF and test probability sets are the run's artifacts: write them once, then
     # release the cached feature vectors
     oof = cut_lineage(oof.withColumn("run", F.lit(run)))

@@ -103,3 +103,19 @@ def test_enumeration_gives_exact_shapley_values(spark, fitted):
                 want = sum(math.factorial(len(s)) * math.factorial(2 - len(s)) / 6 * (worth({*s, k}) - worth(set(s))) for n in range(3) for s in itertools.combinations(others, n))
                 got = {v["class"]: v.contribution for v in values if v.row_id == i and v.feature == feats[k]}
                 assert [got[0], got[1]] == pytest.approx(list(want), abs=1e-9)
+
+
+def test_test_mean_is_a_projection_of_the_models(spark):
+    folded = table(spark)
+    test = spark.createDataFrame([(1000 + i, float(i), -float(i)) for i in range(7)], "row_id long, x1 double, x2 double")
+    for kind, params in (("decision_tree", {"maxDepth": 3, "seed": 1}), ("gbt_ovr", {"maxIter": 2, "maxDepth": 2, "seed": 1})):
+        runs = [fit_oof(folded, test, ["x1", "x2"], "label", kind, params, n_classes=2, parallel=n) for n in (1, 3)]
+        one, two = (sorted(map(tuple, r.test.select("row_id", "class", "p").collect())) for r in runs)
+        assert one == two and len(one) == 14  # however many folds are fitted at a time
+        assert sorted(map(tuple, runs[0].oof.select("row_id", "class", "p").collect())) == sorted(map(tuple, runs[1].oof.select("row_id", "class", "p").collect()))
+        if kind == "decision_tree":
+            from pyspark.ml.linalg import Vectors
+
+            for row, c, p in one:
+                each = [m.predictProbability(Vectors.dense([row - 1000.0, 1000.0 - row]))[c] for m in runs[0].models.values()]
+                assert p == pytest.approx(sum(each) / 3, abs=1e-12)
