@@ -7,7 +7,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabspark.functions.exprs import as_float
@@ -212,25 +212,39 @@ class NumCatInteract(Estimator):
         self.pairs, self.stats, self.min_samples_leaf = list(pairs), list(stats), min_samples_leaf
 
     def fit(self, df):
+        """One aggregate over all pairs stacked, and one quantile search each for the groups' and the global medians; the
+        other global values are merged from the groups, so no pair scans the table by itself."""
         pairs = present_pairs(df, self.pairs, "num_cat_interact")
-        tables, globals_ = {}, {}
-        aggs = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-        for num, cat in pairs:
-            x = F.col(num).cast("double")
-            base = df.select(F.col(cat).cast("string").alias("key"), x.alias("v"))
-            g_exprs = [aggs[s]("v").alias(s) for s in self.stats if s in aggs]
-            t = base.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("v").alias("__n"), *g_exprs)
-            glob = base.agg(*g_exprs).first().asDict() if g_exprs else {}
-            if "median" in self.stats:
-                med = group_quantiles(base.where(F.col("key").isNotNull()), "v", [0.5], ["key"]).select(
-                    "key", F.col("value").alias("median"))
-                t = t.join(med, "key", "left")
-                glob["median"] = group_quantiles(base, "v", [0.5]).first()["value"]
-            keep = F.col("__n") >= self.min_samples_leaf
-            t = t.select("key", *[F.when(keep, F.col(s)).alias(s) for s in self.stats])
-            tables[(num, cat)] = materialise_small(t)
-            globals_[(num, cat)] = glob
-        return NumCatModel(pairs, self.stats, tables, globals_)
+        if not pairs:
+            return NumCatModel([], self.stats, {}, {})
+        stacked = df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("pair"), F.col(cat).cast("string").alias("key"), F.col(num).cast("double").alias("v")) for i, (num, cat) in enumerate(pairs)
+        ])).alias("s")).select("s.*")
+        groups = stacked.groupBy("pair", "key").agg(
+            F.count("v").alias("__n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+        if "median" in self.stats:
+            groups = groups.join(group_quantiles(stacked, "v", [0.5], ["pair", "key"]).select(
+                F.col("pair").alias("__pair"), F.col("key").alias("__key"), F.col("value").alias("median")),
+                (F.col("pair") == F.col("__pair")) & F.col("key").eqNullSafe(F.col("__key")), "left").drop("__pair", "__key")
+        groups, _ = materialise_small(groups)  # a row a pair and category
+
+        whole = Window.partitionBy("pair")
+        n = F.col("__n").cast("double")
+        centre = F.sum(n * F.col("mean")).over(whole) / F.sum(n).over(whole)
+        spread = (n - 1) * F.coalesce(F.col("std"), F.lit(0.0)) ** 2 + n * (F.col("mean") - centre) ** 2
+        merged = groups.withColumns({"__centre": centre, "__spread": F.when(F.col("__n") > 0, spread)}).groupBy("pair").agg(
+            F.first("__centre").alias("mean"), F.sqrt(F.try_divide(F.sum("__spread"), F.when(F.sum("__n") > 1, F.sum(n) - 1))).alias("std"),
+            F.min("min").alias("min"), F.max("max").alias("max"), F.count("key").alias("__rows"))
+        globals_ = {r["pair"]: r.asDict() for r in merged.collect()}  # a row a pair
+        if "median" in self.stats:
+            for r in group_quantiles(stacked, "v", [0.5], ["pair"]).collect():
+                globals_[r["pair"]]["median"] = r["value"]
+        keep = F.col("__n") >= self.min_samples_leaf
+        fitted = groups.where(F.col("key").isNotNull()).select("pair", "key", *[F.when(keep, F.col(s)).alias(s) for s in self.stats])
+        empty = dict.fromkeys(self.stats)
+        return NumCatModel(
+            pairs, self.stats, {pair: (fitted.where(F.col("pair") == i).drop("pair"), globals_.get(i, {}).get("__rows", 0)) for i, pair in enumerate(pairs)},
+            {pair: {s: globals_.get(i, empty).get(s) for s in self.stats} for i, pair in enumerate(pairs)})
 
 
 def num_num_interact(df_train, df_test, pairs=None, auto_top_n=None, corr_threshold=0.0):
