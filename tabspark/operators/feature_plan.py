@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from tabspark.operators.base import Model
 from tabspark.operators.cross import CatCatInteract, NumCatInteract, NumNumInteract
-from tabspark.operators.encode import OrdinalEncoder
+from tabspark.operators.encode import FoldTargetEncoder, OrdinalEncoder
 from tabspark.operators.transform import AngleToUnitVector, ClipIQR, Log1p, Polynomial, Ratio, Subtract
 
 
@@ -40,6 +40,9 @@ class FeaturePlan:
     angle: tuple[str, str] | None = None
     angle_prefix: str = "unit_"
     exclude: tuple[str, ...] = ("row_id",)
+    target: str | None = None  # with it, high-cardinality compounds get fold-aware target encodings
+    classes: tuple = ()
+    fold_col: str = "fold"
 
     def fit(self, train: DataFrame) -> "FeaturePlanModel":
         steps: list[tuple[str, Model]] = []
@@ -69,11 +72,14 @@ class FeaturePlan:
         high: list[str] = []
         if self.cat_cat_pairs:
             cc = add("cat_cat", CatCatInteract(list(self.cat_cat_pairs), False, self.cat_cat_max_card, self.cat_cat_low_card))
-            # C9 routing: low-cardinality compounds are ordinal-encoded here; high-cardinality
-            # ones are left as strings and flagged for fold-aware target encoding
+            # C9 routing: low-cardinality compounds are ordinal-encoded; high-cardinality ones get fold-aware target
+            # encodings where the plan names a target (and are only listed where it does not)
             if cc.low_card_cols:
                 add("ordinal_low_card", OrdinalEncoder(cc.low_card_cols))
             high = list(cc.high_card_cols)
+            if self.target:
+                for c in high:
+                    add(f"fold_target_{c}", FoldTargetEncoder(c, self.target, list(self.classes), self.fold_col))
         if self.angle:
             add("angle", AngleToUnitVector(self.angle[0], self.angle[1], self.angle_prefix))
         return FeaturePlanModel(steps, high)
@@ -92,3 +98,9 @@ class FeaturePlanModel(Model):
         for _, m in self.steps:
             df = m.transform(df)
         return df
+
+    def transform_train(self, df: DataFrame) -> DataFrame:
+        """The training rows: fold-aware encodings leave out the row's own fold."""
+        for _, m in self.steps:
+            df = m.transform_oof(df) if hasattr(m, "transform_oof") else m.transform(df)
+        return df

@@ -513,6 +513,26 @@ def fe_feature_plan(spark, sf_dir):
     return rounded(model.transform(df).select("row_id", "split", *cols))
 
 
+_COMPOUND = "o_orderpriority__c_mktsegment"
+_COMPOUND_SQL = "COALESCE(CAST(o_orderpriority AS VARCHAR), 'nan') || '__' || COALESCE(CAST(c_mktsegment AS VARCHAR), 'nan')"
+
+
+@register("fe_high_card_routing", _fold_enc_sql(_COMPOUND, "smooth").replace(TRAIN_LIKE_SQL, f"SELECT *, {_COMPOUND_SQL} AS {_COMPOUND} FROM ({TRAIN_LIKE_SQL})", 1))
+def fe_high_card_routing(spark, sf_dir):
+    """A compound with more categories than the plan takes for ordinal codes, routed into fold-aware target encoding: training
+    rows from the other folds, test rows from all of them."""
+    from tabspark.operators.feature_plan import FeaturePlan
+
+    train, test = _split(train_like(spark, sf_dir))
+    folded = stratified_folds(train, "y", k=5, seed=1337)
+    plan = FeaturePlan(cat_cat_pairs=(("o_orderpriority", "c_mktsegment"),), cat_cat_low_card=10, target="y", classes=tuple(CLASSES))
+    model = plan.fit(folded)
+    assert model.high_card_cols == [_COMPOUND]
+    names = [f"{_COMPOUND}_te_{c}" for c in CLASSES]
+    rows = model.transform_train(folded).select("row_id", F.lit("train").alias("split"), *names)
+    return rounded(rows.unionByName(model.transform(test).select("row_id", F.lit("test").alias("split"), *names)))
+
+
 # --------------------------------------------------------------------------- V7 / E2
 @register("fe_missing_columns", f"""
 WITH t AS ({TRAIN_LIKE_SQL})
