@@ -70,15 +70,16 @@ def file_rows(df: DataFrame) -> Column | None:
         if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
             return None
         place = df.metadataColumn("_metadata")
-        of_file = df.select(place["file_path"].alias("path"), place["row_index"].alias("at")).groupBy("path").agg(F.max("at").alias("last"))
+        of_file = df.select(place["file_path"].alias("path"), place["row_index"].alias("at")).groupBy("path").agg(F.max("at").alias("last"), F.count("*").alias("rows"))
         seeds = range(8)
-        found = of_file.agg(F.count("*").alias("n"), F.max("last").alias("last")).first()
+        whole = F.coalesce(F.bool_and(F.col("rows") == F.col("last") + 1), F.lit(True))  # no file is read twice
+        found = of_file.agg(F.count("*").alias("n"), F.max("last").alias("last"), whole.alias("whole")).first()
     except Exception:  # no such column in this source: the caller writes the rows
         return None
     if not found["n"]:
         return F.lit(0).cast("long")
     bits = 2 * int(found["n"]).bit_length() + 2
-    if bits >= 62 or found["last"] >> 63 - bits:
+    if not found["whole"] or bits >= 62 or found["last"] >> 63 - bits:
         return None
     hashed = lambda seed, path: F.xxhash64(F.lit(seed), path).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     kinds = of_file.agg(*(F.count_distinct(hashed(seed, F.col("path"))).alias(f"s{seed}") for seed in seeds)).first()

@@ -65,6 +65,8 @@ def test_rows_of_files_are_numbered_without_a_copy(spark, rows, tmp_path):
         assert dict(one.select("x", name).collect()) == first  # however the files are split
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    twice = spark.read.parquet(f"{tmp_path}/t", f"{tmp_path}/t")
+    assert twice.count() == 100 and file_rows(twice) is None and numbered(twice)[0].select("row_number").distinct().count() == 100
     assert file_rows(table.where("x > 3")) is None and file_rows(rows("x long", (1,))) is None
     assert numbered(rows("Row_Number long", (5,)))[1] == "row_number_" and fresh(["A", "a_"], "a") == "a__"
 

@@ -66,9 +66,9 @@ def test_rows_without_an_id_or_with_a_shared_one_are_judged_one_by_one(rows):
     assert [n - 120 for n in kept(lambda d: quality.keep_good(d, labels), *docs) if n >= 120] == [0, 3]
 
 
-def test_names_of_the_ten_queries():
+def test_names_of_the_thirteen_queries():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert all(sum(bool(re.match(rf"op{n}_", x)) for x in names) == 1 for n in range(1, 11)) and "pipeline" in names
+    assert all(sum(bool(re.match(rf"op{n}_", x)) for x in names) == 1 for n in range(1, 14)) and "pipeline" in names
     assert public_tokenizers.path("word_bpe_49k.json")
