@@ -30,6 +30,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm.files import new_file, prepare, quoted, read_bytes, saved, scratch, shared_folder
-from tabspark.llm.words import U64, blocks, mix
+from tabspark.llm.words import U64, blocks, eights, mix
 
 WIDTH = 200
 GRAM = 8  # bytes of the hash that makes an anchor
@@ -56,15 +57,22 @@ def levels(width: int) -> list[np.ndarray]:
 
 
 class Text:
-    """The bytes of a run, and where its texts begin and end."""
+    """The bytes of a run, read when first used, and where its texts begin and end."""
 
     def __init__(self, uri: str, sizes: bytes):
+        self.uri = uri
+        self.offsets = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<i8"))))
+
+    @cached_property
+    def raw(self) -> bytes:
         import zstandard
 
-        self.raw = zstandard.ZstdDecompressor().decompress(read_bytes(uri)) if uri else b""
-        self.offsets = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<i8"))))
-        padded = np.frombuffer(self.raw + bytes(8), np.uint8)
-        self.words = np.lib.stride_tricks.as_strided(padded[:8].view(U64), (len(self.raw) + 1,), (1,))  # the 8 bytes from each position
+        return zstandard.ZstdDecompressor().decompress(read_bytes(self.uri)) if self.uri else b""
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        """The 8 bytes from each position as one number."""
+        return eights(np.frombuffer(self.raw, np.uint8))
 
     def hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """A hash of each span of at least 8 bytes."""
@@ -78,6 +86,18 @@ class Text:
             out[some] = mix(h)
         return out
 
+    def shared(self, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the spans from ``one`` and from ``two``, at most ``size``."""
+        out = np.zeros(len(size), np.int64)
+        some, at = np.flatnonzero(size > 0), 0
+        while len(some):
+            apart = self.words[one[some] + at] ^ self.words[two[some] + at]
+            first = np.log2(np.maximum(apart & (~apart + U64(1)), U64(1)).astype(float)).astype(np.int64) // 8  # byte of the lowest bit
+            out[some] = np.minimum(at + np.where(apart == 0, 8, first), size[some])
+            at += 8
+            some = some[(apart == 0) & (size[some] > at)]
+        return out
+
     def anchors(self, width: int) -> np.ndarray:
         """A cell for each anchor, of all its windows.  The windows of a text longer than ``SEGMENT`` are cut there too."""
         begins, ends = self.offsets[:-1], self.offsets[1:] - width + 1
@@ -129,15 +149,21 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def distinct_strings(text: Text, cells: np.ndarray, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(the cells' strings in order, each once; the number of each cell's; how many cells have each)."""
-    begin = (cells["a"].astype(np.int64) - cells["hi"]).tolist()
-    end = (cells["a"].astype(np.int64) - cells["lo"] + width).tolist()
-    strings = [text.raw[s:e] for s, e in zip(begin, end)]
-    ordered = sorted(set(strings))
-    number = {s: k for k, s in enumerate(ordered)}
+def spans(cells: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of the cells' strings."""
+    a = cells["a"].astype(np.int64)
+    return a - cells["hi"], a - cells["lo"] + width
+
+
+def ordered(text: Text, cells: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(one cell of each distinct string, in the strings' order; for each cell the place of its string there)."""
+    strings = [text.raw[s:e] for s, e in zip(*(x.tolist() for x in spans(cells, width)))]
+    one = {s: k for k, s in enumerate(strings)}
+    number = {s: k for k, s in enumerate(sorted(one))}
     of = np.fromiter((number[s] for s in strings), np.int64, len(strings))
-    return ordered, of, np.bincount(of, minlength=len(ordered))
+    first = np.empty(len(one), np.int64)
+    first[of] = np.arange(len(of))
+    return first, of
 
 
 def common_prefix(x: bytes, y: bytes, known: int) -> int:
@@ -152,11 +178,13 @@ def common_prefix(x: bytes, y: bytes, known: int) -> int:
     return n
 
 
-def front_coded(strings: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """(common prefix with the string before, length of the rest, the rests) of strings in order."""
-    shared = [0, *(common_prefix(x, y, 0) for x, y in zip(strings, strings[1:]))][: len(strings)]
-    rests = [s[n:] for s, n in zip(strings, shared)]
-    return np.array(shared, "<i4").tobytes(), np.array([len(r) for r in rests], "<i4").tobytes(), b"".join(rests)
+def front_coded(text: Text, begins: np.ndarray, ends: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """(common prefix with the string before, length of the rest, the rests) of strings in order, given as spans of the run."""
+    shared = np.zeros(len(begins), np.int64)
+    shared[1:] = text.shared(begins[:-1], begins[1:], np.minimum(ends - begins, np.roll(ends - begins, 1))[1:])
+    starts = begins + shared
+    rests = b"".join([text.raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())])
+    return shared.astype("<i4").tobytes(), (ends - starts).astype("<i4").tobytes(), rests
 
 
 def decoded(shared: bytes, sizes: bytes, rests: bytes) -> tuple[list[int], list[bytes]]:
@@ -234,7 +262,7 @@ class Steps:
         self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(self.number, 20_000))
 
     def spread(self, df: DataFrame) -> DataFrame:
-        """A run is little to read but much to work on: as many tasks as there are runs."""
+        """A run is little to read but much to work on: as many tasks as there are runs.  Tables written so are read so."""
         return df.repartition(self.tasks, "run")
 
     def map(self, df: DataFrame, step: Callable[[dict, Text], Iterator[dict]], schema: str) -> DataFrame:
@@ -244,9 +272,8 @@ class Steps:
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = batch.slice(k, 1).to_pylist()[0]
-                    found = step(row, Text(row["uri"], row["sizes"]))
-                    for out in found:
-                        yield pa.RecordBatch.from_pylist([out], schema=arrow)
+                    if found := list(step(row, Text(row["uri"], row["sizes"]))):
+                        yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
         kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
         arrow = pa.schema([(n, kinds[part.split()[1]]) for n, part in zip(names, schema.split(", "))])
@@ -266,7 +293,8 @@ class Steps:
         def send(row, text):
             own = np.frombuffer(row["cells"], CELL)
             mark = 1 - (own["known"] | np.frombuffer(row["proven"], np.uint8) if proven else own["known"])
-            keys, of, n = np.unique(cores(text, own, cuts, width), return_inverse=True, return_counts=True)
+            hashes = np.frombuffer(row["cores"], U64) if proven else cores(text, own, cuts, width)
+            keys, of, n = np.unique(hashes, return_inverse=True, return_counts=True)
             marks = np.zeros(len(keys), np.uint8)
             np.maximum.at(marks, of, mark)
             marks |= (n > 1).astype(np.uint8) << 1
@@ -285,22 +313,29 @@ class Steps:
             ends = np.cumsum([len(k) for k in sent])
             return pa.table({"run": table["run"], "part": table["part"], "flags": pa.array([f.tobytes() for f in np.split(flags, ends[:-1])], pa.binary())})
 
-        sent = self.map(self.spread(cells), send, "run long, part long, keys binary, marks binary")
+        needed = ["run", "uri", "sizes", "cells", *(["cores", "proven"] if proven else [])]
+        sent = self.map(cells.select(*needed), send, "run long, part long, keys binary, marks binary")
         return sent.groupBy("part").applyInArrow(meet, "run long, part long, flags binary")
 
     def open_cells(self, cells: DataFrame, flags: DataFrame, cuts: np.ndarray) -> DataFrame:
-        """Rows of runs with only the cells whose core occurs at least twice."""
+        """Rows of runs with only the cells whose core may have to be sorted, their strings in order and their cores."""
         width = self.width
 
         def keep(row, text):
             own = np.frombuffer(row["cells"], CELL)
-            of = np.unique(cores(text, own, cuts, width), return_inverse=True)[1]
-            own = own[np.frombuffer(b"".join(row["flags"]), bool)[of]]
+            hashes = cores(text, own, cuts, width)
+            kept = np.frombuffer(b"".join(row["flags"]), bool)[np.unique(hashes, return_inverse=True)[1]]
+            own = own[kept]
             if len(own):
-                size = int((own["hi"].astype(np.int64) - own["lo"] + width).sum())
-                yield {"run": row["run"], "uri": row["uri"], "sizes": row["sizes"], "cells": own.tobytes(), "n": len(own), "bytes": size}
+                first, of = ordered(text, own, width)
+                begin, end = spans(own[first], width)
+                yield {
+                    "run": row["run"], "uri": row["uri"], "sizes": row["sizes"], "cells": own.tobytes(), "cores": hashes[kept].tobytes(),
+                    "first": first.astype("<i4").tobytes(), "of": of.astype("<i4").tobytes(), "n": len(first), "bytes": int((end - begin).sum()),
+                }
 
-        return saved(self.map(self.with_flags(cells, flags), keep, "run long, uri string, sizes binary, cells binary, n long, bytes long"), "cells")
+        schema = "run long, uri string, sizes binary, cells binary, cores binary, first binary, of binary, n long, bytes long"
+        return saved(self.map(self.with_flags(cells.drop("n"), flags), keep, schema), "cells")
 
     def splitters(self, cells: DataFrame, total: int, size: int) -> list[bytes]:
         """First strings of ranges of about ``RANGE_BYTES``, from a random sample of 32 strings a range."""
@@ -308,11 +343,12 @@ class Steps:
         rate, width = min(1.0, 32 * ranges / max(total, 1)), self.width
 
         def pick(row, text):
-            own = np.frombuffer(row["cells"], CELL)
-            some = own[np.random.Generator(np.random.PCG64(row["run"])).random(len(own)) < rate]
-            yield {"strings": [text.raw[c["a"] - c["hi"] : c["a"] - c["lo"] + width] for c in some.astype([("a", "i8"), ("lo", "i8"), ("hi", "i8"), ("known", "u1")])]}
+            own = np.frombuffer(row["cells"], CELL)[np.frombuffer(row["first"], "<i4")]
+            begin, end = spans(own[np.random.Generator(np.random.PCG64(row["run"])).random(len(own)) < rate], width)
+            yield {"strings": [text.raw[s:e] for s, e in zip(begin.tolist(), end.tolist())]}
 
-        sample = sorted(bytes(s) for r in self.map(self.spread(cells), pick, "strings array<binary>").toLocalIterator() for s in r["strings"])
+        source = cells.select("run", "uri", "sizes", "cells", "first")
+        sample = sorted(bytes(s) for r in self.map(source, pick, "strings array<binary>").toLocalIterator() for s in r["strings"])
         return sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
 
     def proven(self, cells: DataFrame, splitters: list[bytes]) -> DataFrame:
@@ -321,11 +357,12 @@ class Steps:
         bounds = spark.sparkContext.broadcast(splitters)
 
         def send(row, text):
-            strings = distinct_strings(text, np.frombuffer(row["cells"], CELL), width)[0]
-            cuts = [0, *(bisect.bisect_left(strings, s) for s in bounds.value), len(strings)]
+            begin, end = spans(np.frombuffer(row["cells"], CELL)[np.frombuffer(row["first"], "<i4")], width)
+            string = lambda k: text.raw[begin[k] : end[k]]
+            cuts = [0, *(bisect.bisect_left(range(len(begin)), s, key=string) for s in bounds.value), len(begin)]
             for part, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                 if hi > lo:
-                    shared, sizes, rests = front_coded(strings[lo:hi])
+                    shared, sizes, rests = front_coded(text, begin[lo:hi], end[lo:hi])
                     yield {"run": row["run"], "part": part, "shared": shared, "lengths": sizes, "rests": rests}
 
         def merge(table: pa.Table) -> pa.Table:
@@ -342,31 +379,25 @@ class Steps:
             return pa.table({"run": table["run"], "part": table["part"], "flags": pa.array([bytes(f) for f in flags], pa.binary())})
 
         def mark(row, text):
-            own = np.frombuffer(row["cells"], CELL)
-            _, of, n = distinct_strings(text, own, width)
-            found = np.frombuffer(b"".join(row["flags"]), np.uint8) | (n > 1)
-            yield {c: row[c] for c in ("run", "uri", "sizes", "cells")} | {"proven": found[of].astype(np.uint8).tobytes()}
+            of = np.frombuffer(row["of"], "<i4")
+            found = np.frombuffer(b"".join(row["flags"]), np.uint8) | (np.bincount(of) > 1)
+            yield {c: row[c] for c in ("run", "uri", "sizes", "cells", "cores", "of")} | {"proven": found[of].astype(np.uint8).tobytes()}
 
-        sent = self.map(self.spread(cells), send, "run long, part long, shared binary, lengths binary, rests binary")
+        sent = self.map(cells.select("run", "uri", "sizes", "cells", "first"), send, "run long, part long, shared binary, lengths binary, rests binary")
         flags = sent.groupBy("part").applyInArrow(merge, "run long, part long, flags binary")
-        out = saved(self.map(self.with_flags(cells, flags), mark, "run long, uri string, sizes binary, cells binary, proven binary"), "proven")
+        out = saved(self.map(self.with_flags(cells.drop("first", "n", "bytes"), flags), mark, "run long, uri string, sizes binary, cells binary, cores binary, of binary, proven binary"), "proven", outlives=True)
         bounds.unpersist()
         return out
 
-    def finer(self, cells: DataFrame, flags: DataFrame, cuts: np.ndarray, next_cuts: np.ndarray) -> DataFrame:
+    def finer(self, cells: DataFrame, flags: DataFrame, next_cuts: np.ndarray) -> DataFrame:
         """The cells of the next level: of cores with an unproven cell, all unproven cells and each proven string once a run."""
-        width = self.width
-
         def cut(row, text):
             own, proven = np.frombuffer(row["cells"], CELL).copy(), np.frombuffer(row["proven"], bool)
-            of = np.unique(cores(text, own, cuts, width), return_inverse=True)[1]
-            wanted = np.frombuffer(b"".join(row["flags"]), bool)[of]
+            wanted = np.frombuffer(b"".join(row["flags"]), bool)[np.unique(np.frombuffer(row["cores"], U64), return_inverse=True)[1]]
             own["known"] |= proven
-            kept = own[wanted & ~proven]
-            settled = own[wanted & proven]
-            if len(settled):
-                settled = settled[np.unique(distinct_strings(text, settled, width)[1], return_index=True)[1]]
-            out = divided(np.concatenate((kept, settled)), next_cuts)
+            once = np.zeros(len(own), bool)
+            once[np.unique(np.frombuffer(row["of"], "<i4"), return_index=True)[1]] = True
+            out = divided(own[wanted & (once | ~proven)], next_cuts)
             if len(out):
                 yield {"run": row["run"], "uri": row["uri"], "sizes": row["sizes"], "cells": out.tobytes(), "n": len(out)}
 
@@ -418,16 +449,18 @@ def repeated(steps: Steps) -> DataFrame:
         if len(own):
             yield {"run": row["run"], "uri": row["uri"], "sizes": row["sizes"], "cells": own.tobytes(), "n": len(own)}
 
-    schema = "run long, uri string, sizes binary, cells binary, n long"
-    cells, found = saved(steps.map(steps.spread(steps.runs.drop("keys")), first, schema), "cells"), []
+    schema, found, cells = "run long, uri string, sizes binary, cells binary, n long", [], None
     for level, now in enumerate(cuts):
-        total = cells.agg(F.sum("n")).first()[0] or 0
-        cells = steps.open_cells(cells, steps.asked(cells, now, total, False), now)
-        total, size = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-        cells = steps.proven(cells, steps.splitters(cells, total, size))
+        with scratch(steps.spark):  # of a level only what was proven is kept
+            if not level:
+                raw = saved(steps.map(steps.spread(steps.runs.drop("keys")), first, schema), "cells")
+            else:
+                raw = steps.finer(cells, steps.asked(cells, cuts[level - 1], total, True), now)
+            total = raw.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            kept = steps.open_cells(raw, steps.asked(raw, now, total, False), now)
+            total, size = kept.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+            cells = steps.proven(kept, steps.splitters(kept, total, size))
         found.append(cells.select("run", "cells", "proven"))
-        if level + 1 < len(cuts):
-            cells = steps.finer(cells, steps.asked(cells, now, total, True), now, cuts[level + 1])
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
