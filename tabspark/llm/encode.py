@@ -41,7 +41,7 @@ class PieceEncoder:
     ``pool`` ids or four times as many bytes are held.
     """
 
-    def __init__(self, path: str, spaces: bool, slots: int = 1 << 22, pool: int = 1 << 24):
+    def __init__(self, path: str, spaces: bool, slots: int = 1 << 21, pool: int = 1 << 23):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,12 +55,12 @@ class PieceEncoder:
         self.table = Slots(self.slots)
         self.ids = np.zeros(1 << 16, dtype=self.dtype)
         self.n_ids = 0
-        self.begin = np.zeros(1 << 16, dtype=np.int64)
-        self.length = np.zeros(1 << 16, dtype=np.int64)
+        self.begin = np.zeros(1 << 16, dtype=np.int32)
+        self.length = np.zeros(1 << 16, dtype=np.int32)
         self.bytes = np.zeros(1 << 18, dtype=np.uint8)  # of the pieces; 8 more than are in use
         self.n_bytes = 0
-        self.byte_begin = np.zeros(1 << 16, dtype=np.int64)
-        self.byte_size = np.zeros(1 << 16, dtype=np.int64)
+        self.byte_begin = np.zeros(1 << 16, dtype=np.int32)
+        self.byte_size = np.zeros(1 << 16, dtype=np.int32)
         self.n = 0
 
     def pieces(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +150,7 @@ class PieceEncoder:
             if not other.any():
                 break
             h[other] = Slots.nonzero(mix(h[other] + U64(1)))  # another piece has this hash: on to the next one
-        lengths = self.length[at]
+        lengths = self.length[at].astype(np.int64)
         before = np.concatenate(([0], np.cumsum(lengths)))
         flat = np.arange(before[-1]) + np.repeat(self.begin[at] - before[:-1], lengths)
         return self.ids[flat], before[np.searchsorted(starts, block.offsets)]
