@@ -2,8 +2,8 @@
 
 A probability set is the long table ``(run, row_id, class, p)`` (class = 0-based code);
 stored sets use ``(run, row_id, probs array<double>)`` and are exploded to this form.
-Every blend first co-partitions the table on ``row_id`` once; the per-(row, class)
-aggregate and the per-row renormalisation then reuse that partitioning.
+A table that lies in buckets of ``row_id`` (``session.cut_by_key``) is blended where it is: the per-(row, class)
+aggregate and the per-row renormalisation reuse that partitioning.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tabspark.operators.joins import join_fitted
 from tabspark.operators.ranking import average_rank
-from tabspark.session import materialise_small
+from tabspark.session import materialise_small, spread
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon (log-loss clipping)
 
@@ -40,14 +40,9 @@ def renorm(long: DataFrame, key: Sequence[str] = ("row_id",)) -> DataFrame:
     return long.withColumn("p", F.when(total == 0, F.col("p")).otherwise(F.col("p") / total))
 
 
-def _by_row(long: DataFrame) -> DataFrame:
-    return long.repartition("row_id")
-
-
 def blend_equal(long: DataFrame) -> DataFrame:
     """B1: mean over runs per (row, class), then row renormalisation -> ``(row_id, class, p)``."""
-    m = _by_row(long).groupBy("row_id", "class").agg(F.avg("p").alias("p"))
-    return renorm(m)
+    return renorm(long.groupBy("row_id", "class").agg(F.avg("p").alias("p")))
 
 
 def blend_rank(long: DataFrame) -> DataFrame:
@@ -58,7 +53,8 @@ def blend_rank(long: DataFrame) -> DataFrame:
     n, n_runs = materialise_small(long.where(F.col("class") == 0).groupBy("run").agg(F.count("*").alias("__n")))
     r = join_fitted(average_rank(long, ["run", "class"], "p", out="__rank"), n, "run", n_runs)
     r = r.select("run", "row_id", "class", (F.col("__rank") / F.col("__n")).alias("p"))
-    return blend_equal(r)
+    rows = n.agg(F.max("__n")).first()[0] or 0  # one number
+    return blend_equal(r.repartition(spread(long.sparkSession, rows), "row_id"))
 
 
 def blend_weighted(long: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -67,7 +63,7 @@ def blend_weighted(long: DataFrame, weights: dict[str, float]) -> DataFrame:
     for run, wt in weights.items():
         cond = F.col("run") == F.lit(run)
         w = F.when(cond, F.lit(float(wt))) if w is None else w.when(cond, F.lit(float(wt)))
-    m = _by_row(long.where(F.col("run").isin(list(weights)))).groupBy("row_id", "class").agg(F.sum(w * F.col("p")).alias("p"))
+    m = long.where(F.col("run").isin(list(weights))).groupBy("row_id", "class").agg(F.sum(w * F.col("p")).alias("p"))
     return renorm(m)
 
 
@@ -94,9 +90,11 @@ def optimise_weights(oof: DataFrame, labels: DataFrame, tol: float = 1e-10, max_
     """
     runs = sorted(r["run"] for r in oof.select("run").distinct().collect())
     m = len(runs)
-    truth = oof.join(labels.select("row_id", F.col("y").alias("class")), ["row_id", "class"])
-    pivot = truth.groupBy("row_id").pivot("run", runs).agg(F.first("p"))
-    t = pivot.select(F.array(*[F.coalesce(F.col(f"`{r}`"), F.lit(0.0)) for r in runs]).alias("t"))
+    # joined and grouped by the row alone: a set that lies in buckets of rows stays where it is
+    truth = oof.join(labels.select("row_id", F.col("y").alias("__y")), "row_id")
+    true = F.col("class") == F.col("__y")
+    per_row = truth.groupBy("row_id").agg(F.count(F.when(true, 1)).alias("__n"), *[F.first(F.when(true & (F.col("run") == r), F.col("p")), ignorenulls=True).alias(f"t{k}") for k, r in enumerate(runs)])
+    t = per_row.where("__n > 0").select(F.array(*[F.coalesce(F.col(f"t{k}"), F.lit(0.0)) for k in range(m)]).alias("t"))
     t = t.groupBy("t").agg(F.count("*").cast("double").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
 
     def evaluate(w):

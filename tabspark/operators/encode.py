@@ -353,19 +353,17 @@ class CategoryEncoderModel(Model):
     def _apply(self, df: DataFrame, st: DataFrame, keys: list[str], prior_of) -> DataFrame:
         c = self.stats.col
         k = len(self.stats.classes)
-        st = st.select(*[F.col(x).alias(f"__k_{x}") if x == c else F.col(x) for x in keys], F.col("n").alias("__n"),
-                       *[F.col(f"s{i}").alias(f"__s{i}") for i in range(k)])
+        # the values are worked out in the small table; a row takes its category's, or the prior
+        n = F.col("n")
+        vals = [F.when(n.isNull() | (n == 0), prior_of(i)).otherwise(self._value(n, F.col(f"s{i}"), prior_of(i))).cast("double").alias(f"__v{i}") for i in range(k)]
+        st = st.select(*[F.col(x).alias(f"__k_{x}") if x == c else F.col(x) for x in keys], *vals)
         left = df.withColumn(f"__k_{c}", F.col(c).cast("string"))
         jk = [f"__k_{c}" if x == c else x for x in keys]
         # per-(category, fold) table has at most categories x folds rows
         bound = self.stats.size * max(len(self.stats.folds), 1) if len(keys) > 1 else self.stats.size
         j = join_fitted(left, st, jk, bound, "left")
-        new = {}
-        for i in range(k):
-            prior = prior_of(i)
-            val = F.when(F.col("__n").isNull() | (F.col("__n") == 0), prior).otherwise(self._value(F.col("__n"), F.col(f"__s{i}"), prior))
-            new[self.names[i]] = val.cast("double")
-        return with_columns(j, new).drop(f"__k_{c}", "__n", *[f"__s{i}" for i in range(k)])
+        new = {self.names[i]: F.coalesce(F.col(f"__v{i}"), prior_of(i).cast("double")) for i in range(k)}
+        return with_columns(j, new).drop(f"__k_{c}", *[f"__v{i}" for i in range(k)])
 
     def transform_oof(self, df: DataFrame) -> DataFrame:
         """Train rows: each row encoded from the other folds only (leakage-free)."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabspark.operators.blend import EPS
 from tabspark.operators.joins import join_fitted
-from tabspark.session import BROADCAST_MAX_ROWS, materialise_small
+from tabspark.session import BROADCAST_MAX_ROWS, cut_by_key, materialise_small
 from tabspark.operators.quantile import group_quantiles
 from tabspark.operators.ranking import average_rank, bucket_count, running_totals, with_codes
 
@@ -93,9 +93,10 @@ def _pair_corr(wide: DataFrame, runs: Sequence[str], value_cols: dict[str, str])
 def diversity(long: DataFrame, runs: Sequence[str]) -> DataFrame:
     """Pearson and Spearman correlation of per-row max probability between runs,
     with the diversity verdict (< 0.96 diverse, < 0.99 marginal, else redundant)."""
-    wide = _wide_maxprob(long, runs)
-    pear = _pair_corr(wide, runs, {r: f"`{r}`" for r in runs}).withColumnRenamed("r", "pearson")
     mp = max_prob(long)
+    mp = cut_by_key(mp, "row_id", mp.count())  # read by every pass below
+    wide = mp.groupBy("row_id").pivot("run", list(runs)).agg(F.first("maxp"))
+    pear = _pair_corr(wide, runs, {r: f"`{r}`" for r in runs}).withColumnRenamed("r", "pearson")
     ranked = average_rank(mp, ["run"], "maxp", out="rk")
     wide_r = ranked.groupBy("row_id").pivot("run", list(runs)).agg(F.first("rk"))
     spear = _pair_corr(wide_r, runs, {r: f"`{r}`" for r in runs}).withColumnRenamed("r", "spearman")
@@ -137,7 +138,8 @@ def leaderboard(single: DataFrame, blends: DataFrame) -> DataFrame:
     with the log-loss delta to the best single model."""
     rows = single.select(F.col("run").alias("strategy"), "logloss", "bal_acc", F.lit("single model").alias("note")).unionByName(
         blends.select("strategy", "logloss", "bal_acc", "note"))
-    best = single.agg(F.min("logloss").alias("__b")).first()["__b"]  # one number
+    rows, _ = materialise_small(rows)  # a row a strategy: the scores are worked out once
+    best = rows.where(F.col("note") == "single model").agg(F.min("logloss").alias("__b")).first()["__b"]  # one number
     return rows.withColumn("delta_vs_best_single", F.when(F.col("note") != "single model", F.col("logloss") - F.lit(best)))
 
 

@@ -15,7 +15,7 @@ from tabspark.operators.cross import CatCatInteract
 from tabspark.operators.cv import folds_sql, stratified_folds
 from tabspark.operators.encode import MEstimateEncoder
 from tabspark.plans.fixtures import TRAIN_LIKE_SQL, train_like
-from tabspark.session import cut_lineage
+from tabspark.session import cut_by_key, cut_lineage
 
 # Fixed values of the probability fixture.
 CLASSES = ["F", "O", "P"]  # class code = position
@@ -33,23 +33,20 @@ def prob_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     train = df.where(F.col("split") == "train")
     test = df.where(F.col("split") == "test")
     cross = CatCatInteract([("o_orderpriority", "c_mktsegment")], max_combined_cardinality=200).fit(train)
-    folded = stratified_folds(cross.transform(train), "y", k=5, seed=1337)
-    test = cross.transform(test)
-    oofs, tests = [], []
-    models = MEstimateEncoder.fit_many(folded, list(RUNS.values()), "y", CLASSES, "fold", m=M)
-    for run, key in RUNS.items():
-        model = models[key]
-        arr = F.array(*[F.col(n) for n in model.names])
-        oofs.append(model.transform_oof(folded).select(F.lit(run).alias("run"), "row_id", F.posexplode(arr).alias("class", "p")))
-        tests.append(model.transform(test).select(F.lit(run).alias("run"), "row_id", F.posexplode(arr).alias("class", "p")))
-    oof, tst = oofs[0], tests[0]
-    for o, t in zip(oofs[1:], tests[1:]):
-        oof, tst = oof.unionByName(o), tst.unionByName(t)
+    keys = list(RUNS.values())
+    folded = cut_lineage(stratified_folds(cross.transform(train), "y", k=5, seed=1337).select("row_id", "y", "fold", *keys))
+    test = cross.transform(test).select("row_id", "y", F.lit(None).cast("int").alias("fold"), *keys)
+    models = MEstimateEncoder.fit_many(folded, keys, "y", CLASSES, "fold", m=M)
+    for key in keys:
+        folded, test = models[key].transform_oof(folded), models[key].transform(test)
     code = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("y")) - 1
-    labels = folded.select("row_id", code.cast("int").alias("y"), "fold", F.lit("train").alias("split")).unionByName(
-        test.select("row_id", code.cast("int").alias("y"), F.lit(None).cast("int").alias("fold"), F.lit("test").alias("split")))
-    # the probability sets are run artifacts: materialise them once, like saved prediction files
-    return cut_lineage(oof), tst, labels
+    names = ["row_id", code.cast("int").alias("y"), "fold", *(n for key in keys for n in models[key].names)]
+    # the probability sets are run artifacts: materialise them once, like saved prediction files (a row holds all runs)
+    rows = folded.select(F.lit("train").alias("split"), *names).unionByName(test.select(F.lit("test").alias("split"), *names))
+    rows = cut_by_key(rows, "row_id", df.count())
+    each = F.explode(F.array(*(F.struct(F.lit(run).alias("run"), F.lit(k).alias("class"), F.col(n).alias("p")) for run, key in RUNS.items() for k, n in enumerate(models[key].names))))
+    oof, tst = (rows.where(F.col("split") == split).select("row_id", each.alias("s")).select("s.run", "row_id", "s.class", "s.p") for split in ("train", "test"))
+    return oof, tst, rows.select("row_id", "y", "fold", "split")
 
 
 def prob_runs_sql() -> str:

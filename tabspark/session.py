@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -109,21 +110,39 @@ def cached(df: DataFrame) -> DataFrame:
     return df
 
 
+def _own_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name below the shared checkpoint folder, deleted when the innermost block ends."""
+    uri = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    at_end(lambda: delete_path(spark, uri))
+    return uri
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint.
+    """``df`` written once to the shared checkpoint folder (survives executor loss) and read back, as columns: later
+    plans start at the files and read only what they need of them.  The files go when the innermost block ends."""
+    spark = df.sparkSession
+    path = _own_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+ROWS_PER_BUCKET = 50_000
 
-    The input is persisted first so the checkpoint write reuses the computed blocks
-    instead of recomputing the plan a second time.  The files go when the innermost block ends.
-    """
+
+def spread(spark: SparkSession, rows: int) -> int:
+    """Number of partitions for so many rows: it grows with them, so that a task's share does not."""
+    return max(min(spark.sparkContext.defaultParallelism, rows // 10_000 + 1), -(-rows // ROWS_PER_BUCKET))
+
+
+def cut_by_key(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``cut_lineage`` for a table of about ``rows`` keys that is grouped and joined by ``key`` over and over: written in
+    buckets of that key, so these need no exchange, and none of their tasks gets more as the table grows."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = kept.checkpoint(eager=True)
-    kept.unpersist()
-    files = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-    if files.isDefined():
-        at_end(lambda: delete_path(spark, files.get()))
-    return out
+    path, name = _own_path(spark, "keyed"), f"keyed_{uuid.uuid4().hex}"
+    n = spread(spark, rows)
+    at_end(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
 
 
 def materialise_small(df: DataFrame) -> tuple[DataFrame, int]:
