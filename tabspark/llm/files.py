@@ -50,6 +50,19 @@ def saved(df: DataFrame, kind: str, outlives: bool = False, **options: str) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when their query ends, rather than when the driver next collects garbage.  For steps
+    that are each run once and saved: a DataFrame that runs a second time makes its shuffles anew."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def quoted(names: Iterable[str]) -> list[Column]:
     """Columns by their exact names, whatever characters are in them."""
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]

@@ -20,6 +20,10 @@ Sorting every suffix would move hundreds of bytes for each byte of text, so suff
 A run hands on each hash and each string once, however often it holds it, so a passage that fills a third of the rows is one
 entry a run.  Texts of runs lie in files in the shared folder; tables between the steps hold a row a run.
 
+What is on disk at a time stays near the size of the texts: cells whose strings can be equal, or one the beginning of the other,
+have the same core, so the strings are sorted in slices by their core's hash, each of about a third of the texts' bytes; and a
+step's shuffle files and tables go as soon as the next step is written.
+
 Defined cases: a NULL text is empty (no bytes, the digest of nothing); texts shorter than ``width`` keep all; a text longer
 than ``RUN_BYTES`` is a run of its own; repeated rows and rows with the same or no id are texts of their own; an empty table
 gives no rows; other columns are not read.
@@ -30,14 +34,14 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.llm.files import new_file, prepare, quoted, read_bytes, saved, scratch, shared_folder
+from tabspark.llm.files import new_file, prepare, quoted, read_bytes, saved, scratch, shared_folder, shuffles_dropped
 from tabspark.llm.words import U64, blocks, eights, mix
 
 WIDTH = 200
@@ -46,6 +50,8 @@ RUN_BYTES = 8 << 20
 SEGMENT = 1 << 20  # windows whose anchors are found at a time
 BUCKET_KEYS, RANGE_BYTES = 1 << 20, 4 << 20  # of a hash bucket, of a range of strings
 MAX_RANGES = 1 << 16  # their first strings are broadcast
+SLICE_BYTES = 64 << 20  # of the strings sorted at a time, or a third of the texts' bytes, if that is more
+SMALL = {"compression": "zstd"}
 CELL = np.dtype([("a", "<i4"), ("lo", "<i2"), ("hi", "<i2"), ("known", "u1")])  # anchor, distances to its windows' starts
 ODD = U64(0x9E3779B97F4A7C15)
 
@@ -258,7 +264,7 @@ class Steps:
 
     def __init__(self, spark, width: int, runs: DataFrame):
         self.spark, self.width, self.runs = spark, width, runs
-        self.number = runs.count()
+        self.number, self.bytes = runs.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
         self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(self.number, 20_000))
 
     def spread(self, df: DataFrame) -> DataFrame:
@@ -335,11 +341,15 @@ class Steps:
                 }
 
         schema = "run long, uri string, sizes binary, cells binary, cores binary, first binary, of binary, n long, bytes long"
-        return saved(self.map(self.with_flags(cells.drop("n"), flags), keep, schema), "cells")
+        return saved(self.map(self.with_flags(cells.drop("n"), flags), keep, schema), "cells", outlives=True, **SMALL)
+
+    def slices(self, size: int) -> int:
+        """In how many slices so many bytes of strings are sorted."""
+        return max(1, -(-size // max(self.bytes // 3, SLICE_BYTES)))
 
-    def splitters(self, cells: DataFrame, total: int, size: int) -> list[bytes]:
-        """First strings of ranges of about ``RANGE_BYTES``, from a random sample of 32 strings a range."""
-        ranges = min(max(size // RANGE_BYTES, min(4 * self.tasks, total // 64)) + 1, MAX_RANGES)
+    def splitters(self, cells: DataFrame, total: int, size: int, slices: int) -> list[bytes]:
+        """First strings of ranges of about ``RANGE_BYTES`` of a slice, from a random sample of 32 strings a range."""
+        ranges = min(max(size // RANGE_BYTES, min(4 * self.tasks, total // 64)) // slices + 1, MAX_RANGES)
         rate, width = min(1.0, 32 * ranges / max(total, 1)), self.width
 
         def pick(row, text):
@@ -351,16 +361,20 @@ class Steps:
         sample = sorted(bytes(s) for r in self.map(source, pick, "strings array<binary>").toLocalIterator() for s in r["strings"])
         return sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
 
-    def proven(self, cells: DataFrame, splitters: list[bytes]) -> DataFrame:
-        """Rows of runs with, for each cell, whether its string occurs elsewhere, by the merge sort of all strings."""
+    def proven(self, cells: DataFrame, splitters: list[bytes], slices: int) -> DataFrame:
+        """Rows of runs with, for each cell, whether its string occurs elsewhere, by the merge sort of all strings, slice by slice."""
         width, spark = self.width, self.spark
         bounds = spark.sparkContext.broadcast(splitters)
 
-        def send(row, text):
-            begin, end = spans(np.frombuffer(row["cells"], CELL)[np.frombuffer(row["first"], "<i4")], width)
+        def send(row, text, number):
+            first = np.frombuffer(row["first"], "<i4")
+            first = first[bucket_of(np.frombuffer(row["cores"], U64)[first], slices) == number]
+            if not len(first):
+                return
+            begin, end = spans(np.frombuffer(row["cells"], CELL)[first], width)
             string = lambda k: text.raw[begin[k] : end[k]]
             cuts = [0, *(bisect.bisect_left(range(len(begin)), s, key=string) for s in bounds.value), len(begin)]
-            for part, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            for part, (lo, hi) in enumerate(zip(cuts, cuts[1:]), number * (len(bounds.value) + 1)):
                 if hi > lo:
                     shared, sizes, rests = front_coded(text, begin[lo:hi], end[lo:hi])
                     yield {"run": row["run"], "part": part, "shared": shared, "lengths": sizes, "rests": rests}
@@ -380,14 +394,34 @@ class Steps:
 
         def mark(row, text):
             of = np.frombuffer(row["of"], "<i4")
-            found = np.frombuffer(b"".join(row["flags"]), np.uint8) | (np.bincount(of) > 1)
+            found, number = np.bincount(of) > 1, np.zeros(of.max() + 1, np.int64)
+            number[of] = bucket_of(np.frombuffer(row["cores"], U64), slices)
+            found[np.argsort(number, kind="stable")] |= np.frombuffer(b"".join(row["flags"]), bool)  # flags come slice by slice
             yield {c: row[c] for c in ("run", "uri", "sizes", "cells", "cores", "of")} | {"proven": found[of].astype(np.uint8).tobytes()}
 
-        sent = self.map(cells.select("run", "uri", "sizes", "cells", "first"), send, "run long, part long, shared binary, lengths binary, rests binary")
-        flags = sent.groupBy("part").applyInArrow(merge, "run long, part long, flags binary")
-        out = saved(self.map(self.with_flags(cells.drop("first", "n", "bytes"), flags), mark, "run long, uri string, sizes binary, cells binary, cores binary, of binary, proven binary"), "proven", outlives=True)
+        source, flags = cells.select("run", "uri", "sizes", "cells", "cores", "first"), []
+        for number in range(slices):
+            sent = self.map(source, partial(send, number=number), "run long, part long, shared binary, lengths binary, rests binary")
+            flags.append(saved(sent.groupBy("part").applyInArrow(merge, "run long, part long, flags binary"), "flags"))
         bounds.unpersist()
-        return out
+        marked = self.with_flags(cells.drop("first", "n", "bytes"), reduce(DataFrame.unionByName, flags))
+        return saved(self.map(marked, mark, "run long, uri string, sizes binary, cells binary, cores binary, of binary, proven binary"), "proven", outlives=True, **SMALL)
+
+    def covered(self, cells: DataFrame) -> DataFrame:
+        """(run, starts, ends): the spans that the proven cells of a run cover, in order and apart."""
+        width = self.width
+
+        def join(row, text):
+            start, end = spans(np.frombuffer(row["cells"], CELL)[np.frombuffer(row["proven"], bool)], width)
+            if len(start):
+                order = np.argsort(start)
+                start, end = start[order], np.maximum.accumulate(end[order])
+                new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+                start, end = start[new], end[np.append(new[1:] - 1, len(end) - 1)]
+                yield {"run": row["run"], "starts": start.astype("<i8").tobytes(), "ends": end.astype("<i8").tobytes()}
+
+        source = cells.select("run", "uri", "sizes", "cells", "proven")
+        return saved(self.map(source, join, "run long, starts binary, ends binary"), "covered", outlives=True, **SMALL)
 
     def finer(self, cells: DataFrame, flags: DataFrame, next_cuts: np.ndarray) -> DataFrame:
         """The cells of the next level: of cores with an unproven cell, all unproven cells and each proven string once a run."""
@@ -401,11 +435,11 @@ class Steps:
             if len(out):
                 yield {"run": row["run"], "uri": row["uri"], "sizes": row["sizes"], "cells": out.tobytes(), "n": len(out)}
 
-        return saved(self.map(self.with_flags(cells, flags), cut, "run long, uri string, sizes binary, cells binary, n long"), "cells")
+        return saved(self.map(self.with_flags(cells, flags), cut, "run long, uri string, sizes binary, cells binary, n long"), "cells", outlives=True, **SMALL)
 
 
 def packed(docs: DataFrame, key: str, text: str, run_bytes: int) -> DataFrame:
-    """(run, uri, keys, sizes): the texts in files of about ``run_bytes``, each with its rows' keys and sizes in bytes."""
+    """(run, uri, keys, sizes, bytes): the texts in files of about ``run_bytes``, each with its rows' keys and sizes in bytes."""
     rows = docs.select(*(c.alias(n) for c, n in zip(quoted([key, text]), ("key", "text"))))
     folder = shared_folder(docs.sparkSession, "texts")
 
@@ -422,8 +456,8 @@ def packed(docs: DataFrame, key: str, text: str, run_bytes: int) -> DataFrame:
                 out.write(zstandard.ZstdCompressor(3).compress(b"".join(data)))
             own = pa.chunked_array(keys).combine_chunks()
             listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-            columns = [pa.array([first + number], pa.int64()), pa.array([uri]), listed, pa.array([np.concatenate(sizes).astype("<i8").tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["run", "uri", "keys", "sizes"])
+            columns = [pa.array([first + number], pa.int64()), pa.array([uri]), listed, pa.array([np.concatenate(sizes).astype("<i8").tobytes()], pa.binary()), pa.array([sum(map(len, data))], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["run", "uri", "keys", "sizes", "bytes"])
 
         for batch in batches:
             for block in blocks(batch["text"], run_bytes):
@@ -437,11 +471,11 @@ def packed(docs: DataFrame, key: str, text: str, run_bytes: int) -> DataFrame:
             yield flush()
 
     kind = rows.schema["key"].dataType.simpleString()
-    return saved(rows.mapInArrow(pack, f"run long, uri string, keys array<{kind}>, sizes binary"), "runs")
+    return saved(rows.mapInArrow(pack, f"run long, uri string, keys array<{kind}>, sizes binary, bytes long"), "runs")
 
 
 def repeated(steps: Steps) -> DataFrame:
-    """(run, starts, ends): the spans of each run's bytes that cells with proven strings cover."""
+    """(run, found): the spans of each run's bytes that cells with proven strings cover, level by level."""
     width, cuts = steps.width, levels(steps.width)
 
     def first(row, text):
@@ -449,22 +483,22 @@ def repeated(steps: Steps) -> DataFrame:
         if len(own):
             yield {"run": row["run"], "uri": row["uri"], "sizes": row["sizes"], "cells": own.tobytes(), "n": len(own)}
 
-    schema, found, cells = "run long, uri string, sizes binary, cells binary, n long", [], None
+    schema, found, raw = "run long, uri string, sizes binary, cells binary, n long", [], None
     for level, now in enumerate(cuts):
-        with scratch(steps.spark):  # of a level only what was proven is kept
-            if not level:
-                raw = saved(steps.map(steps.spread(steps.runs.drop("keys")), first, schema), "cells")
-            else:
-                raw = steps.finer(cells, steps.asked(cells, cuts[level - 1], total, True), now)
-            total = raw.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-            kept = steps.open_cells(raw, steps.asked(raw, now, total, False), now)
-            total, size = kept.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-            cells = steps.proven(kept, steps.splitters(kept, total, size))
-        found.append(cells.select("run", "cells", "proven"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("run").agg(F.collect_list(F.struct("cells", "proven")).alias("found"))
+        with scratch(steps.spark):  # of a level only what was proven and the next level's cells are kept
+            with scratch(steps.spark):
+                with scratch(steps.spark):
+                    if not level:
+                        raw = saved(steps.map(steps.spread(steps.runs.drop("keys")), first, schema), "cells", **SMALL)
+                    total = raw.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                    kept = steps.open_cells(raw, steps.asked(raw, now, total, False), now)
+                total, size = kept.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+                slices = steps.slices(size)
+                cells = steps.proven(kept, steps.splitters(kept, total, size, slices), slices)
+            found.append(steps.covered(cells))
+            if level + 1 < len(cuts):
+                raw = steps.finer(cells, steps.asked(cells, now, total, True), cuts[level + 1])
+    return reduce(DataFrame.unionByName, found).groupBy("run").agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, run_bytes: int = RUN_BYTES, with_text: bool = False) -> DataFrame:
@@ -472,7 +506,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     if not 2 * GRAM <= width < 1 << 15:
         raise ValueError(f"width is {width}: it must be at least {2 * GRAM} and below {1 << 15}")
     prepare(docs.sparkSession)
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), shuffles_dropped(docs.sparkSession):
         return saved(_removed(docs, key, text, width, run_bytes, with_text), "deduplicated", outlives=True)
 
 
@@ -490,9 +524,8 @@ def _removed(docs: DataFrame, key: str, text: str, width: int, run_bytes: int, w
                 full = Text(own["uri"], own["sizes"])
                 edge = np.zeros(len(full.raw) + 1, np.int64)
                 for part in own["found"] or []:
-                    cells = np.frombuffer(part["cells"], CELL)[np.frombuffer(part["proven"], bool)]
-                    np.add.at(edge, cells["a"].astype(np.int64) - cells["hi"], 1)
-                    np.add.at(edge, cells["a"].astype(np.int64) - cells["lo"] + width, -1)
+                    np.add.at(edge, np.frombuffer(part["starts"], "<i8"), 1)
+                    np.add.at(edge, np.frombuffer(part["ends"], "<i8"), -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 begins = gone & np.concatenate(([True], ~gone[:-1]))[: len(gone)]
                 begins[full.offsets[:-1][full.offsets[:-1] < len(gone)]] |= gone[full.offsets[:-1][full.offsets[:-1] < len(gone)]]
