@@ -21,7 +21,7 @@ A run hands on each hash and each string once, however often it holds it, so a p
 entry a run.  Texts of runs lie in files in the shared folder; tables between the steps hold a row a run.
 
 What is on disk at a time stays near the size of the texts: cells whose strings can be equal, or one the beginning of the other,
-have the same core, so the strings are sorted in slices by their core's hash, each of about a third of the texts' bytes; and a
+have the same core, so the strings are sorted in slices by their core's hash, each of about half the texts' bytes; and a
 step's shuffle files and tables go as soon as the next step is written.
 
 Defined cases: a NULL text is empty (no bytes, the digest of nothing); texts shorter than ``width`` keep all; a text longer
@@ -50,7 +50,7 @@ RUN_BYTES = 8 << 20
 SEGMENT = 1 << 20  # windows whose anchors are found at a time
 BUCKET_KEYS, RANGE_BYTES = 1 << 20, 4 << 20  # of a hash bucket, of a range of strings
 MAX_RANGES = 1 << 16  # their first strings are broadcast
-SLICE_BYTES = 64 << 20  # of the strings sorted at a time, or a third of the texts' bytes, if that is more
+SLICE_BYTES = 64 << 20  # of the strings sorted at a time, or half the texts' bytes, if that is more
 SMALL = {"compression": "zstd"}
 CELL = np.dtype([("a", "<i4"), ("lo", "<i2"), ("hi", "<i2"), ("known", "u1")])  # anchor, distances to its windows' starts
 ODD = U64(0x9E3779B97F4A7C15)
@@ -345,7 +345,7 @@ class Steps:
 
     def slices(self, size: int) -> int:
         """In how many slices so many bytes of strings are sorted."""
-        return max(1, -(-size // max(self.bytes // 3, SLICE_BYTES)))
+        return max(1, -(-size // max(self.bytes // 2, SLICE_BYTES)))
 
     def splitters(self, cells: DataFrame, total: int, size: int, slices: int) -> list[bytes]:
         """First strings of ranges of about ``RANGE_BYTES`` of a slice, from a random sample of 32 strings a range."""
