@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tabspark.llm import bloom
 from tabspark.llm.files import numbered, prepare, quoted, saved, scratch
 from tabspark.llm.words import ALNUM, BLOCK_BYTES, U64, blocks, hash_words
+from tabspark.llm.worker import lean
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000  # windows matched at a time: 8 bytes a word, 16 MB
@@ -63,7 +64,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in own)], ["first", "ids", "known", "starts", "n_words", "terms", "counts", "positions"])
                 row += block.rows
 
-    return saved(source.mapInArrow(index, SEGMENT), "positional-index", compression="zstd")
+    return saved(source.mapInArrow(lean(index), SEGMENT), "positional-index", compression="zstd")
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -84,7 +85,7 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", win
             for part in (rows[k : k + 5000] for k in range(0, len(rows), 5000)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.string(), pa.int32(), pa.list_(pa.int64())))], ["item", "length", "words"])
 
-    return source.mapInArrow(windows, "item string, length int, words array<long>").distinct()
+    return source.mapInArrow(lean(windows), "item string, length int, words array<long>").distinct()
 
 
 class Segment:
@@ -226,7 +227,7 @@ def matches(index: DataFrame, windows: DataFrame, window: int = WINDOW, within:
                         ids = pa.array(own.ids[lo:hi], mask=own.known[lo:hi] == 0)
                         yield pa.RecordBatch.from_arrays([pa.array(own.first + np.arange(lo, hi)), ids, pa.array(own.n_words[lo:hi].astype(np.int64)), hits.cast(hit_type)], ["row", "id", "n_words", "hits"])
 
-        found = index.mapInArrow(match, schema)
+        found = index.mapInArrow(lean(match), schema)
         parts.append(saved(found if not parts else found.where("size(hits) > 0"), "hits"))  # the first block has every row
         shared.unpersist()
     if len(parts) == 1:

@@ -17,6 +17,7 @@ import numpy as np
 
 from tabspark.llm.hashtable import Slots
 from tabspark.llm.words import LONG, LOWER, MASKS, SPACES, U64, Block, eights, hash_spans, mix
+from tabspark.llm.worker import keep
 
 ASCII_LETTER = np.zeros(256, dtype=bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
@@ -24,14 +25,12 @@ ASCII_PUNCT = np.zeros(256, dtype=bool)
 ASCII_PUNCT[33:48] = ASCII_PUNCT[58:65] = ASCII_PUNCT[91:97] = ASCII_PUNCT[123:127] = True
 ASCII_PUNCT[39] = False  # 's, 't, ... are pre-tokens of their own
 
-_encoders: dict[tuple, PieceEncoder] = {}
+LEARNT = 2000  # new pieces handed to the library at a time
 
 
 def encoder(path: str, spaces: bool) -> PieceEncoder:
-    """One per Python worker, so its pieces serve the tasks that follow."""
-    if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = PieceEncoder(path, spaces)
-    return _encoders[path, spaces]
+    """One per Python worker, so its pieces serve the tasks that follow, until the worker turns to other work."""
+    return keep("encoder", (path, spaces), lambda: PieceEncoder(path, spaces))
 
 
 class PieceEncoder:
@@ -144,7 +143,9 @@ class PieceEncoder:
                     self.clear()
                 raw = data.tobytes()
                 where = miss[first]
-                self.learn(new, [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())])
+                for k in range(0, len(new), LEARNT):  # the library's answer takes far more memory than the ids
+                    some = where[k : k + LEARNT]
+                    self.learn(new[k : k + LEARNT], [raw[s:e] for s, e in zip(starts[some].tolist(), ends[some].tolist())])
                 at = self.table.find(h)
             other = ~self.same(at, data, starts, ends)
             if not other.any():

@@ -29,6 +29,7 @@ from tabspark.llm import bloom
 from tabspark.llm.components import components
 from tabspark.llm.files import numbered, prepare, quoted, saved, scratch
 from tabspark.llm.words import NOT_SPACE, U64, blocks, combine, hash_words, mix
+from tabspark.llm.worker import lean
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 40, 6, 80
 BLOCK = 500  # members that a task holds of either side when two components of a group are compared
@@ -98,7 +99,7 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, bands: int, rows:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists], ["id", "n_shingles", "set_a", "set_b", "keys"])
 
-    return source.mapInArrow(sketch, "id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return source.mapInArrow(lean(sketch), "id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -113,7 +114,7 @@ def full_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "shingles"])
 
-    return source.mapInArrow(sets, "id long, shingles array<long>")
+    return source.mapInArrow(lean(sets), "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -131,7 +132,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(overlap, "a long, b long")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(lean(overlap), "a long, b long")
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:

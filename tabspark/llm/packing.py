@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tabspark.llm.encode import encoder
 from tabspark.llm.files import fresh, prepare, quoted, saved
 from tabspark.llm.words import blocks
+from tabspark.llm.worker import lean
 
 OPEN_BINS = 1024
 REPACK = 20_000  # pieces of a task of the second pass
@@ -141,10 +142,10 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         if bins:
             yield from bins.take(last=True)
 
-    first = saved(rows.mapInArrow(packed, schema), "packed", outlives=True)
+    first = saved(rows.mapInArrow(lean(packed, "encoder"), schema), "packed", outlives=True)
     open_ = first.where("NOT closed")
     tasks = max(1, -(-open_.count() // REPACK))
-    again = open_.repartition(tasks).sortWithinPartitions(F.desc("length")).mapInArrow(repacked, schema)
+    again = open_.repartition(tasks).sortWithinPartitions(F.desc("length")).mapInArrow(lean(repacked, "encoder"), schema)
     out = first.where("closed").unionAll(again)
     return out.select(F.col("key").alias(key), *(F.col(n).alias(fresh([key], n)) for n in kinds))
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tabspark.llm.files import numbered, prepare, quoted, saved, scratch
 from tabspark.llm.hashtable import row_sums
 from tabspark.llm.words import LOWER, NOT_SPACE, U64, blocks, combine, hash_spans, mix, word_spans
+from tabspark.llm.worker import lean
 
 PAIRS = 8
 ACCURACY = 1e-4
@@ -73,9 +74,11 @@ def features(block) -> np.ndarray:
     row = np.repeat(np.arange(block.rows), np.diff(first))
     n, size = np.maximum(np.diff(first), 1).astype(float), np.maximum(np.diff(offs), 1).astype(float)
     cum = lambda x: np.concatenate(([0], np.cumsum(x)))
-    sums = {name: cum(kind[data]) for name, kind in (("upper", UPPER), ("digit", DIGIT), ("mark", MARK), ("other", OTHER), ("stop", STOP), ("letter", LETTER))}
-    of_row = {k: (v[offs[1:]] - v[offs[:-1]]).astype(float) for k, v in sums.items()}
-    in_word = {k: v[ends] - v[starts] for k, v in sums.items()}
+    of_row, in_word = {}, {}
+    for name, kind in (("upper", UPPER), ("digit", DIGIT), ("mark", MARK), ("other", OTHER), ("stop", STOP), ("letter", LETTER)):
+        v = cum(kind[data])  # 8 bytes for each byte of the block: one kind at a time
+        of_row[name], in_word[name] = (v[offs[1:]] - v[offs[:-1]]).astype(float), v[ends] - v[starts]
+    del v
     length = (ends - starts).astype(float)
     upper_word = (in_word["upper"] >= 2) & (in_word["upper"] == in_word["letter"])
     other_word = in_word["other"] > 0
@@ -130,7 +133,7 @@ def feature_table(docs: DataFrame, key: str = "doc_id", text: str = "text", also
             ends = np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ["id", *also]), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))], ["id", *also, "x"])
 
-    return saved(source.mapInArrow(extract, f"{kinds}, x array<float>"), "quality-features")
+    return saved(source.mapInArrow(lean(extract), f"{kinds}, x array<float>"), "quality-features")
 
 
 @dataclass

@@ -27,6 +27,7 @@ from tabspark.llm import mph
 from tabspark.llm.encode import encoder
 from tabspark.llm.files import filesystem, new_file, prepare, read_bytes, saved, shared_folder
 from tabspark.llm.words import U64, blocks
+from tabspark.llm.worker import lean
 
 SHARD_BYTES = 32 << 20  # text bytes a shard is cut for
 BUCKET_KEYS = 1 << 18  # keys in an index bucket, about
@@ -95,7 +96,7 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
             out.close()
 
     dealt = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "key").sortWithinPartitions("key", F.xxhash64("text"), "text")
-    catalogue = saved(dealt.mapInArrow(shard, f"key {key_type}, ordinal long, shard int, offset long, length long, file string"), "token-catalogue")
+    catalogue = saved(dealt.mapInArrow(lean(shard, "encoder"), f"key {key_type}, ordinal long, shard int, offset long, length long, file string"), "token-catalogue")
     begin, shards = 0, {}
     for r in catalogue.groupBy("shard", "file").agg(F.sum("length").alias("n")).orderBy("shard").collect():
         shards[r["shard"]] = (r["file"], begin)

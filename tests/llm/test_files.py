@@ -125,3 +125,40 @@ def test_sequences_do_not_depend_on_partitions(spark, parts):
     assert used <= 1.01 * -(-tokens // 2048) + 1
     rows = out.groupBy("sequence_id").agg(bloom.F.sum("length").alias("n"), bloom.F.max(bloom.F.col("offset") + bloom.F.col("length")).alias("upto"))
     assert rows.where("n != upto OR n > 2048").count() == 0
+
+
+def test_workers_drop_what_another_operator_kept_and_learn_in_small_parts(spark, monkeypatch):
+    import os
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tabspark.llm import encode, worker
+    from tabspark.llm.words import blocks
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def fill(batches):
+        encode.encoder(path, False)
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()])], ["pid"])
+
+    def look(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([len(worker._kept)])], ["pid", "kept"])
+
+    one = spark.range(1).coalesce(1)
+    first = one.mapInArrow(worker.lean(fill, "encoder"), "pid long").first()["pid"]
+    again = one.mapInArrow(worker.lean(look, "encoder"), "pid long, kept long").first()
+    other = one.mapInArrow(worker.lean(look), "pid long, kept long").first()
+    assert again["kept"] == 1 or again["pid"] != first
+    assert other["kept"] == 0
+
+    sizes = []
+    learn = encode.PieceEncoder.learn
+    monkeypatch.setattr(encode.PieceEncoder, "learn", lambda self, h, pieces: (sizes.append(len(pieces)), learn(self, h, pieces)))
+    own = encode.PieceEncoder(path, False)
+    text = " ".join(f"w{k}" for k in range(3 * encode.LEARNT))
+    ids = [r.tolist() for b in blocks(pa.array([text])) for r in own.rows(b)]
+    assert ids == [own.tokenizer.encode(text, add_special_tokens=False).ids]
+    assert len(sizes) >= 3 and max(sizes) <= encode.LEARNT
