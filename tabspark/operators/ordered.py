@@ -28,6 +28,13 @@ def category(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
 
 
+def apart(c: Column, by: str) -> Column:
+    """``c``, in a projection that stays out of whole-stage code because of its lambda function (over column ``by``, which does not matter).
+    Spark then divides the code into small methods; in one with its neighbours', so many values pass the 8000 bytes up to which
+    the JVM compiles a method, and each row took fifty times as long."""
+    return F.when(F.size(F.transform(F.array(by), lambda x: x)) > 0, c)
+
+
 @dataclass
 class OrderedTargetModel:
     """Counts per category and fold of the training rows; ``folds`` in order, ``priors[f]`` the class shares outside fold f."""
@@ -61,44 +68,46 @@ class OrderedTargetModel:
 
     def _statistics(self, n, s) -> dict[int, list[Column]]:
         """For each fold f and class k: (s + strength * prior) / (n + strength) over all folds but f; ``n(j)``, ``s(j, k)`` are counts."""
-        out = {}
+        out, every = {}, range(len(self.folds))
+        rows, hits = sum((n(j) for j in every), F.lit(0)), [sum((s(j, k) for j in every), F.lit(0)) for k in range(len(self.classes))]
         for j, f in enumerate(self.folds):
-            others = [i for i in range(len(self.folds)) if i != j]
-            rows = sum((n(i) for i in others), F.lit(0))
-            out[f] = [(sum((s(i, k) for i in others), F.lit(0)) + F.lit(self.strength * self.priors[f][k])) / (rows + F.lit(self.strength)) for k in range(len(self.classes))]
+            out[f] = [(hits[k] - s(j, k) + F.lit(self.strength * self.priors[f][k])) / (rows - n(j) + F.lit(self.strength)) for k in range(len(self.classes))]
         return out
 
+    def _list(self, statistics: dict[int, list[Column]], held: str | None = None) -> Column:
+        """All statistics as one array; with ``held``, an array of the same, a row of fold f takes its values for f from there."""
+        at = [(f, k) for f in self.folds for k in range(len(self.classes))]
+        return F.array(*(F.when(F.col(self.fold_col) == f, F.get(F.col(held), F.lit(i))).otherwise(statistics[f][k]) if held else statistics[f][k] for i, (f, k) in enumerate(at)))
+
     def _joined(self, df: DataFrame, col: str) -> DataFrame:
+        """``df`` with the statistics of all training rows of its category, an array ``__whole``; NULL for a category that they lack."""
         counts, n = self.counts[col]
+        counts = counts.select("__cat", self._list(self._statistics(lambda j: F.col(f"__t_n{j}"), lambda j, k: F.col(f"__t_s{j}_{k}"))).alias("__whole"))
         counts = F.broadcast(counts) if n <= BROADCAST_MAX_ROWS else counts
         return df.withColumn("__cat", category(col)).join(counts, "__cat", "left").drop("__cat")
 
+    def _columns(self, df: DataFrame) -> DataFrame:
+        """The arrays ``__of<number of the column>`` as a column each."""
+        names = [(i, [self.feature(col, k, f) for f in self.folds for k in range(len(self.classes))]) for i, col in enumerate(self.cols)]
+        arrays = [f"__of{i}" for i, _ in names]
+        return df.select(*(c for c in df.columns if c not in arrays), *(F.get(F.col(f"__of{i}"), F.lit(x)).alias(name) for i, own in names for x, name in enumerate(own)))
+
     def transform_train(self, df: DataFrame) -> DataFrame:
         """Training rows with the features of every fold's model."""
-        for col in self.cols:
+        for i, col in enumerate(self.cols):
             weights = self._weights()
-            d = df.withColumns({"__cat": category(col), "__ok": fold_order_key(self.row_id, self.seed), **weights})
-            d = running_totals(d, ["__cat"], ["__ok", self.row_id], list(weights)).drop(*weights, "__ok", "__cat")
-            d = self._joined(d, col)
+            d = df.withColumns({"__cat": category(col), "__ok": fold_order_key(self.row_id, self.seed)})
+            d = running_totals(d, ["__cat"], ["__ok", self.row_id], weights).drop("__ok", "__cat")
             before = self._statistics(lambda j: F.col(f"__before___n{j}"), lambda j, k: F.col(f"__before___s{j}_{k}"))
-            whole = self._statistics(lambda j: F.col(f"__t_n{j}"), lambda j, k: F.col(f"__t_s{j}_{k}"))
-            own = {
-                self.feature(col, k, f): F.when(F.col(self.fold_col) == f, whole[f][k]).otherwise(before[f][k])
-                for f in self.folds for k in range(len(self.classes))
-            }
-            drop = [f"__before_{w}" for w in weights] + [w.replace("__", "__t_", 1) for w in weights]
-            df = d.withColumns(own).drop(*drop)
-        return df
+            df = self._joined(d, col).withColumn(f"__of{i}", apart(self._list(before, "__whole"), self.row_id)).drop("__whole", *[f"__before_{w}" for w in weights])
+        return self._columns(df)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """New rows with the features of every fold's model; a category that training rows lack takes the prior."""
-        for col in self.cols:
-            d = self._joined(df, col)
-            zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-            whole = self._statistics(lambda j: zero(f"__t_n{j}"), lambda j, k: zero(f"__t_s{j}_{k}"))
-            d = d.withColumns({self.feature(col, k, f): whole[f][k] for f in self.folds for k in range(len(self.classes))})
-            df = d.drop(*[w.replace("__", "__t_", 1) for w in self._weights()])
-        return df
+        none = self._list(self._statistics(lambda j: F.lit(0), lambda j, k: F.lit(0)))
+        for i, col in enumerate(self.cols):
+            df = self._joined(df, col).withColumn(f"__of{i}", F.coalesce("__whole", none)).drop("__whole")
+        return self._columns(df)
 
 
 class OrderedTargetEncoder:

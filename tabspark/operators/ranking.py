@@ -16,7 +16,7 @@ The input is read three times (quantiles, histogram, rows), so it must give the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -99,18 +99,22 @@ def bucket_count(df: DataFrame, num_partitions: int | None = None) -> int:
     return max(8, min(MAX_BUCKETS, 4 * n))
 
 
-def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], weights: Sequence[str], num_partitions: int | None = None, keep_code: bool = False) -> DataFrame:
+def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], weights: Sequence[str] | Mapping[str, Column], num_partitions: int | None = None, keep_code: bool = False) -> DataFrame:
     """Add ``__before_<weight>`` (and with ``keep_code`` the bucket, ``__code``) for each weight column: its total over the rows of the same group with a strictly smaller
-    order key.  Rows must be unique on ``group_cols + order_cols`` (pre-aggregate duplicates into the weights)."""
+    order key.  Rows must be unique on ``group_cols + order_cols`` (pre-aggregate duplicates into the weights).
+    Weights can be given as expressions over the columns, by name: these are worked out on both sides of the exchange, not sent through it."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    sums = {w: f"__before_{w}" for w in weights}
-    d = with_codes(df, order_cols, bucket_count(df, num_partitions)).withColumns({s: F.col(w).cast("long") for w, s in sums.items()})
+    given = dict(weights) if isinstance(weights, Mapping) else {w: F.col(w) for w in weights}
+    own = {f"__before_{w}": c.cast("long") for w, c in given.items()}
+    d = with_codes(df, order_cols, bucket_count(df, num_partitions))
     upto = Window.partitionBy(*group_cols).orderBy("__code").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = d.groupBy(*group_cols, "__code").agg(*(F.sum(s).alias(s) for s in sums.values()))
-    fronts = histogram.select(*group_cols, "__code", *(F.coalesce(F.sum(s).over(upto), F.lit(0)).alias(s) for s in sums.values()), F.lit(True).alias("__front"))
+    histogram = d.withColumns(own).groupBy(*group_cols, "__code").agg(*(F.sum(s).alias(s) for s in own))
+    fronts = histogram.select(*group_cols, "__code", F.array(*(F.coalesce(F.sum(s).over(upto), F.lit(0)) for s in own)).alias("__sums"), F.lit(True).alias("__front"))
     rows = d.withColumn("__front", F.lit(False)).unionByName(fronts, allowMissingColumns=True)
+    rows = rows.repartition(*group_cols, "__code")  # the exchange that the window needs, before its sums are columns
+    rows = rows.withColumns({s: F.when(F.col("__front"), F.col("__sums")[i]).otherwise(c) for i, (s, c) in enumerate(own.items())}).drop("__sums")
     local = Window.partitionBy(*group_cols, "__code").orderBy(F.desc("__front"), *order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumns({s: F.sum(s).over(local) - F.col(s) for s in sums.values()})
+    out = rows.withColumns({s: F.sum(s).over(local) - F.col(s) for s in own})
     return out.where("NOT __front").drop("__tied", "__front", *([] if keep_code else ["__code"]))
 
 
